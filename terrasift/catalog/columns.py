@@ -353,10 +353,10 @@ Q["b34_agricultural_year_season"] = (b34, oracle(f"SELECT {AGY} AS y, {SEASON} A
 
 def b35(s, d):
     v = clean.qa_mask(F.col("ndvi"), F.col("qa"))
-    return view(s, d, "series").groupBy("id").agg(F.count(v).alias("good"), F.round(F.avg(v), 6).alias("mean"))
+    return view(s, d, "series").groupBy("id").agg(F.count(v).alias("good"), F.round(F.sum(v), 4).alias("total"))
 
 
-Q["b35_quality_mask"] = (b35, oracle("SELECT id, CAST(count(*) FILTER (qa <= 1) AS BIGINT) AS good, round(avg(ndvi) FILTER (qa <= 1), 6) AS mean FROM series GROUP BY 1", "series"))
+Q["b35_quality_mask"] = (b35, oracle("SELECT id, CAST(count(*) FILTER (qa <= 1) AS BIGINT) AS good, round(sum(ndvi) FILTER (qa <= 1), 4) AS total FROM series GROUP BY 1", "series"))
 
 
 def b36(s, d):

@@ -78,3 +78,22 @@ def repeated_points(df: DataFrame, keys, values, order) -> tuple[DataFrame, Data
     tagged = attach(df, keys, F.count(F.lit(1)).alias("__n"), (same & has).alias("__same"))
     kept = first(tagged.filter((F.col("__n") == 1) | F.col("__same")), keys, order).drop("__n", "__same")
     return kept, tagged.filter(F.col("__n") > 1).drop("__n", "__same")
+
+
+def label(df: DataFrame, key: str, name: str = "label") -> DataFrame:
+    """Dense integer label of a key. Only distinct keys are numbered, by a range sort, then joined back.
+
+    Each range partition counts its own keys; the offsets come from those counts (one row per partition), so the
+    numbering never passes through a single task.
+    """
+    from terrasift.session import cut
+
+    keys = df.select(key).filter(F.col(key).isNotNull()).distinct()
+    n = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = cut(keys.repartitionByRange(n, key).sortWithinPartitions(key).withColumn("__p", F.spark_partition_id()))
+    w = Window.partitionBy("__p").orderBy(key)
+    local = parts.withColumn("__i", F.row_number().over(w) - 1)
+    counts = parts.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))  # one row per partition
+    before = counts.withColumn("__off", F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__p")) - F.col("__n")).drop("__n")
+    lab = local.join(F.broadcast(before), "__p").select(key, (F.col("__off") + F.col("__i")).cast("long").alias(name))
+    return df.join(lab, key, "left")

@@ -53,8 +53,8 @@ SELECT event_id, concat(CASE WHEN event_id % 53 = 0 THEN '28' ELSE sid0 END, '_'
   concat('0.', lpad(CAST((event_id*29) % 140 AS STRING), 3, '0')) AS oc,
   concat(CAST(3 + (event_id*17) % 9 AS STRING), '.', CAST(event_id % 10 AS STRING)) AS ph,
   concat(CAST((event_id*19) % 12 AS STRING), '.', lpad(CAST(event_id % 100 AS STRING), 2, '0')) AS ec,
-  72.6e0 + ((event_id - event_id % 4)*7919 % 90000)/1e4 AS lon, 15.6e0 + ((event_id - event_id % 4)*104729 % 70000)/1e4 AS lat
-FROM (SELECT event_id, user_id, CASE WHEN event_id % 10 < 7 THEN '27' ELSE CAST(20 + event_id % 10 AS STRING) END AS sid0 FROM {events}) e""",
+  72.6e0 + (spot*7919 % 90000)/1e4 AS lon, 15.6e0 + (spot*104729 % 70000)/1e4 AS lat
+FROM (SELECT event_id, user_id, CASE WHEN event_id % 20 < 8 THEN event_id - event_id % 4 ELSE event_id END AS spot, CASE WHEN event_id % 10 < 7 THEN '27' ELSE CAST(20 + event_id % 10 AS STRING) END AS sid0 FROM {events}) e""",
     # dated scenes with a five-sided footprint around (cx, cy)
     "scenes": """
 SELECT event_id AS scene_id, user_id AS tile, ts AS scene_ts, CAST(event_id % 100 AS DOUBLE) AS cloud,
