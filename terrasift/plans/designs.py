@@ -16,3 +16,22 @@ from terrasift.functions.feat import hashed, uniform
 def random_holdout(df: DataFrame, key: str, p: float, seed: int) -> DataFrame:
     """is_test = 1 for about a share p of the keys; all rows of a key go the same way."""
     return df.withColumn("is_test", (uniform(F.col(key), seed) < p).cast("int"))
+
+
+def group_folds(df: DataFrame, key: str, k: int, seed, name: str = "fold") -> DataFrame:
+    """Fold per group: distinct keys in md5 order, dealt out in turn. No group is in two folds."""
+    from terrasift.operators.groups import label
+
+    keys = df.select(key).filter(F.col(key).isNotNull()).distinct().withColumn("__h", F.concat(hashed(F.col(key), seed), F.lit(" "), F.col(key).cast("string")))
+    f = label(keys, "__h", "__i").select(key, (F.col("__i") % k).cast("int").alias(name))
+    return df.join(f, key)
+
+
+def kfold(df: DataFrame, key: str, k: int, seed, name: str = "fold") -> DataFrame:
+    """Fold per row key from the md5 prefix."""
+    return df.withColumn(name, (F.conv(F.substring(hashed(F.col(key), seed), 1, 8), 16, 10).cast("long") % k).cast("int"))
+
+
+def blocks(df: DataFrame, km: float, k: int, seed, x="x", y="y") -> DataFrame:
+    """Spatial block folds on projected positions."""
+    return group_folds(df.withColumn("block", geo.block(x, y, km)), "block", k, seed)
