@@ -227,9 +227,9 @@ Q["d22_climate_at_nearest_node"] = (d22, oracle("""SELECT id, round(a, 6) AS ppt
 
 
 def d23(s, d):
-    g = view(s, d, "grid").filter("tile = 0").select("r", "col", "value")
+    g = view(s, d, "grid").filter("tile = 0").select("r", "col", F.col("value").alias("at_pixel"))
     p = view(s, d, "points").withColumns({"col": geo.pixel_index("lon", 72.6, 0.083, 100), "r": geo.pixel_index("lat", 15.6, 0.065, 100)})
-    return p.join(g, ["r", "col"]).select("id", F.col("value").alias("at_pixel"))
+    return p.join(g, ["r", "col"]).select("id", "at_pixel")
 
 
 _COL, _ROW = ["CAST(greatest(0, least(99, floor(({} - {})/{}))) AS BIGINT)".format(*a) for a in (("lon", "72.6e0", "83e-3"), ("lat", "15.6e0", "65e-3"))]

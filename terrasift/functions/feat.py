@@ -61,12 +61,14 @@ def rating(c: Column, lo: float, hi: float, right_inclusive: bool = True) -> Col
 
 
 def bin_index(c: Column, edges, right: bool = True) -> Column:
-    """Index of the interval between consecutive edges, NULL outside; right: (lo, hi], else [lo, hi)."""
-    out = F.lit(None).cast("int")
-    for i in reversed(range(len(edges) - 1)):
-        lo, hi = edges[i], edges[i + 1]
-        inside = (c > lo) & (c <= hi) if right else (c >= lo) & (c < hi)
-        out = F.when(known(inside) & ~F.isnan(c), F.lit(i)).otherwise(out)
+    """Index of the interval between consecutive edges, NULL outside; right: (lo, hi], else [lo, hi).
+
+    One comparison per edge; NaN is above every edge and ends up outside.
+    """
+    below = (lambda e: c <= e) if right else (lambda e: c < e)
+    out = F.when(below(edges[0]), F.lit(None).cast("int"))
+    for i, hi in enumerate(edges[1:]):
+        out = out.when(below(hi), F.lit(i))
     return out
 
 

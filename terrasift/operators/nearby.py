@@ -77,21 +77,32 @@ def farther_than(train: DataFrame, test: DataFrame, r: float, **kw) -> DataFrame
     return d.filter(F.col("__d").isNull() | (F.col("__d") > r)).drop("__d")
 
 
-def sample_pairs(sample: DataFrame, side_rows: int = 500, *, id="id", x="x", y="y", cols=()) -> DataFrame:
-    """All pairs of a drawn sample (a < b) with distance, spread over block pairs by an equality join."""
+def sample_pairs(sample: DataFrame, side_rows: int = 250, *, id="id", x="x", y="y", cols=()) -> DataFrame:
+    """All pairs of a drawn sample (a < b) with distance, spread over block pairs by an equality join.
+
+    Rows are hashed to blocks; the key (i, j), i <= j, takes block i on the left and block j on the right, so every
+    unordered pair is built exactly once and no task holds more than side_rows squared of them.
+    """
     n = sample.count()  # the size of the draw
     b = max(1, math.ceil(n / side_rows))
     s = sample.select(F.col(id).alias("id"), F.col(x).alias("x"), F.col(y).alias("y"), *cols).withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(b)).cast("int"))
-    # block pairs {i, j}: a row of block i is sent to the keys (min, max) of i with every block
-    key = F.explode(F.sequence(F.lit(0), F.lit(b - 1)))
-    e = s.withColumn("o", key).withColumns({"lo": F.least("blk", "o"), "hi": F.greatest("blk", "o")})
-    left = e.select("lo", "hi", *[F.col(c).alias(f"a__{c}") for c in ("id", "x", "y", "blk", *cols)])
-    right = e.select("lo", "hi", *[F.col(c).alias(f"b__{c}") for c in ("id", "x", "y", "blk", *cols)])
-    j = left.join(right, ["lo", "hi"]).filter(F.col("a__id") < F.col("b__id"))
-    # inside a mixed key only pairs across the two blocks belong to it
-    j = j.filter((F.col("lo") == F.col("hi")) | (F.col("a__blk") != F.col("b__blk")))
+    names = ("id", "x", "y", *cols)
+    left = s.withColumns({"lo": F.col("blk"), "hi": F.explode(F.sequence(F.col("blk"), F.lit(b - 1)))})
+    right = s.withColumns({"hi": F.col("blk"), "lo": F.explode(F.sequence(F.lit(0), F.col("blk")))})
+    left = left.select("lo", "hi", *[F.col(c).alias(f"a__{c}") for c in names])
+    right = right.select("lo", "hi", *[F.col(c).alias(f"b__{c}") for c in names])
+    # the input is tiny and the output large: fixed partitioning keeps the work spread
+    parts = max(1, b * (b + 1) // 2)
+    j = left.repartition(parts, "lo", "hi").join(right.repartition(parts, "lo", "hi"), ["lo", "hi"])
+    j = j.filter((F.col("lo") < F.col("hi")) | (F.col("a__id") < F.col("b__id")))
     d = distance(F.col("a__x"), F.col("a__y"), F.col("b__x"), F.col("b__y"))
-    return j.select(F.col("a__id").alias("a"), F.col("b__id").alias("b"), d.alias("d"), *[F.col(f"{s_}__{c}").alias(f"{c}_{s_}") for c in cols for s_ in "ab"])
+    flip = F.col("a__id") > F.col("b__id")
+
+    def side(c, s_):
+        one, other = ("a", "b") if s_ == "a" else ("b", "a")
+        return F.when(flip, F.col(f"{other}__{c}")).otherwise(F.col(f"{one}__{c}"))
+
+    return j.select(side("id", "a").alias("a"), side("id", "b").alias("b"), d.alias("d"), *[side(c, s_).alias(f"{c}_{s_}") for c in cols for s_ in "ab"])
 
 
 def fraction_within(points: DataFrame, px: DataFrame, r: float, codes: dict, *, cls="cls", id="id", x="x", y="y") -> DataFrame:
