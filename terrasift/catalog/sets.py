@@ -17,8 +17,8 @@ def h01(s, d):
 Q["h01_union_all"] = (h01, oracle("SELECT id, region, n FROM points UNION ALL SELECT id, region, n FROM points WHERE region = 4", "points"))
 Q["h02_union_missing_columns"] = (lambda s, d: setops.union(view(s, d, "nation").select("n_nationkey", "n_name"), view(s, d, "supplier").select(F.col("s_nationkey").alias("n_nationkey"), "s_acctbal"), fill=True),
                                   "SELECT n_nationkey, n_name, NULL::DOUBLE AS s_acctbal FROM nation UNION ALL SELECT s_nationkey, NULL, s_acctbal FROM supplier")
-Q["h03_codes_without_data"] = (lambda s, d: setops.missing(view(s, d, "customer").select("c_custkey", "c_nationkey"), view(s, d, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"]),
-                               "SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+Q["h03_codes_without_data"] = (lambda s, d: setops.missing(view(s, d, "customer").select("c_custkey", "c_nationkey"), view(s, d, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"]),
+                               "SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 
 
 def h04(s, d):

@@ -55,8 +55,9 @@ _G = "g AS (SELECT tile, r, col, value, cls FROM grid), e AS (SELECT tile, max(r
 
 def focal_sql(w, cols):
     k = w // 2
-    return f"""WITH {_G} SELECT a.tile, a.r, a.col, {cols} FROM g a JOIN e ON a.tile = e.tile CROSS JOIN range(-{k}, {k + 1}) i(di) CROSS JOIN range(-{k}, {k + 1}) j(dj)
- JOIN g b ON b.tile = a.tile AND b.r = greatest(0, least(mr, a.r + di)) AND b.col = greatest(0, least(mc, a.col + dj)) GROUP BY 1, 2, 3"""
+    return f"""WITH {_G}, p AS MATERIALIZED (SELECT a.tile, a.r, a.col, a.value, greatest(0, least(mr, a.r + di)) AS rr, greatest(0, least(mc, a.col + dj)) AS cc
+ FROM g a JOIN e ON a.tile = e.tile, range(-{k}, {k + 1}) i(di), range(-{k}, {k + 1}) j(dj))
+ SELECT a.tile, a.r, a.col, {cols} FROM p a JOIN g b ON b.tile = a.tile AND b.r = a.rr AND b.col = a.cc GROUP BY 1, 2, 3"""
 
 
 K3 = ["tile", "r", "col"]
@@ -107,7 +108,14 @@ def terrain(s, d):
     return rnd(t.select(*K3, *cols), cols, 4)
 
 
-Q["f13_f16_terrain_features"] = (terrain, None)
+_W = {n: f"(PARTITION BY tile, {o} ORDER BY {a} ROWS BETWEEN {k} PRECEDING AND {k} FOLLOWING)" for n, o, a, k in (("h33", "r", "col", 33), ("v33", "col", "r", 33))}
+Q["f13_f16_terrain_features"] = (terrain, oracle(f"""WITH {_G}, m AS (SELECT tile, r, col, min(lo) OVER {_W['v33']} AS lo, max(hi) OVER {_W['v33']} AS hi FROM (SELECT tile, r, col, min(value) OVER {_W['h33']} AS lo, max(value) OVER {_W['h33']} AS hi FROM g)),
+ pad AS (SELECT e.tile, y.i AS y, x.i AS x, b.value FROM e, range(-16, 116) y(i), range(-16, 116) x(i), g b WHERE y.i <= mr + 16 AND x.i <= mc + 16 AND b.tile = e.tile AND b.r = greatest(0, least(mr, y.i)) AND b.col = greatest(0, least(mc, x.i))),
+ hz AS (SELECT tile, y, x, value, {', '.join(f"sum(value) OVER (PARTITION BY tile, y ORDER BY x ROWS BETWEEN {w // 2} PRECEDING AND {w // 2} FOLLOWING) AS s{w}" for w in (3, 5, 17, 33))}, sum(value*value) OVER (PARTITION BY tile, y ORDER BY x ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS q3 FROM pad),
+ vt AS (SELECT tile, y, x, {', '.join(f"sum(s{w}) OVER (PARTITION BY tile, x ORDER BY y ROWS BETWEEN {w // 2} PRECEDING AND {w // 2} FOLLOWING)/{w * w}e0 AS m{w}" for w in (3, 5, 17, 33))}, sum(q3) OVER (PARTITION BY tile, x ORDER BY y ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)/9e0 AS mq FROM hz),
+ sl AS (SELECT tile, r, col, value, degrees(atan(sqrt(gx*gx + gy*gy))) AS slope FROM (SELECT tile, r, col, value, {_grad('col', 90)} AS gx, {_grad('r', 92)} AS gy FROM g))
+ SELECT sl.tile, sl.r, sl.col, round(slope, 4) AS slope, round(value - m5, 4) + 0e0 AS tpi_5, round(value - m17, 4) + 0e0 AS tpi_17, round(value - m33, 4) + 0e0 AS tpi_33, round(sqrt(greatest(mq - m3*m3, 0)), 4) AS rough,
+ round((value - lo)/greatest(hi - lo, 1e0), 4) AS relpos FROM sl JOIN m ON m.tile = sl.tile AND m.r = sl.r AND m.col = sl.col JOIN vt ON vt.tile = sl.tile AND vt.y = sl.r AND vt.x = sl.col""", "grid"))
 
 # ---- sorts, top-k, samples
 Q["g01_stable_multi_key_sort"] = (lambda s, d: view(s, d, "scenes").orderBy("tile", "cloud", F.desc("scene_ts"), "scene_id").select("scene_id", "tile", "cloud"), oracle("SELECT scene_id, tile, cloud FROM scenes", "scenes"))

@@ -90,7 +90,7 @@ def sites(df: DataFrame, r: float, name: str = "site", *, id: str = "id", x: str
         full = loc.join(lab.select("cx", "cy", "root", "crowded"), ["cx", "cy"])
         more = _touching(full, r, ["root", "crowded"]).filter((F.col("root_a") != F.col("root_b")) & (F.col("crowded_a") | F.col("crowded_b")))
         comp2 = components(more.select(F.col("root_a").alias("src"), F.col("root_b").alias("dst")).distinct())
-        comp2 = comp2.withColumnsRenamed({"node": "root", "root": "root2"})
+        comp2 = comp2.select(F.col("node").alias("root"), F.col("root").alias("root2"))
         lab = lab.join(comp2, "root", "left").withColumn("root", F.coalesce("root2", "root")).drop("root2")
     low = lab.groupBy("root").agg(F.min("cid").alias(name))
     lab = lab.join(low, "root").select(F.col("cx").alias("__cx"), F.col("cy").alias("__cy"), name)

@@ -92,13 +92,13 @@ def terrain(px: DataFrame, dx: float, dy: float, v: str = "value", tpi=(5, 17, 3
     """Elevation, slope, position against the surroundings at several widths, roughness and relative position."""
     p = px.withColumn("__sq", F.col(v) * F.col(v))
     specs = {f"__t{w}": (v, w) for w in tpi} | {"__m3": (v, 3), "__q3": ("__sq", 3)}
-    p = focal_minmax(focal_sums(p, specs), relief, v, "__lo", "__hi")
+    p = focal_minmax(focal_sums(p, specs), relief, v, "__low", "__high")
     p = slope(p, dx, dy, v)
     out = {f"tpi_{w}": F.col(v) - F.col(f"__t{w}") / float(w * w) for w in tpi}
     m = F.col("__m3") / 9.0
     out["rough"] = F.sqrt(F.greatest(F.col("__q3") / 9.0 - m * m, F.lit(0.0)))
-    out["relpos"] = (F.col(v) - F.col("__lo")) / F.greatest(F.col("__hi") - F.col("__lo"), F.lit(1.0))
-    return p.withColumns(out).drop("__sq", "__lo", "__hi", "gx", "gy", *specs)
+    out["relpos"] = (F.col(v) - F.col("__low")) / F.greatest(F.col("__high") - F.col("__low"), F.lit(1.0))
+    return p.withColumns(out).drop("__sq", "__low", "__high", "gx", "gy", *specs)
 
 
 def block_fraction(px: DataFrame, size: int, codes: dict, cls: str = "cls") -> DataFrame:
