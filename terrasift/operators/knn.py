@@ -1,15 +1,16 @@
 """Exact k-nearest-neighbour joins on projected positions.
 
-Plan, without any spatial index or nested-loop join:
+Plan, without an index or a nested-loop join:
 
 1. Reference rows at one exact position are cut to the few lowest ids that could ever be wanted, and queries at one
    position are answered once. A placeholder position with a third of all rows is then a handful of rows.
-2. A pyramid of cell counts (cells halve in size per level) gives each query the smallest own cell that holds enough
-   eligible references. The far corner of that cell is a proven upper bound of the k-th distance. Dense areas thus
-   get small cells and sparse areas large ones; levels finer than the average density are only built where cells are
-   still full.
-3. Queries are joined by equality with the cells that the bounding circle touches, and the k best are kept with a
-   ranked window, which Spark cuts per map task before the shuffle.
+2. A pyramid of cell counts cuts the plane into leaves of at most a few thousand positions, small where the data is
+   dense and large where it is sparse; levels finer than the average density are only built where cells are full.
+3. Queries meet the references of their own leaf, as NumPy blocks inside the tasks. The k-th distance found there
+   bounds the search: only queries whose circle leaves their leaf visit the other leaves it touches. Where the own
+   leaf holds too few eligible rows (sparse areas, excluded folds), the smallest cell with enough of them gives the
+   bound by its far corner.
+4. The best of both passes are ranked with a window that Spark cuts per map task before the shuffle.
 
 Ties in distance (rounded to ``tie`` decimals) go to the lower id.
 """
@@ -21,20 +22,25 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrasift.operators.blockwise import top_k
+from terrasift.session import cut
+
+LEAF = 2000  # positions per leaf
+
 
 def _finite(df, x, y):
     return df.filter(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y))
 
 
 def _bounds(q, r, x, y):
-    """(x low, y low, extent, reference rows) in one pass over the two coordinate columns."""
+    """(x low, y low, extent, reference rows, query rows) in one pass over the two coordinate columns."""
     both = r.select(x, y, F.lit(1).alias("__r"))
     if q is not r:
         both = both.unionByName(q.select(x, y, F.lit(0).alias("__r")))
-    row = both.agg(F.min(x), F.min(y), F.max(x), F.max(y), F.sum("__r")).first()
+    row = both.agg(F.min(x), F.min(y), F.max(x), F.max(y), F.sum("__r"), F.count("__r")).first()
     if row[0] is None:
-        return 0.0, 0.0, 1.0, 0
-    return row[0], row[1], max(row[2] - row[0], row[3] - row[1], 1e-6) * 1.001, row[4] or 0
+        return 0.0, 0.0, 1.0, 0, 0
+    return row[0], row[1], max(row[2] - row[0], row[3] - row[1], 1e-6) * 1.001, row[4] or 0, row[5] - (row[4] or 0)
 
 
 def _levels(ref, que, gs, bs, kk, top, mid):
@@ -77,6 +83,64 @@ def _levels(ref, que, gs, bs, kk, top, mid):
     return coarse, pick(deep_q, pyramid(crowded(fine, ["n"]), 0, mid - 1, 0), 0, mid - 1, 0)
 
 
+def _far_corner(que, ref, gs, bs, kk, top, mid, s0, tie):
+    """Bound of the k-th distance from the smallest own cell with enough eligible references; infinite without one."""
+    coarse, deep = _levels(ref, que, gs, bs, kk, top, mid)
+    e = que.withColumns({"qcx": F.expr(f"shiftright(fx, {mid})"), "qcy": F.expr(f"shiftright(fy, {mid})")})
+    e = e.join(coarse, ["qcx", "qcy", *bs, *gs], "left").drop("qcx", "qcy")
+    if deep is not None:
+        d = deep.withColumnsRenamed({"lv": "__dlv", "qcx": "fx", "qcy": "fy"})
+        e = e.join(d, ["fx", "fy", *bs, *gs], "left").withColumn("lv", F.coalesce("__dlv", "lv")).drop("__dlv")
+    s = F.pow(F.lit(2.0), F.col("lv")) * s0
+
+    def far(u, f):
+        lo = F.expr(f"shiftright({f}, lv)") * s
+        return F.greatest(F.col(u) - lo, lo + s - F.col(u))
+
+    bound = F.hypot(far("ux", "fx"), far("uy", "fy")) * (1 + 1e-9) + 10.0**-tie
+    return e.withColumn("R", F.when(F.col("lv").isNotNull(), bound).otherwise(F.lit(float("inf")))).drop("lv")
+
+
+def _touched(que, ref, gs, bs, top, s0):
+    """(query, leaf) for every other leaf with eligible references that the query's circle touches.
+
+    Leaves are listed under each of their ancestor cells, a table of leaves x levels. A query looks itself up on the
+    level where its circle covers at most four cells, for leaves below, and by the ancestors of those cells, for
+    leaves above.
+    """
+    own = F.when(F.min("g") == F.max("g"), F.min("g")).alias("only") if gs else F.lit(None).cast("int").alias("only")
+    leaves = ref.groupBy("llv", "lcx", "lcy", *bs).agg(own)
+    tree = leaves.withColumn("lv", F.explode(F.sequence(F.col("llv"), F.lit(top))))
+    tree = tree.withColumns({"cx": F.expr("shiftright(lcx, lv - llv)"), "cy": F.expr("shiftright(lcy, lv - llv)")})
+    q = que.withColumnsRenamed({"llv": "olv", "lcx": "ocx", "lcy": "ocy"})
+    fit = F.when(F.col("R") < s0 * 2.0**top, F.ceil(F.log2(F.greatest(F.col("R") * 2.0 / s0, F.lit(1.0))))).otherwise(F.lit(top))
+    q = q.withColumn("lv", F.least(fit, F.lit(top)).cast("int")).withColumn("s", F.pow(F.lit(2.0), F.col("lv")) * s0)
+    last = F.expr(f"shiftright({2**top - 1}L, lv)")
+
+    def span(u):
+        lo = F.when(F.col("R") < s0 * 2.0**top, F.greatest(F.floor((F.col(u) - F.col("R")) / F.col("s")), F.lit(0))).otherwise(F.lit(0))
+        hi = F.when(F.col("R") < s0 * 2.0**top, F.least(F.floor((F.col(u) + F.col("R")) / F.col("s")), last)).otherwise(last)
+        return F.explode(F.sequence(lo.cast("long"), hi.cast("long")))
+
+    q = q.withColumn("cx", span("ux")).withColumn("cy", span("uy")).drop("s")
+    below = q.join(tree, ["lv", "cx", "cy", *bs]).drop("lv", "cx", "cy")
+    up = q.filter(F.col("lv") < top).withColumn("llv", F.explode(F.sequence(F.col("lv") + 1, F.lit(top))))
+    up = up.withColumns({"lcx": F.expr("shiftright(cx, llv - lv)"), "lcy": F.expr("shiftright(cy, llv - lv)")}).drop("lv", "cx", "cy").distinct()
+    above = up.join(leaves, ["llv", "lcx", "lcy", *bs])
+    side = F.pow(F.lit(2.0), F.col("llv")) * s0
+
+    def gap(u, c):
+        lo = F.col(c) * side
+        return F.greatest(lo - F.col(u), F.col(u) - lo - side, F.lit(0.0))
+
+    near = F.hypot(gap("ux", "lcx"), gap("uy", "lcy")) <= F.col("R")
+    other = (F.col("llv") != F.col("olv")) | (F.col("lcx") != F.col("ocx")) | (F.col("lcy") != F.col("ocy"))
+    t = below.unionByName(above.select(*below.columns)).filter(near & other)
+    if gs:
+        t = t.filter(F.col("only").isNull() | (F.col("only") != F.col("g")))
+    return t.drop("only", "ux", "uy", "olv", "ocx", "ocy").distinct()
+
+
 def knn(q: DataFrame, r: DataFrame, k: int, *, qid: str = "id", rid: str = "id", x: str = "x", y: str = "y", cols=(), exclude: str | None = None, by: str | None = None, tie: int = 3, name: str = "nbrs") -> DataFrame:
     """Rows of q with an array of their k nearest rows of r, nearest first: struct(nb id, d, *cols).
 
@@ -90,12 +154,16 @@ def knn(q: DataFrame, r: DataFrame, k: int, *, qid: str = "id", rid: str = "id",
     keyed = [*([F.col(by).alias("b")] if by else []), *([F.col(g).alias("g")] if g else [])]
     q_in = _finite(q, x, y)
     r_in = _finite(r, x, y)
-    x0, y0, extent, n_ref = _bounds(q_in if q is not r else r_in, r_in, x, y)
+    x0, y0, extent, n_ref, n_q = _bounds(q_in if q is not r else r_in, r_in, x, y)
+
+    cap = max(LEAF, 20 * kk)
+    n_all = n_ref if q is r else n_ref + n_q
 
-    # levels: 0 finest ... top (one cell); mid is where an average cell holds a fraction of k
-    want = max(1, math.ceil(math.log(max(n_ref, 4) / kk, 4)) + 1) if n_ref > kk else 1
-    top = min(28, want + 8)
-    mid = top - want
+    def depth(n, per):
+        return max(1, math.ceil(math.log(max(n, 4) / per, 4)) + 1) if n > per else 1
+
+    # levels: 0 finest ... top (one cell)
+    top = min(28, depth(n_all, kk) + 8)
     s0 = extent / 2**top
 
     def fine(df, a, b):
@@ -106,59 +174,54 @@ def knn(q: DataFrame, r: DataFrame, k: int, *, qid: str = "id", rid: str = "id",
     ref = fine(ref.withColumn("__i", F.row_number().over(w)).filter(F.col("__i") <= kk).drop("__i"), "rx", "ry")
     que = fine(q_in.select(F.col(x).alias("qx"), F.col(y).alias("qy"), *keyed).distinct(), "qx", "qy")
 
-    coarse, deep = _levels(ref, que, gs, bs, kk, top, mid)
-    lv_rows = coarse.select("lv") if deep is None else coarse.select("lv").union(deep.select("lv"))
-    used = sorted({row[0] for row in lv_rows.distinct().collect()} | {top})  # at most 29 small integers
-
-    e = que.withColumns({"qcx": F.expr(f"shiftright(fx, {mid})"), "qcy": F.expr(f"shiftright(fy, {mid})")})
-    e = e.join(coarse, ["qcx", "qcy", *bs, *gs], "left").drop("qcx", "qcy")
-    if deep is not None:
-        d = deep.withColumnsRenamed({"lv": "__dlv", "qcx": "fx", "qcy": "fy"})
-        e = e.join(d, ["fx", "fy", *bs, *gs], "left").withColumn("lv", F.coalesce("__dlv", "lv")).drop("__dlv")
-    # enough eligible rows in the own cell: its far corner bounds the k-th distance; otherwise everything is searched
-    e = e.withColumn("enough", F.col("lv").isNotNull()).withColumn("lv", F.coalesce("lv", F.lit(top)))
-    size = F.pow(F.lit(2.0), F.col("lv")) * s0
-    e = e.withColumns({"s": size, "ux": F.col("qx") - x0, "uy": F.col("qy") - y0})
-
-    def far(u, f):
-        lo = F.expr(f"shiftright({f}, lv)") * F.col("s")
-        return F.greatest(F.col(u) - lo, lo + F.col("s") - F.col(u))
-
-    e = e.withColumn("R", F.when(F.col("enough"), F.hypot(far("ux", "fx"), far("uy", "fy")) * (1 + 1e-9) + 10.0**-tie).otherwise(F.lit(float("inf"))))
-    last = F.expr(f"shiftright({2**top - 1}L, lv)")
-
-    def span(u):
-        lo = F.when(F.col("enough"), F.greatest(F.floor((F.col(u) - F.col("R")) / F.col("s")), F.lit(0))).otherwise(F.lit(0))
-        hi = F.when(F.col("enough"), F.least(F.floor((F.col(u) + F.col("R")) / F.col("s")), last)).otherwise(last)
-        return F.explode(F.sequence(lo.cast("long"), hi.cast("long")))
-
-    def gap(u, c):
-        lo = F.col(c) * F.col("s")
-        return F.greatest(lo - F.col(u), F.col(u) - lo - F.col("s"), F.lit(0.0))
-
-    probe = e.withColumn("cx", span("ux")).withColumn("cy", span("uy")).filter(F.hypot(gap("ux", "cx"), gap("uy", "cy")) <= F.col("R"))
-    probe = probe.select("lv", "cx", "cy", *bs, "qx", "qy", *([F.col("g").alias("qg")] if g else []), "R")
-
-    rows = ref.withColumn("lv", F.explode(F.array(*[F.lit(v) for v in used])))
-    rows = rows.withColumns({"cx": F.expr("shiftright(fx, lv)"), "cy": F.expr("shiftright(fy, lv)")}).drop("fx", "fy")
-    dx, dy = F.col("qx") - F.col("rx"), F.col("qy") - F.col("ry")
-    cand = probe.join(rows, ["lv", "cx", "cy", *bs]).withColumn("d", F.sqrt(dx * dx + dy * dy)).filter(F.col("d") <= F.col("R"))
-    if g:
-        cand = cand.filter(F.col("qg") != F.col("g"))
-    qk = ["qx", "qy", *bs, *(["qg"] if g else [])]
-    cand = cand.select(*qk, "nb", F.round("d", tie).alias("d"), *cols)
+    # leaves: one level below the smallest cell with more than cap positions, queries and references together
+    mid = top - min(top, depth(n_all, cap))
+    spots = ref.select("fx", "fy", *bs) if q is r else ref.select("fx", "fy", *bs).unionByName(que.select("fx", "fy", *bs))
+    coarse, deep = _levels(spots, spots.distinct(), [], bs, cap + 1, top, mid)
+
+    def leafed(df):
+        out = df.withColumns({"qcx": F.expr(f"shiftright(fx, {mid})"), "qcy": F.expr(f"shiftright(fy, {mid})")})
+        out = out.join(coarse, ["qcx", "qcy", *bs], "left").drop("qcx", "qcy")
+        if deep is not None:
+            d = deep.withColumnsRenamed({"lv": "__dlv", "qcx": "fx", "qcy": "fy"})
+            out = out.join(d, ["fx", "fy", *bs], "left").withColumn("lv", F.coalesce("__dlv", "lv")).drop("__dlv")
+        out = out.withColumn("llv", F.greatest(F.coalesce(F.col("lv") - 1, F.lit(top)), F.lit(0))).drop("lv")
+        return out.withColumns({"lcx": F.expr("shiftright(fx, llv)"), "lcy": F.expr("shiftright(fy, llv)")})
+
+    leaf = ["llv", "lcx", "lcy", *bs]
+    ref, que = leafed(ref), leafed(que)
+    qk = ["qx", "qy", *bs, *gs]
+    take = dict(rcoords=["rx", "ry"], qid="qx", rid="nb", exclude="g" if g else None, tie=tie, qcols=tuple(qk[1:]), rcols=tuple(cols))
+    first = cut(top_k(que, ref, leaf, ["qx", "qy"], kk, **take))
+    found = first.groupBy(*qk).agg(F.count(F.lit(1)).alias("c"), F.max("d").alias("R"))
+    q2 = que.join(found.filter(F.col("c") >= kk).drop("c"), qk, "left").withColumns({"ux": F.col("qx") - x0, "uy": F.col("qy") - y0})
+    side = F.pow(F.lit(2.0), F.col("llv")) * s0
+    q2 = q2.withColumns({"R": F.col("R") + 10.0**-tie, "x1": F.col("lcx") * side, "y1": F.col("lcy") * side, "w": side})
+    out_of_leaf = (F.col("ux") - F.col("R") < F.col("x1")) | (F.col("ux") + F.col("R") >= F.col("x1") + F.col("w")) | (F.col("uy") - F.col("R") < F.col("y1")) | (F.col("uy") + F.col("R") >= F.col("y1") + F.col("w"))
+    lost = q2.filter(F.col("R").isNull())
+    open_ = q2.filter(out_of_leaf)
+    if not lost.isEmpty():
+        open_ = open_.unionByName(_far_corner(lost.drop("R"), ref, gs, bs, kk, top, top - min(top, depth(n_ref, kk)), s0, tie).select(*open_.columns))
+    cand = first
+    if not open_.isEmpty():
+        hits = cut(_touched(open_.select(*qk, "ux", "uy", "R", *leaf[:3]), ref, gs, bs, top, s0))
+        # leaves asked by very many queries are split; their references go to every part
+        parts = hits.groupBy(*leaf).agg(F.ceil(F.count(F.lit(1)) / (4.0 * cap)).cast("int").alias("parts"))
+        salted = hits.join(parts, leaf).withColumn("salt", F.pmod(F.xxhash64(*qk), F.col("parts")).cast("int"))
+        refs = ref.join(parts, leaf).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        cand = first.unionByName(top_k(salted, refs, [*leaf, "salt"], ["qx", "qy"], kk, radius="R", **take))
     wq = Window.partitionBy(*qk).orderBy("d", "nb")
     best = cand.withColumn("rank", F.row_number().over(wq)).filter(F.col("rank") <= kk)
     # at most k + 1 entries per position
     arr = best.groupBy(*qk).agg(F.array_sort(F.collect_list(F.struct("rank", "nb", "d", *cols))).alias("__a"))
 
+    arr = arr.withColumnsRenamed({c: f"__{c}" for c in [*bs, *gs]})
     on = (F.col(x) == F.col("qx")) & (F.col(y) == F.col("qy"))
     if g:
-        on = on & (F.col(g) == F.col("qg"))
+        on = on & (F.col(g) == F.col("__g"))
     if by:
-        arr = arr.withColumnRenamed("b", "__by")
-        on = on & (F.col(by) == F.col("__by"))
-    out = q.join(arr, on, "left").drop("qx", "qy", "qg", "__by")
+        on = on & (F.col(by) == F.col("__b"))
+    out = q.join(arr, on, "left").drop("qx", "qy", "__g", "__b")
     got = F.filter("__a", lambda s: s["nb"] != F.col(qid)) if own else F.col("__a")
     keep = F.transform(F.slice(got, 1, k), lambda s: F.struct(s["nb"].alias("nb"), s["d"].alias("d"), *[s[c].alias(c) for c in cols]))
     return out.withColumn(name, keep).drop("__a")
