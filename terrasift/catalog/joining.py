@@ -144,6 +144,10 @@ def d13(s, d):
 Q["d13_nearest_station"] = (d13, oracle(f"WITH {T}, {ST} SELECT id, l[1].nb AS nb, l[1].d AS nn_dist, l[1].v AS level FROM " + top(1, "true", "nb := b.st_id, v := b.level", right="s"), "points", "stations"))
 
 
+def self_rows(p, k, exclude):
+    return knn.knn_rows(p, p, k, exclude=exclude)
+
+
 def d14(s, d):
     return knn.knn_rows(pts(s, d), stn(s, d), 8, rid="st_id")
 
@@ -153,12 +157,16 @@ def knn_sql(k, on, right="t", cols="nb := b.id"):
 
 
 Q["d14_f11_knn_join"] = (d14, oracle(f"WITH {T}, {ST} " + knn_sql(8, "true", "s", "nb := b.st_id"), "points", "stations"))
-Q["d15_knn_excluding_self"] = (lambda s, d: knn.knn_rows(pts(s, d), pts(s, d), 10, exclude="self"), oracle(f"WITH {T} " + knn_sql(10, "a.id <> b.id"), "points"))
-Q["d16_knn_excluding_site"] = (lambda s, d: knn.knn_rows(pts(s, d), pts(s, d), 10, exclude="spot"), oracle(f"WITH {T} " + knn_sql(10, "a.spot <> b.spot"), "points"))
+Q["d15_knn_excluding_self"] = (lambda s, d: self_rows(pts(s, d), 10, "self"), oracle(f"WITH {T} " + knn_sql(10, "a.id <> b.id"), "points"))
+Q["d16_knn_excluding_site"] = (lambda s, d: self_rows(pts(s, d), 10, "spot"), oracle(f"WITH {T} " + knn_sql(10, "a.spot <> b.spot"), "points"))
+
+
+def self_nearest(p):
+    return knn.nearest(p, p, exclude="self")
 
 
 def d17(s, d):
-    return knn.nearest(pts(s, d), pts(s, d), exclude="self").select("id", "nn_dist")
+    return self_nearest(pts(s, d)).select("id", "nn_dist")
 
 
 Q["d17_nearest_other_distance"] = (d17, oracle(f"WITH {T} SELECT a.id, round(min({DIST}), 3) AS nn_dist FROM t a JOIN t b ON a.id <> b.id GROUP BY 1", "points"))
@@ -170,7 +178,7 @@ def folded(s, d):
     return designs.blocks(pts(s, d), 10, 5, 42)
 
 
-Q["d18_knn_other_folds"] = (lambda s, d: knn.knn_rows(folded(s, d), folded(s, d), 5, exclude="fold"), None)
+Q["d18_knn_other_folds"] = (lambda s, d: self_rows(folded(s, d), 5, "fold"), None)
 
 
 def fold_sql(key, k=5, seed=42, src="t"):
@@ -373,7 +381,7 @@ Q["e62_pair_difference"] = (lambda s, d: rnd(geostat.pair_difference(pts(s, d),
 def e56(s, d):
     from terrasift.operators import qa
 
-    n = knn.nearest(pts(s, d), pts(s, d), exclude="self")
+    n = self_nearest(pts(s, d))
     return rnd(qa.distance_profile(n, [], "nn_dist"), ["p5_m", "p25_m", "p50_m", "p75_m", "p95_m", "le_30m", "le_100m", "le_1000m", "le_5000m"], 4)
 
 

@@ -94,7 +94,7 @@ def sites(df: DataFrame, r: float, name: str = "site", *, id: str = "id", x: str
         lab = lab.join(comp2, "root", "left").withColumn("root", F.coalesce("root2", "root")).drop("root2")
     low = lab.groupBy("root").agg(F.min("cid").alias(name))
     lab = lab.join(low, "root").select(F.col("cx").alias("__cx"), F.col("cy").alias("__cy"), name)
-    here = df.withColumns({"__cx": F.floor(F.col(x) / s).cast("long"), "__cy": F.floor(F.col(y) / s).cast("long")})
+    here = df.drop(name).withColumns({"__cx": F.floor(F.col(x) / s).cast("long"), "__cy": F.floor(F.col(y) / s).cast("long")})
     return here.join(lab, ["__cx", "__cy"]).drop("__cx", "__cy")
 
 

@@ -104,29 +104,31 @@ def _far_corner(que, ref, gs, bs, kk, top, mid, s0, tie):
 def _touched(que, ref, gs, bs, top, s0):
     """(query, leaf) for every other leaf with eligible references that the query's circle touches.
 
-    Leaves are listed under each of their ancestor cells, a table of leaves x levels. A query looks itself up on the
-    level where its circle covers at most four cells, for leaves below, and by the ancestors of those cells, for
-    leaves above.
+    A circle covers at most four cells on the level that fits its size. Leaves of that level and below are found there
+    through their ancestor cells (a table of leaves x levels), larger leaves on their own level.
     """
     own = F.when(F.min("g") == F.max("g"), F.min("g")).alias("only") if gs else F.lit(None).cast("int").alias("only")
     leaves = ref.groupBy("llv", "lcx", "lcy", *bs).agg(own)
-    tree = leaves.withColumn("lv", F.explode(F.sequence(F.col("llv"), F.lit(top))))
-    tree = tree.withColumns({"cx": F.expr("shiftright(lcx, lv - llv)"), "cy": F.expr("shiftright(lcy, lv - llv)")})
+    used = sorted(r[0] for r in leaves.select("llv").distinct().collect())  # at most 29 small integers
+    under = leaves.withColumn("lv", F.explode(F.sequence(F.col("llv"), F.lit(top)))).withColumn("kind", F.lit(0))
+    under = under.withColumns({"cx": F.expr("shiftright(lcx, lv - llv)"), "cy": F.expr("shiftright(lcy, lv - llv)")})
+    self_ = leaves.withColumns({"lv": F.col("llv"), "kind": F.lit(1), "cx": F.col("lcx"), "cy": F.col("lcy")})
+    tree = under.unionByName(self_)
     q = que.withColumnsRenamed({"llv": "olv", "lcx": "ocx", "lcy": "ocy"})
-    fit = F.when(F.col("R") < s0 * 2.0**top, F.ceil(F.log2(F.greatest(F.col("R") * 2.0 / s0, F.lit(1.0))))).otherwise(F.lit(top))
-    q = q.withColumn("lv", F.least(fit, F.lit(top)).cast("int")).withColumn("s", F.pow(F.lit(2.0), F.col("lv")) * s0)
+    whole = F.col("R") >= s0 * 2.0**top
+    fit = F.when(whole, F.lit(top)).otherwise(F.least(F.ceil(F.log2(F.greatest(F.col("R") * 2.0 / s0, F.lit(1.0)))), F.lit(top))).cast("int")
+    larger = F.filter(F.array(*[F.lit(v) for v in used]), lambda v: v > F.col("fit"))
+    stops = F.concat(F.array(F.struct(F.col("fit").alias("lv"), F.lit(0).alias("kind"))), F.transform(larger, lambda v: F.struct(v.alias("lv"), F.lit(1).alias("kind"))))
+    q = q.withColumn("fit", fit).select(*q.columns, F.inline(stops)).withColumn("s", F.pow(F.lit(2.0), F.col("lv")) * s0)
     last = F.expr(f"shiftright({2**top - 1}L, lv)")
 
     def span(u):
-        lo = F.when(F.col("R") < s0 * 2.0**top, F.greatest(F.floor((F.col(u) - F.col("R")) / F.col("s")), F.lit(0))).otherwise(F.lit(0))
-        hi = F.when(F.col("R") < s0 * 2.0**top, F.least(F.floor((F.col(u) + F.col("R")) / F.col("s")), last)).otherwise(last)
+        lo = F.when(whole, F.lit(0)).otherwise(F.greatest(F.floor((F.col(u) - F.col("R")) / F.col("s")), F.lit(0)))
+        hi = F.when(whole, last).otherwise(F.least(F.floor((F.col(u) + F.col("R")) / F.col("s")), last))
         return F.explode(F.sequence(lo.cast("long"), hi.cast("long")))
 
     q = q.withColumn("cx", span("ux")).withColumn("cy", span("uy")).drop("s")
-    below = q.join(tree, ["lv", "cx", "cy", *bs]).drop("lv", "cx", "cy")
-    up = q.filter(F.col("lv") < top).withColumn("llv", F.explode(F.sequence(F.col("lv") + 1, F.lit(top))))
-    up = up.withColumns({"lcx": F.expr("shiftright(cx, llv - lv)"), "lcy": F.expr("shiftright(cy, llv - lv)")}).drop("lv", "cx", "cy").distinct()
-    above = up.join(leaves, ["llv", "lcx", "lcy", *bs])
+    t = q.join(tree, ["lv", "kind", "cx", "cy", *bs])
     side = F.pow(F.lit(2.0), F.col("llv")) * s0
 
     def gap(u, c):
@@ -135,10 +137,10 @@ def _touched(que, ref, gs, bs, top, s0):
 
     near = F.hypot(gap("ux", "lcx"), gap("uy", "lcy")) <= F.col("R")
     other = (F.col("llv") != F.col("olv")) | (F.col("lcx") != F.col("ocx")) | (F.col("lcy") != F.col("ocy"))
-    t = below.unionByName(above.select(*below.columns)).filter(near & other)
+    t = t.filter(near & other)
     if gs:
         t = t.filter(F.col("only").isNull() | (F.col("only") != F.col("g")))
-    return t.drop("only", "ux", "uy", "olv", "ocx", "ocy").distinct()
+    return t.drop("only", "ux", "uy", "olv", "ocx", "ocy", "lv", "kind", "cx", "cy")
 
 
 def knn(q: DataFrame, r: DataFrame, k: int, *, qid: str = "id", rid: str = "id", x: str = "x", y: str = "y", cols=(), exclude: str | None = None, by: str | None = None, tie: int = 3, name: str = "nbrs") -> DataFrame:
@@ -189,7 +191,12 @@ def knn(q: DataFrame, r: DataFrame, k: int, *, qid: str = "id", rid: str = "id",
         return out.withColumns({"lcx": F.expr("shiftright(fx, llv)"), "lcy": F.expr("shiftright(fy, llv)")})
 
     leaf = ["llv", "lcx", "lcy", *bs]
-    ref, que = leafed(ref), leafed(que)
+    # both tables are read three times from here on, so they are stored once
+    ref = cut(leafed(ref))
+    if q is r:
+        que = ref.select(F.col("rx").alias("qx"), F.col("ry").alias("qy"), "fx", "fy", *gs, *leaf).distinct()
+    else:
+        que = cut(leafed(que))
     qk = ["qx", "qy", *bs, *gs]
     take = dict(rcoords=["rx", "ry"], qid="qx", rid="nb", exclude="g" if g else None, tie=tie, qcols=tuple(qk[1:]), rcols=tuple(cols))
     first = cut(top_k(que, ref, leaf, ["qx", "qy"], kk, **take))
@@ -202,14 +209,12 @@ def knn(q: DataFrame, r: DataFrame, k: int, *, qid: str = "id", rid: str = "id",
     open_ = q2.filter(out_of_leaf)
     if not lost.isEmpty():
         open_ = open_.unionByName(_far_corner(lost.drop("R"), ref, gs, bs, kk, top, top - min(top, depth(n_ref, kk)), s0, tie).select(*open_.columns))
-    cand = first
-    if not open_.isEmpty():
-        hits = cut(_touched(open_.select(*qk, "ux", "uy", "R", *leaf[:3]), ref, gs, bs, top, s0))
-        # leaves asked by very many queries are split; their references go to every part
-        parts = hits.groupBy(*leaf).agg(F.ceil(F.count(F.lit(1)) / (4.0 * cap)).cast("int").alias("parts"))
-        salted = hits.join(parts, leaf).withColumn("salt", F.pmod(F.xxhash64(*qk), F.col("parts")).cast("int"))
-        refs = ref.join(parts, leaf).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        cand = first.unionByName(top_k(salted, refs, [*leaf, "salt"], ["qx", "qy"], kk, radius="R", **take))
+    hits = cut(_touched(open_.select(*qk, "ux", "uy", "R", *leaf[:3]), ref, gs, bs, top, s0))
+    # leaves asked by very many queries are split; their references go to every part
+    parts = hits.groupBy(*leaf).agg(F.ceil(F.count(F.lit(1)) / (4.0 * cap)).cast("int").alias("parts"))
+    salted = hits.join(parts, leaf).withColumn("salt", F.pmod(F.xxhash64(*qk), F.col("parts")).cast("int"))
+    refs = ref.join(parts, leaf).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cand = first.unionByName(top_k(salted, refs, [*leaf, "salt"], ["qx", "qy"], kk, radius="R", **take))
     wq = Window.partitionBy(*qk).orderBy("d", "nb")
     best = cand.withColumn("rank", F.row_number().over(wq)).filter(F.col("rank") <= kk)
     # at most k + 1 entries per position
@@ -229,7 +234,9 @@ def knn(q: DataFrame, r: DataFrame, k: int, *, qid: str = "id", rid: str = "id",
 
 def knn_rows(q, r, k, *, qid="id", **kw) -> DataFrame:
     """One row per neighbour: (query id, rank from 1, nb, d, *cols)."""
-    a = knn(q.select(*dict.fromkeys([qid, kw.get("x", "x"), kw.get("y", "y"), *([kw["exclude"]] if kw.get("exclude") not in (None, "self") else []), *([kw["by"]] if kw.get("by") else [])])), r, k, qid=qid, **kw)
+    need = [qid, kw.get("x", "x"), kw.get("y", "y"), *[kw[o] for o in ("exclude", "by") if kw.get(o) not in (None, "self")]]
+    slim = q.select(*dict.fromkeys([*need, *(kw.get("cols", ()) if q is r else ())]))
+    a = knn(slim, slim if q is r else r, k, qid=qid, **kw)
     e = a.select(qid, F.posexplode("nbrs").alias("__p", "__s"))
     return e.select(qid, (F.col("__p") + 1).alias("rank"), F.col("__s.nb").alias("nb"), F.col("__s.d").alias("d"), *[F.col(f"__s.{c}").alias(c) for c in kw.get("cols", ())])
 
