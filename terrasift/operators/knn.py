@@ -4,7 +4,7 @@ Plan, without an index or a nested-loop join:
 
 1. Reference rows at one exact position are cut to the few lowest ids that could ever be wanted, and queries at one
    position are answered once. A placeholder position with a third of all rows is then a handful of rows.
-2. A pyramid of cell counts cuts the plane into leaves of at most a few thousand positions, small where the data is
+2. A pyramid of cell counts cuts the plane into leaves of at most a few thousand references, small where the data is
    dense and large where it is sparse; levels finer than the average density are only built where cells are full.
 3. Queries meet the references of their own leaf, as NumPy blocks inside the tasks. The k-th distance found there
    bounds the search: only queries whose circle leaves their leaf visit the other leaves it touches. Where the own
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from terrasift.operators.blockwise import top_k
 from terrasift.session import cut
 
-LEAF = 2000  # positions per leaf
+LEAF = 2000  # reference positions per leaf
 
 
 def _finite(df, x, y):
@@ -33,14 +33,14 @@ def _finite(df, x, y):
 
 
 def _bounds(q, r, x, y):
-    """(x low, y low, extent, reference rows, query rows) in one pass over the two coordinate columns."""
+    """(x low, y low, extent, reference rows) in one pass over the two coordinate columns."""
     both = r.select(x, y, F.lit(1).alias("__r"))
     if q is not r:
         both = both.unionByName(q.select(x, y, F.lit(0).alias("__r")))
-    row = both.agg(F.min(x), F.min(y), F.max(x), F.max(y), F.sum("__r"), F.count("__r")).first()
+    row = both.agg(F.min(x), F.min(y), F.max(x), F.max(y), F.sum("__r")).first()
     if row[0] is None:
-        return 0.0, 0.0, 1.0, 0, 0
-    return row[0], row[1], max(row[2] - row[0], row[3] - row[1], 1e-6) * 1.001, row[4] or 0, row[5] - (row[4] or 0)
+        return 0.0, 0.0, 1.0, 0
+    return row[0], row[1], max(row[2] - row[0], row[3] - row[1], 1e-6) * 1.001, row[4] or 0
 
 
 def _levels(ref, que, gs, bs, kk, top, mid):
@@ -156,16 +156,15 @@ def knn(q: DataFrame, r: DataFrame, k: int, *, qid: str = "id", rid: str = "id",
     keyed = [*([F.col(by).alias("b")] if by else []), *([F.col(g).alias("g")] if g else [])]
     q_in = _finite(q, x, y)
     r_in = _finite(r, x, y)
-    x0, y0, extent, n_ref, n_q = _bounds(q_in if q is not r else r_in, r_in, x, y)
+    x0, y0, extent, n_ref = _bounds(q_in if q is not r else r_in, r_in, x, y)
 
     cap = max(LEAF, 20 * kk)
-    n_all = n_ref if q is r else n_ref + n_q
 
     def depth(n, per):
         return max(1, math.ceil(math.log(max(n, 4) / per, 4)) + 1) if n > per else 1
 
     # levels: 0 finest ... top (one cell)
-    top = min(28, depth(n_all, kk) + 8)
+    top = min(28, depth(n_ref, kk) + 8)
     s0 = extent / 2**top
 
     def fine(df, a, b):
@@ -176,10 +175,11 @@ def knn(q: DataFrame, r: DataFrame, k: int, *, qid: str = "id", rid: str = "id",
     ref = fine(ref.withColumn("__i", F.row_number().over(w)).filter(F.col("__i") <= kk).drop("__i"), "rx", "ry")
     que = fine(q_in.select(F.col(x).alias("qx"), F.col(y).alias("qy"), *keyed).distinct(), "qx", "qy")
 
-    # leaves: one level below the smallest cell with more than cap positions, queries and references together
-    mid = top - min(top, depth(n_all, cap))
-    spots = ref.select("fx", "fy", *bs) if q is r else ref.select("fx", "fy", *bs).unionByName(que.select("fx", "fy", *bs))
-    coarse, deep = _levels(spots, spots.distinct(), [], bs, cap + 1, top, mid)
+    # leaves: one level below the smallest cell with more than cap references; queries follow the same cells
+    mid = top - min(top, depth(n_ref, cap))
+    spots = ref.select("fx", "fy", *bs)
+    cells = spots if q is r else spots.unionByName(que.select("fx", "fy", *bs))
+    coarse, deep = _levels(spots, cells.distinct(), [], bs, cap + 1, top, mid)
 
     def leafed(df):
         out = df.withColumns({"qcx": F.expr(f"shiftright(fx, {mid})"), "qcy": F.expr(f"shiftright(fy, {mid})")})
@@ -199,7 +199,17 @@ def knn(q: DataFrame, r: DataFrame, k: int, *, qid: str = "id", rid: str = "id",
         que = cut(leafed(que))
     qk = ["qx", "qy", *bs, *gs]
     take = dict(rcoords=["rx", "ry"], qid="qx", rid="nb", exclude="g" if g else None, tie=tie, qcols=tuple(qk[1:]), rcols=tuple(cols))
-    first = cut(top_k(que, ref, leaf, ["qx", "qy"], kk, **take))
+
+
+    def split(qs):
+        """Leaves asked by very many queries are split; their references go to every part."""
+        parts = qs.groupBy(*leaf).agg(F.ceil(F.count(F.lit(1)) / (4.0 * cap)).cast("int").alias("parts"))
+        salted = qs.join(parts, leaf).withColumn("salt", F.pmod(F.xxhash64(*qk), F.col("parts")).cast("int"))
+        return salted, ref.join(parts, leaf).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+
+    # in a self-join a leaf has no more queries than references
+    ask, have, keys = (que, ref, leaf) if q is r else (*split(que), [*leaf, "salt"])
+    first = cut(top_k(ask, have, keys, ["qx", "qy"], kk, **take))
     found = first.groupBy(*qk).agg(F.count(F.lit(1)).alias("c"), F.max("d").alias("R"))
     q2 = que.join(found.filter(F.col("c") >= kk).drop("c"), qk, "left").withColumns({"ux": F.col("qx") - x0, "uy": F.col("qy") - y0})
     side = F.pow(F.lit(2.0), F.col("llv")) * s0
@@ -210,10 +220,7 @@ def knn(q: DataFrame, r: DataFrame, k: int, *, qid: str = "id", rid: str = "id",
     if not lost.isEmpty():
         open_ = open_.unionByName(_far_corner(lost.drop("R"), ref, gs, bs, kk, top, top - min(top, depth(n_ref, kk)), s0, tie).select(*open_.columns))
     hits = cut(_touched(open_.select(*qk, "ux", "uy", "R", *leaf[:3]), ref, gs, bs, top, s0))
-    # leaves asked by very many queries are split; their references go to every part
-    parts = hits.groupBy(*leaf).agg(F.ceil(F.count(F.lit(1)) / (4.0 * cap)).cast("int").alias("parts"))
-    salted = hits.join(parts, leaf).withColumn("salt", F.pmod(F.xxhash64(*qk), F.col("parts")).cast("int"))
-    refs = ref.join(parts, leaf).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    salted, refs = split(hits)
     cand = first.unionByName(top_k(salted, refs, [*leaf, "salt"], ["qx", "qy"], kk, radius="R", **take))
     wq = Window.partitionBy(*qk).orderBy("d", "nb")
     best = cand.withColumn("rank", F.row_number().over(wq)).filter(F.col("rank") <= kk)
