@@ -143,6 +143,44 @@ def _touched(que, ref, gs, bs, top, s0):
     return t.drop("only", "ux", "uy", "olv", "ocx", "ocy", "lv", "kind", "cx", "cy")
 
 
+def _two_pass(same, ref, que, meet, split, take, bs, gs, qk, leaf, kk, cap, top, s0, origin, n_ref, depth, tie):
+    """Candidates from the own leaf and from every other leaf the bounding circle touches."""
+    # leaves: one level below the smallest cell with more than cap references; queries follow the same cells
+    mid = top - min(top, depth(n_ref, cap))
+    spots = ref.select("fx", "fy", *bs)
+    cells = spots if same else spots.unionByName(que.select("fx", "fy", *bs))
+    coarse, deep = _levels(spots, cells.distinct(), [], bs, cap + 1, top, mid)
+
+    def leafed(df):
+        out = df.withColumns({"qcx": F.expr(f"shiftright(fx, {mid})"), "qcy": F.expr(f"shiftright(fy, {mid})")})
+        out = out.join(coarse, ["qcx", "qcy", *bs], "left").drop("qcx", "qcy")
+        if deep is not None:
+            d = deep.withColumnsRenamed({"lv": "__dlv", "qcx": "fx", "qcy": "fy"})
+            out = out.join(d, ["fx", "fy", *bs], "left").withColumn("lv", F.coalesce("__dlv", "lv")).drop("__dlv")
+        out = out.withColumn("llv", F.greatest(F.coalesce(F.col("lv") - 1, F.lit(top)), F.lit(0))).drop("lv")
+        return out.withColumns({"lcx": F.expr("shiftright(fx, llv)"), "lcy": F.expr("shiftright(fy, llv)")})
+
+    # both tables are read three times from here on, so they are stored once
+    ref = cut(leafed(ref))
+    if same:
+        que = ref.select(F.col("rx").alias("qx"), F.col("ry").alias("qy"), "fx", "fy", *gs, *leaf).distinct()
+    else:
+        que = cut(leafed(que))
+    first = cut(meet(que, ref))
+    found = first.groupBy(*qk).agg(F.count(F.lit(1)).alias("c"), F.max("d").alias("R"))
+    q2 = que.join(found.filter(F.col("c") >= kk).drop("c"), qk, "left").withColumns({"ux": F.col("qx") - origin[0], "uy": F.col("qy") - origin[1]})
+    side = F.pow(F.lit(2.0), F.col("llv")) * s0
+    q2 = q2.withColumns({"R": F.col("R") + 10.0**-tie, "x1": F.col("lcx") * side, "y1": F.col("lcy") * side, "w": side})
+    out_of_leaf = (F.col("ux") - F.col("R") < F.col("x1")) | (F.col("ux") + F.col("R") >= F.col("x1") + F.col("w")) | (F.col("uy") - F.col("R") < F.col("y1")) | (F.col("uy") + F.col("R") >= F.col("y1") + F.col("w"))
+    lost = q2.filter(F.col("R").isNull())
+    open_ = q2.filter(out_of_leaf)
+    if not lost.isEmpty():
+        open_ = open_.unionByName(_far_corner(lost.drop("R"), ref, gs, bs, kk, top, top - min(top, depth(n_ref, kk)), s0, tie).select(*open_.columns))
+    hits = cut(_touched(open_.select(*qk, "ux", "uy", "R", *leaf[:3]), ref, gs, bs, top, s0))
+    salted, refs = split(hits, ref)
+    return first.unionByName(top_k(salted, refs, [*leaf, "salt"], ["qx", "qy"], kk, radius="R", **take))
+
+
 def knn(q: DataFrame, r: DataFrame, k: int, *, qid: str = "id", rid: str = "id", x: str = "x", y: str = "y", cols=(), exclude: str | None = None, by: str | None = None, tie: int = 3, name: str = "nbrs") -> DataFrame:
     """Rows of q with an array of their k nearest rows of r, nearest first: struct(nb id, d, *cols).
 
@@ -175,53 +213,27 @@ def knn(q: DataFrame, r: DataFrame, k: int, *, qid: str = "id", rid: str = "id",
     ref = fine(ref.withColumn("__i", F.row_number().over(w)).filter(F.col("__i") <= kk).drop("__i"), "rx", "ry")
     que = fine(q_in.select(F.col(x).alias("qx"), F.col(y).alias("qy"), *keyed).distinct(), "qx", "qy")
 
-    # leaves: one level below the smallest cell with more than cap references; queries follow the same cells
-    mid = top - min(top, depth(n_ref, cap))
-    spots = ref.select("fx", "fy", *bs)
-    cells = spots if q is r else spots.unionByName(que.select("fx", "fy", *bs))
-    coarse, deep = _levels(spots, cells.distinct(), [], bs, cap + 1, top, mid)
-
-    def leafed(df):
-        out = df.withColumns({"qcx": F.expr(f"shiftright(fx, {mid})"), "qcy": F.expr(f"shiftright(fy, {mid})")})
-        out = out.join(coarse, ["qcx", "qcy", *bs], "left").drop("qcx", "qcy")
-        if deep is not None:
-            d = deep.withColumnsRenamed({"lv": "__dlv", "qcx": "fx", "qcy": "fy"})
-            out = out.join(d, ["fx", "fy", *bs], "left").withColumn("lv", F.coalesce("__dlv", "lv")).drop("__dlv")
-        out = out.withColumn("llv", F.greatest(F.coalesce(F.col("lv") - 1, F.lit(top)), F.lit(0))).drop("lv")
-        return out.withColumns({"lcx": F.expr("shiftright(fx, llv)"), "lcy": F.expr("shiftright(fy, llv)")})
-
-    leaf = ["llv", "lcx", "lcy", *bs]
-    # both tables are read three times from here on, so they are stored once
-    ref = cut(leafed(ref))
-    if q is r:
-        que = ref.select(F.col("rx").alias("qx"), F.col("ry").alias("qy"), "fx", "fy", *gs, *leaf).distinct()
-    else:
-        que = cut(leafed(que))
     qk = ["qx", "qy", *bs, *gs]
+    leaf = ["llv", "lcx", "lcy", *bs]
     take = dict(rcoords=["rx", "ry"], qid="qx", rid="nb", exclude="g" if g else None, tie=tie, qcols=tuple(qk[1:]), rcols=tuple(cols))
 
-
-    def split(qs):
+    def split(qs, refs):
         """Leaves asked by very many queries are split; their references go to every part."""
         parts = qs.groupBy(*leaf).agg(F.ceil(F.count(F.lit(1)) / (4.0 * cap)).cast("int").alias("parts"))
         salted = qs.join(parts, leaf).withColumn("salt", F.pmod(F.xxhash64(*qk), F.col("parts")).cast("int"))
-        return salted, ref.join(parts, leaf).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        return salted, refs.join(parts, leaf).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
 
-    # in a self-join a leaf has no more queries than references
-    ask, have, keys = (que, ref, leaf) if q is r else (*split(que), [*leaf, "salt"])
-    first = cut(top_k(ask, have, keys, ["qx", "qy"], kk, **take))
-    found = first.groupBy(*qk).agg(F.count(F.lit(1)).alias("c"), F.max("d").alias("R"))
-    q2 = que.join(found.filter(F.col("c") >= kk).drop("c"), qk, "left").withColumns({"ux": F.col("qx") - x0, "uy": F.col("qy") - y0})
-    side = F.pow(F.lit(2.0), F.col("llv")) * s0
-    q2 = q2.withColumns({"R": F.col("R") + 10.0**-tie, "x1": F.col("lcx") * side, "y1": F.col("lcy") * side, "w": side})
-    out_of_leaf = (F.col("ux") - F.col("R") < F.col("x1")) | (F.col("ux") + F.col("R") >= F.col("x1") + F.col("w")) | (F.col("uy") - F.col("R") < F.col("y1")) | (F.col("uy") + F.col("R") >= F.col("y1") + F.col("w"))
-    lost = q2.filter(F.col("R").isNull())
-    open_ = q2.filter(out_of_leaf)
-    if not lost.isEmpty():
-        open_ = open_.unionByName(_far_corner(lost.drop("R"), ref, gs, bs, kk, top, top - min(top, depth(n_ref, kk)), s0, tie).select(*open_.columns))
-    hits = cut(_touched(open_.select(*qk, "ux", "uy", "R", *leaf[:3]), ref, gs, bs, top, s0))
-    salted, refs = split(hits)
-    cand = first.unionByName(top_k(salted, refs, [*leaf, "salt"], ["qx", "qy"], kk, radius="R", **take))
+    def meet(qs, refs):
+        # in a self-join a leaf has no more queries than references
+        ask, have, keys = (qs, refs, leaf) if q is r else (*split(qs, refs), [*leaf, "salt"])
+        return top_k(ask, have, keys, ["qx", "qy"], kk, **take)
+
+    if n_ref <= cap:
+        # all references fit in one leaf: one pass is the answer
+        one = {"llv": F.lit(top), "lcx": F.lit(0).cast("long"), "lcy": F.lit(0).cast("long")}
+        cand = meet(que.withColumns(one), ref.withColumns(one))
+    else:
+        cand = _two_pass(q is r, ref, que, meet, split, take, bs, gs, qk, leaf, kk, cap, top, s0, (x0, y0), n_ref, depth, tie)
     wq = Window.partitionBy(*qk).orderBy("d", "nb")
     best = cand.withColumn("rank", F.row_number().over(wq)).filter(F.col("rank") <= kk)
     # at most k + 1 entries per position
