@@ -235,13 +235,13 @@ Q["d22_climate_at_nearest_node"] = (d22, oracle("""SELECT id, round(a, 6) AS ppt
 
 
 def d23(s, d):
-    g = view(s, d, "grid").filter("tile = 0").select("r", "col", F.col("value").alias("at_pixel"))
-    p = view(s, d, "points").withColumns({"col": geo.pixel_index("lon", 72.6, 0.083, 100), "r": geo.pixel_index("lat", 15.6, 0.065, 100)})
-    return p.join(g, ["r", "col"]).select("id", "at_pixel")
+    g = view(s, d, "grid").select("tile", "r", "col", F.col("value").alias("at_pixel"))
+    p = view(s, d, "points").select("id", geo.cell("id", 1e4).cast("long").alias("tile"), geo.pixel_index("lon", 72.6, 0.083, 100).alias("col"), geo.pixel_index("lat", 15.6, 0.065, 100).alias("r"))
+    return p.join(g, ["tile", "r", "col"]).select("id", "at_pixel")
 
 
 _COL, _ROW = ["CAST(greatest(0, least(99, floor(({} - {})/{}))) AS BIGINT)".format(*a) for a in (("lon", "72.6e0", "83e-3"), ("lat", "15.6e0", "65e-3"))]
-Q["d23_pixel_at_point"] = (d23, oracle(f"SELECT p.id, g.value AS at_pixel FROM (SELECT id, {_COL} AS c, {_ROW} AS w FROM points) p JOIN grid g ON g.tile = 0 AND g.col = p.c AND g.r = p.w", "points", "grid"))
+Q["d23_pixel_at_point"] = (d23, oracle(f"SELECT p.id, g.value AS at_pixel FROM (SELECT id, {_COL} AS c, {_ROW} AS w FROM points) p JOIN grid g ON g.tile = CAST(floor(p.id/1e4) AS BIGINT) AND g.col = p.c AND g.r = p.w", "points", "grid"))
 
 
 # pixels as positions: 100 x 100 cells of about 8.8 km x 7.2 km per tile, tiles side by side

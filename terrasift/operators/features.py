@@ -19,8 +19,8 @@ def standardise(df: DataFrame, cols) -> DataFrame:
 def feature_knn(q: DataFrame, r: DataFrame, feats, k: int, *, id="id", cols=(), exclude: str | None = None, bucket: int = 2000, tie: int = 6) -> DataFrame:
     """(query id, nb, d, *cols): the k nearest rows of r in feature space whose ``exclude`` value differs.
 
-    Rows are cut into buckets by their distance to one pivot (the mean vector). A first pass inside the own bucket and
-    its neighbours bounds the k-th distance; by the triangle inequality only buckets whose pivot distances lie within
+    Rows are cut into buckets by their distance to one pivot (the mean vector). A first pass inside the own bucket
+    bounds the k-th distance; by the triangle inequality only buckets whose pivot distances lie within
     that bound can hold anything nearer, and the second pass visits exactly those. Identical vectors are folded to k
     ids per exclude value, and a bucket never holds more than its share of rows or queries in one task.
     """
@@ -31,7 +31,7 @@ def feature_knn(q: DataFrame, r: DataFrame, feats, k: int, *, id="id", cols=(),
     ref = r.select(F.col(id).alias("nb"), *feats, *g, *cols)
     ref = ref.withColumn("__i", F.row_number().over(Window.partitionBy(*feats, *g).orderBy("nb"))).filter(F.col("__i") <= k).drop("__i").withColumn("__p", pd_)
     n = ref.count()
-    parts = max(1, math.ceil(n / bucket))
+    parts = min(4096, max(1, math.ceil(n / bucket)))
     # split points of the pivot distance: one sketch value per bucket
     probes = [i / parts for i in range(1, parts)]
     cuts = ref.agg(F.percentile_approx("__p", F.array(*[F.lit(x) for x in probes]), 10000)).first()[0] if probes else []
@@ -42,7 +42,6 @@ def feature_knn(q: DataFrame, r: DataFrame, feats, k: int, *, id="id", cols=(),
         return F.size(F.filter(arr, lambda c: c <= v))
 
     ref = ref.withColumn("__b", bucket_of(F.col("__p")))
-    spans = ref.groupBy("__b").agg(F.min("__p").alias("lo"), F.max("__p").alias("hi"))
     que = q.select(id, *feats, *g).withColumn("__p", pd_).withColumn("__b", bucket_of(F.col("__p")))
     salts = max(1, math.ceil(que.count() / max(1, len(cuts) + 1) / (2 * bucket)))
     que = que.withColumn("__s", F.pmod(F.xxhash64(id), F.lit(salts)).cast("int"))
@@ -50,9 +49,10 @@ def feature_knn(q: DataFrame, r: DataFrame, feats, k: int, *, id="id", cols=(),
     first = top_k(que, ref, ["__b", "__s"], feats, k, qid=id, rid="nb", exclude=exclude, tie=tie)
     bound = first.groupBy(id).agg(F.count(F.lit(1)).alias("c"), F.max("d").alias("R")).select(id, F.when(F.col("c") >= k, F.col("R")).alias("R"))
     more = que.join(bound, id, "left").withColumn("R", F.coalesce("R", F.lit(float("inf"))) + 10.0**-tie)
-    # buckets are one row each
-    hit = more.withColumnRenamed("__b", "__own").join(F.broadcast(spans), (F.col("lo") <= F.col("__p") + F.col("R")) & (F.col("hi") >= F.col("__p") - F.col("R")) & (F.col("__b") != F.col("__own")))
-    second = top_k(hit.drop("__own", "lo", "hi"), ref, ["__b", "__s"], feats, k, qid=id, rid="nb", exclude=exclude, tie=tie, radius="R")
+    # buckets are ordered by pivot distance, so those within the bound are a run of numbers: an equality join again
+    lo, hi = bucket_of(F.col("__p") - F.col("R")), bucket_of(F.col("__p") + F.col("R"))
+    hit = more.withColumnRenamed("__b", "__own").withColumn("__b", F.explode(F.sequence(lo, hi))).filter(F.col("__b") != F.col("__own"))
+    second = top_k(hit.drop("__own"), ref, ["__b", "__s"], feats, k, qid=id, rid="nb", exclude=exclude, tie=tie, radius="R")
     both = first.unionByName(second)
     wk = Window.partitionBy(id).orderBy("d", "nb")
     best = both.withColumn("rank", F.row_number().over(wk)).filter(F.col("rank") <= k)

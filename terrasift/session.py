@@ -1,4 +1,4 @@
-"""Session settings, the shared scratch folder, and measured-size helpers."""
+"""Session settings and the shared scratch folder."""
 
 from __future__ import annotations
 
@@ -9,9 +9,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# A side is broadcast only when its measured row count is at most this.
-BROADCAST_ROWS = 200_000
-
 
 def build(app: str = "terrasift", master: str | None = None, **conf: str) -> SparkSession:
     """Session with the settings every plan here relies on (UTC, AQE, skew joins)."""
@@ -24,6 +21,7 @@ def build(app: str = "terrasift", master: str | None = None, **conf: str) -> Spa
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.parquet.filterPushdown": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **conf,
     }
     for k, v in settings.items():
@@ -60,15 +58,3 @@ def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: lineage ends in the shared folder, so lost executors are harmless."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def at_most(df: DataFrame, n: int) -> bool:
-    """True when df has at most n rows; reads no more than n + 1 of them."""
-    return df.limit(n + 1).count() <= n
-
-
-def small(df: DataFrame, n: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast when the side's size is checked to be small, else leave the join to Catalyst."""
-    from pyspark.sql import functions as F
-
-    return F.broadcast(df) if at_most(df, n) else df
