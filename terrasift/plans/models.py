@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrasift.session import cut
+
 
 def scale_target(df: DataFrame, y: str, train: Column) -> DataFrame:
     """z = (log1p(y) - mean) / population sd, both from the training rows; mean and sd stay on the row."""
@@ -67,7 +69,7 @@ def idw(df: DataFrame, y: str, k: int, fold: str, weight=None, *, pred: str = "p
     """Inverse-distance mean of log1p(y) over the k nearest rows of other folds."""
     from terrasift.operators import knn
 
-    d = df.withColumn("__ly", F.log1p(y))
+    d = cut(df.withColumn("__ly", F.log1p(y)))  # folds are dealt once, then read by each step of the join
     a = knn.knn(d, d, k, cols=["__ly"], exclude=fold, qid=id, rid=id, x=x, y=y_)
     return a.withColumn(pred, F.expm1(knn.weighted_mean("nbrs", "__ly", weight or knn.inverse(30.0)))).drop("nbrs", "__ly")
 
