@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import io
+import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,7 +29,30 @@ def build(app: str = "terrasift", master: str | None = None, **conf: str) -> Spa
     }
     for k, v in settings.items():
         b = b.config(k, v)
-    return b.getOrCreate()
+    return ship(b.getOrCreate())
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors, once per context, so that tasks can import it from any working directory."""
+    from pyarrow import fs
+
+    sc = spark.sparkContext
+    if not getattr(sc, "_terrasift_shipped", False):
+        root = os.path.dirname(os.path.abspath(__file__))
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+            for d, _, names in sorted(os.walk(root)):
+                for n in sorted(names):
+                    if n.endswith(".py"):
+                        z.write(os.path.join(d, n), os.path.relpath(os.path.join(d, n), os.path.dirname(root)))
+        out = f"{scratch(spark, 'terrasift')}.zip"
+        store, path = fs.FileSystem.from_uri(out if ":" in out.split("/")[0] else os.path.abspath(out))
+        store.create_dir(os.path.dirname(path), recursive=True)
+        with store.open_output_stream(path) as f:
+            f.write(held.getvalue())
+        sc.addPyFile(out)
+        sc._terrasift_shipped = True
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
