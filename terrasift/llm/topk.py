@@ -9,6 +9,8 @@ is copied to a group only where it meets them, and the group is solved locally,
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 
 from terrasift.session import cut
 
+RESULT = "query_id long, rank int, vec_id long, score long"
 SLACK = 1e-6  # relative, far above the rounding of the bounds
 
 
@@ -30,14 +33,14 @@ def quantised(df: DataFrame, id: str = "vec_id", vector: str = "embedding", scal
 
 def _matrix(column) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(column), -1)
 
 
 def scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Exact inner products of integer rows: by doubles while they are exact, else by Python integers; a score beyond a long raises."""
     top = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(1, q.shape[1])
     if top < 2.0**53:
-        return (q @ x.T).astype(np.int64)
+        return (q.astype(np.float64) @ x.T.astype(np.float64)).astype(np.int64)
     return (q.astype(object) @ x.astype(object).T).astype(np.int64)
 
 
@@ -61,18 +64,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, *, pivots: int =
     vectors = cut(vectors)
     lengths = [r[0] for r in vectors.select(F.size("v").alias("n")).distinct().collect()]
     parts = [_one_length(vectors.filter(F.size("v") == n), queries.filter(F.size("v") == n), k, pivots, groups, probe, group_rows, part_rows) for n in sorted(lengths)]
-    empty = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    out = empty
-    for p in parts:
-        out = out.unionByName(p)
-    return out
+    return reduce(DataFrame.unionByName, parts, vectors.sparkSession.createDataFrame([], RESULT))
 
 
 def _one_length(data: DataFrame, queries: DataFrame, k: int, pivots: int, groups: int, probe: int, group_rows: int, part_rows: int) -> DataFrame:
     rows = data.orderBy(F.xxhash64("vec_id"), "vec_id").limit(probe).collect()
     pid = np.array([r.vec_id for r in rows], np.int64)
-    px = np.array([r.v for r in rows], np.float64).reshape(len(rows), -1)
-    centre = np.unique(px[: 4 * pivots], axis=0)[:: max(1, len(np.unique(px[: 4 * pivots], axis=0)) // pivots)][:pivots]
+    px = np.array([r.v for r in rows], np.int64).reshape(len(rows), -1)
+    centre = np.unique(px[: 4 * pivots], axis=0).astype(np.float64)
+    centre = centre[:: max(1, len(centre) // pivots)][:pivots]
     few = min(groups, len(centre))
     half = (centre**2).sum(1) / 2
 
@@ -81,7 +81,7 @@ def _one_length(data: DataFrame, queries: DataFrame, k: int, pivots: int, groups
             if not b.num_rows:
                 continue
             ids, q = b.column("vec_id").to_numpy(), _matrix(b.column("v"))
-            s, norm = scores(q, px), np.sqrt((q**2).sum(1))
+            s, norm = scores(q, px), np.sqrt((q.astype(np.float64) ** 2).sum(1))
             floor = np.array([-np.inf if (s_ok := np.sort(s[i][pid != ids[i]])).size < k else s_ok[-k] for i in range(len(q))], np.float64)
             floor -= SLACK * (1 + np.abs(floor))
             with np.errstate(divide="ignore", invalid="ignore"):
@@ -93,6 +93,8 @@ def _one_length(data: DataFrame, queries: DataFrame, k: int, pivots: int, groups
 
     q = cut(queries.mapInArrow(group_queries, "vec_id long, v array<long>, g int, bounds array<double>"))
     bounds = q.groupBy("g").agg(F.count(F.lit(1)).alias("n"), *[F.min(F.col("bounds")[i]).alias(f"b{i}") for i in range(len(centre) + 1)]).collect()
+    if not bounds:
+        return data.sparkSession.createDataFrame([], RESULT)
     table = {r.g: np.array(r[2:], np.float64) for r in bounds}
     blocks = {r.g: -(-r.n // group_rows) for r in bounds}
     total = data.count()
@@ -102,12 +104,12 @@ def _one_length(data: DataFrame, queries: DataFrame, k: int, pivots: int, groups
 
     def deal(batches):
         for b in batches:
-            if not b.num_rows or not names:
+            if not b.num_rows:
                 continue
             x = _matrix(b.column("v"))
             cell = np.argmax(x @ centre.T - half, axis=1)
             far = np.sqrt(((x - centre[cell]) ** 2).sum(1)) * (1 + SLACK) + SLACK
-            norm = np.sqrt((x**2).sum(1)) * (1 + SLACK) + SLACK
+            norm = np.sqrt((x.astype(np.float64) ** 2).sum(1)) * (1 + SLACK) + SLACK
             for i, g in enumerate(names):
                 at = pa.array(np.flatnonzero((far >= need[i][cell]) & (norm >= need[i][-1])))
                 if len(at):
@@ -120,7 +122,7 @@ def _one_length(data: DataFrame, queries: DataFrame, k: int, pivots: int, groups
     right = sent.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
 
     def solve(key, lq, lx):
-        ids, x = lx.column("vec_id").to_numpy(), _matrix(lx.column("v")) if lx.num_rows else np.zeros((0, px.shape[1]))
+        ids, x = lx.column("vec_id").to_numpy(), _matrix(lx.column("v")) if lx.num_rows else np.zeros((0, px.shape[1]), np.int64)
         out: list[tuple] = []
         own, m = lq.column("vec_id").to_numpy(), _matrix(lq.column("v")) if lq.num_rows else None
         for at in range(0, len(own) if len(ids) else 0, 64):
