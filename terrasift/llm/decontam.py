@@ -138,10 +138,10 @@ def summary(annotated: DataFrame) -> DataFrame:
         "n_items": F.size("__items").cast("long"), "items_sha256": F.sha2(F.array_join("__items", ",").cast("binary"), 256), "contaminated": F.col("n_hit") > 0}).drop("__items")
 
 
-def clean(docs: DataFrame, items: DataFrame, *, most: float = 0.0, **kw) -> DataFrame:
-    """The documents with at most the share ``most`` of their words inside windows; columns as they came."""
-    names = docs.columns
-    return summary(annotate(docs, items, **kw)).filter(F.col("n_hit") <= most * F.col("n_words")).select(*names)
+def clean(docs: DataFrame, items: DataFrame, *, most: float = 0.0, text: str = "text", **kw) -> DataFrame:
+    """The documents with at most the share ``most`` of their words inside windows; columns as they came, whatever their names."""
+    held = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"))
+    return summary(annotate(held, items, **kw)).filter(F.col("n_hit") <= most * F.col("n_words")).select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -152,7 +152,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, target: str = "quality", bound: i
 
 
 def score(docs: DataFrame, model: Model, *, text: str = "text", cut_at: float = 0.3) -> DataFrame:
-    """Add score (0 to 1) and predicted (score >= cut_at). Null and empty texts are scored as documents without words."""
+    """Add score (0 to 1) and predicted (score >= cut_at), in place of columns of these names.
+
+    Null and empty texts are scored as documents without words.
+    """
+    docs = docs.drop("score", "predicted")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at, names = docs.columns.index(text), docs.columns
 
@@ -165,6 +169,18 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", cut_at: float =
     return docs.mapInArrow(work, extended(docs, "score double, predicted int"))
 
 
+def keep(docs: DataFrame, model: Model, *, text: str = "text", cut_at: float = 0.3) -> DataFrame:
+    """The rows whose score reaches ``cut_at``; columns as they came, whatever their names."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
+
+    def work(batches):
+        m = shared.value
+        for b in batches:
+            yield b.filter(pa.array(m.net.score(pooled(utf8(b.column(at)), m.vectors)) >= cut_at))
+
+    return docs.mapInArrow(work, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, **kw) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of ``docs``; columns named so in ``docs`` are not read."""
     rows = docs.select("doc_id", "text")

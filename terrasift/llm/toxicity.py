@@ -207,10 +207,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, target: str = "toxic", bound: int
 
 
 def score(docs: DataFrame, index: Index, *, text: str = "text", k: int = 15, cut_at: float = 0.5) -> DataFrame:
-    """Add score, predicted (score >= cut_at) and evidence (the nearest examples: id, label, cosine).
+    """Add score, predicted (score >= cut_at) and evidence (the nearest examples: id, label, cosine), in place of such columns.
 
     A text without any of the index's terms (null and empty texts too) has no neighbours: its score is the calibrated prior.
     """
+    docs = docs.drop("score", "predicted", "evidence")
     shared = docs.sparkSession.sparkContext.broadcast(index)
     at, names = docs.columns.index(text), docs.columns
     kind = pa.list_(pa.struct([("id", pa.string()), ("label", pa.int32()), ("cosine", pa.float64())]))
@@ -230,6 +231,20 @@ def score(docs: DataFrame, index: Index, *, text: str = "text", k: int = 15, cut
     return docs.mapInArrow(work, extended(docs, "score double, predicted int, evidence array<struct<id:string,label:int,cosine:double>>"))
 
 
+def keep(docs: DataFrame, index: Index, *, text: str = "text", k: int = 15, cut_at: float = 0.5) -> DataFrame:
+    """The rows whose score is below ``cut_at``; columns as they came, whatever their names."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(index), docs.columns.index(text)
+
+    def work(batches):
+        ix = shared.value
+        bare = ix.probability(ix.vote(np.zeros(0, np.int64), np.zeros(0)))
+        for b in batches:
+            p = [ix.probability(ix.vote(*ix.nearest(t, weights(t, n, ix.idf), k))) if len(t) else bare for t, n in counted(utf8(b.column(at)), ix.voc)]
+            yield b.filter(pa.array(np.array(p, np.float64) < cut_at))
+
+    return docs.mapInArrow(work, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, **kw) -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence) of every row of ``docs``."""
     rows = docs.select("doc_id", "text")
