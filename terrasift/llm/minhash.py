@@ -1,7 +1,7 @@
 """MinHash near-duplicates: universal hash minima in bands, sketches, exact confirmation on full sets, connected components.
 
 Exact copies are folded to one class first, so only different texts meet in a band. In every band bucket each class is paired
-with the least class alone (a star), never with all others. Stars are confirmed on the full shingle sets; only buckets whose
+with the bucket's hub alone (a star), never with all others. Stars are confirmed on the full shingle sets; only buckets whose
 classes are still in different components afterwards are paired across components. So no link that could join two components
 is left out, and no pairs are built inside a component.
 """
@@ -20,11 +20,15 @@ from terrasift.llm.graph import components
 from terrasift.session import cut
 
 BANDS, ROWS = 32, 5  # a pair of similarity 0.8 shares no band with probability 3e-6
-#: A sketch has two bits of each of 128 minima. At similarity 0.8, 230.4 of the 256 are equal in the mean, with a deviation of
-#: 5.8: fewer than 196 are six deviations off.
-SKETCH, SKETCH_LEAST = 256, 196
+#: A sketch has four bits of each minimum. At similarity 0.8, 130 of the 160 are equal in the mean with a deviation of 4.9, so
+#: 55 that differ are five deviations off.
+SKETCH_LONGS, SKETCH_DIFFER = BANDS * ROWS // 16, 55
+#: Classes that are still apart in a bucket get one bit of each of 2048 further minima: at 0.8, 1843 bits are equal in the mean
+#: with a deviation of 13.6, so 273 that differ are five deviations off.
+FINE, FINE_DIFFER = 2048, 273
 #: Everything but ASCII white space makes words.
 WORDS = class_table(lambda b: 0 if b == 32 or 9 <= b <= 13 else 1)
+SMALL = 100_000  # classes of 24 bytes that may be broadcast; more are joined by a shuffle
 _SEEDS = mix(np.arange(1, 2 * (BANDS * ROWS) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _A, _B = _SEEDS[: BANDS * ROWS] | np.uint64(1), _SEEDS[BANDS * ROWS :]
 
@@ -41,7 +45,7 @@ def shingles(h: np.ndarray, size: int) -> np.ndarray:
 
 
 def signature(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(band keys, sketch as four longs) of a shingle set."""
+    """(band keys, sketch as ten longs) of a shingle set."""
     x = s >> np.uint64(32)
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(x), 512):
@@ -57,10 +61,22 @@ def signature(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sketch(least: np.ndarray) -> np.ndarray:
-    """Two hashed bits of each of the first 128 minima."""
-    b = mix(least[: SKETCH // 2] + np.uint64(77))
-    bits = np.concatenate([b & np.uint64(1), (b >> np.uint64(1)) & np.uint64(1)]).astype(np.uint64).reshape(4, 64)
-    return (bits << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64).view(np.int64)
+    four = (mix(least + np.uint64(77)) & np.uint64(15)).reshape(SKETCH_LONGS, 16)
+    return (four << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
+def fine_sketch(s: np.ndarray) -> np.ndarray:
+    """32 longs of single bits of minima, by 32-bit linear permutations of the hashes."""
+    x = (s >> np.uint64(32)).astype(np.uint32)
+    seeds = mix(np.arange(1, 2 * FINE + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)).astype(np.uint32)
+    a, b = seeds[:FINE] | np.uint32(1), seeds[FINE:]
+    least = np.full(FINE, np.iinfo(np.uint32).max, np.uint32)
+    for at in range(0, len(x), 128):
+        v = x[at : at + 128, None] * a
+        v += b
+        np.minimum(least, v.min(axis=0), out=least)
+    bit = (mix(least.astype(np.uint64) + (a.astype(np.uint64) << np.uint64(32))) & np.uint64(1)).reshape(FINE // 64, 64)
+    return (bit << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
 def sets(texts: list[bytes], size: int):
@@ -89,32 +105,50 @@ def signatures(docs: DataFrame, size: int, text: str, id: str) -> DataFrame:
     return docs.select(F.col(id).cast("long").alias("doc_id"), text).mapInArrow(work, "doc_id long, cls binary, n long, bands array<long>, sketch array<long>")
 
 
+def _finely_alike(a: str, b: str):
+    differ = (F.bit_count(F.col(f"{a}.fine")[i].bitwiseXOR(F.col(f"{b}.fine")[i])) for i in range(FINE // 64))
+    return (5 * F.least(f"{a}.n", f"{b}.n") >= 4 * F.greatest(f"{a}.n", f"{b}.n")) & (sum(differ, F.lit(0)) <= FINE_DIFFER)
+
+
 def _alike(a: str, b: str):
     """Pairs that can reach the similarity: sizes near enough and, by the sketches, most minima equal."""
-    bits = sum((F.bit_count(F.col(f"{a}.sketch")[i].bitwiseXOR(F.col(f"{b}.sketch")[i])) for i in range(4)), F.lit(0))
-    return (5 * F.least(f"{a}.n", f"{b}.n") >= 4 * F.greatest(f"{a}.n", f"{b}.n")) & (bits <= SKETCH - SKETCH_LEAST)
 
+    def differ(i):
+        x = F.col(f"{a}.sketch")[i].bitwiseXOR(F.col(f"{b}.sketch")[i])
+        for shift in (1, 2):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
+        return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+
+    return (5 * F.least(f"{a}.n", f"{b}.n") >= 4 * F.greatest(f"{a}.n", f"{b}.n")) & (sum((differ(i) for i in range(SKETCH_LONGS)), F.lit(0)) <= SKETCH_DIFFER)
 
-class _Confirm:
-    """Exact similarity of pairs of classes, from the full sets of the classes' representatives."""
+
+class _Sets:
+    """Full shingle sets of classes, from the texts of their representatives, and what follows from them."""
 
     def __init__(self, docs: DataFrame, classes: DataFrame, size: int, text: str, id: str, percent: int):
         self.docs, self.classes, self.size, self.text, self.id, self.percent = docs, classes, size, text, id, percent
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (u, v) with 100 * intersection >= percent * union."""
+    def of(self, cls: DataFrame, made, name: str) -> DataFrame:
+        """(cls, name array<long>): ``made`` of the shingle set of each class."""
         size = self.size
 
         def work(batches):
             for b in batches:
-                want, got = b.column(1).to_pylist(), list(sets(utf8(b.column(2)), size))
+                want, got = b.column(0).to_pylist(), list(sets(utf8(b.column(1)), size))
                 at = [i for i, (c, _) in enumerate(got) if c == want[i]]
-                yield pa.record_batch({"cls": pa.array([want[i] for i in at], pa.binary()), "items": pa.array([got[i][1].view(np.int64) for i in at], pa.list_(pa.int64()))})
+                yield pa.record_batch({"cls": pa.array([want[i] for i in at], pa.binary()), name: pa.array([made(got[i][1]) for i in at], pa.list_(pa.int64()))})
 
-        need = pairs.select("u").union(pairs.select("v")).distinct().withColumnRenamed("u", "cls").join(self.classes.select("cls", "doc_id"), "cls")
+        need = cut(cls.distinct().join(self.classes.select("cls", "doc_id"), "cls"))
+        if need.count() <= SMALL:
+            need = F.broadcast(need)
         text = self.docs.select(F.col(self.id).cast("long").alias("__id"), F.col(self.text).alias("text"))
-        rows = text.join(need, F.col("__id").eqNullSafe(F.col("doc_id"))).select("doc_id", "cls", "text")
-        full = cut(rows.mapInArrow(work, "cls binary, items array<long>").dropDuplicates(["cls"]))
+        rows = text.join(need, F.col("__id").eqNullSafe(F.col("doc_id"))).select("cls", "text")
+        return cut(rows.mapInArrow(work, f"cls binary, {name} array<long>").dropDuplicates(["cls"]))
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (u, v) with 100 * intersection >= percent * union."""
+        pairs = cut(pairs)
+        full = self.of(pairs.select(F.col("u").alias("cls")).union(pairs.select("v")), lambda s: s.view(np.int64), "items")
         both = pairs.join(full.select(F.col("cls").alias("u"), F.col("items").alias("a")), "u").join(full.select(F.col("cls").alias("v"), F.col("items").alias("b")), "v")
         same = both.select("u", "v", F.size(F.array_intersect("a", "b")).alias("i"), (F.size("a") + F.size("b")).alias("t"))
         return same.filter(100 * F.col("i") >= self.percent * (F.col("t") - F.col("i"))).select("u", "v")
@@ -130,44 +164,54 @@ def groups(docs: DataFrame, *, size: int = 5, percent: int = 80, text: str = "te
     sig = cut(signatures(docs, size, text, id))
     classes = cut(sig.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
     keyed = classes.select("cls", F.explode("bands").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("cls").alias("least"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    shared = cut(keyed.join(buckets, "key").select("key", "cls", "c"))
     facts = classes.select("cls", "n", "sketch")
-    shared = cut(keyed.join(buckets, "key").select("key", "cls", "least"))
-
-    def near(pairs: DataFrame) -> DataFrame:
-        a, b = facts.alias("a"), facts.alias("b")
-        return pairs.join(a, F.col("u") == F.col("a.cls")).join(b, F.col("v") == F.col("b.cls")).filter(_alike("a", "b")).select("u", "v")
-
-    confirm = _Confirm(docs, classes, size, text, id, percent)
-    star = cut(near(shared.filter("cls <> least").select(F.col("least").alias("u"), F.col("cls").alias("v")).distinct()))
-    first = star.groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
+    star = _stars(shared, facts)
+    tested = star.select("u", "v").distinct()
+    first = star.groupBy("cls").agg(F.max(F.struct("w", "u", "v")).alias("p")).select("p.u", "p.v").distinct()
+    confirm = _Sets(docs, classes, size, text, id, percent)
     edges = cut(confirm.links(first))
     comp = cut(components(edges))
     # the other stars, and then pairs across what is still apart in a bucket
-    rest = star.join(first, ["u", "v"], "left_anti")
-    edges = cut(edges.union(confirm.links(_apart(rest, comp))))
+    edges = cut(edges.union(confirm.links(_apart(tested.join(first, ["u", "v"], "left_anti"), comp))))
     comp = cut(components(edges))
-    edges = cut(edges.union(confirm.links(_across(shared, comp, facts, star))))
-    comp = components(edges)
-    return _labelled(sig, classes, comp)
+    edges = cut(edges.union(confirm.links(_across(shared, comp, facts, tested, confirm))))
+    return _labelled(sig, classes, components(edges))
+
+
+def _stars(shared: DataFrame, facts: DataFrame) -> DataFrame:
+    """(cls, u, v, w): each class paired, in each of its buckets, with the bucket's hub, as far as the pair can be alike.
+
+    The hub is the class with the fullest buckets overall (w), so of a text and its edited copies the text they came from.
+    """
+    weight = shared.groupBy("cls").agg(F.sum("c").alias("w"))
+    member = cut(shared.join(weight, "cls").select("key", "cls", "w"))
+    hub = member.groupBy("key").agg(F.max(F.struct("w", "cls")).alias("h")).select("key", F.col("h.w").alias("w"), F.col("h.cls").alias("hub"))
+    pairs = member.drop("w").join(hub, "key").filter("cls <> hub").select("cls", "hub", "w").distinct()
+    a, b = facts.alias("a"), facts.alias("b")
+    near = pairs.withColumnRenamed("cls", "own").join(a, F.col("own") == F.col("a.cls")).join(b, F.col("hub") == F.col("b.cls"))
+    return cut(near.filter(_alike("a", "b")).select(F.col("own").alias("cls"), F.least("own", "hub").alias("u"), F.greatest("own", "hub").alias("v"), "w"))
 
 
 def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     """The pairs whose ends are in different components."""
     ru, rv = comp.select(F.col("node").alias("u"), F.col("root").alias("ru")), comp.select(F.col("node").alias("v"), F.col("root").alias("rv"))
     j = pairs.join(ru, "u", "left").join(rv, "v", "left")
-    return cut(j.filter(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v"))
+    return j.filter(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v")
 
 
-def _across(shared: DataFrame, comp: DataFrame, facts: DataFrame, tested: DataFrame) -> DataFrame:
-    """Untested pairs of classes that share a bucket and are in different components."""
+def _across(shared: DataFrame, comp: DataFrame, facts: DataFrame, tested: DataFrame, full: _Sets) -> DataFrame:
+    """Untested pairs of classes that share a bucket, are in different components and are alike by their fine sketches."""
     member = shared.join(comp.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     mixed = member.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("c")).filter("lo <> hi AND c > 2").select("key")
-    m = cut(member.join(mixed, "key").join(facts, "cls").select("key", "cls", "root", "n", "sketch"))
+    m = cut(member.join(mixed, "key").select("key", "cls", "root"))
+    fine = full.of(m.select("cls"), fine_sketch, "fine").join(facts.select("cls", "n"), "cls")
+    m = cut(m.join(fine, "cls"))
     a, b = m.alias("a"), m.alias("b")
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.cls") < F.col("b.cls")) & (F.col("a.root") != F.col("b.root")) & _alike("a", "b"))
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.cls") < F.col("b.cls")) & (F.col("a.root") != F.col("b.root")) & _finely_alike("a", "b"))
     pairs = pairs.select(F.col("a.cls").alias("u"), F.col("b.cls").alias("v")).distinct()
-    return cut(pairs.join(tested, ["u", "v"], "left_anti"))
+    return pairs.join(tested, ["u", "v"], "left_anti")
 
 
 def _labelled(sig: DataFrame, classes: DataFrame, comp: DataFrame) -> DataFrame:
