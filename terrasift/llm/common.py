@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -149,3 +150,9 @@ def task_sums(df: DataFrame, count: Callable[[list[pa.RecordBatch]], np.ndarray]
 def extended(df: DataFrame, ddl: str) -> T.StructType:
     """The schema of ``df`` with more columns behind."""
     return T.StructType([*df.schema.fields, *T.StructType.fromDDL(ddl).fields])
+
+
+def free(spark) -> None:
+    """Let Spark's cleaner drop the shuffles of finished steps: it acts when the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrasift.llm.common import class_table, hashed_words, lower, mix, utf8
+from terrasift.llm.common import class_table, free, hashed_words, lower, mix, utf8
 from terrasift.llm.graph import components
 from terrasift.session import cut
 
@@ -110,6 +110,11 @@ def _finely_alike(a: str, b: str):
     return (5 * F.least(f"{a}.n", f"{b}.n") >= 4 * F.greatest(f"{a}.n", f"{b}.n")) & (sum(differ, F.lit(0)) <= FINE_DIFFER)
 
 
+def _first_common(a: str, b: str):
+    """The bucket in hand is the least of the pair's common ones, so that each pair is made once."""
+    return F.array_min(F.array_intersect(f"{a}.bands", f"{b}.bands")) == F.col(f"{a}.key")
+
+
 def _alike(a: str, b: str):
     """Pairs that can reach the similarity: sizes near enough and, by the sketches, most minima equal."""
 
@@ -171,13 +176,23 @@ def groups(docs: DataFrame, *, size: int = 5, percent: int = 80, text: str = "te
     tested = star.select("u", "v").distinct()
     first = star.groupBy("cls").agg(F.max(F.struct("w", "u", "v")).alias("p")).select("p.u", "p.v").distinct()
     confirm = _Sets(docs, classes, size, text, id, percent)
-    edges = cut(confirm.links(first))
-    comp = cut(components(edges))
+    comp = cut(components(confirm.links(first)))
+    free(docs.sparkSession)
     # the other stars, and then pairs across what is still apart in a bucket
-    edges = cut(edges.union(confirm.links(_apart(tested.join(first, ["u", "v"], "left_anti"), comp))))
-    comp = cut(components(edges))
-    edges = cut(edges.union(confirm.links(_across(shared, comp, facts, tested, confirm))))
-    return _labelled(sig, classes, components(edges))
+    comp = _joined(comp, confirm.links(_apart(tested.join(first, ["u", "v"], "left_anti"), comp)))
+    free(docs.sparkSession)
+    comp = _joined(comp, confirm.links(_across(shared, comp, facts, tested, confirm)))
+    return _labelled(sig, classes, comp)
+
+
+def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after more links: those between the roots are enough, and nothing is done if there are none."""
+    more = cut(_rooted(links, comp).filter("ru <> rv").select(F.col("ru").alias("u"), F.col("rv").alias("v")).distinct())
+    if more.isEmpty():
+        return comp
+    top = cut(components(more)).withColumnsRenamed({"node": "old", "root": "new"})
+    old = comp.unionByName(top.select(F.col("old").alias("node"), F.col("old").alias("root"))).distinct()
+    return cut(old.join(top, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root")))
 
 
 def _stars(shared: DataFrame, facts: DataFrame) -> DataFrame:
@@ -196,9 +211,13 @@ def _stars(shared: DataFrame, facts: DataFrame) -> DataFrame:
 
 def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     """The pairs whose ends are in different components."""
+    return _rooted(pairs, comp).filter("ru <> rv").select("u", "v")
+
+
+def _rooted(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """The pairs with the roots of both ends; a class in no component is its own root."""
     ru, rv = comp.select(F.col("node").alias("u"), F.col("root").alias("ru")), comp.select(F.col("node").alias("v"), F.col("root").alias("rv"))
-    j = pairs.join(ru, "u", "left").join(rv, "v", "left")
-    return j.filter(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v")
+    return pairs.join(ru, "u", "left").join(rv, "v", "left").select("u", "v", F.coalesce("ru", "u").alias("ru"), F.coalesce("rv", "v").alias("rv"))
 
 
 def _across(shared: DataFrame, comp: DataFrame, facts: DataFrame, tested: DataFrame, full: _Sets) -> DataFrame:
@@ -206,11 +225,11 @@ def _across(shared: DataFrame, comp: DataFrame, facts: DataFrame, tested: DataFr
     member = shared.join(comp.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     mixed = member.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("c")).filter("lo <> hi AND c > 2").select("key")
     m = cut(member.join(mixed, "key").select("key", "cls", "root"))
-    fine = full.of(m.select("cls"), fine_sketch, "fine").join(facts.select("cls", "n"), "cls")
+    fine = full.of(m.select("cls"), fine_sketch, "fine").join(full.classes.select("cls", "n", "bands"), "cls")
     m = cut(m.join(fine, "cls"))
     a, b = m.alias("a"), m.alias("b")
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.cls") < F.col("b.cls")) & (F.col("a.root") != F.col("b.root")) & _finely_alike("a", "b"))
-    pairs = pairs.select(F.col("a.cls").alias("u"), F.col("b.cls").alias("v")).distinct()
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.cls") < F.col("b.cls")) & (F.col("a.root") != F.col("b.root")) & _finely_alike("a", "b") & _first_common("a", "b"))
+    pairs = pairs.select(F.col("a.cls").alias("u"), F.col("b.cls").alias("v"))
     return pairs.join(tested, ["u", "v"], "left_anti")
 
 
