@@ -1,7 +1,8 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, distance-weighted votes.
 
-The index holds a bounded sample of labelled documents. Its terms are the words whose presence tells the classes apart in
-that sample (a G-test far above what chance gives for so many words); document frequencies are counted over all documents.
+The index holds a bounded sample of labelled documents. Its terms are the words that in the sample are far more frequent among
+toxic documents (odds ratio and a G-test far above what chance gives for so many words), so that a neighbour shares what a label
+is about and not the language or length; document frequencies are counted over all documents.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from terrasift.llm.common import chunks, class_table, extended, hashed_words, he
 #: Letters, digits and bytes of other characters, after A-Z are lower-cased.
 WORDS = class_table(lambda b: 1 if 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 else 0)
 BLOCK = 64
+ODDS = 4.0
 
 
 def terms(texts: list[bytes]):
@@ -57,7 +59,7 @@ def g_test(a, n1, b, n0):
 
 
 def vocabulary(sample: DataFrame, most: int) -> np.ndarray:
-    """Hashes of at most ``most`` words whose G exceeds 2 ln(number of words), the strongest first."""
+    """Hashes of at most ``most`` words with odds of class 1 at least ODDS times the others' and G above 2 ln(number of words)."""
 
     def work(batches):
         for b in batches:
@@ -75,7 +77,9 @@ def vocabulary(sample: DataFrame, most: int) -> np.ndarray:
     per = sample.select("text", "y").mapInArrow(work, "h long, y int").groupBy("h").agg(F.count_if(F.col("y") == 1).cast("double").alias("a"), F.count_if(F.col("y") != 1).cast("double").alias("b"))
     per = per.cache()
     words = per.count()
-    strong = per.withColumn("g", g_test(F.col("a"), F.lit(float(n1)), F.col("b"), F.lit(float(n0)))).filter(F.col("g") > 2 * float(np.log(max(words, 2)))).orderBy(F.desc("g"), "h").limit(most)
+    odds = (F.col("a") + 0.5) * (n0 + 0.5 - F.col("b")) >= ODDS * (F.col("b") + 0.5) * (n1 + 0.5 - F.col("a"))
+    strong = per.filter(odds).withColumn("g", g_test(F.col("a"), F.lit(float(n1)), F.col("b"), F.lit(float(n0))))
+    strong = strong.filter(F.col("g") > 2 * float(np.log(max(words, 2)))).orderBy(F.desc("g"), "h").limit(most)
     found = np.sort(np.array([r.h for r in strong.select("h").collect()], np.int64))
     per.unpersist()
     return found
@@ -147,8 +151,10 @@ class Index:
             for t, q in zip(term, w, strict=True):
                 a, b = self.first[t, block], self.first[t, block + 1]
                 s[self.example[a:b] - block * BLOCK] += q * self.weight[a:b]
-            at = np.flatnonzero(s > 0)
+            at = np.flatnonzero(s > 0 if len(found) < k else s >= cosine[k - 1])
             at = at[at + block * BLOCK != skip]
+            if not len(at):
+                continue
             found, cosine = np.concatenate([found, at + block * BLOCK]), np.concatenate([cosine, s[at]])
             keep = np.lexsort((found, -cosine))[:k]
             found, cosine = found[keep], cosine[keep]
