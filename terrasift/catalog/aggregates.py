@@ -43,7 +43,7 @@ Q["e05_multi_aggregate"] = (e05, oracle(f"SELECT region, {N} AS samples, round(a
 
 TYPES = ["click", "error", "purchase", "signup", "view"]
 Q["e06_crosstab_margins"] = (lambda s, d: agg.crosstab(view(s, d, "points"), "region", "event_type", TYPES), oracle(
-    "SELECT coalesce(CAST(region AS VARCHAR), 'All') AS region, " + ", ".join(f"{cnt(chr(39).join(['event_type = ', t, '']))} AS \"{t}\"" for t in TYPES) + f", {N} AS \"All\" FROM points GROUP BY ROLLUP (region)", "points"))
+    "SELECT coalesce(CAST(region AS VARCHAR), 'All') AS region, " + ", ".join(f"{cnt(chr(39).join(['event_type = ', t, '']))} AS \"{t}\"" for t in TYPES) + f", CAST(0 AS BIGINT) AS other, {N} AS \"All\" FROM points GROUP BY ROLLUP (region)", "points"))
 
 
 def e07(s, d):
@@ -54,11 +54,11 @@ Q["e07_pivot_mean"] = (e07, oracle("SELECT region, " + ", ".join(f"round(avg(n)
 
 
 def e08(s, d):
-    long = agg.melt(view(s, d, "windows").select("tile", "id", *BANDS[:4]), ["tile", "id"], BANDS[:4], "band", "dn")
-    return agg.pivot(long, ["tile"], "band", BANDS[:4], F.max("dn"))
+    long = agg.melt(view(s, d, "windows").select("tile", "id", *BANDS), ["tile", "id"], BANDS, "band", "dn")
+    return agg.pivot(long, ["tile"], "band", BANDS, F.max("dn"))
 
 
-Q["e08_long_to_wide"] = (e08, oracle("SELECT tile, " + ", ".join(f"max({b}) AS {b}" for b in BANDS[:4]) + " FROM windows GROUP BY 1", "windows"))
+Q["e08_long_to_wide"] = (e08, oracle("SELECT tile, " + ", ".join(f"max({b}) AS {b}" for b in BANDS) + " FROM windows GROUP BY 1", "windows"))
 
 
 def e09(s, d):
@@ -246,7 +246,7 @@ def rated(s, d):
 
 _C = f"(SELECT region, CASE WHEN n < 280 THEN 0 WHEN n <= 560 THEN 1 ELSE 2 END AS y, CASE WHEN yhat < 280 THEN 0 WHEN yhat <= 560 THEN 1 ELSE 2 END AS c FROM {_P})"
 Q["e41_confusion_matrix"] = (lambda s, d: metric.confusion(rated(s, d), ["region"], "y", "c", [0, 1, 2]), oracle(
-    f"SELECT region, y, {cnt('c = 0')} AS \"0\", {cnt('c = 1')} AS \"1\", {cnt('c = 2')} AS \"2\" FROM {_C} GROUP BY 1, 2", "points"))
+    f"SELECT region, y, {cnt('c = 0')} AS \"0\", {cnt('c = 1')} AS \"1\", {cnt('c = 2')} AS \"2\", CAST(0 AS BIGINT) AS other FROM {_C} GROUP BY 1, 2", "points"))
 _REC = [f"count(*) FILTER (y = {c} AND c = {c})/nullif(count(*) FILTER (y = {c}), 0)" for c in range(3)]
 _F1 = [f"CASE WHEN count(*) FILTER (y = {c}) > 0 THEN 2*count(*) FILTER (y = {c} AND c = {c})/(count(*) FILTER (y = {c}) + count(*) FILTER (c = {c})) END" for c in range(3)]
 Q["e42_class_scores"] = (lambda s, d: rnd(metric.classes(rated(s, d), ["region"], "y", "c"), ["accuracy", "balanced_accuracy", "macro_f1", "recall_0", "recall_1", "recall_2"]), oracle(

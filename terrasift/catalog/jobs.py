@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 
 from terrasift.catalog.aggregates import rnd
-from terrasift.catalog.designs import HELD, blocked
-from terrasift.catalog.joining import DIST, T, folded, pts
+from terrasift.catalog.designs import HELD, blocked, test_sql, u
+from terrasift.catalog.joining import BLK10, DIST, T, fold_sql, folded, pts, top
+from terrasift.catalog.places import blk
 from terrasift.functions import feat
 from terrasift.operators import cluster, features, links, sampling
 from terrasift.plans import designs, learn, models
@@ -93,7 +94,7 @@ def k17(s, d):
 
 
 Q["k17_tuning_on_training_blocks"] = (k17, None)
-Q["k18_two_stage"] = (lambda s, d: learn.two_stage(folded(s, d), rf(), IN, Y, "did", "fold", 5), None)
+Q["k18_two_stage"] = (lambda s, d: learn.two_stage(folded(s, d), model(rf(), y="__r", log=False), Y, "did", "fold", 5), None)
 
 
 def k19(s, d):
@@ -127,7 +128,7 @@ def k21(s, d):
 Q["k21_regression_kriging_and_hybrid"] = (k21, None)
 Q["k22_region_wise"] = (lambda s, d: learn.region_wise(folded(s, d), model(), "ridge", "region", REGIONS, Y, "fold", 5), None)
 Q["k23_region_vs_state"] = (lambda s, d: learn.region_vs_state(folded(s, d), model(), "region", REGIONS, Y, "fold", 5), None)
-Q["k24_inflation"] = (lambda s, d: learn.inflation(pts(s, d), model(), Y, (10, 50)), None)
+Q["k24_inflation"] = (lambda s, d: learn.inflation(pts(s, d), model(), Y, (10, 25, 50, 100)), None)
 
 
 def k25(s, d):
@@ -141,7 +142,8 @@ Q["k25_clustered_vs_declustered"] = (k25, None)
 
 
 def k26(s, d):
-    return learn.ablation(folded(s, d), ridge(), {"soil": ["ph", "ec"], "+ nutrients": ["ph", "ec", "oc", "p"], "+ place": IN, "place only": ["lon", "lat"]}, Y, "fold", 5)
+    sets = {"soil": ["ph", "ec"], "+ nutrients": ["ph", "ec", "oc", "p"], "+ place": IN, "place only": ["lon", "lat"]}
+    return learn.ablation(folded(s, d), lambda f: model(feats=f), sets | learn.without_each({"soil": ["ph", "ec"], "nutrients": ["oc", "p"], "place": ["lon", "lat"]}), Y, "fold", 5)
 
 
 Q["k26_input_ablation"] = (k26, None)
@@ -160,9 +162,153 @@ Q["k28_distance_curve"] = (k28, oracle(f"""WITH {T}, {_H30}, te AS (SELECT b.*,
  k AS (SELECT kid, r, unnest(l) AS z FROM (SELECT a.id AS kid, v.r AS r, min(struct_pack(d := round({DIST}, 3), nb := b.id, v := ln(1 + b.n)), 10) AS l FROM (VALUES {', '.join(f'({r})' for r in RAD)}) v(r), te a JOIN nd b ON a.held = b.held WHERE b.bd > v.r GROUP BY 1, 2)),
  pr AS (SELECT kid, r, exp(sum(z.v/greatest(z.d, 30))/sum(1/greatest(z.d, 30))) - 1 AS yhat FROM k GROUP BY 1, 2)
  SELECT r*1e0 AS radius_m, CAST(count(*) AS BIGINT) AS n_test, CAST(count(DISTINCT held) AS BIGINT) AS blocks, round(1 - sum(pow(n - yhat, 2))/nullif(var_pop(n)*count(n), 0), 5) AS r2 FROM pr JOIN te ON te.id = kid GROUP BY r HAVING count(*) >= 100""", "points"))
-Q["k29_seed_repeats"] = (lambda s, d: learn.seed_repeats(pts(s, d), model(), Y, seeds=(42, 7, 13)), None)
-Q["k30_reverse_position"] = (lambda s, d: learn.reverse_position(folded(s, d), ridge(), {"soil": ["ph", "ec"], "nutrients": ["n", "p", "k"]}, "fold", 5), None)
-Q["k31_sensor_noise"] = (lambda s, d: learn.noise(folded(s, d), ridge(), IN, Y, "fold", 5), None)
+Q["k29_seed_repeats"] = (lambda s, d: learn.seed_repeats(pts(s, d), model(), Y), None)
+Q["k30_reverse_position"] = (lambda s, d: learn.reverse_position(folded(s, d), lambda f, c: model(feats=f, y=c, log=False), {"soil": ["ph", "ec"], "nutrients": ["n", "p", "k"]}, "fold", 5), None)
+Q["k31_sensor_noise"] = (lambda s, d: learn.noise(folded(s, d), lambda f: model(feats=f), IN, Y, "fold", 5), None)
 Q["k32_importance"] = (lambda s, d: learn.importance(pts(s, d), rf(), IN, Y), None)
 Q["k33_model_comparison"] = (lambda s, d: learn.model_comparison(folded(s, d), {"ridge": model(), "tree": model(learn.tree()), "forest": model(rf()), "boosted": model(gb())}, Y, "fold", 5), None)
 Q["k34_transfer_to_unseen_groups"] = (lambda s, d: learn.transfer(pts(s, d), ridge(), ["ph", "ec", "oc"], Y, {"district": ("did", 3)}), None)
+
+
+# ---- the same jobs on closed-form models, with exact DuckDB text
+def scored_sql(keys, rel):
+    """Score columns of learn.score over a relation with n and yhat."""
+    rm = "sqrt(avg(pow(yhat - n, 2)))"
+    return f"""SELECT {keys}, CAST(count(n) AS BIGINT) AS n, round(1 - sum(pow(n - yhat, 2))/nullif(var_pop(n)*count(n), 0), 5) AS r2, round({rm}, 4) AS rmse, round(avg(abs(yhat - n)), 4) AS mae, round(avg(yhat - n), 4) AS bias,
+ round((quantile_cont(n, 0.75) - quantile_cont(n, 0.25))/{rm}, 5) AS rpiq, round(stddev_samp(n)/{rm}, 5) AS rpd, round(avg(abs(yhat - n)/((abs(n) + abs(yhat))/2)), 5) AS smape FROM ({rel}) GROUP BY ALL"""
+
+
+def score5(df):
+    return rnd(rnd(df, ["r2", "rpiq", "rpd", "smape"], 5), ["rmse", "mae", "bias"], 4)
+
+
+def fitted_sql(x, src="f", keys=(), log=True, test="fold"):
+    """Every row of src with yhat from the line through the rows of the other folds (of the same keys)."""
+    t, same = ("ln(1 + c.n)" if log else "c.n"), "".join(f" AND c.{k} = o.{k}" for k in keys)
+    k = "".join(f", o.{c}" for c in keys)
+    y = "a.c0 + a.c1*u.{}".format(x)
+    return f"""SELECT u.*, {f'exp({y}) - 1' if log else y} AS yhat FROM {src} u JOIN (SELECT o.{test}{k}, regr_slope({t}, c.{x}) AS c1, regr_intercept({t}, c.{x}) AS c0
+ FROM (SELECT DISTINCT {', '.join([test, *keys])} FROM {src}) o JOIN {src} c ON c.{test} <> o.{test}{same} GROUP BY ALL) a USING ({', '.join([test, *keys])})"""
+
+
+FOLDED = f"WITH {T}, {fold_sql(BLK10)}"
+R2 = "round(1 - sum(pow(n - yhat, 2))/nullif(var_pop(n)*count(n), 0), 5)"
+by_line = learn.line
+
+
+def on(km=10, seed=42):
+    return f"WITH {T}, {fold_sql(blk(km, 'x', 'y'), seed=seed)}"
+
+
+Q["k13_line_per_input"] = (lambda s, d: score5(learn.score(learn.label_all([({"inputs": c}, learn.out_of_fold(folded(s, d), by_line(c, Y), "fold", 5).select(Y, "pred")) for c in IN]), ["inputs"], Y)),
+                           oracle(FOLDED + " " + " UNION ALL ".join(f"SELECT * FROM ({scored_sql('inputs', f'SELECT {chr(39)}{c}{chr(39)} AS inputs, n, yhat FROM ({fitted_sql(c)})')})" for c in IN), "points"))
+
+
+def k14_line(s, d):
+    return score5(learn.score(learn.holdout(designs.random_holdout(pts(s, d), "id", 0.3, 42), by_line("k", Y, log=False)).withColumn("model", F.lit("line")), ["model"], Y))
+
+
+_H = f"h AS (SELECT *, {test_sql('id', 0.3)} AS is_test FROM t)"
+Q["k14_line_without_log"] = (k14_line, oracle(f"WITH {T}, {_H} " + scored_sql("model", "SELECT 'line' AS model, u.n, a.c0 + a.c1*u.k AS yhat FROM h u, (SELECT regr_slope(n, k) AS c1, regr_intercept(n, k) AS c0 FROM h WHERE is_test = 0) a WHERE is_test = 1"), "points"))
+_GM = """gm AS (SELECT o.fold, c.did, avg(ln(1 + c.n)) AS g FROM (SELECT DISTINCT fold FROM f) o JOIN f c ON c.fold <> o.fold GROUP BY ALL), am AS (SELECT o.fold, avg(ln(1 + c.n)) AS a FROM (SELECT DISTINCT fold FROM f) o JOIN f c ON c.fold <> o.fold GROUP BY ALL)"""
+
+
+def k18_line(s, d):
+    return rnd(learn.two_stage(folded(s, d), by_line("k", "__r", log=False), Y, "did", "fold", 5), ["group_r2", "r2", "within_r2"], 5)
+
+
+Q["k18_two_stage_line"] = (k18_line, oracle(f"""{FOLDED}, {_GM}, rs AS (SELECT o.fold, regr_slope(ln(1 + c.n) - g, c.k) AS c1, regr_intercept(ln(1 + c.n) - g, c.k) AS c0 FROM (SELECT DISTINCT fold FROM f) o JOIN f c ON c.fold <> o.fold JOIN gm ON gm.fold = o.fold AND gm.did = c.did GROUP BY ALL),
+ p AS (SELECT u.n, coalesce(gm.g, am.a) AS b, rs.c0 + rs.c1*u.k AS r FROM f u JOIN am USING (fold) JOIN rs USING (fold) LEFT JOIN gm ON gm.fold = u.fold AND gm.did = u.did)
+ SELECT CAST(count(*) AS BIGINT) AS n, round(1 - sum(pow(n - exp(b) + 1, 2))/(var_pop(n)*count(n)), 5) AS group_r2, round(1 - sum(pow(n - exp(b + r) + 1, 2))/(var_pop(n)*count(n)), 5) AS r2,
+ round(1 - sum(pow(ln(1 + n) - b - r, 2))/(var_pop(ln(1 + n) - b)*count(n)), 5) AS within_r2 FROM p""", "points"))
+
+
+def k19_line(s, d):
+    p = learn.stack(folded(s, d), {"by_group": learn.mean_of("did", Y), "by_line": by_line("k", Y)}, Y, "fold", 5)
+    from terrasift.operators import metric
+
+    return p.agg(F.count("*").alias("n"), *[F.round(metric.r2(Y, c), 5).alias(f"r2_{c}") for c in ("by_group", "by_line", "average", "stacked")])
+
+
+_TWO = "(SELECT a.fold AS f, b.fold AS g FROM (SELECT DISTINCT fold FROM f) a JOIN (SELECT DISTINCT fold FROM f) b ON a.fold <> b.fold)"
+Q["k19_stacking_closed_form"] = (k19_line, oracle(f"""{FOLDED}, {_GM}, ln_ AS (SELECT o.fold, regr_slope(ln(1 + c.n), c.k) AS c1, regr_intercept(ln(1 + c.n), c.k) AS c0 FROM (SELECT DISTINCT fold FROM f) o JOIN f c ON c.fold <> o.fold GROUP BY ALL),
+ w AS (SELECT o.f, o.g, c.did, avg(ln(1 + c.n)) AS m FROM {_TWO} o JOIN f c ON c.fold NOT IN (o.f, o.g) GROUP BY ALL),
+ wa AS (SELECT o.f, o.g, avg(ln(1 + c.n)) AS m, regr_slope(ln(1 + c.n), c.k) AS c1, regr_intercept(ln(1 + c.n), c.k) AS c0 FROM {_TWO} o JOIN f c ON c.fold NOT IN (o.f, o.g) GROUP BY ALL),
+ i AS (SELECT wa.f AS outer_, ln(1 + u.n) AS t, coalesce(w.m, wa.m) AS p, wa.c0 + wa.c1*u.k AS q FROM f u JOIN wa ON wa.g = u.fold LEFT JOIN w ON w.f = wa.f AND w.g = wa.g AND w.did = u.did),
+ s AS (SELECT outer_, avg(p) AS mp, avg(q) AS mq, avg(t) AS mt, var_pop(p) AS pp, var_pop(q) AS qq, covar_pop(p, q) AS pq, covar_pop(p, t) AS pt, covar_pop(q, t) AS qt, min(t) AS lo, max(t) AS hi FROM i GROUP BY 1),
+ x AS (SELECT *, (pt*qq - qt*pq)/(pp*qq - pq*pq) AS wp, (qt*pp - pt*pq)/(pp*qq - pq*pq) AS wq FROM s),
+ z AS (SELECT *, CASE WHEN wp >= 0 AND wq >= 0 THEN wp WHEN wp < 0 AND wq < 0 THEN CASE WHEN pt*pt/pp >= qt*qt/qq THEN greatest(pt/pp, 0) ELSE 0 END WHEN wp < 0 THEN 0 ELSE greatest(pt/pp, 0) END AS up,
+  CASE WHEN wp >= 0 AND wq >= 0 THEN wq WHEN wp < 0 AND wq < 0 THEN CASE WHEN pt*pt/pp >= qt*qt/qq THEN 0 ELSE greatest(qt/qq, 0) END WHEN wq < 0 THEN 0 ELSE greatest(qt/qq, 0) END AS uq FROM x),
+ o AS (SELECT u.n, coalesce(gm.g, am.a) AS p, ln_.c0 + ln_.c1*u.k AS q, z.* FROM f u JOIN am USING (fold) JOIN ln_ USING (fold) JOIN z ON z.outer_ = u.fold LEFT JOIN gm ON gm.fold = u.fold AND gm.did = u.did),
+ e AS (SELECT n, exp(p) - 1 AS by_group, exp(q) - 1 AS by_line, exp(greatest(lo, least(hi, (p + q)/2))) - 1 AS average, exp(greatest(lo, least(hi, mt - up*mp - uq*mq + up*p + uq*q))) - 1 AS stacked FROM o)
+ SELECT CAST(count(*) AS BIGINT) AS n, {', '.join(f"round(1 - sum(pow(n - {c}, 2))/(var_pop(n)*count(n)), 5) AS r2_{c}" for c in ('by_group', 'by_line', 'average', 'stacked'))} FROM e""", "points"))
+
+
+def k20_two(s, d):
+    p = folded(s, d).withColumn("z", F.log1p("n"))
+    m = lambda a, b: learn.kriging(a, b, "z", k=2, model=(0.05, 0.2, 15.0)).withColumn("pred", F.col("kriged"))
+    return rnd(learn.out_of_fold(p, m, "fold", 5, threads=2).select("id", "pred"), ["pred"], 5)
+
+
+_GAM = "(5e-2 + 2e-1*(1 - exp(-({0})/15e0)))"
+Q["k20_kriging_of_two"] = (k20_two, oracle(f"""{FOLDED}, k AS (SELECT id, l[1] AS a, l[2] AS b FROM {top(2, 'a.fold <> b.fold', 'nb := b.id, v := ln(1 + b.n), x := b.x, y := b.y', 'f', 'f')}),
+ r AS (SELECT o.fold, min(ln(1 + c.n)) AS lo, max(ln(1 + c.n)) AS hi FROM (SELECT DISTINCT fold FROM f) o JOIN f c ON c.fold <> o.fold GROUP BY 1),
+ w AS (SELECT k.id, (1 + ({_GAM.format('b.d/1e3')} - {_GAM.format('a.d/1e3')})/{_GAM.format('sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))/1e3')})/2 AS w, a.v AS va, b.v AS vb FROM k)
+ SELECT w.id, round(greatest(lo, least(hi, w*va + (1 - w)*vb)), 5) AS pred FROM w JOIN f ON f.id = w.id JOIN r USING (fold)""", "points"))
+Q["k22_region_wise_line"] = (lambda s, d: score5(learn.region_wise(folded(s, d), by_line("k", Y), "line", "region", REGIONS, Y, "fold", 5)),
+                             oracle(f"{FOLDED} " + scored_sql("region, 'line' AS model", fitted_sql("k", keys=["region"])), "points"))
+Q["k23_region_vs_state_line"] = (lambda s, d: rnd(learn.region_vs_state(folded(s, d), by_line("k", Y), "region", REGIONS, Y, "fold", 5), ["r2_region_model", "r2_state_model"], 5),
+                                 oracle(f"{FOLDED}, own AS ({fitted_sql('k', keys=['region'])}), st AS ({fitted_sql('k')}) SELECT region, CAST(count(*) AS BIGINT) AS n, {R2} AS r2_region_model, round(1 - sum(pow(n - sy, 2))/(var_pop(n)*count(n)), 5) AS r2_state_model FROM (SELECT own.region, own.n, own.yhat, st.yhat AS sy FROM own JOIN st ON own.id = st.id) GROUP BY 1", "points"))
+_RANDOM = f"(SELECT {R2} AS r FROM (SELECT u.n, exp(a.c0 + a.c1*u.k) - 1 AS yhat FROM h u, (SELECT regr_slope(ln(1 + n), k) AS c1, regr_intercept(ln(1 + n), k) AS c0 FROM h WHERE is_test = 0) a WHERE is_test = 1))"
+
+
+def k24_line(s, d):
+    t = learn.inflation(pts(s, d), by_line("k", Y), Y, (10, 25, 50, 100))
+    return rnd(t.drop("inflation"), ["r2_random", "r2_spatial"], 5)
+
+
+Q["k24_inflation_line"] = (k24_line, oracle(f"WITH {T}, {_H} " + " UNION ALL ".join(f"SELECT * FROM (WITH {fold_sql(blk(km, 'x', 'y'))} SELECT {R2} AS r2_spatial, {km} AS block_km, (SELECT r FROM {_RANDOM}) AS r2_random FROM ({fitted_sql('k')}))" for km in (10, 25, 50, 100)), "points"))
+Q["k26_ablation_line"] = (lambda s, d: score5(learn.ablation(folded(s, d), lambda f: by_line(f[0], Y), {c: [c] for c in ("ph", "p", "lat")}, Y, "fold", 5)),
+                          oracle(FOLDED + " " + " UNION ALL ".join(f"SELECT * FROM ({scored_sql('inputs', f'SELECT {chr(39)}{c}{chr(39)} AS inputs, n, yhat FROM ({fitted_sql(c)})')})" for c in ("ph", "p", "lat")), "points"))
+Q["k27_block_size_curve_line"] = (lambda s, d: score5(learn.block_size(pts(s, d), by_line("k", Y), Y)), oracle(f"WITH {T} " + " UNION ALL ".join(
+    f"SELECT * FROM (WITH {fold_sql(blk(km, 'x', 'y'))} {scored_sql(f'{km} AS block_km', fitted_sql('k'))})" for km in (10, 25, 50, 100)), "points"))
+SEEDS = (42, 7, 13, 99, 2024)
+
+
+def _seed_sql(seed):
+    h = f"h AS (SELECT *, {test_sql('id', 0.3, seed)} AS is_test FROM t)"
+    raw = R2.replace("round(", "", 1).replace(", 5)", "")
+    return f"""SELECT * FROM (WITH {h} SELECT 'random 70/30' AS design, {raw} AS r2 FROM (SELECT u.n, exp(a.c0 + a.c1*u.k) - 1 AS yhat FROM h u, (SELECT regr_slope(ln(1 + n), k) AS c1, regr_intercept(ln(1 + n), k) AS c0 FROM h WHERE is_test = 0) a WHERE is_test = 1))
+ UNION ALL SELECT * FROM (WITH {fold_sql(BLK10, seed=seed)} SELECT 'blocks 10 km' AS design, {raw} AS r2 FROM ({fitted_sql('k')}))"""
+
+
+Q["k29_seed_repeats_line"] = (lambda s, d: rnd(learn.seed_repeats(pts(s, d), by_line("k", Y), Y, SEEDS), ["mean", "sd", "min", "max"], 5),
+                              oracle(f"WITH {T} SELECT design, round(avg(r2), 5) AS mean, round(stddev_samp(r2), 5) AS sd, round(min(r2), 5) AS min, round(max(r2), 5) AS max, CAST(count(r2) AS BIGINT) AS runs FROM ({' UNION ALL '.join(map(_seed_sql, SEEDS))}) GROUP BY 1", "points"))
+
+
+def k30_line(s, d):
+    t = learn.reverse_position(folded(s, d), lambda f, c: by_line(f[0], c, log=False), {"ph": ["ph"], "k": ["k"]}, "fold", 5)
+    return rnd(t, ["model_err_p50", "null_err_p50", "ratio"], 3)
+
+
+def _back(x):
+    o = "(SELECT DISTINCT fold FROM f) o JOIN f c ON c.fold <> o.fold GROUP BY 1"
+    return f"""SELECT '{x}' AS inputs, sqrt(pow(a.bx + a.sx*u.{x} - u.x, 2) + pow(a.iy + a.sy*u.{x} - u.y, 2)) AS e, sqrt(pow(a.mx - u.x, 2) + pow(a.my - u.y, 2)) AS z
+ FROM f u JOIN (SELECT o.fold, regr_slope(c.x, c.{x}) AS sx, regr_intercept(c.x, c.{x}) AS bx, regr_slope(c.y, c.{x}) AS sy, regr_intercept(c.y, c.{x}) AS iy, avg(c.x) AS mx, avg(c.y) AS my FROM {o}) a USING (fold)"""
+
+
+Q["k30_reverse_position_line"] = (k30_line, oracle(f"{FOLDED} SELECT inputs, round(median(e), 3) AS model_err_p50, round(median(z), 3) AS null_err_p50, round(median(e)/median(z), 3) AS ratio FROM ({_back('ph')} UNION ALL {_back('k')}) GROUP BY 1", "points"))
+
+
+def k31_line(s, d):
+    t = learn.noise(folded(s, d), lambda f: by_line(f[0], Y), ["ph", "k"], Y, "fold", 5)
+    return score5(t)
+
+
+def _normal(salt):
+    return f"sqrt(ln(greatest({u('u.id', f'42{salt}a')}, 1e-12))*-2e0)*cos({u('u.id', f'42{salt}b')}*6.283185307179586e0)"
+
+
+_PH = "SELECT '{0}' AS inputs, {1}e0 AS ph_sd, {2}e0 AS ec_rel, u.n, exp(a.c0 + a.c1*({3})) - 1 AS yhat FROM f u JOIN (SELECT o.fold, regr_slope(ln(1 + c.n), c.{4}) AS c1, regr_intercept(ln(1 + c.n), c.{4}) AS c0 FROM (SELECT DISTINCT fold FROM f) o JOIN f c ON c.fold <> o.fold GROUP BY 1) a USING (fold)"
+Q["k31_sensor_noise_line"] = (k31_line, oracle(f"{FOLDED} " + scored_sql("inputs, ph_sd, ec_rel", " UNION ALL ".join(
+    [_PH.format("with sensor", sd, rel, f"u.ph + {_normal('p')}*{sd}e0", "ph") for sd, rel in ((0.0, 0.0), (0.15, 0.1), (0.3, 0.2), (0.5, 0.4))] + [_PH.format("without sensor", 0.0, 0.0, "u.k", "k")])), "points"))

@@ -57,11 +57,12 @@ Q["a05_csv_all_text_coerced"] = (a05, oracle("""SELECT CAST(count(*) AS BIGINT)
 
 
 def a06(s, d):
-    return io.profile(view(s, d, "raw")).filter(F.col("column").isin("id", "sid", "did", "date")).select("column", "rows", "nulls")
+    return io.profile(view(s, d, "raw")).select("position", "column", "rows", "nulls")
 
 
 Q["a06_table_profile"] = (a06, oracle(" UNION ALL ".join(
-    f"SELECT '{c}' AS \"column\", CAST(count(*) AS BIGINT) AS rows, CAST(count(*) - count({c}) AS BIGINT) AS nulls FROM raw" for c in ("id", "sid", "did", "date")), "raw"))
+    f"SELECT {i} AS position, '{c}' AS \"column\", CAST(count(*) AS BIGINT) AS rows, CAST(count(*) - count({c}) AS BIGINT) AS nulls FROM raw"
+    for i, c in enumerate(("event_id", "id", "sid", "did", "cycle", "date", "n", "p", "k", "oc", "ph", "ec", "lon", "lat"))), "raw"))
 
 
 def a07(s, d):
@@ -72,10 +73,10 @@ Q["a07_peek_first_rows"] = (a07, "SELECT event_id, event_type, value FROM events
 
 
 def a08(s, d):
-    return io.write_verified(view(s, d, "points").filter("region = 2"), scratch(s, "verified"))
+    return io.write_verified(view(s, d, "points"), scratch(s, "verified"))
 
 
-Q["a08_a09_write_verified"] = (a08, oracle("SELECT CAST(count(*) AS BIGINT) AS rows_written, CAST(count(*) AS BIGINT) AS rows_expected, true AS same_schema FROM points WHERE region = 2", "points"))
+Q["a08_a09_write_verified"] = (a08, oracle("SELECT CAST(count(*) AS BIGINT) AS rows_written, CAST(count(*) AS BIGINT) AS rows_expected, true AS same_schema FROM points", "points"))
 
 
 def a11(s, d):

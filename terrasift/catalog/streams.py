@@ -14,19 +14,22 @@ from terrasift.streaming import incremental as inc
 Q = QUERIES = {}
 
 
-def staged(s, df, cuts):
-    """Write consecutive part files, one per condition, and open them as a stream."""
-    path = scratch(s, "in")
-    for c in cuts:
-        df.filter(c).coalesce(1).write.mode("append").parquet(path)
-    return inc.source(s, path, df.schema)
+def fed(s, job, *inputs):
+    """Write the inputs' steps (frame, conditions) one after another, each in its natural parts, and run the job after each.
+
+    The job's checkpoint carries it from step to step, and a step is one batch however many files it has.
+    """
+    paths = [scratch(s, "in") for _ in inputs]
+    for i in range(len(inputs[0][1])):
+        for path, (df, cuts) in zip(paths, inputs, strict=True):
+            df.filter(cuts[i]).write.mode("append").parquet(path)
+        job(*[inc.source(s, path, df.schema, 1_000_000) for path, (df, _) in zip(paths, inputs, strict=True)])
 
 
 def l01(s, d):
     ev = view(s, d, "events").select("event_id", "user_id", "value")
-    st = staged(s, ev, ["user_id % 3 = 0", "user_id % 3 < 2", "true"])
-    sink = scratch(s, "sink")
-    inc.ingest(st, sink, ["event_id"], scratch(s, "ck"))
+    sink, ck = scratch(s, "sink"), scratch(s, "ck")
+    fed(s, lambda st: inc.ingest(st, sink, ["event_id"], ck), (ev, ["user_id % 3 = 0", "user_id % 3 < 2", "true"]))
     return s.read.parquet(sink)
 
 
@@ -35,9 +38,8 @@ _YEARS = ["dt < '1997-01-01'", "dt >= '1997-01-01' AND dt < '1999-06-01'", "dt >
 
 
 def l02(s, d):
-    st = staged(s, view(s, d, "series").select("id", "dt", "ndvi"), _YEARS)
-    sink = scratch(s, "sink")
-    inc.season_state(st, sink, scratch(s, "ck"))
+    sink, ck = scratch(s, "sink"), scratch(s, "ck")
+    fed(s, lambda st: inc.season_state(st, sink, ck), (view(s, d, "series").select("id", "dt", "ndvi"), _YEARS))
     return rnd(inc.latest(s, sink, ["id", "agyear", "season"]), ["total"])
 
 
@@ -45,9 +47,8 @@ Q["l02_season_state"] = (l02, oracle(f"SELECT id, {AGY} AS agyear, {SEASON} AS s
 
 
 def l03(s, d):
-    st = staged(s, view(s, d, "series").select("id", "dt", "ndvi"), _YEARS)
-    sink = scratch(s, "sink")
-    inc.composite(st, sink, scratch(s, "ck"))
+    sink, ck = scratch(s, "sink"), scratch(s, "ck")
+    fed(s, lambda st: inc.composite(st, sink, ck), (view(s, d, "series").select("id", "dt", "ndvi"), _YEARS))
     out = inc.latest(s, sink, ["id", "start"])
     return out.select("id", F.date_format("start", "yyyy-MM-dd").alias("start"), "best", F.round("mean", 6).alias("mean"), "n")
 
@@ -57,10 +58,10 @@ Q["l03_sixteen_day_composite"] = (l03, oracle(f"SELECT id, strftime(DATE '1970-0
 
 
 def l04(s, d):
-    a = staged(s, view(s, d, "points").select("id", "tile", "ts"), ["ts < '2024-01-16'", "ts >= '2024-01-16'"])
-    b = staged(s, view(s, d, "scenes").select("scene_id", "tile", "scene_ts"), ["scene_ts < '2024-01-16'", "scene_ts >= '2024-01-16'"])
-    sink = scratch(s, "sink")
-    inc.match(a, b, sink, scratch(s, "ck"))
+    a = view(s, d, "points").select("id", "tile", "ts"), ["ts < '2024-01-16'", "ts >= '2024-01-16'"]
+    b = view(s, d, "scenes").select("scene_id", "tile", "scene_ts"), ["scene_ts < '2024-01-16'", "scene_ts >= '2024-01-16'"]
+    sink, ck = scratch(s, "sink"), scratch(s, "ck")
+    fed(s, lambda x, y: inc.match(x, y, sink, ck), a, b)
     return s.read.parquet(sink)
 
 
@@ -69,9 +70,8 @@ Q["l04_scene_match_stream"] = (l04, oracle(f"SELECT id, scene_id, date_differenc
 
 def l05(s, d):
     w = view(s, d, "windows").select("id", "scene_id", "rank", "status", "scl_min", "scl_max", "n_px")
-    st = staged(s, w, [f"rank >= {i} AND rank < {i + 3}" for i in (0, 3, 6, 9)])
-    store = scratch(s, "store")
-    inc.rounds(st, store, clean.strict_bare(), scratch(s, "ck"))
+    store, ck = scratch(s, "store"), scratch(s, "ck")
+    fed(s, lambda st: inc.rounds(st, store, clean.strict_bare(), ck), (w, [f"rank >= {i} AND rank < {i + 3}" for i in (0, 3, 6, 9)]))
     return s.read.parquet(store).groupBy("id").agg(F.count("*").alias("n"), F.max("round").alias("last_round"))
 
 

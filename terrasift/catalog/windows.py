@@ -1,5 +1,6 @@
 """Values attached per row, ranked rows, focal windows, top-k and sampling."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from terrasift.catalog.aggregates import rnd
@@ -17,13 +18,13 @@ Q["f01_group_size_on_rows"] = (lambda s, d: groups.size(view(s, d, "raw").select
 
 
 def f02(s, d):
-    p = groups.head(pairs(s, d), ["id"], intervals.rank_scenes(None), 2**31 - 1, "rank")
-    return p.select("id", "scene_id", (F.col("rank") - 1).alias("rank"))
+    w = Window.partitionBy("id").orderBy(*intervals.rank_scenes())
+    return pairs(s, d).select("id", "scene_id", (F.row_number().over(w) - 1).alias("rank"))
 
 
 _ORD = "ORDER BY abs(date_difference_days), cloud, scene_id"
 Q["f02_scene_rank"] = (f02, oracle(f"SELECT id, scene_id, CAST(row_number() OVER (PARTITION BY id {_ORD}) - 1 AS INTEGER) AS rank FROM {PAIRS}", "points", "scenes"))
-Q["f03_best_scene"] = (lambda s, d: groups.first(pairs(s, d), ["id"], intervals.rank_scenes(None)).select("id", "scene_id"),
+Q["f03_best_scene"] = (lambda s, d: groups.first(pairs(s, d), ["id"], intervals.rank_scenes()).select("id", "scene_id"),
                        oracle(f"SELECT id, scene_id FROM (SELECT *, row_number() OVER (PARTITION BY id {_ORD}) AS rn FROM {PAIRS}) WHERE rn = 1", "points", "scenes"))
 Q["f04_up_to_n_scenes"] = (lambda s, d: groups.head(pairs(s, d), ["id"], [F.col("cloud"), F.col("scene_ts").desc(), F.col("scene_id")], 3).select("id", "scene_id", "rn"),
                            oracle(f"SELECT id, scene_id, CAST(rn AS INTEGER) AS rn FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY cloud, scene_ts DESC, scene_id) AS rn FROM {PAIRS}) WHERE rn <= 3", "points", "scenes"))

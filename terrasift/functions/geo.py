@@ -96,16 +96,39 @@ def ring_contains(ring: Column, px: Column, py: Column) -> Column:
     return (F.size(F.filter(edges, safe)) % 2) == 1
 
 
+def nowhere(x: str, y: str) -> Column:
+    """Rows whose position is NULL or not a number."""
+    return F.col(x).isNull() | F.col(y).isNull() | F.isnan(F.col(x).cast("double")) | F.isnan(F.col(y).cast("double"))
+
+
+def _point_layout(head: bytes) -> tuple[str, int] | None:
+    """(byte order, offset of the coordinates) of a WKB or EWKB point's first nine bytes; None for anything else."""
+    order = {0: ">", 1: "<"}.get(head[0]) if len(head) >= 5 else None
+    if order is None:
+        return None
+    kind = int.from_bytes(head[1:5], "big" if order == ">" else "little")
+    flags, base = kind & 0xE0000000, kind & 0x1FFFFFFF
+    return (order, 9 if flags & 0x20000000 else 5) if base % 1000 == 1 and base < 4000 else None
+
+
 @F.pandas_udf(T.StructType([T.StructField("lon", T.DoubleType()), T.StructField("lat", T.DoubleType())]))
 def wkb_xy(wkb: pd.Series) -> pd.DataFrame:
-    """Coordinates of little-endian WKB points; anything else becomes NULL. One Arrow batch at a time."""
-    ok = wkb.map(lambda b: b is not None and len(b) == 21 and b[:5] == b"\x01\x01\x00\x00\x00")
+    """First two coordinates of WKB points of either byte order, with or without SRID, Z and M; anything else becomes NULL.
+
+    Values are grouped by their first bytes and length, so each layout is decoded in one go.
+    """
     out = np.full((len(wkb), 2), np.nan)
-    if ok.any():
-        flat = b"".join(b[5:] for b in wkb[ok])
-        out[ok.to_numpy()] = np.frombuffer(flat, dtype="<f8").reshape(-1, 2)
-    res = pd.DataFrame(out, columns=["lon", "lat"])
-    return res.astype(object).where(res.notna(), None)
+    raw = wkb.to_numpy()
+    layouts: dict[tuple[bytes, int], list[int]] = {}
+    for i, b in enumerate(raw):
+        if b is not None:
+            layouts.setdefault((bytes(b[:5]), len(b)), []).append(i)
+    for (head, size), rows in layouts.items():
+        at = _point_layout(head)
+        if at and size >= at[1] + 16:
+            flat = np.frombuffer(b"".join(raw[i][at[1] : at[1] + 16] for i in rows), dtype=f"{at[0]}f8")
+            out[rows] = flat.reshape(-1, 2)
+    return pd.DataFrame({"lon": pd.array(out[:, 0], dtype="Float64"), "lat": pd.array(out[:, 1], dtype="Float64")})
 
 
 @F.pandas_udf(T.BinaryType())

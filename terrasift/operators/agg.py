@@ -35,9 +35,9 @@ def distincts(df: DataFrame, keys, cols, combos=None) -> DataFrame:
 
 
 def crosstab(df: DataFrame, a: str, b: str, values) -> DataFrame:
-    """Counts of a by the given values of b, with an ``All`` row and column."""
+    """Counts of a by the given values of b, with an ``All`` row and column; ``other`` counts values not given, NULL too."""
     cols = [F.count_if(F.col(b) == v).alias(str(v)) for v in values]
-    out = df.rollup(a).agg(*cols, F.count_if(F.col(b).isin(list(values))).alias("All"), F.grouping_id().alias("__g"))
+    out = df.rollup(a).agg(*cols, F.count_if(~F.coalesce(F.col(b).isin(list(values)), F.lit(False))).alias("other"), F.count(F.lit(1)).alias("All"), F.grouping_id().alias("__g"))
     return out.withColumn(a, F.when(F.col("__g") == 1, "All").otherwise(F.col(a).cast("string"))).drop("__g")
 
 
@@ -133,7 +133,6 @@ def class_counts(df: DataFrame, cuts: dict) -> DataFrame:
 
 
 def duplicates(df: DataFrame, cols, decimals: int = 6) -> DataFrame:
-    """Groups of identical records over the (rounded) columns: groups, rows in them, largest group."""
-    key = F.xxhash64(*[F.round(F.col(c), decimals) for c in cols]), F.md5(F.concat_ws("|", *[F.round(F.col(c), decimals).cast("string") for c in cols]))
-    per = df.groupBy(*[k.alias(f"__k{i}") for i, k in enumerate(key)]).agg(F.count(F.lit(1)).alias("m"))
+    """Groups of identical records over the (rounded) columns, NULL equal to NULL: groups, rows in them, largest group."""
+    per = df.groupBy(*[F.round(F.col(c), decimals).alias(f"__k{i}") for i, c in enumerate(cols)]).agg(F.count(F.lit(1)).alias("m"))
     return per.agg(F.count(F.lit(1)).alias("groups"), F.count_if(F.col("m") > 1).alias("repeated_groups"), F.sum(F.when(F.col("m") > 1, F.col("m")).otherwise(0)).alias("rows_in_repeated"), F.max("m").alias("largest"))

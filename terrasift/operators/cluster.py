@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrasift.functions.geo import distance
+from terrasift.functions.geo import distance, nowhere
 from terrasift.operators import agg, groups
 from terrasift.operators.quantiles import medians
 from terrasift.session import cut
@@ -77,7 +77,7 @@ def sites(df: DataFrame, r: float, name: str = "site", *, id: str = "id", x: str
     """
     s = r / math.sqrt(2.0)
     m = s / _MICRO
-    loc = df.groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.min(id).alias("lid"))
+    loc = df.filter(~nowhere(x, y)).groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.min(id).alias("lid"))
     loc = loc.withColumns({"cx": F.floor(F.col("x") / s).cast("long"), "cy": F.floor(F.col("y") / s).cast("long")})
     micro = loc.withColumns({"mx": F.floor(F.col("x") / m), "my": F.floor(F.col("y") / m)}).groupBy("cx", "cy", "mx", "my")
     reps = micro.agg(F.min_by(F.struct("x", "y"), "lid").alias("p"), F.min("lid").alias("lid"), F.count(F.lit(1)).alias("k"))
@@ -86,16 +86,29 @@ def sites(df: DataFrame, r: float, name: str = "site", *, id: str = "id", x: str
     edges = _touching(reps, r).select(F.col("cell_a").alias("src"), F.col("cell_b").alias("dst")).distinct()
     comp = components(edges)
     lab = cells.withColumn("node", _pack("cx", "cy")).join(comp, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("node")
-    if not cells.filter("crowded").isEmpty():
-        full = loc.join(lab.select("cx", "cy", "root", "crowded"), ["cx", "cy"])
+    apart = cut(_apart(lab))
+    if not apart.isEmpty():
+        # only positions of cells that may still be joined: few, however crowded the rest is
+        full = loc.join(lab.select("cx", "cy", "root", "crowded"), ["cx", "cy"]).join(apart, ["cx", "cy"], "left_semi")
         more = _touching(full, r, ["root", "crowded"]).filter((F.col("root_a") != F.col("root_b")) & (F.col("crowded_a") | F.col("crowded_b")))
         comp2 = components(more.select(F.col("root_a").alias("src"), F.col("root_b").alias("dst")).distinct())
         comp2 = comp2.select(F.col("node").alias("root"), F.col("root").alias("root2"))
         lab = lab.join(comp2, "root", "left").withColumn("root", F.coalesce("root2", "root")).drop("root2")
     low = lab.groupBy("root").agg(F.min("cid").alias(name))
     lab = lab.join(low, "root").select(F.col("cx").alias("__cx"), F.col("cy").alias("__cy"), name)
-    here = df.drop(name).withColumns({"__cx": F.floor(F.col(x) / s).cast("long"), "__cy": F.floor(F.col(y) / s).cast("long")})
-    return here.join(lab, ["__cx", "__cy"]).drop("__cx", "__cy")
+    here = df.drop(name).filter(~nowhere(x, y)).withColumns({"__cx": F.floor(F.col(x) / s).cast("long"), "__cy": F.floor(F.col(y) / s).cast("long")})
+    placed = here.join(lab, ["__cx", "__cy"]).drop("__cx", "__cy")
+    # rows without a position are sites of their own
+    return placed.unionByName(df.drop(name).filter(nowhere(x, y)).withColumn(name, F.col(id)))
+
+
+def _apart(lab: DataFrame) -> DataFrame:
+    """Cells with a neighbouring cell of another component, where one of the two holds more positions than were tested."""
+    o = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in _RING]))
+    a = lab.select(F.col("cx").alias("ax"), F.col("cy").alias("ay"), F.col("root").alias("ra"), F.col("crowded").alias("ca"), o.alias("o"))
+    a = a.withColumns({"cx": F.col("ax") + F.col("o.i"), "cy": F.col("ay") + F.col("o.j")})
+    j = a.join(lab.select("cx", "cy", "root", "crowded"), ["cx", "cy"]).filter((F.col("ra") != F.col("root")) & (F.col("ca") | F.col("crowded")))
+    return j.select("cx", "cy").unionByName(j.select(F.col("ax").alias("cx"), F.col("ay").alias("cy"))).distinct()
 
 
 def drop_large(df: DataFrame, site: str = "site", most: int = 10) -> DataFrame:

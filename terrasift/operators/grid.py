@@ -1,7 +1,9 @@
 """Focal operations on long pixel tables (tile, r, col, value), edges repeated.
 
-A w x w window is two passes of w rows: along the row, then along the column. Window partitions are single raster
-lines, so their size is the tile width, whatever the data volume.
+A w x w window is two passes of w positions: along the row, then along the column. Window partitions are single raster
+lines, so their size is the tile width, whatever the data volume. Frames follow the pixel index, so a missing pixel is a hole
+and not a neighbour; a line's edge is its own first and last pixel, wherever the tile starts. A window that lacks a value (NULL, NaN
+or no row) has no mean, deviation or gradient; minimum and maximum take the values that are there.
 """
 
 from __future__ import annotations
@@ -18,20 +20,27 @@ def _line(along: str):
 
 
 def _sum_pass(v: str, along: str, k: int):
-    """Sum over 2k + 1 positions of a dense line, the first and last pixel repeated beyond the edge."""
+    """Sum over 2k + 1 positions of a line, the first and last pixel repeated beyond the edge."""
     w = _line(along)
     full = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    last = F.max(along).over(full)
-    before = F.greatest(F.lit(k) - F.col(along), F.lit(0))
-    after = F.greatest(F.lit(k) - (last - F.col(along)), F.lit(0))
-    return F.sum(v).over(w.rowsBetween(-k, k)) + before * F.first(v).over(full) + after * F.last(v).over(full)
+    before = F.greatest(F.lit(k) - (F.col(along) - F.min(along).over(full)), F.lit(0))
+    after = F.greatest(F.lit(k) - (F.max(along).over(full) - F.col(along)), F.lit(0))
+    return F.sum(v).over(w.rangeBetween(-k, k)) + before * F.first(v).over(full) + after * F.last(v).over(full)
 
 
 def focal_sums(px: DataFrame, specs: dict[str, tuple[str, int]]) -> DataFrame:
-    """name -> (value column, window w): focal sums for several columns and windows in the same two passes."""
-    mid = px.withColumns({f"__{n}": _sum_pass(v, COL, w // 2) for n, (v, w) in specs.items()})
-    out = mid.withColumns({n: _sum_pass(f"__{n}", ROW, w // 2) for n, (v, w) in specs.items()})
-    return out.drop(*[f"__{n}" for n in specs])
+    """name -> (value column, window w): focal sums for several columns and windows in the same two passes.
+
+    The values of each window are counted beside the sum; a sum of fewer than w * w is NULL.
+    """
+    cols = sorted({v for v, _ in specs.values()})
+    known = {v: F.nanvl(F.col(v).cast("double"), F.lit(None)) for v in cols}
+    p = px.withColumns({f"__v_{v}": F.coalesce(known[v], F.lit(0.0)) for v in cols} | {f"__i_{v}": known[v].isNotNull().cast("int") for v in cols})
+    parts = {f"__s_{n}": (f"__v_{v}", w) for n, (v, w) in specs.items()} | {f"__n_{v}_{w}": (f"__i_{v}", w) for v, w in sorted(set(specs.values()))}
+    mid = p.withColumns({n: _sum_pass(v, COL, w // 2) for n, (v, w) in parts.items()})
+    out = mid.withColumns({f"{n}_": _sum_pass(n, ROW, w // 2) for n, (_, w) in parts.items()})
+    sums = {n: F.when(F.col(f"__n_{v}_{w}_") == w * w, F.col(f"__s_{n}_")) for n, (v, w) in specs.items()}
+    return out.withColumns(sums).drop(*[c for n in parts for c in (n, f"{n}_")], *[f"__{t}_{v}" for t in "vi" for v in cols])
 
 
 def focal_mean(px: DataFrame, w: int, v: str = "value", name: str = "focal_mean") -> DataFrame:
@@ -43,14 +52,14 @@ def focal_sd(px: DataFrame, w: int = 3, v: str = "value", name: str = "focal_sd"
     p = focal_sums(p, {"__m": (v, w), "__q": ("__sq", w)})
     n = float(w * w)
     var = F.col("__q") / n - (F.col("__m") / n) * (F.col("__m") / n)
-    return p.withColumn(name, F.sqrt(F.greatest(var, F.lit(0.0)))).drop("__sq", "__m", "__q")
+    return p.withColumn(name, F.when(var.isNotNull(), F.sqrt(F.greatest(var, F.lit(0.0))))).drop("__sq", "__m", "__q")
 
 
 def focal_minmax(px: DataFrame, w: int, v: str = "value", lo: str = "focal_min", hi: str = "focal_max") -> DataFrame:
     """Repeating the edge changes neither minimum nor maximum, so a clipped frame is exact."""
     k = w // 2
-    a = _line(COL).rowsBetween(-k, k)
-    b = _line(ROW).rowsBetween(-k, k)
+    a = _line(COL).rangeBetween(-k, k)
+    b = _line(ROW).rangeBetween(-k, k)
     p = px.withColumns({"__lo": F.min(v).over(a), "__hi": F.max(v).over(a)})
     return p.withColumns({lo: F.min("__lo").over(b), hi: F.max("__hi").over(b)}).drop("__lo", "__hi")
 
@@ -61,11 +70,11 @@ def focal_any(px: DataFrame, w: int, flag: str, name: str = "any_near") -> DataF
 
 
 def _gradient(v: str, along: str, step):
-    """Central difference, one-sided at the two ends of the line."""
-    w = _line(along)
-    up, dn = F.lead(v).over(w), F.lag(v).over(w)
-    here = F.col(v)
-    d = F.when(up.isNull() & dn.isNull(), F.lit(0.0)).when(dn.isNull(), up - here).when(up.isNull(), here - dn).otherwise((up - dn) / 2.0)
+    """Central difference, one-sided at the two ends of the line, NULL beside a hole."""
+    w, at, here = _line(along), F.col(along), F.col(v)
+    after, before = F.lead(along).over(w), F.lag(along).over(w)
+    up, dn = F.when(after == at + 1, F.lead(v).over(w)), F.when(before == at - 1, F.lag(v).over(w))
+    d = F.when(after.isNull() & before.isNull(), here * 0.0).when(before.isNull(), up - here).when(after.isNull(), here - dn).otherwise((up - dn) / 2.0)
     return d / step
 
 
@@ -96,7 +105,7 @@ def terrain(px: DataFrame, dx: float, dy: float, v: str = "value", tpi=(5, 17, 3
     p = slope(p, dx, dy, v)
     out = {f"tpi_{w}": F.col(v) - F.col(f"__t{w}") / float(w * w) for w in tpi}
     m = F.col("__m3") / 9.0
-    out["rough"] = F.sqrt(F.greatest(F.col("__q3") / 9.0 - m * m, F.lit(0.0)))
+    out["rough"] = F.when(m.isNotNull(), F.sqrt(F.greatest(F.col("__q3") / 9.0 - m * m, F.lit(0.0))))
     out["relpos"] = (F.col(v) - F.col("__low")) / F.greatest(F.col("__high") - F.col("__low"), F.lit(1.0))
     return p.withColumns(out).drop("__sq", "__low", "__high", "gx", "gy", *specs)
 

@@ -22,6 +22,17 @@ def attach(df: DataFrame, keys, *aggs: Column) -> DataFrame:
     return df.join(g, on).drop(*[f"__{k}" for k in keys])
 
 
+def same_keys(left: DataFrame, right: DataFrame, keys, how: str = "inner") -> DataFrame:
+    """Equality join in which NULL keys meet each other; the keys come from the left side."""
+    keys = list(keys)
+    if not keys:
+        return left.crossJoin(F.broadcast(right))  # one row by construction
+    r = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys])
+    out = left.join(r, on, how)
+    return out if how in ("left_semi", "left_anti") else out.drop(*[f"__r_{k}" for k in keys])
+
+
 def size(df: DataFrame, keys, name: str = "n_at") -> DataFrame:
     return attach(df, keys, F.count(F.lit(1)).alias(name))
 

@@ -37,7 +37,7 @@ def in_footprint(pairs: DataFrame, ring: Column, lon="lon", lat="lat") -> DataFr
     return pairs.filter(F.when(box, geo.ring_contains(ring, px, py)).otherwise(False))
 
 
-def rank_scenes(pairs: DataFrame, keys=("id",), diff="date_difference_days", cloud="cloud", scene="scene_id") -> list[Column]:
+def rank_scenes(diff="date_difference_days", cloud="cloud", scene="scene_id") -> list[Column]:
     """Order of scenes for a sample: closest date, least cloud, then scene id."""
     return [F.abs(F.col(diff)).asc(), F.col(cloud).asc(), F.col(scene).asc()]
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from terrasift.operators import groups
 from terrasift.operators.quantiles import quantiles
+from terrasift.session import cut
 
 
 def r2(y: str, p: str) -> Column:
@@ -26,13 +27,16 @@ def smape(y: str, p: str) -> Column:
 
 
 def scores(df: DataFrame, keys, y: str, p: str) -> DataFrame:
-    """n, R2, RMSE, MAE, bias, RPIQ, RPD and sMAPE per group."""
+    """n, R2, RMSE, MAE, bias, RPIQ, RPD and sMAPE per group; NULL keys are a group of their own.
+
+    The few columns needed are stored first: the plan that predicts runs once, and each pass below reads the stored rows.
+    """
     keys = list(keys)
-    ok = df.filter(F.col(y).isNotNull() & F.col(p).isNotNull())
+    ok = cut(df.filter(F.col(y).isNotNull() & F.col(p).isNotNull()).select(*keys, y, p))
     aggs = [c.alias(n) for n, c in errors(y, p).items()] + [F.stddev_samp(y).alias("__sd"), smape(y, p).alias("smape")]
     q = quantiles(ok, keys, [y], [0.25, 0.75]).withColumn("__iqr", F.col(f"{y}_p75") - F.col(f"{y}_p25")).drop(f"{y}_p25", f"{y}_p75")
     base = ok.groupBy(*keys).agg(*aggs)
-    j = base.join(q, keys) if keys else base.crossJoin(F.broadcast(q))
+    j = groups.same_keys(base, q, keys)
     return j.withColumns({"rpiq": F.try_divide("__iqr", "rmse"), "rpd": F.try_divide("__sd", "rmse")}).drop("__iqr", "__sd")
 
 
@@ -42,7 +46,9 @@ def by_fold(df: DataFrame, keys, fold: str, y: str, p: str) -> DataFrame:
 
 
 def confusion(df: DataFrame, keys, y: str, p: str, classes) -> DataFrame:
-    return df.groupBy(*keys, y).pivot(p, list(classes)).agg(F.count(F.lit(1))).na.fill(0)
+    """Counts of true by predicted class; ``other`` counts predictions outside the stated classes, NULL too."""
+    cols = [F.count_if(F.col(p) == c).alias(str(c)) for c in classes]
+    return df.groupBy(*keys, y).agg(*cols, F.count_if(~F.coalesce(F.col(p).isin(list(classes)), F.lit(False))).alias("other"))
 
 
 def classes(df: DataFrame, keys, y: str, p: str, labels=(0, 1, 2)) -> DataFrame:

@@ -11,7 +11,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrasift.functions.geo import distance
+from terrasift.functions.geo import distance, nowhere
 
 HALF = [(0, 0), (1, 0), (-1, 1), (0, 1), (1, 1)]
 FULL = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
@@ -60,13 +60,14 @@ def pairs_within(df: DataFrame, r: float, **kw) -> DataFrame:
 
 
 def count_within(df: DataFrame, r: float, name: str = "n_near", *, id="id", x="x", y="y") -> DataFrame:
-    """Other rows within r of each row."""
-    loc = locations(df, id=id, x=x, y=y)
+    """Other rows within r of each row; a row without a position is near nothing."""
+    loc = locations(df.filter(~nowhere(x, y)), id=id, x=x, y=y)
     p = pairs_of(loc, r)
     both = p.select(F.col("id_a").alias("lid"), F.col("n_b").alias("m")).unionByName(p.select(F.col("id_b").alias("lid"), F.col("n_a").alias("m")))
     near = both.groupBy("lid").agg(F.sum("m").alias("m"))
     total = loc.join(near, loc["id"] == near["lid"], "left").select(F.col("x").alias("__x"), F.col("y").alias("__y"), (F.col("n") - 1 + F.coalesce("m", F.lit(0))).alias(name))
-    return df.join(total, (F.col(x) == F.col("__x")) & (F.col(y) == F.col("__y"))).drop("__x", "__y")
+    out = df.join(total, (F.col(x) == F.col("__x")) & (F.col(y) == F.col("__y")), "left").drop("__x", "__y")
+    return out.withColumn(name, F.coalesce(name, F.lit(0)))
 
 
 def farther_than(train: DataFrame, test: DataFrame, r: float, **kw) -> DataFrame:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrasift.operators.groups import same_keys
 from terrasift.operators.quantiles import quantiles
 
 
@@ -46,4 +47,4 @@ def distance_profile(df: DataFrame, keys, d: str, ps=(0.05, 0.25, 0.5, 0.75, 0.9
     base = df.groupBy(*keys).agg(F.count(d).alias("rows"), *[F.avg((F.col(d) <= m).cast("double")).alias(f"le_{m}m") for m in cuts])
     q = quantiles(df, keys, [d], ps)
     q = q.withColumnsRenamed({c: c.replace(f"{d}_", "") + "_m" for c in q.columns if c not in keys})
-    return base.join(q, keys) if keys else base.crossJoin(F.broadcast(q))
+    return same_keys(base, q, keys)

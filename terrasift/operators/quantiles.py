@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrasift.operators.groups import same_keys
+
 HEAVY_ROWS = 2_000_000
 ACCURACY = 100_000
 
@@ -43,12 +45,12 @@ def _bracketed(df, keys, cols, ps, accuracy=ACCURACY):
     want = want.withColumns({"__at": F.col("__p") * (F.col("__n") - 1)})
     want = want.withColumns({"__r0": F.floor("__at"), "__r1": F.ceil("__at")})
     # values inside the bracket with their counts; rows below it as one number
-    hit = long.join(want.select(*gk, "__i", "__lo", "__hi"), gk).filter(F.col("__v") <= F.col("__hi"))
+    hit = same_keys(long, want.select(*gk, "__i", "__lo", "__hi"), gk).filter(F.col("__v") <= F.col("__hi"))
     vals = hit.groupBy(*gk, "__i", F.when(F.col("__v") >= F.col("__lo"), F.col("__v")).alias("__v")).agg(F.count(F.lit(1)).alias("__m"))
     w = Window.partitionBy(*gk, "__i").orderBy(F.col("__v").asc_nulls_first())
     vals = vals.withColumn("__to", F.sum("__m").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     vals = vals.withColumn("__from", F.col("__to") - F.col("__m")).filter(F.col("__v").isNotNull())
-    got = vals.join(want.select(*gk, "__i", "__p", "__at", "__r0", "__r1"), [*gk, "__i"])
+    got = same_keys(vals, want.select(*gk, "__i", "__p", "__at", "__r0", "__r1"), [*gk, "__i"])
 
     def at(r):
         return F.max(F.when((F.col("__from") <= F.col(r)) & (F.col(r) < F.col("__to")), F.col("__v")))
@@ -59,13 +61,13 @@ def _bracketed(df, keys, cols, ps, accuracy=ACCURACY):
     got = got.withColumn("__q", F.when(F.col("__a").isNull() | F.col("__z").isNull(), F.raise_error(F.lit("quantile bracket missed"))).otherwise(F.col("__a") * (1 - frac) + F.col("__z") * frac))
     pick = [F.max(F.when((F.col("__c") == c) & (F.col("__i") == i), F.col("__q"))).alias(f"{c}_{tag(p)}") for c in cols for i, p in enumerate(ps)]
     out = got.groupBy(*keys).agg(*pick)
-    return df.select(*keys).distinct().join(out, keys, "left") if keys else out
+    return same_keys(df.select(*keys).distinct(), out, keys, "left") if keys else out
 
 
 def quantiles(df: DataFrame, keys, cols, ps, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
     """Exact quantiles per group, columns ``<col>_p<percent>``; NULL and NaN are left out.
 
-    Group sizes are measured first over the key columns alone. Keys must not be NULL.
+    Group sizes are measured first over the key columns alone. NULL keys are a group like any other.
     """
     keys, cols, ps = list(keys), list(cols), list(ps)
     accuracy = max(100, min(ACCURACY, heavy_rows // 10))
@@ -76,9 +78,8 @@ def quantiles(df: DataFrame, keys, cols, ps, heavy_rows: int = HEAVY_ROWS) -> Da
     heavy = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > heavy_rows).drop("__n")
     if heavy.isEmpty():
         return _builtin(df, keys, cols, ps)
-    # at most rows / heavy_rows keys
-    light_part = df.join(F.broadcast(heavy), keys, "left_anti")
-    heavy_part = df.join(F.broadcast(heavy), keys, "left_semi")
+    light_part = same_keys(df, heavy, keys, "left_anti")
+    heavy_part = same_keys(df, heavy, keys, "left_semi")
     return _builtin(light_part, keys, cols, ps).unionByName(_bracketed(heavy_part, keys, cols, ps, accuracy))
 
 

@@ -19,12 +19,16 @@ def random_holdout(df: DataFrame, key: str, p: float, seed: int) -> DataFrame:
 
 
 def group_folds(df: DataFrame, key: str, k: int, seed, name: str = "fold") -> DataFrame:
-    """Fold per group: distinct keys in md5 order, dealt out in turn. No group is in two folds."""
-    from terrasift.operators.groups import label
+    """Fold per group: distinct keys in md5 order, dealt out in turn. No group is in two folds.
+
+    Rows without a key are one group, dealt as the last one: they may belong together, so they are never split.
+    """
+    from terrasift.operators.groups import label, same_keys
 
-    keys = df.select(key).filter(F.col(key).isNotNull()).distinct().withColumn("__h", F.concat(hashed(F.col(key), seed), F.lit(" "), F.col(key).cast("string")))
+    text = F.col(key).cast("string")
+    keys = df.select(key).distinct().withColumn("__h", F.coalesce(F.concat(hashed(F.col(key), seed), F.lit(" "), text), F.lit("~")))
     f = label(keys, "__h", "__i").select(key, (F.col("__i") % k).cast("int").alias(name))
-    return df.join(f, key)
+    return same_keys(df, f, [key])
 
 
 def kfold(df: DataFrame, key: str, k: int, seed, name: str = "fold") -> DataFrame:

@@ -35,12 +35,12 @@ def _others(df: DataFrame, keys, fold: str, aggs: dict) -> DataFrame:
 
 
 def group_mean(df: DataFrame, y: str, group: str, fold: str, pred: str = "pred") -> DataFrame:
-    """Mean of log1p(y) in the group over the other folds, the other folds' overall mean where the group is absent there."""
+    """Mean of log1p(y) in the group over the other folds; the other folds' overall mean where the group is absent there or NULL."""
     ly = F.log1p(y)
     sums = {"s": F.sum(ly), "m": F.count(ly)}
     g = _others(df, [group], fold, sums).select(group, fold, F.when(F.col("m") > 0, F.col("s") / F.col("m")).alias("__g"))
     a = _others(df, [], fold, sums).select(fold, F.try_divide("s", "m").alias("__a"))
-    out = df.join(g, [group, fold]).join(F.broadcast(a), fold)  # one row per fold
+    out = df.join(g, [group, fold], "left").join(F.broadcast(a), fold)  # one row per fold
     return out.withColumn(pred, F.expm1(F.coalesce("__g", "__a"))).drop("__g", "__a")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrasift.operators.groups import same_keys
+
 
 def read(spark: SparkSession, path: str, cols=None) -> DataFrame:
     """Parquet scan; a projection reaches the scan's ReadSchema."""
@@ -81,8 +83,8 @@ def funnel_json(df: DataFrame, steps) -> DataFrame:
 
 
 def missing_keys(todo: DataFrame, stored: DataFrame, keys) -> DataFrame:
-    """Work not stored yet."""
-    return todo.join(stored.select(*keys).distinct(), keys, "left_anti")
+    """Work not stored yet; a NULL key is stored once like any other."""
+    return same_keys(todo, stored.select(*keys).distinct(), keys, "left_anti")
 
 
 def append_missing(todo: DataFrame, path: str, keys) -> None:
@@ -99,8 +101,8 @@ def append_missing(todo: DataFrame, path: str, keys) -> None:
 
 def requeue_failed(results: DataFrame, pairs: DataFrame, keys, status: str = "status") -> tuple[DataFrame, DataFrame]:
     """(results without failures, pairs of the failed keys to fetch again)."""
-    failed = results.filter(F.col(status).startswith("failed"))
-    return results.filter(~F.col(status).startswith("failed")), pairs.join(failed.select(*keys).distinct(), keys, "left_semi")
+    bad = F.coalesce(F.col(status).startswith("failed"), F.lit(False))  # a row without a status has not failed
+    return results.filter(~bad), same_keys(pairs, results.filter(bad).select(*keys).distinct(), keys, "left_semi")
 
 
 def next_round(pairs: DataFrame, results: DataFrame, rnd: int, usable: Column, id_col: str = "id", keys=("id", "scene_id")) -> DataFrame:

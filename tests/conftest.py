@@ -10,7 +10,7 @@ from terrasift.session import build  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    s = build("tests", "local[8]", **{
+    s = build("tests", f"local[{os.environ.get("TEST_CPUS", "8")}]", **{
         "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g", "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false", "spark.sql.adaptive.coalescePartitions.enabled": "false"})
     s.sparkContext.setLogLevel("ERROR")
