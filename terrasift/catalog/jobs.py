@@ -8,7 +8,7 @@ from terrasift.catalog.joining import BLK10, DIST, T, fold_sql, folded, pts, top
 from terrasift.catalog.places import blk
 from terrasift.functions import feat
 from terrasift.operators import cluster, features, links, sampling
-from terrasift.plans import designs, learn, models
+from terrasift.plans import designs, learn, linear, models
 from terrasift.sources.views import FEATURE_COLS, oracle, view
 
 Q = QUERIES = {}
@@ -58,7 +58,7 @@ Q["k12_decision_tree"] = (lambda s, d: oof(s, d, model(learn.tree())), None)
 
 def k13(s, d):
     named = {"least squares": (0.0, 0.0), "ridge": (0.1, 0.0), "lasso": (0.01, 1.0), "elastic net": (0.01, 0.5)}
-    return learn.score(learn.label_all([({"model": n}, learn.out_of_fold(folded(s, d), model(learn.linear(*v)), "fold", 5).select(Y, "pred")) for n, v in named.items()]), ["model"], Y)
+    return learn.score(linear.out_of_fold(folded(s, d), named, IN, Y, "fold"), ["model"], Y)
 
 
 Q["k13_linear_models"] = (k13, None)

@@ -210,7 +210,12 @@ def knn(q: DataFrame, r: DataFrame, k: int, *, qid: str = "id", rid: str = "id",
 
     ref = r_in.select(F.col(rid).alias("nb"), F.col(x).alias("rx"), F.col(y).alias("ry"), *keyed, *cols)
     w = Window.partitionBy("rx", "ry", *bs, *gs).orderBy("nb")
-    ref = fine(ref.withColumn("__i", F.row_number().over(w)).filter(F.col("__i") <= kk).drop("__i"), "rx", "ry")
+    ref = ref.withColumn("__i", F.row_number().over(w)).filter(F.col("__i") <= kk)
+    if gs:
+        # of a position's rows at most kk share a query's own value, so the first 2 kk hold kk others, however many values there are
+        wp = Window.partitionBy("rx", "ry", *bs).orderBy("nb")
+        ref = ref.withColumn("__i", F.row_number().over(wp)).filter(F.col("__i") <= 2 * kk)
+    ref = fine(ref.drop("__i"), "rx", "ry")
     que = fine(q_in.select(F.col(x).alias("qx"), F.col(y).alias("qy"), *keyed).distinct(), "qx", "qy")
 
     qk = ["qx", "qy", *bs, *gs]

@@ -129,7 +129,7 @@ def local_only(df: DataFrame, group: str, m: int, draw, y: str, k: int = 25, min
     return a.withColumn("pred", F.expm1(knn.weighted_mean("nbrs", "__ly", knn.inverse(30.0)))).drop("nbrs", "__ly")
 
 
-def calibration_curve(df: DataFrame, group: str, y: str, p: str, sizes=(0, 10, 20, 50), draws=(0, 1, 2), linear_from: int = 50, min_group: int = 1, min_test: int = 20, *, id="id") -> DataFrame:
+def calibration_curve(df: DataFrame, group: str, y: str, p: str, sizes=(0, 10, 20, 50, 100, 200, 500), draws=(0, 1, 2), linear_from: int = 50, min_group: int = 1, min_test: int = 20, *, id="id") -> DataFrame:
     """Overall and within-group R2 after offset or linear calibration with m rows per group, plus the all-rows offset.
 
     y and p are on the log scale; scores are on the original scale.
