@@ -22,6 +22,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrasift.operators import groups
 from terrasift.operators.blockwise import top_k
 from terrasift.session import cut
 
@@ -143,7 +144,7 @@ def _touched(que, ref, gs, bs, top, s0):
     return t.drop("only", "ux", "uy", "olv", "ocx", "ocy", "lv", "kind", "cx", "cy")
 
 
-def _two_pass(same, ref, que, meet, split, take, bs, gs, qk, leaf, kk, cap, top, s0, origin, n_ref, depth, tie):
+def _two_pass(same, ref, que, meet, split, serving, take, bs, gs, qk, leaf, kk, cap, top, s0, origin, n_ref, depth, tie):
     """Candidates from the own leaf and from every other leaf the bounding circle touches."""
     # leaves: one level below the smallest cell with more than cap references; queries follow the same cells
     mid = top - min(top, depth(n_ref, cap))
@@ -177,7 +178,7 @@ def _two_pass(same, ref, que, meet, split, take, bs, gs, qk, leaf, kk, cap, top,
     if not lost.isEmpty():
         open_ = open_.unionByName(_far_corner(lost.drop("R"), ref, gs, bs, kk, top, top - min(top, depth(n_ref, kk)), s0, tie).select(*open_.columns))
     hits = cut(_touched(open_.select(*qk, "ux", "uy", "R", *leaf[:3]), ref, gs, bs, top, s0))
-    salted, refs = split(hits, ref)
+    salted, refs = split(hits, serving(ref))
     return first.unionByName(top_k(salted, refs, [*leaf, "salt"], ["qx", "qy"], kk, radius="R", **take))
 
 
@@ -211,11 +212,17 @@ def knn(q: DataFrame, r: DataFrame, k: int, *, qid: str = "id", rid: str = "id",
     ref = r_in.select(F.col(rid).alias("nb"), F.col(x).alias("rx"), F.col(y).alias("ry"), *keyed, *cols)
     w = Window.partitionBy("rx", "ry", *bs, *gs).orderBy("nb")
     ref = ref.withColumn("__i", F.row_number().over(w)).filter(F.col("__i") <= kk)
-    if gs:
-        # of a position's rows at most kk share a query's own value, so the first 2 kk hold kk others, however many values there are
+    crowded = bool(gs) and not ref.groupBy("rx", "ry", *bs).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 2 * kk).isEmpty()
+    if crowded:
+        # of a position's rows at most kk share a query's own value, so the first 2 kk hold kk others, however many values there are;
+        # the rest only ask
         wp = Window.partitionBy("rx", "ry", *bs).orderBy("nb")
-        ref = ref.withColumn("__i", F.row_number().over(wp)).filter(F.col("__i") <= 2 * kk)
+        ref = groups.same_keys(ref, ref.withColumn("__i", F.row_number().over(wp)).filter(F.col("__i") <= 2 * kk).select("nb", F.lit(True).alias("serves")).distinct(), ["nb"], "left")
     ref = fine(ref.drop("__i"), "rx", "ry")
+
+    def serving(refs):
+        return refs.filter("serves").drop("serves") if crowded else refs
+
     que = fine(q_in.select(F.col(x).alias("qx"), F.col(y).alias("qy"), *keyed).distinct(), "qx", "qy")
 
     qk = ["qx", "qy", *bs, *gs]
@@ -230,7 +237,8 @@ def knn(q: DataFrame, r: DataFrame, k: int, *, qid: str = "id", rid: str = "id",
 
     def meet(qs, refs):
         # in a self-join a leaf has no more queries than references
-        ask, have, keys = (qs, refs, leaf) if q is r else (*split(qs, refs), [*leaf, "salt"])
+        refs = serving(refs)
+        ask, have, keys = (qs, refs, leaf) if q is r and not crowded else (*split(qs, refs), [*leaf, "salt"])
         return top_k(ask, have, keys, ["qx", "qy"], kk, **take)
 
     if n_ref <= cap:
@@ -238,7 +246,7 @@ def knn(q: DataFrame, r: DataFrame, k: int, *, qid: str = "id", rid: str = "id",
         one = {"llv": F.lit(top), "lcx": F.lit(0).cast("long"), "lcy": F.lit(0).cast("long")}
         cand = meet(que.withColumns(one), ref.withColumns(one))
     else:
-        cand = _two_pass(q is r, ref, que, meet, split, take, bs, gs, qk, leaf, kk, cap, top, s0, (x0, y0), n_ref, depth, tie)
+        cand = _two_pass(q is r, ref, que, meet, split, serving, take, bs, gs, qk, leaf, kk, cap, top, s0, (x0, y0), n_ref, depth, tie)
     wq = Window.partitionBy(*qk).orderBy("d", "nb")
     best = cand.withColumn("rank", F.row_number().over(wq)).filter(F.col("rank") <= kk)
     # at most k + 1 entries per position
