@@ -24,9 +24,10 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrasift.session import scratch
+from terrasift.session import cut, scratch
 
 _NAMES = uuid.UUID("6f9b0c52-32a5-4c39-9d4c-0b4f7f1f2f55")
+SMALL = 8 << 20
 MANIFEST = "shard int, seq int, name string, bytes long, records long, sha1 string"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -84,11 +85,17 @@ def shard_bounds(df: DataFrame, key: str, size: str, target: int, fan: int = 102
 
 def planned(pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(page_id, url, html, own, ref_id, ref_url): of equal payloads the row with the largest id is the response, the others
-    refer to it. Payloads are equal if both their SHA-1 and SHA-256 are. Of repeats of the response's id the writer keeps one."""
+    refer to it. Payloads are equal if both their SHA-1 and SHA-256 are. Of repeats of the response's id the writer keeps one.
+
+    The table of repeated payloads is broadcast up to SMALL bytes, so the pages are shuffled only once, to their shards.
+    """
     rows = pages.select(F.col(id).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(html, F.lit("")).alias("html"))
     rows = rows.withColumn("own", F.unhex(F.concat(F.sha1(F.col("html").cast("binary")), F.sha2(F.col("html").cast("binary"), 256))))
-    twice = rows.groupBy("own").agg(F.max(F.struct("page_id", "url")).alias("r"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    return rows.join(twice.select("own", "r.page_id", "r.url").toDF("own", "ref_id", "ref_url").withColumn("copies", F.lit(True)), "own", "left")
+    twice = rows.groupBy("own").agg(F.max(F.struct("page_id", "url")).alias("r"), F.count(F.lit(1)).alias("c"), F.max(F.octet_length("url")).alias("long")).filter("c > 1")
+    twice = cut(twice.select("own", F.col("r.page_id").alias("ref_id"), F.col("r.url").alias("ref_url"), F.lit(True).alias("copies"), "long"))
+    held = twice.agg(F.sum(F.coalesce("long", F.lit(0)) + 80)).first()[0] or 0
+    twice = twice.drop("long")
+    return rows.join(F.broadcast(twice) if held <= SMALL else twice, "own", "left")
 
 
 def write(pages: DataFrame, out: str, *, shard_bytes: int = 256 << 20, file_bytes: int = 64 << 20, level: int = 4, date: str = "1970-01-01T00:00:00Z", **columns: str) -> DataFrame:
@@ -107,7 +114,7 @@ def write(pages: DataFrame, out: str, *, shard_bytes: int = 256 << 20, file_byte
         return pd.Series(np.searchsorted(bounds, page_id.to_numpy(np.int64)).astype("int32"))
 
     shard = shard_of(F.coalesce("page_id", F.lit(-(2**63)))) if len(bounds) else F.lit(0)
-    dealt = rows.withColumn("shard", shard).repartition("shard").sortWithinPartitions("shard", "page_id", "own")
+    dealt = rows.withColumn("shard", shard).repartition(len(bounds) + 1, "shard").sortWithinPartitions("shard", "page_id", "own")
 
     def work(batches):
         fs, base = pafs.FileSystem.from_uri(out) if "://" in out or out.startswith("file:") else (pafs.LocalFileSystem(), out)
@@ -203,7 +210,8 @@ def read(spark, out: str) -> DataFrame:
         cols = list(zip(*rows, strict=True)) or [()] * 7
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["page_id", "url", "record_type", "payload_digest", "payload_bytes", "refers_to", "html"])
 
-    return files.repartition("name").mapInArrow(work, schema)
+    # one part per file, which Spark must not put together: a row is a name, the work is a file
+    return files.repartition(max(1, files.count()), "name").mapInArrow(work, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
