@@ -312,3 +312,30 @@ def _normal(salt):
 _PH = "SELECT '{0}' AS inputs, {1}e0 AS ph_sd, {2}e0 AS ec_rel, u.n, exp(a.c0 + a.c1*({3})) - 1 AS yhat FROM f u JOIN (SELECT o.fold, regr_slope(ln(1 + c.n), c.{4}) AS c1, regr_intercept(ln(1 + c.n), c.{4}) AS c0 FROM (SELECT DISTINCT fold FROM f) o JOIN f c ON c.fold <> o.fold GROUP BY 1) a USING (fold)"
 Q["k31_sensor_noise_line"] = (k31_line, oracle(f"{FOLDED} " + scored_sql("inputs, ph_sd, ec_rel", " UNION ALL ".join(
     [_PH.format("with sensor", sd, rel, f"u.ph + {_normal('p')}*{sd}e0", "ph") for sd, rel in ((0.0, 0.0), (0.15, 0.1), (0.3, 0.2), (0.5, 0.4))] + [_PH.format("without sensor", 0.0, 0.0, "u.k", "k")])), "points"))
+
+
+# ---- the job table (J14) drives one runner, results appended as they come
+_JOBS = {"seed": [42, 7, 13, 99, 2024], "design": ["random", "site", "10 km"], "target": ["n", "p", "k", "oc"]}
+_DEAL = {"random": lambda p, seed: designs.kfold(p, "id", 5, seed), "site": lambda p, seed: designs.group_folds(p, "spot", 5, seed), "10 km": lambda p, seed: designs.blocks(p, 10, 5, seed)}
+
+
+def j14_run(s, d):
+    from terrasift.plans import jobs
+    from terrasift.session import cut, scratch
+
+    p = cut(pts(s, d).select("id", "spot", "region", "x", "y", "ph", *_JOBS["target"]))
+    table = jobs.grid(s, **_JOBS).crossJoin(F.broadcast(p.select("region").distinct()))  # five regions
+    out = linear.run_jobs(table, scratch(s, "jobs"), ["seed", "design", "target", "region"], ["seed", "design"], lambda seed, design: linear.by_scope(_DEAL[design](p, seed), ["ph"], _JOBS["target"], "region", "fold"))
+    return rnd(out, ["r2"], 5)
+
+
+_KF = "f AS (SELECT *, CAST(CAST(concat('0x', substr(md5(concat(id, ':{0}')), 1, 8)) AS BIGINT) % 5 AS INTEGER) AS fold FROM t)"
+
+
+def _job_sql(seed, design):
+    f = {"random": _KF.format(seed), "site": fold_sql("spot", seed=seed), "10 km": fold_sql(BLK10, seed=seed)}[design]
+    per = " UNION ALL ".join(f"SELECT '{t}' AS target, u.region, u.{t} AS n, exp(a.c0 + a.c1*u.ph) - 1 AS yhat FROM f u JOIN (SELECT o.fold, o.region, regr_slope(ln(1 + c.{t}), c.ph) AS c1, regr_intercept(ln(1 + c.{t}), c.ph) AS c0 FROM (SELECT DISTINCT fold, region FROM f) o JOIN f c ON c.fold <> o.fold AND c.region = o.region GROUP BY ALL) a USING (fold, region)" for t in _JOBS["target"])
+    return f"SELECT * FROM (WITH {f} SELECT {seed} AS seed, '{design}' AS design, target, region, CAST(count(n) AS BIGINT) AS n, {R2} AS r2 FROM ({per}) GROUP BY target, region)"
+
+
+Q["j14_job_table_run"] = (j14_run, oracle(f"WITH {T} " + " UNION ALL ".join(_job_sql(a, b) for a in _JOBS["seed"] for b in _JOBS["design"]), "points"))

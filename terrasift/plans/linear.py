@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrasift.operators import metric
 from terrasift.plans.jobs import literal_table
 
 
@@ -72,3 +73,51 @@ def out_of_fold(df: DataFrame, named: dict[str, tuple[float, float]], feats, y:
     z = sum((F.col("__w")[i] * F.col(c) for i, c in enumerate(feats)), F.col("__a"))
     out = df.join(F.broadcast(t), fold)  # one row per fold and model
     return out.withColumn("pred", F.expm1(F.greatest("__lo", F.least("__hi", z)))).drop("__a", "__w", "__lo", "__hi")
+
+
+def by_scope(df: DataFrame, feats, targets, scope: str, fold: str) -> DataFrame:
+    """(scope, target, n, r2) of least-squares models fitted and scored out of fold inside each scope: two passes for all of them."""
+    feats, targets = list(feats), list(targets)
+    names = [f"__t{i}" for i in range(len(targets))]
+    d = df.withColumns({n: F.log1p(t) for n, t in zip(names, targets, strict=True)})
+    cols = [F.lit(1.0), *[F.col(c).cast("double") for c in feats], *[F.col(n) for n in names]]
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1)]
+    sums: dict = {}
+    for r in d.groupBy(scope, fold).agg(*[F.sum(cols[i] * cols[j]).alias(f"s{i}_{j}") for i, j in pairs]).collect():
+        m = np.zeros((len(cols), len(cols)))
+        for i, j in pairs:
+            m[i, j] = m[j, i] = r[f"s{i}_{j}"]
+        sums.setdefault(r[scope], {})[r[fold]] = m
+    rows = []
+    for where, per in sums.items():
+        total = sum(per.values())
+        for f, m in per.items():
+            for i, t in enumerate(targets):
+                at = [*range(len(feats) + 1), len(feats) + 1 + i]
+                left = (total - m)[np.ix_(at, at)]
+                if left[0, 0] > 0:
+                    a, w = solve(left, 0.0, 0.0)
+                    rows.append((where, f, t, a, [float(x) for x in w]))
+    table = literal_table(df.sparkSession, rows, [scope, fold, "target", "__a", "__w"])
+    long = d.select(scope, fold, *feats, F.inline(F.array(*[F.struct(F.lit(t).alias("target"), F.col(t).cast("double").alias("__y")) for t in targets])))
+    p = long.join(F.broadcast(table), [scope, fold, "target"])  # one row per scope, fold and target
+    p = p.withColumn("__p", F.expm1(sum((F.col("__w")[i] * F.col(c) for i, c in enumerate(feats)), F.col("__a"))))
+    return p.groupBy(scope, "target").agg(F.count("__y").alias("n"), metric.r2("__y", "__p").alias("r2"))
+
+
+def run_jobs(jobs: DataFrame, path: str, keys, axes, one) -> DataFrame:
+    """Run the jobs of a table that ``path`` does not hold yet and append their results.
+
+    ``axes`` are the columns that need a pass of their own (seed, design); ``one(*values)`` gives the result rows of all other
+    combinations at once, keyed by ``keys``. Only the distinct axis values reach the driver. A rerun after a crash goes on where it ended.
+    """
+    from terrasift.sources import tables
+
+    spark = jobs.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stored = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+    todo = tables.missing_keys(jobs, spark.read.parquet(path), keys) if stored else jobs
+    for values in todo.select(*axes).distinct().orderBy(*axes).collect():
+        done = one(*values).withColumns({a: F.lit(v) for a, v in zip(axes, values, strict=True)})
+        tables.append_missing(done.join(jobs.select(*keys), list(keys), "left_semi"), path, list(keys))
+    return spark.read.parquet(path)
