@@ -55,7 +55,7 @@ class Codec:
         self.new: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
         self.kept = kept
-        self.stays: dict[tuple, bool] = {}
+        self.stays: dict[int | tuple[str, str], bool] = {}
 
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text; stretches between spaces are independent, and the last ones seen are remembered."""
@@ -68,7 +68,7 @@ class Codec:
             if ids is None:
                 ids = old.get(part)
                 if ids is None:
-                    ids = self._best(part)
+                    ids = (self._joined(part) if self.kind == "bpe" else None) or self._best(part)
                 if len(part) <= 64:
                     if len(new) >= self.kept:
                         self.old = old = new
@@ -77,6 +77,36 @@ class Codec:
             out += ids
         return out
 
+    def _joined(self, part: str) -> tuple[int, ...] | None:
+        """The path of a byte-pair model where pieces cover the whole stretch, else None: the first piece that may stand there
+        is the only one, so scores need not be kept."""
+        n = len(part)
+        last, begin = [-1] * (n + 1), [0] * (n + 1)
+        last[0] = 0
+        stays = self.stays
+        for end, (size, _, i) in self.trie.iter(part):
+            to = end + 1
+            if last[to] >= 0:
+                continue
+            start = to - size
+            before = last[start]
+            if before < 0:
+                continue
+            if start:
+                ok = stays.get(before << 32 | i)
+                if ok is None:
+                    ok = self._beside((0, before), self.piece[before], i, self.piece[i])
+                if not ok:
+                    continue
+            last[to], begin[to] = i, start
+        if last[n] < 0:
+            return None
+        path = []
+        while n:
+            path.append(last[n])
+            n = begin[n]
+        return tuple(path[::-1])
+
     def _best(self, part: str) -> tuple[int, ...]:
         n = len(part)
         best: list[float | None] = [None] * (n + 1)
@@ -129,7 +159,7 @@ class Codec:
 
     def _beside(self, before: tuple[int, int], left: str, i: int, right: str) -> bool:
         """Whether merging the characters of two neighbouring pieces leaves exactly these two."""
-        key = (before[1], i) if before[1] != self.unknown else (left, right)
+        key = before[1] << 32 | i if before[1] != self.unknown else (left, right)
         got = self.stays.get(key)
         if got is None:
             if len(self.stays) > 1_000_000:
