@@ -107,7 +107,6 @@ Q["e18_rating_class_counts"] = (lambda s, d: agg.class_counts(view(s, d, "points
 _E = [-100.0, 0.0, 100.0, 200.0, 400.0, 5000.0, 6000.0]
 Q["e19_histogram_fixed_edges"] = (lambda s, d: agg.histogram(view(s, d, "points"), "n", _E), oracle(" UNION ALL ".join(
     f"SELECT {i} AS bin, {lo}e0 AS lo, {hi}e0 AS hi, {cnt(f'n > {lo} AND n <= {hi}')} AS n FROM points" for i, (lo, hi) in enumerate(zip(_E, _E[1:]))), "points"))
-Q["e20_most_frequent_values"] = (lambda s, d: agg.top_values(view(s, d, "raw"), "n", 10), oracle(f"SELECT n, {N} AS c FROM raw WHERE n IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10", "raw").replace(" AS c ", " AS n_ "))
 
 
 def e20(s, d):

@@ -159,7 +159,8 @@ def k28(s, d):
 
 _H30 = HELD.replace("LIMIT 100", "LIMIT 30")
 Q["k28_distance_curve"] = (k28, oracle(f"""WITH {T}, {_H30}, te AS (SELECT b.*, held FROM b JOIN h ON b.block = h.held), nd AS (SELECT h.held, a.id, any_value(a.x) AS x, any_value(a.y) AS y, any_value(a.n) AS n, round(min({DIST}), 3) AS bd FROM h JOIN b ON b.block = h.held JOIN b a ON a.block <> h.held GROUP BY 1, 2),
- k AS (SELECT kid, r, unnest(l) AS z FROM (SELECT a.id AS kid, v.r AS r, min(struct_pack(d := round({DIST}, 3), nb := b.id, v := ln(1 + b.n)), 10) AS l FROM (VALUES {', '.join(f'({r})' for r in RAD)}) v(r), te a JOIN nd b ON a.held = b.held WHERE b.bd > v.r GROUP BY 1, 2)),
+ ok AS (SELECT held, r FROM (SELECT held, r, count(*) FILTER (bd > r) AS c FROM nd, (VALUES {', '.join(f'({r})' for r in RAD)}) v(r) GROUP BY 1, 2) WHERE c >= 300), jb AS (SELECT * FROM ok WHERE held IN (SELECT held FROM ok WHERE r = 50000)),
+ k AS (SELECT kid, r, unnest(l) AS z FROM (SELECT a.id AS kid, v.r AS r, min(struct_pack(d := round({DIST}, 3), nb := b.id, v := ln(1 + b.n)), 10) AS l FROM (VALUES {', '.join(f'({r})' for r in RAD)}) v(r), te a JOIN nd b ON a.held = b.held JOIN jb ON jb.held = a.held WHERE b.bd > v.r AND jb.r = v.r GROUP BY 1, 2)),
  pr AS (SELECT kid, r, exp(sum(z.v/greatest(z.d, 30))/sum(1/greatest(z.d, 30))) - 1 AS yhat FROM k GROUP BY 1, 2)
  SELECT r*1e0 AS radius_m, CAST(count(*) AS BIGINT) AS n_test, CAST(count(DISTINCT held) AS BIGINT) AS blocks, round(1 - sum(pow(n - yhat, 2))/nullif(var_pop(n)*count(n), 0), 5) AS r2 FROM pr JOIN te ON te.id = kid GROUP BY r HAVING count(*) >= 100""", "points"))
 Q["k29_seed_repeats"] = (lambda s, d: learn.seed_repeats(pts(s, d), model(), Y), None)

@@ -178,16 +178,13 @@ def folded(s, d):
     return designs.blocks(pts(s, d), 10, 5, 42)
 
 
-Q["d18_knn_other_folds"] = (lambda s, d: self_rows(folded(s, d), 5, "fold"), None)
-
-
 def fold_sql(key, k=5, seed=42, src="t"):
     """Rows of src with a fold from the md5 order of the distinct keys."""
     return f"f AS (SELECT u.*, g.fold FROM (SELECT *, {key} AS fkey FROM {src}) u JOIN (SELECT fkey, CAST((row_number() OVER (ORDER BY md5(concat(fkey, ':{seed}')), fkey) - 1) % {k} AS INTEGER) AS fold FROM (SELECT DISTINCT {key} AS fkey FROM {src})) g ON u.fkey = g.fkey)"
 
 
 BLK10 = "concat(CAST(floor(x/10e3) AS BIGINT), '_', CAST(floor(y/10e3) AS BIGINT))"
-Q["d18_knn_other_folds"] = (Q["d18_knn_other_folds"][0], oracle(f"WITH {T}, {fold_sql(BLK10)} " + knn_sql(5, "a.fold <> b.fold").replace("FROM t a JOIN t b", "FROM f a JOIN f b"), "points"))
+Q["d18_knn_other_folds"] = (lambda s, d: self_rows(folded(s, d), 5, "fold"), oracle(f"WITH {T}, {fold_sql(BLK10)} " + knn_sql(5, "a.fold <> b.fold").replace("FROM t a JOIN t b", "FROM f a JOIN f b"), "points"))
 
 
 def d19(s, d):

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrasift.functions import clean, feat
+from terrasift.operators import groups
 from terrasift.operators.quantiles import medians, quantiles
 
 GREEN = 0.4
@@ -79,13 +80,16 @@ def burn_months(df: DataFrame, points: DataFrame, key="id", at="b", near="b3") -
 
 
 def composite(obs: DataFrame, bands, key="id", scene="scene_id", min_dates: int = 3) -> DataFrame:
-    """Multi-date composite: strict windows, physical reflectance, median per band, sd of NDVI and BSI, at least min_dates."""
-    o = obs.filter(clean.strict_bare()).dropDuplicates([key, scene])
+    """Multi-date composite: strict windows, physical reflectance, median per band, sd of NDVI and BSI, at least min_dates.
+
+    Of several rows of one point and scene the first in the order of its values counts. A point has as many dates as there
+    are scenes over it, so its medians are taken in the same aggregate as the deviations: one pass.
+    """
+    o = groups.first(obs.filter(clean.strict_bare()), [key, scene], [F.col(b) for b in bands])
     o = feat.reflectance(o, bands).filter(clean.valid_reflectance(bands))
     o = feat.indices(o).filter(clean.finite(*feat.INDEX_NAMES))
-    sd = o.groupBy(key).agg(F.stddev_samp("NDVI").alias("c_std_NDVI"), F.stddev_samp("BSI").alias("c_std_BSI"), F.count(F.lit(1)).alias("c_n_dates"))
-    med = medians(o, [key], bands).withColumnsRenamed({b: f"c_{b}" for b in bands})
-    out = med.join(sd.filter(F.col("c_n_dates") >= min_dates), key)
+    sd = [F.stddev_samp("NDVI").alias("c_std_NDVI"), F.stddev_samp("BSI").alias("c_std_BSI"), F.count(F.lit(1)).alias("c_n_dates")]
+    out = o.groupBy(key).agg(*[F.median(b).alias(f"c_{b}") for b in bands], *sd).filter(F.col("c_n_dates") >= min_dates)
     return feat.indices(out, prefix="c_")
 
 
