@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable, Iterator
 
@@ -142,7 +143,7 @@ def task_sums(df: DataFrame, count: Callable[[list[pa.RecordBatch]], np.ndarray]
         yield pa.record_batch({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "v": pa.array([total.tobytes()], pa.binary())})
 
     src = df.select(*columns)
-    rows = tree_sum(src.mapInArrow(work, "part int, v binary"), src.rdd.getNumPartitions()).collect()
+    rows = tree_sum(in_batches(src, work, "part int, v binary"), src.rdd.getNumPartitions()).collect()
     return sum((np.frombuffer(r.v, np.int64) for r in rows), np.zeros(length, np.int64))
 
 
@@ -156,3 +157,41 @@ def free(spark) -> None:
     """Let Spark's cleaner drop the shuffles of finished steps: it acts when the driver's garbage is collected."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+BATCH_ROWS = 1000  # texts per Arrow batch; Spark's 10,000 hold tens of megabytes several times over in each worker
+_RESIDENT: dict[str, object] = {}
+
+
+def in_batches(df: DataFrame, work, schema, keeps: bool = False) -> DataFrame:
+    """``df.mapInArrow`` for texts: small batches, and workers that give freed memory back when a task ends.
+
+    The batch size is a setting of the session and stays set, since the plan runs later. ``keeps``: the work uses ``resident``;
+    other work lets go of what an earlier operator left in the worker.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+    def task(batches):
+        if not keeps:
+            _RESIDENT.clear()
+        yield from work(batches)
+        trim()
+
+    return df.mapInArrow(task, schema)
+
+
+def resident(key: str, make: Callable[[], object]):
+    """What a worker keeps between tasks (an automaton, a codec): one at a time, whatever operator it belongs to."""
+    if key not in _RESIDENT:
+        _RESIDENT.clear()
+        _RESIDENT[key] = make()
+    return _RESIDENT[key]
+
+
+def trim() -> None:
+    """Return free memory to the system; workers live on between tasks, beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrasift.llm.common import extended
+from terrasift.llm.common import extended, in_batches, resident
 from terrasift.session import cut
 
 #: A-Z to a-z; ASCII letters, digits and all bytes of other characters stay; other ASCII bytes become a space.
@@ -30,12 +30,10 @@ def windows(text: str | None, size: int) -> set[bytes]:
     return {b" ".join(w[i : i + size]) for i in range(max(1, len(w) - size + 1))}
 
 
-_AUTOMATA: dict[str, object] = {}
-
-
 def automaton(key: str, items: list[tuple[str, str]], size: int):
-    """Automaton over the windows, each with a space on either side; kept per worker for the last ``key``."""
-    if key not in _AUTOMATA:
+    """Automaton over the windows, each with a space on either side; kept by the worker for the last ``key``."""
+
+    def make():
         import ahocorasick
 
         owners: dict[bytes, set[str]] = {}
@@ -47,9 +45,9 @@ def automaton(key: str, items: list[tuple[str, str]], size: int):
             a.add_word(f" {w.decode('latin-1')} ", (w.count(b" ") + 1, sorted(own)))
         if owners:
             a.make_automaton()
-        _AUTOMATA.clear()
-        _AUTOMATA[key] = a
-    return _AUTOMATA[key]
+        return a
+
+    return resident(f"windows {key}", make)
 
 
 def find(a, text: str | None) -> tuple[int, list[tuple[int, int, list[str]]]]:
@@ -126,7 +124,7 @@ def _pass(docs: DataFrame, shared, text: str, size: int, last: bool) -> DataFram
                 cols += [pa.array(n, pa.int64()), pa.array(spans, span)]
             yield pa.RecordBatch.from_arrays(cols, names=names + (["n_words", "spans"] if last else []))
 
-    return docs.mapInArrow(work, extended(docs, "n_words long, spans array<struct<start:int,end:int>>") if last else docs.schema)
+    return in_batches(docs, work, extended(docs, "n_words long, spans array<struct<start:int,end:int>>") if last else docs.schema, keeps=True)
 
 
 def summary(annotated: DataFrame) -> DataFrame:

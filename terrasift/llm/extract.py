@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrasift.llm.common import extended
+from terrasift.llm.common import extended, in_batches
 from terrasift.llm.urls import host
 from terrasift.session import cut
 
@@ -94,7 +94,7 @@ def vectors(pages: DataFrame) -> DataFrame:
             kinds = (pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["host", "token", "is_text", "page", "n", "pos"])
 
-    return pages.mapInArrow(work, "host string, token long, is_text boolean, page long, n long, pos long")
+    return in_batches(pages, work, "host string, token long, is_text boolean, page long, n long, pos long")
 
 
 def templates(pages: DataFrame) -> DataFrame:
@@ -230,7 +230,7 @@ def extract(pages: DataFrame, *, id: str = "page_id", url: str = "url", html: st
             out = [main_text(h, r, t) for h, r, t in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return joined.mapInArrow(work, extended(rows.select("page_id", "url"), "text string, n_chars long"))
+    return in_batches(joined, work, extended(rows.select("page_id", "url"), "text string, n_chars long"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

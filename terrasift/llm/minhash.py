@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrasift.llm.common import class_table, free, hashed_words, lower, mix, utf8
+from terrasift.llm.common import class_table, free, hashed_words, in_batches, lower, mix, utf8
 from terrasift.llm.graph import components
 from terrasift.session import cut
 
@@ -102,7 +102,7 @@ def signatures(docs: DataFrame, size: int, text: str, id: str) -> DataFrame:
             yield pa.record_batch({"doc_id": b.column(0), "cls": pa.array(cls, pa.binary()), "n": pa.array(n, pa.int64()),
                                    "bands": pa.array(bands, pa.list_(pa.int64())), "sketch": pa.array(sketches, pa.list_(pa.int64()))})
 
-    return docs.select(F.col(id).cast("long").alias("doc_id"), text).mapInArrow(work, "doc_id long, cls binary, n long, bands array<long>, sketch array<long>")
+    return in_batches(docs.select(F.col(id).cast("long").alias("doc_id"), text), work, "doc_id long, cls binary, n long, bands array<long>, sketch array<long>")
 
 
 def _finely_alike(a: str, b: str):
@@ -148,7 +148,7 @@ class _Sets:
             need = F.broadcast(need)
         text = self.docs.select(F.col(self.id).cast("long").alias("__id"), F.col(self.text).alias("text"))
         rows = text.join(need, F.col("__id").eqNullSafe(F.col("doc_id"))).select("cls", "text")
-        return cut(rows.mapInArrow(work, f"cls binary, {name} array<long>").dropDuplicates(["cls"]))
+        return cut(in_batches(rows, work, f"cls binary, {name} array<long>").dropDuplicates(["cls"]))
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs (u, v) with 100 * intersection >= percent * union."""

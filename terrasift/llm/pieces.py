@@ -14,16 +14,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrasift.llm.common import extended
+from terrasift.llm.common import extended, in_batches, resident
 
 SPACE = "▁"
-_LOADED: dict[tuple, Codec] = {}
 
 
 class Codec:
     """Encoder and decoder of one model: identity normaliser, leading space, optional byte fallback."""
 
-    def __init__(self, model: bytes, kind: str | None = None, kept: int = 200_000):
+    def __init__(self, model: bytes, kind: str | None = None, kept: int = 150_000):
         import ahocorasick
         import sentencepiece
 
@@ -162,7 +161,7 @@ class Codec:
         key = before[1] << 32 | i if before[1] != self.unknown else (left, right)
         got = self.stays.get(key)
         if got is None:
-            if len(self.stays) > 1_000_000:
+            if len(self.stays) > 400_000:
                 self.stays.clear()
             got = self.stays[key] = self.merged(left + right) == [left, right]
         return got
@@ -234,11 +233,7 @@ def _model_type(model: bytes) -> str:
 
 def codec(model: bytes) -> Codec:
     """The codec of a model, one per worker."""
-    key = hashlib.sha1(model).digest()
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = Codec(model)
-    return _LOADED[key]
+    return resident(f"pieces {hashlib.sha1(model).hexdigest()}", lambda: Codec(model))
 
 
 def model_bytes(path: str | None = None) -> bytes:
@@ -271,7 +266,7 @@ def encode(docs: DataFrame, model: bytes, *, text: str = "text", check: bool = T
             extra = [pa.array([c.decode(x) == t for x, t in zip(ids, texts, strict=True)])] if check else []
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.list_(pa.int32())), pa.array([len(x) for x in ids], pa.int64()), *extra], names=[*names, "ids", "n_pieces", *["round_trip"] * check])
 
-    return src.mapInArrow(work, extended(src, "ids array<int>, n_pieces long" + ", round_trip boolean" * check))
+    return in_batches(src, work, extended(src, "ids array<int>, n_pieces long" + ", round_trip boolean" * check), keeps=True)
 
 
 def decode(df: DataFrame, model: bytes, *, ids: str = "ids", out: str = "text") -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrasift.llm.common import chunks, class_table, extended, hashed_words, held_out, labelled, mix, task_sums, utf8
+from terrasift.llm.common import chunks, class_table, extended, hashed_words, held_out, in_batches, labelled, mix, task_sums, utf8
 
 SLOTS = 1 << 14  # words share a vector by hash, so the table has the same size at every scale
 DIM = 32
@@ -146,7 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, target: str = "quality", bound: i
             yield pa.record_batch({"id": b.column(0), "x": pa.array(list(x.astype(np.float64)), pa.list_(pa.float64())), "y": b.column(2)})
 
     sample = labelled(docs, labels, target, bound=bound, text=text).select(F.col("id").cast("string").alias("id"), "text", "y")
-    rows = sample.mapInArrow(pool, "id string, x array<double>, y int").toPandas().sort_values("id")
+    rows = in_batches(sample, pool, "id string, x array<double>, y int").toPandas().sort_values("id")
     x = np.array(rows["x"].tolist(), np.float64).reshape(len(rows), 2 * DIM)
     return Model(vectors, train(x, rows["y"].to_numpy(np.int64)))
 
@@ -166,7 +166,7 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", cut_at: float =
             p = m.net.score(pooled(utf8(b.column(at)), m.vectors))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64()), pa.array((p >= cut_at).astype(np.int32))], names=[*names, "score", "predicted"])
 
-    return docs.mapInArrow(work, extended(docs, "score double, predicted int"))
+    return in_batches(docs, work, extended(docs, "score double, predicted int"))
 
 
 def keep(docs: DataFrame, model: Model, *, text: str = "text", cut_at: float = 0.3) -> DataFrame:
@@ -178,7 +178,7 @@ def keep(docs: DataFrame, model: Model, *, text: str = "text", cut_at: float = 0
         for b in batches:
             yield b.filter(pa.array(m.net.score(pooled(utf8(b.column(at)), m.vectors)) >= cut_at))
 
-    return docs.mapInArrow(work, docs.schema)
+    return in_batches(docs, work, docs.schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, **kw) -> DataFrame:

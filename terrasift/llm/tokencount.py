@@ -10,12 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrasift.llm.common import extended
+from terrasift.llm.common import extended, in_batches, resident
 
 #: The pre-tokens of byte-level BPE (fixed pattern): contractions, words, numbers and signs with a space before, white space.
 PRE_TOKENS = (r"'(?:[stmd]|re|ve|ll)| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
               r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
-_COUNTERS: dict[str, PieceCounter] = {}
 
 
 class PieceCounter:
@@ -69,11 +68,8 @@ class PieceCounter:
 
 def counter(spec: str) -> PieceCounter:
     """The counter of a tokenizer, one per worker."""
-    if spec not in _COUNTERS:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _COUNTERS.clear()
-        _COUNTERS[spec] = PieceCounter(spec)
-    return _COUNTERS[spec]
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return resident(f"tokens {hash(spec)}", lambda: PieceCounter(spec))
 
 
 def tokenizer_file(path: str | None = None) -> str:
@@ -109,7 +105,7 @@ def counted(docs: DataFrame, spec: str, *, text: str = "text", group: int = 256)
                 total += [s + sum(n * pieces[p] for p, n in f.items()) for s, f in found]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(total, pa.int64())], names=[*names, "n_tokens"])
 
-    return src.mapInArrow(work, extended(src, "n_tokens long"))
+    return in_batches(src, work, extended(src, "n_tokens long"), keeps=True)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrasift.llm.common import chunks, class_table, extended, hashed_words, held_out, labelled, lower, task_sums, utf8
+from terrasift.llm.common import chunks, class_table, extended, hashed_words, held_out, in_batches, labelled, lower, task_sums, utf8
 
 #: Letters, digits and bytes of other characters, after A-Z are lower-cased.
 WORDS = class_table(lambda b: 1 if 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 else 0)
@@ -74,7 +74,7 @@ def vocabulary(sample: DataFrame, most: int) -> np.ndarray:
     n1, n0 = sample.agg(F.count_if(F.col("y") == 1), F.count_if(F.col("y") != 1)).first()
     if not n1 or not n0:
         return np.zeros(0, np.int64)
-    per = sample.select("text", "y").mapInArrow(work, "h long, y int").groupBy("h").agg(F.count_if(F.col("y") == 1).cast("double").alias("a"), F.count_if(F.col("y") != 1).cast("double").alias("b"))
+    per = in_batches(sample.select("text", "y"), work, "h long, y int").groupBy("h").agg(F.count_if(F.col("y") == 1).cast("double").alias("a"), F.count_if(F.col("y") != 1).cast("double").alias("b"))
     per = per.cache()
     words = per.count()
     odds = (F.col("a") + 0.5) * (n0 + 0.5 - F.col("b")) >= ODDS * (F.col("b") + 0.5) * (n1 + 0.5 - F.col("a"))
@@ -198,7 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, target: str = "toxic", bound: int
             got = counted(utf8(b.column(1)), voc)
             yield pa.record_batch({"id": b.column(0), "y": b.column(2), "t": pa.array([t.tolist() for t, _ in got], pa.list_(pa.int64())), "n": pa.array([n.tolist() for _, n in got], pa.list_(pa.int64()))})
 
-    rows = sorted(sample.mapInArrow(vectors, "id string, y int, t array<long>, n array<long>").collect(), key=lambda r: r.id)
+    rows = sorted(in_batches(sample, vectors, "id string, y int, t array<long>, n array<long>").collect(), key=lambda r: r.id)
     sample.unpersist()
     y = np.array([r.y for r in rows], np.int64)
     has = [r for r in rows if len(r.t)]
@@ -234,7 +234,7 @@ def score(docs: DataFrame, index: Index, *, text: str = "text", k: int = 15, cut
                     evidence[i] = [{"id": ix.ids[j], "label": int(ix.y[j]), "cosine": float(c)} for j, c in zip(found, cosine, strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64()), pa.array((p >= cut_at).astype(np.int32)), pa.array(evidence, kind)], names=[*names, "score", "predicted", "evidence"])
 
-    return docs.mapInArrow(work, extended(docs, "score double, predicted int, evidence array<struct<id:string,label:int,cosine:double>>"))
+    return in_batches(docs, work, extended(docs, "score double, predicted int, evidence array<struct<id:string,label:int,cosine:double>>"))
 
 
 def keep(docs: DataFrame, index: Index, *, text: str = "text", k: int = 15, cut_at: float = 0.5) -> DataFrame:
@@ -248,7 +248,7 @@ def keep(docs: DataFrame, index: Index, *, text: str = "text", k: int = 15, cut_
             p = [ix.probability(ix.vote(*ix.nearest(t, weights(t, n, ix.idf), k))) if len(t) else bare for t, n in counted(utf8(b.column(at)), ix.voc)]
             yield b.filter(pa.array(np.array(p, np.float64) < cut_at))
 
-    return docs.mapInArrow(work, docs.schema)
+    return in_batches(docs, work, docs.schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, **kw) -> DataFrame:
