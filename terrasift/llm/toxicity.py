@@ -1,25 +1,28 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, distance-weighted votes.
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine over all terms, distance-weighted votes.
 
-The index holds a bounded sample of labelled documents. Its terms are the words that in the sample are far more frequent among
-toxic documents (odds ratio and a G-test far above what chance gives for so many words), so that a neighbour shares what a label
-is about and not the language or length; document frequencies are counted over all documents.
+The index holds a bounded sample of labelled documents with every word of theirs; document frequencies are counted over all
+documents. A word of a document that is in no example can't add to a product, but counts for the document's length, with the
+weight of a word that no other document has.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrasift.llm.common import chunks, class_table, extended, hashed_words, held_out, in_batches, labelled, lower, task_sums, utf8
+from terrasift.llm.common import chunks, class_table, extended, hashed_words, held_out, in_batches, labelled, lower, task_sums, trim, utf8
 
 #: Letters, digits and bytes of other characters, after A-Z are lower-cased.
 WORDS = class_table(lambda b: 1 if 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 else 0)
-BLOCK = 64
-ODDS = 4.0
+#: A term of more than one in COMMON examples is a row of a dense matrix, the MOST most frequent ones at most; all others are postings.
+COMMON, MOST = 16, 1024
+TOGETHER = 64  # documents scored at a time
+SLACK = 1e-4  # far above the rounding of single precision; what is nearer to the k-th cosine is computed again in double precision
 
 
 def terms(texts: list[bytes]):
@@ -30,61 +33,29 @@ def terms(texts: list[bytes]):
         yield a, h.view(np.int64), begin
 
 
-def counted(texts: list[bytes], vocabulary: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per text, the numbers of the vocabulary's terms (sorted hashes) that occur and how often."""
-    none = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    out = [none] * len(texts)
-    if not len(vocabulary):
-        return out
+def bags(texts: list[bytes]):
+    """(first text, text, word hash, count) of the distinct words of each chunk, by text and hash."""
     for a, h, begin in terms(texts):
-        at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
-        hit = np.flatnonzero(vocabulary[at] == h)
-        doc = np.searchsorted(begin, hit, side="right") - 1
-        key, n = np.unique(doc * len(vocabulary) + at[hit], return_counts=True)
-        doc, term = key // len(vocabulary), key % len(vocabulary)
-        edge = np.flatnonzero(np.diff(doc, prepend=-1))
-        for x, y in zip(edge, np.append(edge, len(doc))[1:], strict=True):
-            out[a + int(doc[x])] = term[x:y], n[x:y]
+        doc = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
+        order = np.lexsort((h, doc))
+        h, doc = h[order], doc[order]
+        new = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))) if len(h) else np.zeros(0, np.int64)
+        yield a, len(begin) - 1, doc[new], h[new], np.diff(np.append(new, len(h)))
+
+
+def counted(texts: list[bytes], vocabulary: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """Per text, the numbers of the vocabulary's terms (sorted hashes) that occur, how often, and the sum of (1 + ln n)**2 of all other words."""
+    out = []
+    for _, size, doc, h, n in bags(texts):
+        at = np.minimum(np.searchsorted(vocabulary, h), max(len(vocabulary) - 1, 0))
+        hit = vocabulary[at] == h if len(vocabulary) else np.zeros(len(h), bool)
+        rest = np.bincount(doc[~hit], (1 + np.log(n[~hit])) ** 2, minlength=size)
+        doc, at, n = doc[hit], at[hit], n[hit]
+        edge = np.searchsorted(doc, np.arange(size + 1))
+        out += [(at[x:y], n[x:y], r) for x, y, r in zip(edge, edge[1:], rest.tolist())]
     return out
 
 
-def g_test(a, n1, b, n0):
-    """Twice the log likelihood ratio of a term seen in a of n1 and b of n0 documents."""
-    total, seen = n1 + n0, a + b
-
-    def part(o, e):
-        return F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
-
-    return 2 * (part(a, seen * n1 / total) + part(b, seen * n0 / total) + part(n1 - a, (total - seen) * n1 / total) + part(n0 - b, (total - seen) * n0 / total))
-
-
-def vocabulary(sample: DataFrame, most: int) -> np.ndarray:
-    """Hashes of at most ``most`` words with odds of class 1 at least ODDS times the others' and G above 2 ln(number of words)."""
-
-    def work(batches):
-        for b in batches:
-            texts, y = utf8(b.column(0)), b.column(1).to_numpy()
-            for a, h, begin in terms(texts):
-                doc = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
-                order = np.lexsort((doc, h))
-                h_s, d_s = h[order], doc[order]
-                new = np.flatnonzero((np.diff(h_s, prepend=h_s[0] + 1 if len(h_s) else 0) != 0) | (np.diff(d_s, prepend=-1) != 0))
-                yield pa.record_batch({"h": pa.array(h_s[new]), "y": pa.array(y[a + d_s[new]].astype(np.int32))})
-
-    n1, n0 = sample.agg(F.count_if(F.col("y") == 1), F.count_if(F.col("y") != 1)).first()
-    if not n1 or not n0:
-        return np.zeros(0, np.int64)
-    per = in_batches(sample.select("text", "y"), work, "h long, y int").groupBy("h").agg(F.count_if(F.col("y") == 1).cast("double").alias("a"), F.count_if(F.col("y") != 1).cast("double").alias("b"))
-    per = per.cache()
-    words = per.count()
-    odds = (F.col("a") + 0.5) * (n0 + 0.5 - F.col("b")) >= ODDS * (F.col("b") + 0.5) * (n1 + 0.5 - F.col("a"))
-    strong = per.filter(odds).withColumn("g", g_test(F.col("a"), F.lit(float(n1)), F.col("b"), F.lit(float(n0))))
-    strong = strong.filter(F.col("g") > 2 * float(np.log(max(words, 2)))).orderBy(F.desc("g"), "h").limit(most)
-    found = np.sort(np.array([r.h for r in strong.select("h").collect()], np.int64))
-    per.unpersist()
-    return found
-
-
 def frequencies(docs: DataFrame, voc: np.ndarray, text: str = "text") -> tuple[int, np.ndarray]:
     """Number of documents, and in how many each term occurs."""
 
@@ -92,7 +63,7 @@ def frequencies(docs: DataFrame, voc: np.ndarray, text: str = "text") -> tuple[i
         texts = utf8(batch.column(0))
         total = np.zeros(len(voc) + 1, np.int64)
         total[-1] = len(texts)
-        for t, _ in counted(texts, voc):
+        for t, _, _ in counted(texts, voc):
             total[t] += 1
         return total
 
@@ -100,65 +71,113 @@ def frequencies(docs: DataFrame, voc: np.ndarray, text: str = "text") -> tuple[i
     return int(total[-1]), total[:-1]
 
 
-def weights(term: np.ndarray, n: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """Unit TF-IDF weights, term frequency as 1 + ln n."""
+def weights(term: np.ndarray, n: np.ndarray, idf: np.ndarray, rest: float = 0.0) -> np.ndarray:
+    """TF-IDF weights over the length, term frequency as 1 + ln n; ``rest``: the squares of the weights of what is not in ``term``."""
     w = (1 + np.log(n)) * idf[term]
-    return w / np.sqrt((w * w).sum()) if len(w) else w
+    return w / np.sqrt((w * w).sum() + rest) if len(w) else w
 
 
 @dataclass
 class Index:
-    """Postings by term, ordered by example and cut into blocks of examples; ``top[term, block]`` is a block's largest weight."""
+    """The examples' vectors one after another; postings and the matrix of common terms follow from them and are not sent about."""
 
     voc: np.ndarray
     idf: np.ndarray
     ids: list[str]
     y: np.ndarray
-    example: np.ndarray
+    begin: np.ndarray  # example -> first place in term and weight, with one more for the end
+    term: np.ndarray
     weight: np.ndarray
-    first: np.ndarray  # (term, block) -> first posting, with one more column for the end
-    top: np.ndarray
     prior: float = 0.0
     curve: tuple[float, float] = (0.0, 0.0)
+    unseen: float = 0.0  # square of the idf of a word that is in no example
 
     @classmethod
     def build(cls, voc, idf, ids, y, vectors) -> Index:
         """vectors: (terms, weights) of each example, none of them empty."""
-        term = np.concatenate([t for t, _ in vectors]) if vectors else np.zeros(0, np.int64)
-        own = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors])
+        term = np.concatenate([t for t, _ in vectors]).astype(np.int32) if vectors else np.zeros(0, np.int32)
         w = np.concatenate([w for _, w in vectors]) if vectors else np.zeros(0)
-        order = np.lexsort((own, term))
-        term, own, w = term[order], own[order], w[order]
-        blocks = max(1, -(-len(vectors) // BLOCK))
-        edges = (np.arange(len(voc))[:, None] * (blocks * BLOCK) + np.arange(blocks + 1) * BLOCK).ravel()
-        first = np.searchsorted(term * (blocks * BLOCK) + own, edges).reshape(len(voc), blocks + 1)
-        top = np.zeros((len(voc), blocks))
-        np.maximum.at(top, (term, own // BLOCK), w)
-        return cls(voc, idf, ids, np.asarray(y, np.int64), own, w, first, top)
+        return cls(voc, idf, ids, np.asarray(y, np.int64), np.concatenate([[0], np.cumsum([len(t) for t, _ in vectors])]).astype(np.int64), term, w)
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k not in ("_parts", "_query", "shared")}
+
+    def sent(self, spark):
+        """The broadcast of the index, made once; the curve, which is found with it, is passed besides."""
+        if "shared" not in self.__dict__:
+            self.shared = spark.sparkContext.broadcast(self)
+        return self.shared
+
+    def example(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        a, b = self.begin[i], self.begin[i + 1]
+        return self.term[a:b], self.weight[a:b]
+
+    @cached_property
+    def _parts(self):
+        """(row of each term in the matrix or -1, the matrix, first posting of each term, postings' examples, their weights)."""
+        n = len(self.begin) - 1
+        df = np.bincount(self.term, minlength=len(self.voc))
+        often = np.argsort(-df, kind="stable")[:MOST]
+        often = often[df[often] * COMMON > n]
+        row = np.full(len(self.voc), -1, np.int64)
+        row[often] = np.arange(len(often))
+        own = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.begin))
+        dense = row[self.term] >= 0
+        matrix = np.zeros((len(often), n), np.float32)
+        matrix[row[self.term[dense]], own[dense]] = self.weight[dense]
+        term, own, w = self.term[~dense], own[~dense], self.weight[~dense].astype(np.float32)
+        order = np.argsort(term, kind="stable")
+        first = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(self.voc)))]).astype(np.int64)
+        return row, matrix, first, own[order], w[order]
+
+    @cached_property
+    def _query(self) -> np.ndarray:
+        return np.zeros(len(self.voc))
+
+    def nearest_of_all(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, skip=None):
+        """(examples, cosines) per query (terms, weights): its k nearest examples of positive cosine, ties to the earlier one.
+
+        Every example is scored on every common term in single precision; what may be among the k nearest is scored again exactly.
+        ``skip``: an example to leave out for each query.
+        """
+        n = len(self.begin) - 1
+        if not n:
+            yield from ((np.zeros(0, np.int64), np.zeros(0)) for _ in queries)
+            return
+        row, matrix, first, example, weight = self._parts
+        for at in range(0, len(queries), TOGETHER):
+            part = queries[at : at + TOGETHER]
+            q = np.zeros((len(part), len(matrix)), np.float32)
+            for i, (t, w) in enumerate(part):
+                r = row[t]
+                q[i, r[r >= 0]] = w[r >= 0]
+            scores = q @ matrix
+            for i, (t, w) in enumerate(part):
+                rare = row[t] < 0
+                a, size = first[t[rare]], first[t[rare] + 1] - first[t[rare]]
+                places = np.repeat(a - np.cumsum(size) + size, size) + np.arange(size.sum())
+                s = scores[i] + np.bincount(example[places], np.repeat(w[rare], size) * weight[places], minlength=n)
+                if skip is not None and skip[at + i] >= 0:
+                    s[skip[at + i]] = 0
+                least = np.partition(s, n - k)[n - k] - SLACK if n > k else 0
+                yield self._exact(t, w, np.flatnonzero((s > 0) & (s >= least)), k)
+
+    def _exact(self, t, w, found, k):
+        size = self.begin[found + 1] - self.begin[found]
+        places = np.repeat(self.begin[found] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        self._query[t] = w
+        cosine = np.bincount(np.repeat(np.arange(len(found)), size), self._query[self.term[places]] * self.weight[places], minlength=len(found))
+        self._query[t] = 0
+        keep = np.lexsort((found, -cosine))[:k]
+        return found[keep], cosine[keep]
 
     def nearest(self, term: np.ndarray, w: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the k nearest examples of positive cosine, ties to the earlier example; ``skip`` is left out.
+        """The k nearest examples of one query; ``skip`` is left out."""
+        return next(iter(self.nearest_of_all([(term, w)], k, [skip])))
 
-        Blocks come in falling order of their bound; the search ends at a block whose bound is below the k-th cosine.
-        """
-        bound = w @ self.top[term]
-        order = np.argsort(-bound, kind="stable")
-        found, cosine = np.zeros(0, np.int64), np.zeros(0)
-        for block in order:
-            if bound[block] <= 0 or (len(found) >= k and bound[block] < cosine[k - 1] - 1e-12):
-                break
-            s = np.zeros(BLOCK)
-            for t, q in zip(term, w, strict=True):
-                a, b = self.first[t, block], self.first[t, block + 1]
-                s[self.example[a:b] - block * BLOCK] += q * self.weight[a:b]
-            at = np.flatnonzero(s > 0 if len(found) < k else s >= cosine[k - 1])
-            at = at[at + block * BLOCK != skip]
-            if not len(at):
-                continue
-            found, cosine = np.concatenate([found, at + block * BLOCK]), np.concatenate([cosine, s[at]])
-            keep = np.lexsort((found, -cosine))[:k]
-            found, cosine = found[keep], cosine[keep]
-        return found, cosine
+    def neighbours(self, texts: list[bytes], k: int):
+        """(examples, cosines) of each text; none for a text without any of the terms."""
+        return self.nearest_of_all([(t, weights(t, n, self.idf, rest * self.unseen)) for t, n, rest in counted(texts, self.voc)], k)
 
     def vote(self, found: np.ndarray, cosine: np.ndarray) -> float:
         """Log odds of votes that weigh the inverse of the distance, with one pseudo vote shared as the prior says."""
@@ -167,8 +186,8 @@ class Index:
         no = float(w.sum()) + 1.0 - yes
         return float(np.log(max(yes, 1e-9) / max(no, 1e-9)))
 
-    def probability(self, vote: float) -> float:
-        a, b = self.curve
+    def probability(self, vote: float, curve: tuple[float, float] | None = None) -> float:
+        a, b = curve or self.curve
         return 1.0 / (1.0 + np.exp(-np.clip(a * vote + b, -30, 30)))
 
 
@@ -186,52 +205,79 @@ def platt(vote: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(ab[0]), 0.0), float(ab[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, target: str = "toxic", bound: int = 20_000, most_terms: int = 4096, k: int = 15, text: str = "text") -> Index:
+def fit(docs: DataFrame, labels: DataFrame, *, target: str = "toxic", bound: int = 20_000, k: int = 15, text: str = "text") -> Index:
     """The index of at most ``bound`` labelled documents that are not held out, calibrated by leaving each one out."""
-    sample = labelled(docs, labels, target, bound=bound, text=text).select(F.col("id").cast("string").alias("id"), "text", "y").cache()
-    voc = vocabulary(sample, most_terms)
-    total, df = frequencies(docs, voc, text) if len(voc) else (0, np.zeros(0))
-    idf = np.log((1.0 + total) / (1.0 + df)) + 1.0
+    spark = docs.sparkSession
+    sample = labelled(docs, labels, target, bound=bound, text=text).select(F.col("id").cast("string").alias("id"), "text", "y")
 
-    def vectors(batches):
+    def words(batches):
         for b in batches:
-            got = counted(utf8(b.column(1)), voc)
-            yield pa.record_batch({"id": b.column(0), "y": b.column(2), "t": pa.array([t.tolist() for t, _ in got], pa.list_(pa.int64())), "n": pa.array([n.tolist() for _, n in got], pa.list_(pa.int64()))})
-
-    rows = sorted(in_batches(sample, vectors, "id string, y int, t array<long>, n array<long>").collect(), key=lambda r: r.id)
-    sample.unpersist()
-    y = np.array([r.y for r in rows], np.int64)
-    has = [r for r in rows if len(r.t)]
-    own = [(np.array(r.t), weights(np.array(r.t), np.array(r.n), idf)) for r in has]
-    index = Index.build(voc, idf, [r.id for r in has], [r.y for r in has], own)
+            h, n = [], []
+            for _, size, doc, hashes, counts in bags(utf8(b.column(1))):
+                edge = np.searchsorted(doc, np.arange(size + 1))
+                h += [hashes[x:y].tobytes() for x, y in zip(edge, edge[1:])]
+                n += [counts[x:y].astype(np.int32).tobytes() for x, y in zip(edge, edge[1:])]
+            yield pa.record_batch({"id": b.column(0), "y": b.column(2), "h": pa.array(h, pa.binary()), "n": pa.array(n, pa.binary())})
+
+    rows = sorted(in_batches(sample, words, "id string, y int, h binary, n binary").collect(), key=lambda r: r.id)
+    has, none = [r for r in rows if len(r.h)], [r.y for r in rows if not len(r.h)]
+    ids, y = [r.id for r in has], np.array([r.y for r in has] + none, np.int64)
+    sizes = [len(r.h) // 8 for r in has]
+    h, n = np.frombuffer(b"".join(r.h for r in has), np.int64), np.frombuffer(b"".join(r.n for r in has), np.int32)
+    del rows, has
+    voc = np.unique(h)
+    term = np.searchsorted(voc, h).astype(np.int32)
+    del h
+    total, df = frequencies(docs, voc, text) if len(voc) else (0, np.zeros(0))
+    idf = np.log((1.0 + total) / (1.0 + df)) + 1.0
+    begin = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    weight = np.concatenate([weights(term[a:b], n[a:b], idf) for a, b in zip(begin, begin[1:])]) if len(ids) else np.zeros(0)
+    index = Index(voc, idf, ids, y[: len(ids)], begin, term, weight)
+    del n, df
+    trim()
+    index.unseen = float((np.log((1.0 + total) / 2.0) + 1.0) ** 2)
     index.prior = float((y.sum() + 0.5) / (len(y) + 1.0)) if len(y) else 0.5
-    votes = [index.vote(*index.nearest(t, w, k, skip=i)) for i, (t, w) in enumerate(own)]
     bare = index.vote(np.zeros(0, np.int64), np.zeros(0))
-    votes = np.array(votes + [bare] * (len(rows) - len(has)))
-    index.curve = platt(votes, np.array([r.y for r in has] + [r.y for r in rows if not len(r.t)], np.int64)) if len(y) else (1.0, 0.0)
+    votes = np.array(left_out(spark, index, k) + [bare] * len(none))
+    index.curve = platt(votes, y) if len(y) else (1.0, 0.0)
     return index
 
 
+def left_out(spark, index: Index, k: int) -> list[float]:
+    """The vote on each example by the others."""
+    if not len(index.ids):
+        return []
+    shared = index.sent(spark)
+
+    def work(batches):
+        ix = shared.value
+        for b in batches:
+            own = b.column(0).to_numpy()
+            votes = [ix.vote(*x) for x in ix.nearest_of_all([ix.example(i) for i in own], k, own)]
+            yield pa.record_batch({"i": b.column(0), "vote": pa.array(votes, pa.float64())})
+
+    tasks = min(len(index.ids), 4 * spark.sparkContext.defaultParallelism)
+    votes = [r.vote for r in sorted(in_batches(spark.range(0, len(index.ids), 1, tasks).select(F.col("id").alias("i")), work, "i long, vote double").collect())]
+    trim()
+    return votes
+
+
 def score(docs: DataFrame, index: Index, *, text: str = "text", k: int = 15, cut_at: float = 0.5) -> DataFrame:
     """Add score, predicted (score >= cut_at) and evidence (the nearest examples: id, label, cosine), in place of such columns.
 
     A text without any of the index's terms (null and empty texts too) has no neighbours: its score is the calibrated prior.
     """
     docs = docs.drop("score", "predicted", "evidence")
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+    shared, curve = index.sent(docs.sparkSession), index.curve
     at, names = docs.columns.index(text), docs.columns
     kind = pa.list_(pa.struct([("id", pa.string()), ("label", pa.int32()), ("cosine", pa.float64())]))
 
     def work(batches):
         ix = shared.value
-        bare = ix.probability(ix.vote(np.zeros(0, np.int64), np.zeros(0)))
         for b in batches:
-            p, evidence = np.full(b.num_rows, bare), [[]] * b.num_rows
-            for i, (t, n) in enumerate(counted(utf8(b.column(at)), ix.voc)):
-                if len(t):
-                    found, cosine = ix.nearest(t, weights(t, n, ix.idf), k)
-                    p[i] = ix.probability(ix.vote(found, cosine))
-                    evidence[i] = [{"id": ix.ids[j], "label": int(ix.y[j]), "cosine": float(c)} for j, c in zip(found, cosine, strict=True)]
+            near = list(ix.neighbours(utf8(b.column(at)), k))
+            p = np.array([ix.probability(ix.vote(*x), curve) for x in near], np.float64)
+            evidence = [[{"id": ix.ids[j], "label": int(ix.y[j]), "cosine": float(c)} for j, c in zip(*x, strict=True)] for x in near]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64()), pa.array((p >= cut_at).astype(np.int32)), pa.array(evidence, kind)], names=[*names, "score", "predicted", "evidence"])
 
     return in_batches(docs, work, extended(docs, "score double, predicted int, evidence array<struct<id:string,label:int,cosine:double>>"))
@@ -239,13 +285,12 @@ def score(docs: DataFrame, index: Index, *, text: str = "text", k: int = 15, cut
 
 def keep(docs: DataFrame, index: Index, *, text: str = "text", k: int = 15, cut_at: float = 0.5) -> DataFrame:
     """The rows whose score is below ``cut_at``; columns as they came, whatever their names."""
-    shared, at = docs.sparkSession.sparkContext.broadcast(index), docs.columns.index(text)
+    shared, curve, at = index.sent(docs.sparkSession), index.curve, docs.columns.index(text)
 
     def work(batches):
         ix = shared.value
-        bare = ix.probability(ix.vote(np.zeros(0, np.int64), np.zeros(0)))
         for b in batches:
-            p = [ix.probability(ix.vote(*ix.nearest(t, weights(t, n, ix.idf), k))) if len(t) else bare for t, n in counted(utf8(b.column(at)), ix.voc)]
+            p = [ix.probability(ix.vote(*x), curve) for x in ix.neighbours(utf8(b.column(at)), k)]
             yield b.filter(pa.array(np.array(p, np.float64) < cut_at))
 
     return in_batches(docs, work, docs.schema)

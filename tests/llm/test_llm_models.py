@@ -118,3 +118,40 @@ def test_block_search_skips_blocks():
     ix = toxicity.Index.build(voc, idf, [str(i) for i in range(704)], [1] * 704, vectors)
     found, cosine = ix.nearest(np.array([0]), np.array([1.0]), 15)
     assert found.tolist() == list(range(15)) and (cosine == 1).all()
+
+
+def test_every_word_counts_for_the_cosine(spark):
+    """Against brute force over all words of the texts: no word is left out for being harmless, frequent or rare."""
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words[j] for j in np.minimum(rng.geometric(0.02, rng.integers(3, 60)), 400) - 1) for _ in range(120)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(500, texts[7] + " neverseen neverseen")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(120)], "doc_id long, toxic int")
+    got = {r.doc_id: r.evidence for r in toxicity.classify(docs, labels).collect()}
+    taught = {r.doc_id for r in labels.filter(~common.held_out()).collect()}
+    bags = {i: {w: t.split().count(w) for w in set(t.split())} for i, t in rows}
+    df = {w: sum(w in b for b in bags.values()) if any(w in bags[j] for j in taught) else 1 for b in bags.values() for w in b}
+    weight = {i: {w: (1 + np.log(n)) * (np.log((1 + len(rows)) / (1 + df[w])) + 1) for w, n in b.items()} for i, b in bags.items()}
+    unit = {i: {w: x / np.sqrt(sum(v * v for v in b.values())) for w, x in b.items()} for i, b in weight.items()}
+    for i in bags:
+        want = sorted((sum(x * unit[j].get(w, 0.0) for w, x in unit[i].items()) for j in taught), reverse=True)
+        want = [c for c in want if c > 0][:15]
+        assert np.allclose([e.cosine for e in got[i]], want), i
+
+
+def test_common_and_rare_terms_make_one_cosine():
+    rng = np.random.default_rng(8)
+    idf = rng.uniform(1, 8, 300)
+    share = np.r_[np.full(20, 20.0), np.full(280, 0.2)]
+    vectors = []
+    for _ in range(500):
+        t = np.sort(rng.choice(300, rng.integers(5, 40), replace=False, p=share / share.sum()))
+        vectors.append((t, toxicity.weights(t, rng.integers(1, 4, len(t)), idf)))
+    ix = toxicity.Index.build(np.arange(300), idf, list(map(str, range(500))), rng.integers(0, 2, 500), vectors)
+    assert 0 < len(ix._parts[1]) < 300 and len(ix._parts[3])
+    dense = np.zeros((500, 300))
+    for i, (t, w) in enumerate(vectors):
+        dense[i, t] = w
+    for i, (_, cosine) in enumerate(ix.nearest_of_all(vectors, 15, range(500))):
+        assert np.allclose(cosine, np.sort(np.delete(dense @ dense[i], i))[::-1][:15])
