@@ -69,7 +69,7 @@ def targets(html, url):
 
 def redirects(pages: DataFrame, *, url: str = "url", html: str = "html") -> DataFrame:
     """(source, target) urls of redirects and canonical links in the pages' heads and bodies."""
-    some = pages.filter(F.col(html).contains("canonical") | F.col(html).contains("CANONICAL") | lower(F.col(html)).contains("refresh"))
+    some = pages.filter(lower(F.col(html)).contains("canonical") | lower(F.col(html)).contains("refresh"))
     return some.select(F.col(url).alias("source"), F.explode(targets(F.col(html), F.col(url))).alias("target"))
 
 

@@ -36,6 +36,12 @@ def test_decisions_without_links_and_with_a_crawl_log(spark):
     assert urls.judge(df.filter("false"), edges=log).count() == 0
 
 
+def test_a_canonical_link_in_mixed_case(spark):
+    rows = [(1, "http://a.org/", '<link REL="Canonical" href="http://b.net/es/1">'), (2, "http://c.org/", '<LINK rel=CanoniCal href="http://d.net/fr/1">')]
+    got = urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert {(r.page_id, r.verdict) for r in got.collect()} == {(1, "block"), (2, "block")}
+
+
 def test_a_hub_of_aliases(spark):
     rows = [(i, f"http://p{i}.org/", LINK.format("http://hub.org/")) for i in range(500)] + [(1000, "http://hub.org/", LINK.format("http://n.net/es/9"))]
     got = urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string"))
