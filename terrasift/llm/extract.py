@@ -3,8 +3,9 @@
 A token is a tag with its telling attributes, or a whole run of text. Its occurrence vector (how often it occurs on each page)
 is never built: an XOR of hashes of (page, count) with the number of pages and occurrences stands for it, so hosts of any size are
 counted by plain partial aggregation. Tokens of equal vectors on most pages make a class; a class is valid if its tokens stand
-together in the same page, and is nested in the slot of the surrounding class that holds all of it. Template text is left out; what
-remains in slots of the article, outside menus, adverts, forms and the like, is the text.
+together in the same page, and is nested in the slot of the surrounding class that holds all of it. Template text is left out, in
+articles too; what remains in article and main elements, or without such in slots that are not mostly links, outside menus, adverts,
+forms and the like, is the text.
 """
 
 from __future__ import annotations
@@ -28,6 +29,9 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 RAW = set("script style textarea title xmp iframe noembed noframes".split())
 BLOCK = set("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header
     hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul""".split())
+#: Parts that belong to the list or table around them, and those; a constant label in a list of other texts is no template.
+PARTS = set("li dd dt tr td th caption tbody thead tfoot option hgroup figcaption summary legend".split())
+HELD = set("ul ol dl table menu select".split())
 APART = set("head script style title noscript template nav footer aside form button select textarea iframe svg object canvas audio video dialog menu xmp noembed noframes".split())
 #: Words of a class or id that mark what is no part of the article.
 MARKS = set("""ad ads adbox advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert alerts popup modal
@@ -139,12 +143,17 @@ def _apart(name: str, a: dict[str, str], inside: bool) -> bool:
 
 
 def main_text(html: str, root: list[int] | None = None, texts: list[int] | None = None) -> str:
-    """The article's blocks, joined by newlines. ``root`` and ``texts``: the host's template."""
+    """The article's blocks, joined by newlines. ``root`` and ``texts``: the host's template.
+
+    In an article, an element (a list or table as a whole) of nothing but constant texts is template; constant words in a varying
+    element are part of it. An article of constant texts alone is kept, since the host's pages are copies then.
+    """
     order, constant = {k: i for i, k in enumerate(root or [])}, set(texts or [])
-    stack: list[tuple[str, bool, bool]] = []  # name, apart, inside an article
-    blocks: dict[bool, list[list]] = {False: [], True: []}  # by inside: [slot, text, text in links]
+    stack: list[tuple] = []  # name, apart, inside an article, element of its own, whether that is a list or table
+    blocks: dict[bool, list[list]] = {False: [], True: []}  # by inside: [slot, text, text in links, element]
+    varying: set[int] = set()  # elements with text that is not constant
     now: list[list] = []
-    slot = links = 0
+    slot = links = elements = 0
 
     def close_block():
         nonlocal now
@@ -153,12 +162,14 @@ def main_text(html: str, root: list[int] | None = None, texts: list[int] | None
             text = " ".join(entities.unescape("".join(x[2] for x in part)).split())
             if text:
                 linked = " ".join(entities.unescape("".join(x[2] for x in part if x[3])).split())
-                blocks[inside].append([part[0][1], text, len(linked)])
+                blocks[inside].append([part[0][1], text, len(linked), part[0][4]])
+                if any(x[5] for x in part):
+                    varying.add(part[0][4])
         now = []
 
     def pop(to: int):
         nonlocal links
-        for name, _, _ in stack[to:]:
+        for name, *_ in stack[to:]:
             links -= name == "a"
         del stack[to:]
 
@@ -175,9 +186,9 @@ def main_text(html: str, root: list[int] | None = None, texts: list[int] | None
         if k in order and order[k] >= slot:
             slot = order[k] + 1
         if kind == "text":
-            apart, inside = stack[-1][1:] if stack else (False, False)
+            apart, inside, element = stack[-1][1:4] if stack else (False, False, 0)
             if not apart and (inside or k not in constant):
-                now.append((inside, slot, rest, links > 0))
+                now.append((inside, slot, rest, links > 0, element, bool(rest.strip()) and k not in constant))
         elif kind == "open":
             if name in BLOCK:
                 close_block()
@@ -185,12 +196,17 @@ def main_text(html: str, root: list[int] | None = None, texts: list[int] | None
                 if name in ("li", "dd", "dt", "tr", "td", "th", "option"):
                     end({"dd", "dt"} if name in ("dd", "dt") else {"td", "th"} if name in ("td", "th") else {name}, {"ul", "ol", "dl", "table", "select", "menu"} | ({"tr"} if name in ("td", "th") else set()))
             elif name == "br":
-                now.append((*(now[-1][:2] if now else (False, slot)), " ", False))
+                now.append((*(now[-1][:2] if now else (False, slot)), " ", False, now[-1][4] if now else stack[-1][3] if stack else 0, False))
             if name not in VOID and not rest.rstrip().endswith("/"):
-                above = stack[-1] if stack else ("", False, False)
+                above = stack[-1] if stack else ("", False, False, 0, False)
                 a = attributes(rest)
                 inside = above[2] or name in ("article", "main") or a.get("role", "").lower() in ("main", "article")
-                stack.append((name, above[1] or _apart(name, a, above[2]), inside))
+                if name in BLOCK and name not in PARTS and not above[4]:
+                    elements += 1
+                    own = (elements, name in HELD)
+                else:
+                    own = above[3:]
+                stack.append((name, above[1] or _apart(name, a, above[2]), inside, *own))
                 links += name == "a"
         elif kind == "close":
             if name in BLOCK:
@@ -203,14 +219,15 @@ def main_text(html: str, root: list[int] | None = None, texts: list[int] | None
                     break
     close_block()
     if blocks[True]:
-        return "\n".join(t for _, t, _ in blocks[True])
+        left = [b for b in blocks[True] if b[3] in varying]
+        return "\n".join(b[1] for b in left or blocks[True])
     # no article element: the slots whose text is not mostly links
     size: dict[int, list[int]] = {}
-    for s, t, linked in blocks[False]:
+    for s, t, linked, _ in blocks[False]:
         x = size.setdefault(s, [0, 0])
         x[0] += len(t)
         x[1] += linked
-    return "\n".join(t for s, t, _ in blocks[False] if 2 * size[s][1] <= size[s][0])
+    return "\n".join(t for s, t, *_ in blocks[False] if 2 * size[s][1] <= size[s][0])
 
 
 def extract(pages: DataFrame, *, id: str = "page_id", url: str = "url", html: str = "html", small: int = 8 << 20) -> DataFrame:

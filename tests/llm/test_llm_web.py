@@ -83,3 +83,11 @@ def test_occurrence_vectors_name_the_classes(spark):
     count = {(r.page, r.token): r.n for r in per}
     nav, p, hr = (extract.key("open", n, "") for n in ("nav", "p", "hr"))
     assert all(count[i, nav] == count[i, p] == 1 + i % 2 and count[i, hr] == 1 for i in range(10))
+
+
+def test_template_text_is_left_out_of_articles(spark):
+    page = "<body><article><h1>Story {i}</h1><p>Text {i} <b>in short</b></p><div class=xyz><p>Read our app</p><ul><li>now</li></ul></div><ul><li>Price</li><li>{i} euro</li></ul><p>More {i}</p></article></body>"
+    rows = [(i, f"http://h.example/{i}", page.format(i=i)) for i in range(20)] + [(i, f"http://copy.example/{i}", "<article><p>one text</p><p>for all</p></article>") for i in range(20, 40)]
+    got = {r.page_id: r.text for r in extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Story {i}\nText {i} in short\nPrice\n{i} euro\nMore {i}" for i in range(20))
+    assert got[20] == "one text\nfor all"
