@@ -37,6 +37,7 @@ APART = set("head script style title noscript template nav footer aside form but
 MARKS = set("""ad ads adbox advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert alerts popup modal
     overlay newsletter subscribe subscription signup sidebar aside menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead toolbar share sharing
     social related recommended recommendations trending comment comments commentlist disqus respond reply replies widget widgets login search skip""".split())
+OUTSIDE, ARTICLE, MARKED, SPARE = range(4)
 ROLES = set("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 
 
@@ -132,14 +133,23 @@ def templates(pages: DataFrame) -> DataFrame:
     return usual.groupBy("host").applyInArrow(nest, "host string, root array<long>, texts array<long>")
 
 
-def _apart(name: str, a: dict[str, str], inside: bool) -> bool:
-    """Whether an element and all in it are no part of the article; ``inside``: it stands in an article or main element."""
-    if name in APART or (name == "header" and not inside) or "hidden" in a or a.get("role", "").lower() in ROLES:
-        return True
+def _apart(name: str, a: dict[str, str], inside: int) -> int:
+    """2: the element and all in it are no part of the article. 1: so it seems by a class, an id or a form, unless it holds an article.
+
+    ``inside``: 0 in neither, 1 in a main, 2 in an article element, where 1 is as good as 2. A class or id counts only as a whole:
+    cookie-banner is made of marks, has-sidebar is not.
+    """
+    if (name in APART and name != "form") or (name == "header" and not inside) or "hidden" in a or (a.get("role", "").lower() in ROLES - {"form"}):
+        return 2
     if name in ("html", "body", "main"):
-        return False
-    words = set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{a.get('class', '')} {a.get('id', '')}").lower()))
-    return bool(words & MARKS) or ("header" in words and not inside)
+        return 0
+    marked = name == "form" or a.get("role", "").lower() == "form"
+    for c in f"{a.get('class', '')} {a.get('id', '')}".split():
+        words = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", c).lower()) if w]
+        marked |= bool(words) and MARKS.issuperset(words)
+        if "header" in words and not inside and MARKS.union(("header", "site", "page")).issuperset(words):
+            marked = True
+    return (2 if inside == 2 else 1) if marked else 0
 
 
 def main_text(html: str, root: list[int] | None = None, texts: list[int] | None = None) -> str:
@@ -147,22 +157,25 @@ def main_text(html: str, root: list[int] | None = None, texts: list[int] | None
 
     In an article, an element (a list or table as a whole) of nothing but constant texts is template; constant words in a varying
     element are part of it. An article of constant texts alone is kept, since the host's pages are copies then.
+
+    Marks never drop an article that is in no other: one that is marked, or stands in a marked element or a form, is left out only
+    where the unmarked articles have at least as much text. What else is marked is taken only on pages without any other text.
     """
     order, constant = {k: i for i, k in enumerate(root or [])}, set(texts or [])
-    stack: list[tuple] = []  # name, apart, inside an article, element of its own, whether that is a list or table
-    blocks: dict[bool, list[list]] = {False: [], True: []}  # by inside: [slot, text, text in links, element]
+    stack: list[tuple] = []  # name, apart, inside a main (1) or article (2), marked article, element of its own, whether that is a list or table
+    blocks: list[list] = []  # group, slot, text, text in links, element
     varying: set[int] = set()  # elements with text that is not constant
     now: list[list] = []
     slot = links = elements = 0
 
     def close_block():
         nonlocal now
-        for inside in (False, True):
-            part = [x for x in now if x[0] is inside]
+        for group in (OUTSIDE, ARTICLE, MARKED, SPARE):
+            part = [x for x in now if x[0] == group]
             text = " ".join(entities.unescape("".join(x[2] for x in part)).split())
             if text:
                 linked = " ".join(entities.unescape("".join(x[2] for x in part if x[3])).split())
-                blocks[inside].append([part[0][1], text, len(linked), part[0][4]])
+                blocks.append([group, part[0][1], text, len(linked), part[0][4]])
                 if any(x[5] for x in part):
                     varying.add(part[0][4])
         now = []
@@ -186,9 +199,10 @@ def main_text(html: str, root: list[int] | None = None, texts: list[int] | None
         if k in order and order[k] >= slot:
             slot = order[k] + 1
         if kind == "text":
-            apart, inside, element = stack[-1][1:4] if stack else (False, False, 0)
-            if not apart and (inside or k not in constant):
-                now.append((inside, slot, rest, links > 0, element, bool(rest.strip()) and k not in constant))
+            apart, inside, marked, element = stack[-1][1:5] if stack else (0, 0, False, 0)
+            group = SPARE if apart else MARKED if marked else ARTICLE if inside else OUTSIDE
+            if apart < 2 and (group in (ARTICLE, MARKED) or k not in constant):
+                now.append((group, slot, rest, links > 0, element, bool(rest.strip()) and k not in constant))
         elif kind == "open":
             if name in BLOCK:
                 close_block()
@@ -196,17 +210,21 @@ def main_text(html: str, root: list[int] | None = None, texts: list[int] | None
                 if name in ("li", "dd", "dt", "tr", "td", "th", "option"):
                     end({"dd", "dt"} if name in ("dd", "dt") else {"td", "th"} if name in ("td", "th") else {name}, {"ul", "ol", "dl", "table", "select", "menu"} | ({"tr"} if name in ("td", "th") else set()))
             elif name == "br":
-                now.append((*(now[-1][:2] if now else (False, slot)), " ", False, now[-1][4] if now else stack[-1][3] if stack else 0, False))
+                now.append((*(now[-1][:2] if now else (OUTSIDE, slot)), " ", False, now[-1][4] if now else stack[-1][4] if stack else 0, False))
             if name not in VOID and not rest.rstrip().endswith("/"):
-                above = stack[-1] if stack else ("", False, False, 0, False)
+                above = stack[-1] if stack else ("", 0, 0, False, 0, False)
                 a = attributes(rest)
-                inside = above[2] or name in ("article", "main") or a.get("role", "").lower() in ("main", "article")
-                if name in BLOCK and name not in PARTS and not above[4]:
+                role = a.get("role", "").lower()
+                inside = 2 if name == "article" or role == "article" else max(above[2], 1) if name == "main" or role == "main" else above[2]
+                inside, marked, apart = max(inside, above[2]), above[3], max(above[1], _apart(name, a, above[2]))
+                if inside > above[2] and apart == 1:
+                    marked, apart = True, 0
+                if name in BLOCK and name not in PARTS and not above[5]:
                     elements += 1
                     own = (elements, name in HELD)
                 else:
-                    own = above[3:]
-                stack.append((name, above[1] or _apart(name, a, above[2]), inside, *own))
+                    own = above[4:]
+                stack.append((name, apart, inside, marked, *own))
                 links += name == "a"
         elif kind == "close":
             if name in BLOCK:
@@ -218,16 +236,24 @@ def main_text(html: str, root: list[int] | None = None, texts: list[int] | None
                 if stack[i][0] in ("article", "main", "body") and name not in BLOCK:
                     break
     close_block()
-    if blocks[True]:
-        left = [b for b in blocks[True] if b[3] in varying]
-        return "\n".join(b[1] for b in left or blocks[True])
+    length = {g: sum(len(b[2]) for b in blocks if b[0] == g) for g in (ARTICLE, MARKED)}
+    wanted = (ARTICLE, MARKED) if length[MARKED] > length[ARTICLE] else (ARTICLE,)
+    found = [b for b in blocks if b[0] in wanted]
+    if found:
+        left = [b for b in found if b[4] in varying]
+        return "\n".join(b[2] for b in left or found)
     # no article element: the slots whose text is not mostly links
-    size: dict[int, list[int]] = {}
-    for s, t, linked, _ in blocks[False]:
-        x = size.setdefault(s, [0, 0])
-        x[0] += len(t)
-        x[1] += linked
-    return "\n".join(t for s, t, *_ in blocks[False] if 2 * size[s][1] <= size[s][0])
+    for group in (OUTSIDE, SPARE):
+        size: dict[int, list[int]] = {}
+        rest = [b for b in blocks if b[0] == group]
+        for _, s, t, linked, _ in rest:
+            x = size.setdefault(s, [0, 0])
+            x[0] += len(t)
+            x[1] += linked
+        text = "\n".join(t for _, s, t, *_ in rest if 2 * size[s][1] <= size[s][0])
+        if text:
+            return text
+    return ""
 
 
 def extract(pages: DataFrame, *, id: str = "page_id", url: str = "url", html: str = "html", small: int = 8 << 20) -> DataFrame:

@@ -91,3 +91,12 @@ def test_template_text_is_left_out_of_articles(spark):
     got = {r.page_id: r.text for r in extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(got[i] == f"Story {i}\nText {i} in short\nPrice\n{i} euro\nMore {i}" for i in range(20))
     assert got[20] == "one text\nfor all"
+
+
+@pytest.mark.parametrize("page", [
+    '<div class="layout has-sidebar"><article><p>long text</p></article></div>', '<div id="page" class="with-banner"><article><p>long text</p></article></div>',
+    '<article class="post category-social tag-search"><p>long text</p></article>', '<form id=aspnetForm><nav>menu</nav><article><p>long text</p></article></form>', '<form><div><p>long text</p></div></form>',
+    '<div class="sidebar"><main><p>long text</p></main></div>', '<main><div class=widget><article class="post search"><p>long text</p></article></div></main>', '<article class=search><p>long text</p></article>',
+    '<article><p>long text</p><div class=share>x</div><div class=cookie-banner>y</div><form>z</form></article><div class=related><article>teaser</article></div>'])
+def test_marks_do_not_drop_articles(page):
+    assert extract.main_text(f"<html><body>{page}</body></html>") == "long text"
