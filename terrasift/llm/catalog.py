@@ -1,6 +1,6 @@
 """The subpackage's registered queries: name -> (callable, DuckDB text or None)."""
 
-from terrasift.llm import audit, decontam, extract, minhash, periods, pieces, quality, tokencount, topk, toxicity, urls, warc
+from terrasift.llm import audit, decontam, extract, jaccard, minhash, periods, pieces, quality, tokencount, topk, toxicity, urls, warc
 
 QUERIES = {
     "op1_exact_top_k": (topk.query, topk.SQL),
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_url_filters": (urls.query, urls.SQL),
     "op9_html_extraction": (extract.query, None),
     "op10_toxicity": (toxicity.query, None),
-    "op13_periodic_runs": (periods.query, periods.SQL),
     "op11_filter_interaction_audit": (audit.query, audit.SQL),
+    "op12_ngram_jaccard_join": (jaccard.query, jaccard.SQL),
+    "op13_periodic_runs": (periods.query, periods.SQL),
 }
