@@ -91,17 +91,18 @@ def prefixes(ids: DataFrame, failing: dict[str, DataFrame]) -> tuple[DataFrame,
         kept.append(level.groupBy("part", "seen").agg(F.count(F.lit(1)).alias("kept")))
         if k == len(tables):
             break
-        larger = []
+        larger, gone = [], []
         for i, fails in enumerate(tables):
             removed = level.filter(F.col("seen").bitwiseAND(F.lit(1 << i)) == 0).join(fails, "rid", "left_semi")
-            removals.append(removed.groupBy("part", "seen").agg(
+            gone.append(removed.groupBy("part", "seen").agg(
                 F.count(F.lit(1)).alias("removed"), F.count_if("good").alias("good_lost"), F.count_if("toxic").alias("toxic_lost")).withColumn("f", F.lit(i)))
             if i >= k:  # sets are built in the order of the filters, so each is reached once
                 larger.append(level.filter(F.col("seen") < (1 << i)).join(fails, "rid", "left_anti").withColumn("seen", F.col("seen").bitwiseOR(F.lit(1 << i))))
+        removals.append(stored(_union(gone), f"removed-{k}"))
         level = stored(_union(larger), f"level-{k + 1}")
     sets = stored(_union(kept), "kept")
     every = clean.select("part", F.explode(F.sequence(F.lit(0), F.lit((1 << len(tables)) - 1))).alias("seen"), "kept")
-    return stored(_union(removals), "removed"), sets.unionByName(every).groupBy("part", "seen").agg(F.sum("kept").alias("kept"))
+    return _union(removals), sets.unionByName(every).groupBy("part", "seen").agg(F.sum("kept").alias("kept"))
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:

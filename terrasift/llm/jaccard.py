@@ -128,7 +128,8 @@ class Join:
         facts = postings.select("cls", "n", "w", F.transform("tokens", lambda t: t.token).alias("tokens"), F.transform(F.filter("tokens", lambda t: t.head), lambda t: t.token).alias("heads"))
         first = facts.filter(F.col("n") <= x).select("cls", "n", "w", "tokens", F.posexplode("tokens").alias("at", "a"))
         small = first.select("cls", "n", "w", "a", F.explode(F.slice("tokens", F.col("at") + 2, F.size("tokens"))).alias("b")).select(F.array_sort(F.array("a", "b")).alias("key"), "cls", "n", "w")
-        large = facts.filter(F.lit(100) * F.col("n") >= self.percent * x).select("cls", "n", "w", F.explode("heads").alias("a")).select(F.array("a").alias("key"), "cls", "n", "w")
+        # a pair of sets that need not have SUBSET shingles in common is found by single ones at any size
+        large = facts.filter((F.lit(100) * F.col("n") >= self.percent * x) | (self.percent * F.col("n") <= 100 * (SUBSET - 1))).select("cls", "n", "w", F.explode("heads").alias("a")).select(F.array("a").alias("key"), "cls", "n", "w")
         return self._shared(small.unionByName(large))
 
     @staticmethod
@@ -169,9 +170,10 @@ class Join:
     def _alike(self, pairs: DataFrame) -> DataFrame:
         """Pairs with as many common shingles in their prefixes as every link has; exact, as the prefixes are ordered alike."""
         side = self.classes.filter(F.size("prefix") > 0)
-        a, b = (side.select(F.col("cls").alias(c), F.col("prefix").alias(f"prefix_{c}")) for c in "uv")
-        both = pairs.join(a, "u").join(b, "v")
-        return cut(both.filter(F.size(F.array_intersect("prefix_u", "prefix_v")) >= AHEAD).select("u", "v"))
+        a, b = (side.select(F.col("cls").alias(c), "n", F.col("prefix").alias(f"prefix_{c}")) for c in "uv")
+        both = pairs.join(a.withColumn("n_u", F.col("n")), "u").drop("n").join(b.withColumn("n_v", F.col("n")), "v")
+        least = F.ceil(self.percent * F.greatest("n_u", "n_v") / 100)
+        return cut(both.filter(F.size(F.array_intersect("prefix_u", "prefix_v")) >= F.least(F.lit(AHEAD), least)).select("u", "v"))
 
     def _links(self, pairs: DataFrame) -> DataFrame:
         """The pairs with 100 * intersection >= percent * union, on full sets made again from the texts of the classes."""
@@ -200,14 +202,18 @@ class Join:
         return cut(m.join(mixed.select("key", (F.col("c") > CROWD).alias("crowd")), "key"))
 
     def across(self, lists: DataFrame, tested: DataFrame) -> DataFrame:
-        """Pairs of classes in different components that share a list and fit in size; crowded lists are split first."""
+        """Pairs of classes in different components that share a list and fit in size; crowded lists are split first.
+
+        Two sets of fewer shingles than ``tiny`` may have too few in common for that, so they are paired in the crowded list too.
+        """
+        tiny = 100 * (AHEAD - 1) // self.percent + 1
         m, found = self._mixed(lists), []
         for extra in range(SUBSET + 1, AHEAD + 1):
             crowd = m.filter("crowd")
             if crowd.isEmpty():
                 break
-            found.append(m.filter("NOT crowd"))
-            # a link that has the shingles of the key has one more among the first p + extra
+            found.append(m.filter(f"NOT crowd OR n < {tiny}"))
+            # a link that has the key's shingles has one more among the first p + extra
             more = crowd.join(self.classes.select("cls", "prefix"), "cls").select("key", "cls", "n", F.explode(F.slice("prefix", F.lit(1), self._missing + extra)).alias("t"))
             finer = more.filter(~F.array_contains("key", F.col("t"))).select(F.array_sort(F.array_append("key", F.col("t"))).alias("key"), "cls", "n").distinct()
             m = self._mixed(finer)
