@@ -28,7 +28,7 @@ WORDS = class_table(lambda b: 0 if b == 32 or 9 <= b <= 13 else 1)
 SLOTS = 1 << 17  # slots of the frequency sketch
 SUBSET = 2  # shingles of a small set's subsets
 AHEAD = 8  # shingles of the prefix beyond those a set may miss; as many must be common
-CROWD = 64  # classes of one list that are paired as they are
+CROWD = 512  # classes of one list that are paired as they are
 BROADCAST = 100_000  # classes of 24 bytes that may be broadcast; more are joined by a shuffle
 
 
@@ -124,7 +124,7 @@ class Join:
         return min([0, *(r.n for r in rows)], key=lambda x: (cost(x) if x < (rows[-1].n if rows else 0) else sum(r.subsets for r in rows), x))
 
     def lists(self, postings: DataFrame, x: int) -> DataFrame:
-        """(key, cls, n, w): subsets of the sets up to size x, single shingles of those large ones may be linked with; held by two classes or more."""
+        """(key, cls, n, w): subsets of the sets up to size x, single shingles of those large ones may be linked with; in two classes or more."""
         facts = postings.select("cls", "n", "w", F.transform("tokens", lambda t: t.token).alias("tokens"), F.transform(F.filter("tokens", lambda t: t.head), lambda t: t.token).alias("heads"))
         first = facts.filter(F.col("n") <= x).select("cls", "n", "w", "tokens", F.posexplode("tokens").alias("at", "a"))
         small = first.select("cls", "n", "w", "a", F.explode(F.slice("tokens", F.col("at") + 2, F.size("tokens"))).alias("b")).select(F.array_sort(F.array("a", "b")).alias("key"), "cls", "n", "w")
@@ -134,7 +134,10 @@ class Join:
 
     @staticmethod
     def _shared(keyed: DataFrame) -> DataFrame:
-        return cut(keyed.join(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "key"))
+        """The lists of two classes or more. Of lists that hold the same classes (a family's common subsets) one stays, told by count and two XOR sums."""
+        sums = (F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "cls")).alias("y"))
+        held = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), *sums).filter("c > 1")
+        return cut(keyed.join(held.groupBy("c", "x", "y").agg(F.min("key").alias("key")).select("key"), "key"))
 
     def _near(self, a: Column, b: Column) -> Column:
         return F.lit(100) * F.least(a, b) >= self.percent * F.greatest(a, b)
@@ -216,7 +219,7 @@ class Join:
             # a link that has the key's shingles has one more among the first p + extra
             more = crowd.join(self.classes.select("cls", "prefix"), "cls").select("key", "cls", "n", F.explode(F.slice("prefix", F.lit(1), self._missing + extra)).alias("t"))
             finer = more.filter(~F.array_contains("key", F.col("t"))).select(F.array_sort(F.array_append("key", F.col("t"))).alias("key"), "cls", "n").distinct()
-            m = self._mixed(finer)
+            m = self._mixed(self._shared(finer))
         found.append(m)
         pairs = None
         for part in found:

@@ -27,7 +27,7 @@ _RUNS = "n_words long, n_runs long, runs array<struct<start:long,length:long,per
 def reach(least: int, power: int) -> int:
     """The fewest matches in a row that a run has: length less period, at its least over all periods."""
     short = least // power
-    return min(least - short if short else least, (power - 1) * (short + 1))
+    return min(least - short if short else power - 1, (power - 1) * (short + 1))
 
 
 def stretches(h: np.ndarray, size: int) -> np.ndarray:
