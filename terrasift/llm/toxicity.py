@@ -1,193 +1,207 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over all terms, distance-weighted votes.
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, distance-weighted votes.
 
-The index holds a bounded sample of labelled documents with every word of theirs; document frequencies are counted over all
-documents. A word of a document that is in no example can't add to a product, but counts for the document's length, with the
-weight of a word that no other document has.
+Terms are the stems of a text's words, their first STEM letters, by hash slot; a stem's weight is its count times the idf of its slot,
+taken from all documents. The index holds a bounded sample of labelled documents with all their terms. It lies in the shared
+folder in parts of bounded size, each with its postings in blocks of BLOCK examples and the largest weight of every term in every
+block: a block is read only if these maxima leave it a chance to be among the k nearest. Tasks open one part after another, and the
+driver holds paths, the idf table of fixed size and two numbers per example.
 """
 
 from __future__ import annotations
 
+import io
 from dataclasses import dataclass
-from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyarrow import fs
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrasift.llm.common import chunks, class_table, extended, hashed_words, held_out, in_batches, labelled, lower, task_sums, trim, utf8
+from terrasift.llm.common import chunks, class_table, extended, held_out, in_batches, labelled, lower, resident, runs, span_hashes, task_sums, utf8
+from terrasift.session import scratch
 
 #: Letters, digits and bytes of other characters, after A-Z are lower-cased.
 WORDS = class_table(lambda b: 1 if 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 else 0)
-#: A term of more than one in COMMON examples is a row of a dense matrix, the MOST most frequent ones at most; all others are postings.
-COMMON, MOST = 16, 1024
-TOGETHER = 64  # documents scored at a time
-SLACK = 1e-4  # far above the rounding of single precision; what is nearer to the k-th cosine is computed again in double precision
+STEM = 4  # letters of a stem; shorter words have none
+SLOTS = 1 << 17  # hash slots of the stems
+BLOCK = 64  # examples per block of the index
+POSTINGS = 1_000_000  # postings per part of the index, by which parts are cut
+KEPT_BYTES = 96 << 20  # parts that a worker keeps open
+NEAREST = 40
+
+
+def stems(blob: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and hash slot of the stem of every word of at least STEM letters."""
+    starts, ends = runs(blob, WORDS)
+    first = np.flatnonzero((blob & 0xC0) != 0x80)  # where characters begin
+    a, b = np.searchsorted(first, starts), np.searchsorted(first, ends)
+    long = b - a >= STEM
+    starts, at = starts[long], a[long] + STEM
+    cut = np.where(at < len(first), first[np.minimum(at, max(len(first) - 1, 0))], len(blob)) if len(starts) else starts
+    return starts, (span_hashes(blob, starts, cut) & np.uint64(SLOTS - 1)).astype(np.int64)
+
+
+def bags(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The slots of each text, in order, and how often each occurs."""
+    out = []
+    low = [lower(t) for t in texts]
+    for x, y in chunks(low):
+        part = low[x:y]
+        starts, slot = stems(np.frombuffer(b"\n".join(part) + b"\n", np.uint8))
+        begin = np.concatenate([[0], np.cumsum([len(t) + 1 for t in part])])
+        key, n = np.unique((np.searchsorted(begin, starts, side="right") - 1) * SLOTS + slot, return_counts=True)
+        edge = np.searchsorted(key, np.arange(y - x + 1) * SLOTS)
+        out += [(key[a:b] & (SLOTS - 1), n[a:b]) for a, b in zip(edge, edge[1:])]
+    return out
 
 
-def terms(texts: list[bytes]):
-    """(first text, word hashes, offsets) of each chunk of lower-cased texts."""
-    low = [lower(t) for t in texts]
-    for a, b in chunks(low):
-        h, begin = hashed_words(low[a:b], WORDS)
-        yield a, h.view(np.int64), begin
+def inverse_frequencies(docs: DataFrame, text: str = "text") -> np.ndarray:
+    """idf of each slot over all documents."""
 
+    def count(batch: pa.RecordBatch) -> np.ndarray:
+        texts = utf8(batch.column(0))
+        found = [t for t, _ in bags(texts)]
+        return np.append(np.bincount(np.concatenate(found), minlength=SLOTS) if found else np.zeros(SLOTS, np.int64), len(texts))
 
-def bags(texts: list[bytes]):
-    """(first text, text, word hash, count) of the distinct words of each chunk, by text and hash."""
-    for a, h, begin in terms(texts):
-        doc = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
-        order = np.lexsort((h, doc))
-        h, doc = h[order], doc[order]
-        new = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))) if len(h) else np.zeros(0, np.int64)
-        yield a, len(begin) - 1, doc[new], h[new], np.diff(np.append(new, len(h)))
+    total = task_sums(docs, count, SLOTS + 1, [text])
+    return np.log((1.0 + total[-1]) / (1.0 + total[:-1])) + 1.0
 
 
-def counted(texts: list[bytes], vocabulary: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, float]]:
-    """Per text, the numbers of the vocabulary's terms (sorted hashes) that occur, how often, and the sum of (1 + ln n)**2 of all other words."""
-    out = []
-    for _, size, doc, h, n in bags(texts):
-        at = np.minimum(np.searchsorted(vocabulary, h), max(len(vocabulary) - 1, 0))
-        hit = vocabulary[at] == h if len(vocabulary) else np.zeros(len(h), bool)
-        rest = np.bincount(doc[~hit], (1 + np.log(n[~hit])) ** 2, minlength=size)
-        doc, at, n = doc[hit], at[hit], n[hit]
-        edge = np.searchsorted(doc, np.arange(size + 1))
-        out += [(at[x:y], n[x:y], r) for x, y, r in zip(edge, edge[1:], rest.tolist())]
-    return out
+def weights(slot: np.ndarray, n: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """TF-IDF weights over their length."""
+    w = n * idf[slot]
+    return w / np.sqrt((w * w).sum()) if len(w) else w
 
 
-def frequencies(docs: DataFrame, voc: np.ndarray, text: str = "text") -> tuple[int, np.ndarray]:
-    """Number of documents, and in how many each term occurs."""
+def _spans(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places first[i] .. first[i] + size[i] - 1, one after another."""
+    return np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
 
-    def count(batch: pa.RecordBatch) -> np.ndarray:
-        texts = utf8(batch.column(0))
-        total = np.zeros(len(voc) + 1, np.int64)
-        total[-1] = len(texts)
-        for t, _, _ in counted(texts, voc):
-            total[t] += 1
-        return total
 
-    total = task_sums(docs, count, len(voc) + 1, [text])
-    return int(total[-1]), total[:-1]
+class Part:
+    """One part of the index: postings by term and block with the block's largest weight, and its examples' ids, labels and numbers."""
 
+    def __init__(self, number: np.ndarray, ids: list[str], y: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]]):
+        size = np.array([len(t) for t, _ in vectors])
+        own = np.repeat(np.arange(len(vectors)), size)
+        term = np.concatenate([t for t, _ in vectors])
+        order = np.lexsort((own, term))
+        term, self.example, self.weight = term[order], own[order].astype(np.int32), np.concatenate([w for _, w in vectors])[order]
+        block = self.example // BLOCK
+        new = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])))
+        self.first = np.append(new, len(term))
+        self.block, self.most = block[new], np.maximum.reduceat(self.weight, new)
+        self.term, at = np.unique(term[new], return_index=True)
+        self.entry = np.append(at, len(new))
+        self.number, self.ids, self.y, self.blocks = number, np.array(ids, object), y, -(-len(vectors) // BLOCK)
 
-def weights(term: np.ndarray, n: np.ndarray, idf: np.ndarray, rest: float = 0.0) -> np.ndarray:
-    """TF-IDF weights over the length, term frequency as 1 + ln n; ``rest``: the squares of the weights of what is not in ``term``."""
-    w = (1 + np.log(n)) * idf[term]
-    return w / np.sqrt((w * w).sum() + rest) if len(w) else w
+    _ARRAYS = ("example", "weight", "first", "block", "most", "term", "entry", "number", "y")
+
+    def dumps(self) -> bytes:
+        out = io.BytesIO()
+        np.savez(out, blocks=self.blocks, ids=np.frombuffer("\n".join(self.ids).encode(), np.uint8), **{k: getattr(self, k) for k in self._ARRAYS})
+        return out.getvalue()
+
+    @classmethod
+    def loads(cls, raw: bytes) -> Part:
+        part, held = cls.__new__(cls), np.load(io.BytesIO(raw))
+        for k in cls._ARRAYS:
+            setattr(part, k, held[k])
+        part.blocks, part.ids = int(held["blocks"]), np.array(held["ids"].tobytes().decode().split("\n"), object)
+        return part
+
+    @property
+    def bytes(self) -> int:
+        return sum(getattr(self, k).nbytes for k in self._ARRAYS)
+
+    def nearest(self, slot: np.ndarray, w: np.ndarray, k: int, least: float = 0.0, skip: int = -1) -> tuple[np.ndarray, np.ndarray, int]:
+        """(places, cosines) of this part's k nearest examples among those of at least ``least``, ties to the lower place, and the blocks skipped.
+
+        Blocks are opened in the order of their bounds, the sum of the query's weights times the block's largest; a few first, for a
+        k-th cosine to hold the others against. ``skip`` is the number of an example that is left out.
+        """
+        at = np.minimum(np.searchsorted(self.term, slot), len(self.term) - 1)
+        hit = self.term[at] == slot
+        at, w = at[hit], w[hit]
+        size = self.entry[at + 1] - self.entry[at]
+        entry, share = _spans(self.entry[at], size), np.repeat(w, size)
+        block = self.block[entry]
+        bound = np.bincount(block, share * self.most[entry], minlength=self.blocks) + 1e-9
+        order = np.argsort(-bound, kind="stable")
+        places, cosines, seen, step = np.zeros(0, np.int64), np.zeros(0), 0, -(-2 * k // BLOCK)
+        while seen < self.blocks and bound[order[seen]] > max(least, 1e-9):
+            end = seen + int(np.searchsorted(-bound[order[seen : seen + step]], -least, side="right"))
+            chosen = np.zeros(self.blocks, bool)
+            chosen[order[seen:end]] = True
+            seen, step = end, self.blocks
+            take = chosen[block]
+            e, q = entry[take], share[take]
+            n = self.first[e + 1] - self.first[e]
+            where = _spans(self.first[e], n)
+            s = np.bincount(self.example[where], np.repeat(q, n) * self.weight[where], minlength=len(self.number))
+            found = np.flatnonzero((s > 0) & (s >= least))
+            found = found[self.number[found] != skip]
+            places, cosines = np.append(places, found), np.append(cosines, s[found])
+            keep = np.lexsort((places, -cosines))[:k]
+            places, cosines = places[keep], cosines[keep]
+            if len(places) == k:
+                least = max(least, float(cosines[-1]))
+        return places, cosines, self.blocks - seen
 
 
 @dataclass
 class Index:
-    """The examples' vectors one after another; postings and the matrix of common terms follow from them and are not sent about."""
+    """Where the parts lie, the idf of the slots, the prior and the calibrated curve."""
 
-    voc: np.ndarray
+    paths: list[str]
     idf: np.ndarray
-    ids: list[str]
-    y: np.ndarray
-    begin: np.ndarray  # example -> first place in term and weight, with one more for the end
-    term: np.ndarray
-    weight: np.ndarray
-    prior: float = 0.0
-    curve: tuple[float, float] = (0.0, 0.0)
-    unseen: float = 0.0  # square of the idf of a word that is in no example
-
-    @classmethod
-    def build(cls, voc, idf, ids, y, vectors) -> Index:
-        """vectors: (terms, weights) of each example, none of them empty."""
-        term = np.concatenate([t for t, _ in vectors]).astype(np.int32) if vectors else np.zeros(0, np.int32)
-        w = np.concatenate([w for _, w in vectors]) if vectors else np.zeros(0)
-        return cls(voc, idf, ids, np.asarray(y, np.int64), np.concatenate([[0], np.cumsum([len(t) for t, _ in vectors])]).astype(np.int64), term, w)
-
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("_parts", "_query", "shared")}
-
-    def sent(self, spark):
-        """The broadcast of the index, made once; the curve, which is found with it, is passed besides."""
-        if "shared" not in self.__dict__:
-            self.shared = spark.sparkContext.broadcast(self)
-        return self.shared
-
-    def example(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        a, b = self.begin[i], self.begin[i + 1]
-        return self.term[a:b], self.weight[a:b]
-
-    @cached_property
-    def _parts(self):
-        """(row of each term in the matrix or -1, the matrix, first posting of each term, postings' examples, their weights)."""
-        n = len(self.begin) - 1
-        df = np.bincount(self.term, minlength=len(self.voc))
-        often = np.argsort(-df, kind="stable")[:MOST]
-        often = often[df[often] * COMMON > n]
-        row = np.full(len(self.voc), -1, np.int64)
-        row[often] = np.arange(len(often))
-        own = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.begin))
-        dense = row[self.term] >= 0
-        matrix = np.zeros((len(often), n), np.float32)
-        matrix[row[self.term[dense]], own[dense]] = self.weight[dense]
-        term, own, w = self.term[~dense], own[~dense], self.weight[~dense].astype(np.float32)
-        order = np.argsort(term, kind="stable")
-        first = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(self.voc)))]).astype(np.int64)
-        return row, matrix, first, own[order], w[order]
-
-    @cached_property
-    def _query(self) -> np.ndarray:
-        return np.zeros(len(self.voc))
-
-    def nearest_of_all(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, skip=None):
-        """(examples, cosines) per query (terms, weights): its k nearest examples of positive cosine, ties to the earlier one.
-
-        Every example is scored on every common term in single precision; what may be among the k nearest is scored again exactly.
-        ``skip``: an example to leave out for each query.
-        """
-        n = len(self.begin) - 1
-        if not n:
-            yield from ((np.zeros(0, np.int64), np.zeros(0)) for _ in queries)
-            return
-        row, matrix, first, example, weight = self._parts
-        for at in range(0, len(queries), TOGETHER):
-            part = queries[at : at + TOGETHER]
-            q = np.zeros((len(part), len(matrix)), np.float32)
-            for i, (t, w) in enumerate(part):
-                r = row[t]
-                q[i, r[r >= 0]] = w[r >= 0]
-            scores = q @ matrix
-            for i, (t, w) in enumerate(part):
-                rare = row[t] < 0
-                a, size = first[t[rare]], first[t[rare] + 1] - first[t[rare]]
-                places = np.repeat(a - np.cumsum(size) + size, size) + np.arange(size.sum())
-                s = scores[i] + np.bincount(example[places], np.repeat(w[rare], size) * weight[places], minlength=n)
-                if skip is not None and skip[at + i] >= 0:
-                    s[skip[at + i]] = 0
-                least = np.partition(s, n - k)[n - k] - SLACK if n > k else 0
-                yield self._exact(t, w, np.flatnonzero((s > 0) & (s >= least)), k)
-
-    def _exact(self, t, w, found, k):
-        size = self.begin[found + 1] - self.begin[found]
-        places = np.repeat(self.begin[found] - np.cumsum(size) + size, size) + np.arange(size.sum())
-        self._query[t] = w
-        cosine = np.bincount(np.repeat(np.arange(len(found)), size), self._query[self.term[places]] * self.weight[places], minlength=len(found))
-        self._query[t] = 0
-        keep = np.lexsort((found, -cosine))[:k]
-        return found[keep], cosine[keep]
-
-    def nearest(self, term: np.ndarray, w: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k nearest examples of one query; ``skip`` is left out."""
-        return next(iter(self.nearest_of_all([(term, w)], k, [skip])))
-
-    def neighbours(self, texts: list[bytes], k: int):
-        """(examples, cosines) of each text; none for a text without any of the terms."""
-        return self.nearest_of_all([(t, weights(t, n, self.idf, rest * self.unseen)) for t, n, rest in counted(texts, self.voc)], k)
-
-    def vote(self, found: np.ndarray, cosine: np.ndarray) -> float:
+    k: int = NEAREST
+    prior: float = 0.5
+    curve: tuple[float, float] = (1.0, 0.0)
+    skipped: int = 0  # blocks not opened by the last search in this process
+
+    def parts(self):
+        """The parts one at a time; a worker keeps those that fit into KEPT_BYTES."""
+        held = resident("toxicity " + "".join(self.paths[:1]), dict)
+        for path in self.paths:
+            part = held.get(path)
+            if part is None:
+                store, place = fs.FileSystem.from_uri(path)
+                with store.open_input_stream(place) as f:
+                    part = Part.loads(f.read())
+                if part.bytes + sum(p.bytes for p in held.values()) <= KEPT_BYTES:
+                    held[path] = part
+            yield part
+
+    def vectors(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+        return [(t, weights(t, n, self.idf)) for t, n in bags(texts)]
+
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], skip=None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(ids, labels, cosines) of each query's k nearest examples of positive cosine, ties to the lower number."""
+        best = [(np.zeros(0, object), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))] * len(queries)
+        self.skipped = 0
+        for part in self.parts():
+            for i, (t, w) in enumerate(queries):
+                ids, y, c, number = best[i]
+                least = float(c[-1]) if len(c) == self.k else 0.0
+                at, more, skipped = part.nearest(t, w, self.k, least, -1 if skip is None else skip[i])
+                self.skipped += skipped
+                if len(at):
+                    c, number = np.append(c, more), np.append(number, part.number[at])
+                    keep = np.lexsort((number, -c))[: self.k]
+                    best[i] = np.append(ids, part.ids[at])[keep], np.append(y, part.y[at])[keep], c[keep], number[keep]
+        return [b[:3] for b in best]
+
+    def vote(self, y: np.ndarray, cosine: np.ndarray) -> float:
         """Log odds of votes that weigh the inverse of the distance, with one pseudo vote shared as the prior says."""
         w = cosine / (1.05 - np.minimum(cosine, 1.0))
-        yes = float((w * self.y[found]).sum()) + self.prior
+        yes = float((w * y).sum()) + self.prior
         no = float(w.sum()) + 1.0 - yes
         return float(np.log(max(yes, 1e-9) / max(no, 1e-9)))
 
-    def probability(self, vote: float, curve: tuple[float, float] | None = None) -> float:
-        a, b = curve or self.curve
+    def probability(self, vote: float) -> float:
+        a, b = self.curve
         return 1.0 / (1.0 + np.exp(-np.clip(a * vote + b, -30, 30)))
 
 
@@ -205,95 +219,94 @@ def platt(vote: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(ab[0]), 0.0), float(ab[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, target: str = "toxic", bound: int = 20_000, k: int = 15, text: str = "text") -> Index:
-    """The index of at most ``bound`` labelled documents that are not held out, calibrated by leaving each one out."""
+def fit(docs: DataFrame, labels: DataFrame, *, target: str = "toxic", bound: int = 8192, k: int = NEAREST, text: str = "text") -> Index:
+    """The index of at most ``bound`` labelled documents that are not held out, calibrated by leaving each one out.
+
+    Examples are numbered by the term that weighs most in them and by id, so that like ones share a block. Examples without any term
+    are in no part and have the vote of no neighbours. Without labelled rows every score is 0.5.
+    """
     spark = docs.sparkSession
+    index = Index([], inverse_frequencies(docs, text), k)
     sample = labelled(docs, labels, target, bound=bound, text=text).select(F.col("id").cast("string").alias("id"), "text", "y")
 
-    def words(batches):
+    def vectors(batches):
         for b in batches:
-            h, n = [], []
-            for _, size, doc, hashes, counts in bags(utf8(b.column(1))):
-                edge = np.searchsorted(doc, np.arange(size + 1))
-                h += [hashes[x:y].tobytes() for x, y in zip(edge, edge[1:])]
-                n += [counts[x:y].astype(np.int32).tobytes() for x, y in zip(edge, edge[1:])]
-            yield pa.record_batch({"id": b.column(0), "y": b.column(2), "h": pa.array(h, pa.binary()), "n": pa.array(n, pa.binary())})
-
-    rows = sorted(in_batches(sample, words, "id string, y int, h binary, n binary").collect(), key=lambda r: r.id)
-    has, none = [r for r in rows if len(r.h)], [r.y for r in rows if not len(r.h)]
-    ids, y = [r.id for r in has], np.array([r.y for r in has] + none, np.int64)
-    sizes = [len(r.h) // 8 for r in has]
-    h, n = np.frombuffer(b"".join(r.h for r in has), np.int64), np.frombuffer(b"".join(r.n for r in has), np.int32)
-    del rows, has
-    voc = np.unique(h)
-    term = np.searchsorted(voc, h).astype(np.int32)
-    del h
-    total, df = frequencies(docs, voc, text) if len(voc) else (0, np.zeros(0))
-    idf = np.log((1.0 + total) / (1.0 + df)) + 1.0
-    begin = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-    weight = np.concatenate([weights(term[a:b], n[a:b], idf) for a, b in zip(begin, begin[1:])]) if len(ids) else np.zeros(0)
-    index = Index(voc, idf, ids, y[: len(ids)], begin, term, weight)
-    del n, df
-    trim()
-    index.unseen = float((np.log((1.0 + total) / 2.0) + 1.0) ** 2)
-    index.prior = float((y.sum() + 0.5) / (len(y) + 1.0)) if len(y) else 0.5
-    bare = index.vote(np.zeros(0, np.int64), np.zeros(0))
-    votes = np.array(left_out(spark, index, k) + [bare] * len(none))
-    index.curve = platt(votes, y) if len(y) else (1.0, 0.0)
-    return index
-
-
-def left_out(spark, index: Index, k: int) -> list[float]:
-    """The vote on each example by the others."""
-    if not len(index.ids):
-        return []
-    shared = index.sent(spark)
-
-    def work(batches):
-        ix = shared.value
+            v = index.vectors(utf8(b.column(1)))
+            lead = [int(t[np.argmax(w)]) if len(t) else -1 for t, w in v]
+            yield pa.record_batch({"id": b.column(0), "y": b.column(2), "lead": pa.array(lead, pa.int32()), "size": pa.array([len(t) for t, _ in v], pa.int64()),
+                                   "slot": pa.array([t.astype(np.int32).tobytes() for t, _ in v], pa.binary()), "weight": pa.array([w.tobytes() for _, w in v], pa.binary())})
+
+    place = scratch(spark, "toxicity-examples")
+    in_batches(sample, vectors, "id string, y int, lead int, size long, slot binary, weight binary").write.parquet(place)
+    held = spark.read.parquet(place)
+    counts = held.agg(F.count(F.lit(1)), F.sum("y")).first()
+    n, yes = counts[0], int(counts[1] or 0)
+    if not n:
+        return index
+    index.prior = (yes + 0.5) / (n + 1.0)
+    order = Window.orderBy("lead", "id")  # at most ``bound`` rows of three numbers and an id
+    numbers = held.filter("size > 0").select("id", (F.row_number().over(order) - 1).cast("long").alias("number"), F.floor((F.sum("size").over(order) - F.col("size")) / POSTINGS).cast("int").alias("part"))
+    rows = held.join(F.broadcast(numbers), "id")
+    folder = scratch(spark, "toxicity-index")
+
+    def build(table: pa.Table) -> pa.Table:
+        table = table.sort_by("number")
+        pairs = [(np.frombuffer(s, np.int32).astype(np.int64), np.frombuffer(w, np.float64)) for s, w in zip(table.column("slot").to_pylist(), table.column("weight").to_pylist())]
+        part = Part(table.column("number").to_numpy(), table.column("id").to_pylist(), table.column("y").to_numpy().astype(np.int64), pairs)
+        path = f"{folder}/part-{table.column('part')[0].as_py():06d}"
+        uri = path if ":" in path.split("/")[0] else f"file://{path}"
+        store, at = fs.FileSystem.from_uri(uri)
+        store.create_dir(at.rsplit("/", 1)[0], recursive=True)
+        with store.open_output_stream(at) as f:  # a retried task writes the same bytes
+            f.write(part.dumps())
+        return pa.table({"path": [uri]})
+
+    index.paths = sorted(r.path for r in rows.groupBy("part").applyInArrow(build, "path string").collect())
+
+    def left_out(batches):
         for b in batches:
-            own = b.column(0).to_numpy()
-            votes = [ix.vote(*x) for x in ix.nearest_of_all([ix.example(i) for i in own], k, own)]
-            yield pa.record_batch({"i": b.column(0), "vote": pa.array(votes, pa.float64())})
-
-    tasks = min(len(index.ids), 4 * spark.sparkContext.defaultParallelism)
-    votes = [r.vote for r in sorted(in_batches(spark.range(0, len(index.ids), 1, tasks).select(F.col("id").alias("i")), work, "i long, vote double").collect())]
-    trim()
-    return votes
+            v = [(np.frombuffer(s, np.int32).astype(np.int64), np.frombuffer(w, np.float64)) for s, w in zip(b.column("slot").to_pylist(), b.column("weight").to_pylist())]
+            found = index.nearest(v, b.column("number").to_pylist())
+            yield pa.record_batch({"y": b.column("y"), "vote": pa.array([index.vote(y, c) for _, y, c in found], pa.float64())})
+
+    tasks = min(n, 4 * spark.sparkContext.defaultParallelism)
+    votes = in_batches(rows.select("slot", "weight", "number", "y").repartition(tasks), left_out, "y int, vote double", keeps=True).collect()
+    bare = index.vote(np.zeros(0), np.zeros(0))
+    bare_yes = yes - sum(r.y for r in votes)
+    y = np.array([r.y for r in votes] + [1] * bare_yes + [0] * (n - len(votes) - bare_yes))
+    index.curve = platt(np.array([r.vote for r in votes] + [bare] * (n - len(votes))), y)
+    return index
 
 
-def score(docs: DataFrame, index: Index, *, text: str = "text", k: int = 15, cut_at: float = 0.5) -> DataFrame:
+def score(docs: DataFrame, index: Index, *, text: str = "text", cut_at: float = 0.5) -> DataFrame:
     """Add score, predicted (score >= cut_at) and evidence (the nearest examples: id, label, cosine), in place of such columns.
 
     A text without any of the index's terms (null and empty texts too) has no neighbours: its score is the calibrated prior.
     """
     docs = docs.drop("score", "predicted", "evidence")
-    shared, curve = index.sent(docs.sparkSession), index.curve
     at, names = docs.columns.index(text), docs.columns
     kind = pa.list_(pa.struct([("id", pa.string()), ("label", pa.int32()), ("cosine", pa.float64())]))
 
     def work(batches):
-        ix = shared.value
         for b in batches:
-            near = list(ix.neighbours(utf8(b.column(at)), k))
-            p = np.array([ix.probability(ix.vote(*x), curve) for x in near], np.float64)
-            evidence = [[{"id": ix.ids[j], "label": int(ix.y[j]), "cosine": float(c)} for j, c in zip(*x, strict=True)] for x in near]
+            near = index.nearest(index.vectors(utf8(b.column(at))))
+            p = np.array([index.probability(index.vote(y, c)) for _, y, c in near], np.float64)
+            evidence = [[{"id": i, "label": int(t), "cosine": float(s)} for i, t, s in zip(*x, strict=True)] for x in near]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64()), pa.array((p >= cut_at).astype(np.int32)), pa.array(evidence, kind)], names=[*names, "score", "predicted", "evidence"])
 
-    return in_batches(docs, work, extended(docs, "score double, predicted int, evidence array<struct<id:string,label:int,cosine:double>>"))
+    return in_batches(docs, work, extended(docs, "score double, predicted int, evidence array<struct<id:string,label:int,cosine:double>>"), keeps=True)
 
 
-def keep(docs: DataFrame, index: Index, *, text: str = "text", k: int = 15, cut_at: float = 0.5) -> DataFrame:
+def keep(docs: DataFrame, index: Index, *, text: str = "text", cut_at: float = 0.5) -> DataFrame:
     """The rows whose score is below ``cut_at``; columns as they came, whatever their names."""
-    shared, curve, at = index.sent(docs.sparkSession), index.curve, docs.columns.index(text)
+    at = docs.columns.index(text)
 
     def work(batches):
-        ix = shared.value
         for b in batches:
-            p = [ix.probability(ix.vote(*x), curve) for x in ix.neighbours(utf8(b.column(at)), k)]
+            p = [index.probability(index.vote(y, c)) for _, y, c in index.nearest(index.vectors(utf8(b.column(at))))]
             yield b.filter(pa.array(np.array(p, np.float64) < cut_at))
 
-    return in_batches(docs, work, docs.schema)
+    return in_batches(docs, work, docs.schema, keeps=True)
 
 
 def classify(docs: DataFrame, labels: DataFrame, **kw) -> DataFrame:
@@ -303,4 +316,4 @@ def classify(docs: DataFrame, labels: DataFrame, **kw) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return classify(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return classify(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("evidence")
