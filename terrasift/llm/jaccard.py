@@ -6,8 +6,10 @@ subsets of k = 2 shingles of that prefix, which few unlike sets share, and large
 inverted lists of the first p + 1 single shingles. Where small ends follows from the cost of both ways for each size, counted on
 the data. Only shingles that two different sets hold take part, and sets that are equal are one class from the start.
 
-In each list or subset every class is compared with one hub; only classes still in different components are then compared with
-each other. Lists with very many such classes are split by one more common shingle, which every true pair has.
+In each list every class is compared with one hub. What is then still apart is settled by what the sets have outside the hub: two
+sets with i and j shingles in common with hub H have at most min(i, j) + |(a - H) & (b - H)| in common. So a pair is a link only if
+min(i, j) is enough, which is seen from numbers, or if it shares a shingle outside H, for which the rarest shingles of a - H make new
+lists. A family of many edited copies is thus settled without building its pairs.
 """
 
 from __future__ import annotations
@@ -28,7 +30,8 @@ WORDS = class_table(lambda b: 0 if b == 32 or 9 <= b <= 13 else 1)
 SLOTS = 1 << 17  # slots of the frequency sketch
 SUBSET = 2  # shingles of a small set's subsets
 AHEAD = 8  # shingles of the prefix beyond those a set may miss; as many must be common
-CROWD = 512  # classes of one list that are paired as they are
+ROUNDS = 12  # of hubs; lists left after that are paired as they are
+SCAN = 4.0  # cost of a posting of an inverted list, which is compared with a hub, against a subset's
 BROADCAST = 100_000  # classes of 24 bytes that may be broadcast; more are joined by a shuffle
 
 
@@ -60,6 +63,10 @@ def _slot(s: np.ndarray) -> np.ndarray:
     return (s >> np.uint64(20)).astype(np.int64) & (SLOTS - 1)
 
 
+def _rare_first(s: np.ndarray, level: np.ndarray) -> np.ndarray:
+    return s[np.argsort(level[_slot(s)], kind="stable")]
+
+
 def _slots(held: list[np.ndarray]) -> np.ndarray:
     return np.bincount(_slot(np.concatenate(held)), minlength=SLOTS)
 
@@ -80,7 +87,7 @@ def prefixes(docs: DataFrame, size: int, percent: int, level: np.ndarray, text:
                 cls.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if n else b"")
                 size_of.append(n)
                 alone = 100 * n < percent * (n + 1)
-                prefix.append(s[:0].view(np.int64) if alone else s[np.argsort(level[_slot(s)], kind="stable")[: may_miss(n, percent) + AHEAD]].view(np.int64))
+                prefix.append(s[:0].view(np.int64) if alone else _rare_first(s, level)[: may_miss(n, percent) + AHEAD].view(np.int64))
             yield pa.record_batch({"doc_id": b.column(0), "cls": pa.array(cls, pa.binary()), "n": pa.array(size_of, pa.int64()), "prefix": pa.array(prefix, pa.list_(pa.int64()))})
 
     return in_batches(docs.select(F.col(id).cast("long").alias("doc_id"), text), work, "doc_id long, cls binary, n long, prefix array<long>")
@@ -89,8 +96,8 @@ def prefixes(docs: DataFrame, size: int, percent: int, level: np.ndarray, text:
 class Join:
     """The join of one table: its classes, and what is known of their components so far."""
 
-    def __init__(self, docs: DataFrame, classes: DataFrame, size: int, percent: int, text: str, id: str):
-        self.docs, self.classes, self.size, self.percent, self.text, self.id = docs, classes, size, percent, text, id
+    def __init__(self, docs: DataFrame, classes: DataFrame, level: np.ndarray, size: int, percent: int, text: str, id: str):
+        self.docs, self.classes, self.level, self.size, self.percent, self.text, self.id = docs, classes, level, size, percent, text, id
         self.comp = None
 
     @property
@@ -111,17 +118,17 @@ class Join:
     def boundary(self, postings: DataFrame) -> int:
         """The size up to which subsets cost less than inverted lists.
 
-        A subset costs 1; so does each entry of a list that a large set scans, and each posting of the sets that large ones may be linked
-        with. Costs are summed per size class of an eighth octave, so the driver sees at most some hundred rows.
+        A subset costs 1, a posting of the sets that large ones may be linked with SCAN. Costs are summed per size class of an eighth
+        octave, so the driver sees at most some hundred rows.
         """
-        k, heads = F.size("tokens"), F.filter("tokens", lambda t: t.head)
-        scanned = F.aggregate(heads, F.lit(0).cast("long"), lambda a, t: a + t.c)
-        rows = postings.groupBy(F.floor(8 * F.log2("n")).alias("b")).agg(F.max("n").alias("n"), F.sum(k.cast("long") * (k - 1) / 2).alias("subsets"), F.sum(scanned).alias("scanned"), F.sum(F.size(heads)).alias("posted")).orderBy("b").collect()
+        k, heads = F.size("tokens"), F.size(F.filter("tokens", lambda t: t.head))
+        rows = postings.groupBy(F.floor(8 * F.log2("n")).alias("b")).agg(F.max("n").alias("n"), F.sum(k.cast("long") * (k - 1) / 2).alias("subsets"), F.sum(heads).alias("posted")).orderBy("b").collect()
+        largest = rows[-1].n if rows else 0
 
         def cost(x: int) -> float:
-            return sum(r.subsets for r in rows if r.n <= x) + sum(r.scanned for r in rows if r.n > x) + sum(r.posted for r in rows if 100 * r.n >= self.percent * x)
+            return sum(r.subsets for r in rows if r.n <= x) + (SCAN * sum(r.posted for r in rows if 100 * r.n >= self.percent * x) if x < largest else 0.0)
 
-        return min([0, *(r.n for r in rows)], key=lambda x: (cost(x) if x < (rows[-1].n if rows else 0) else sum(r.subsets for r in rows), x))
+        return min([0, *(r.n for r in rows)], key=lambda x: (cost(x), x))
 
     def lists(self, postings: DataFrame, x: int) -> DataFrame:
         """(key, cls, n, w): subsets of the sets up to size x, single shingles of those large ones may be linked with; in two classes or more."""
@@ -179,55 +186,73 @@ class Join:
         return cut(both.filter(F.size(F.array_intersect("prefix_u", "prefix_v")) >= F.least(F.lit(AHEAD), least)).select("u", "v"))
 
     def _links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs with 100 * intersection >= percent * union, on full sets made again from the texts of the classes."""
-        size = self.size
+        """The pairs with 100 * intersection >= percent * union."""
+        same = self._both(pairs).select("u", "v", F.size(F.array_intersect("a", "b")).alias("i"), (F.size("a") + F.size("b")).alias("t"))
+        return cut(same.filter(100 * F.col("i") >= self.percent * (F.col("t") - F.col("i"))).select("u", "v"))
+
+    def _both(self, pairs: DataFrame) -> DataFrame:
+        """The pairs with both full sets (a, b), rare shingles first, made again from the texts of the classes."""
+        size, level = self.size, self.level
 
         def work(batches):
             for b in batches:
                 want, got = b.column(0).to_pylist(), list(sets(utf8(b.column(1)), size))
                 at = [i for i, s in enumerate(got) if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == want[i]]
-                yield pa.record_batch({"cls": pa.array([want[i] for i in at], pa.binary()), "items": pa.array([got[i].view(np.int64) for i in at], pa.list_(pa.int64()))})
+                yield pa.record_batch({"cls": pa.array([want[i] for i in at], pa.binary()), "items": pa.array([_rare_first(got[i], level).view(np.int64) for i in at], pa.list_(pa.int64()))})
 
+        pairs = cut(pairs)
         need = cut(pairs.select(F.col("u").alias("cls")).union(pairs.select("v")).distinct().join(self.classes.select("cls", "doc_id"), "cls"))
         if need.count() <= BROADCAST:
             need = F.broadcast(need)
         texts = self.docs.select(F.col(self.id).cast("long").alias("__id"), F.col(self.text).alias("text"))
         rows = texts.join(need, F.col("__id").eqNullSafe(F.col("doc_id"))).select("cls", "text")
         full = cut(in_batches(rows, work, "cls binary, items array<long>").dropDuplicates(["cls"]))
-        both = pairs.join(full.select(F.col("cls").alias("u"), F.col("items").alias("a")), "u").join(full.select(F.col("cls").alias("v"), F.col("items").alias("b")), "v")
-        same = both.select("u", "v", F.size(F.array_intersect("a", "b")).alias("i"), (F.size("a") + F.size("b")).alias("t"))
-        return cut(same.filter(100 * F.col("i") >= self.percent * (F.col("t") - F.col("i"))).select("u", "v"))
-
-    def _mixed(self, lists: DataFrame) -> DataFrame:
-        """(key, cls, n, root, crowd) of the lists that hold classes of different components; crowd: more than CROWD classes."""
+        return pairs.join(full.select(F.col("cls").alias("u"), F.col("items").alias("a")), "u").join(full.select(F.col("cls").alias("v"), F.col("items").alias("b")), "v")
+
+    def open_lists(self, lists: DataFrame) -> DataFrame:
+        """(key, cls, n, w, root) of the lists in which classes other than the hub are in different components."""
+        m = self.rooted(lists.select("key", "cls", "n", "w"), "cls", "root")
+        mixed = m.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("c")).filter("lo <> hi AND c > 2")
+        return cut(m.join(mixed.select("key"), "key"))
+
+    def families(self, lists: DataFrame) -> DataFrame:
+        """(hub, cls, n, w, root, top, i, rest) of the members of open lists: their shingles in common with the hub, the component of the hub, and
+        the rarest shingles outside it, of which two sets share one if min(i, j) is not enough."""
+        hub = lists.groupBy("key").agg(F.max(F.struct("w", "cls", "root")).alias("h"))
+        pairs = cut(lists.join(hub, "key").filter("cls <> h.cls").select(F.col("cls").alias("u"), F.col("h.cls").alias("v"), "n", "w", "root", F.col("h.root").alias("top")).distinct())
+        both = self._both(pairs)
+        return cut(both.select(F.col("v").alias("hub"), F.col("u").alias("cls"), "n", "w", "root", "top", F.size(F.array_intersect("a", "b")).alias("i"),
+                               F.slice(F.array_except("a", "b"), F.lit(1), self._missing + 1).alias("rest")))
+
+    def enough(self, family: DataFrame) -> DataFrame:
+        """Pairs (u, v) of a family whose numbers alone allow a link; one of them is outside the hub's component."""
+        a, b = family.filter("root <> top").alias("a"), family.alias("b")
+        need = F.ceil(self.percent * (F.col("a.n") + F.col("b.n")) / (100 + self.percent))
+        able = self._near(F.col("a.n"), F.col("b.n")) & (F.least("a.i", "b.i") >= need) & (F.col("a.root") != F.col("b.root"))
+        return a.join(b, (F.col("a.hub") == F.col("b.hub")) & able).select(F.least("a.cls", "b.cls").alias("u"), F.greatest("a.cls", "b.cls").alias("v"))
+
+    def residual(self, family: DataFrame) -> DataFrame:
+        """The lists (hub, shingle outside it), the hub by hash."""
+        return self._shared(family.select("hub", "cls", "n", "w", F.explode("rest").alias("t")).select(F.array(F.xxhash64("hub"), "t").alias("key"), "cls", "n", "w"))
+
+    def settle(self, lists: DataFrame) -> None:
+        """All links between classes that share a list."""
+        for _ in range(ROUNDS):
+            star = self.stars(lists)
+            self.absorb(star.groupBy("cls").agg(F.max(F.struct("w", "u", "v")).alias("p")).select("p.u", "p.v"))
+            self.absorb(star)
+            left = self.open_lists(lists)
+            if left.isEmpty():
+                return
+            family = self.families(left)
+            self.absorb(self.enough(family))
+            lists = self.residual(family)
+            if lists.isEmpty():
+                return
         m = self.rooted(lists.select("key", "cls", "n"), "cls", "root")
-        mixed = m.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("c")).filter("lo <> hi")
-        return cut(m.join(mixed.select("key", (F.col("c") > CROWD).alias("crowd")), "key"))
-
-    def across(self, lists: DataFrame, tested: DataFrame) -> DataFrame:
-        """Pairs of classes in different components that share a list and fit in size; crowded lists are split first.
-
-        Two sets of fewer shingles than ``tiny`` may have too few in common for that, so they are paired in the crowded list too.
-        """
-        tiny = 100 * (AHEAD - 1) // self.percent + 1
-        m, found = self._mixed(lists), []
-        for extra in range(SUBSET + 1, AHEAD + 1):
-            crowd = m.filter("crowd")
-            if crowd.isEmpty():
-                break
-            found.append(m.filter(f"NOT crowd OR n < {tiny}"))
-            # a link that has the key's shingles has one more among the first p + extra
-            more = crowd.join(self.classes.select("cls", "prefix"), "cls").select("key", "cls", "n", F.explode(F.slice("prefix", F.lit(1), self._missing + extra)).alias("t"))
-            finer = more.filter(~F.array_contains("key", F.col("t"))).select(F.array_sort(F.array_append("key", F.col("t"))).alias("key"), "cls", "n").distinct()
-            m = self._mixed(self._shared(finer))
-        found.append(m)
-        pairs = None
-        for part in found:
-            a, b = part.alias("a"), part.alias("b")
-            p = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.cls") < F.col("b.cls")) & (F.col("a.root") != F.col("b.root")) & self._near(F.col("a.n"), F.col("b.n")))
-            p = p.select(F.col("a.cls").alias("u"), F.col("b.cls").alias("v"))
-            pairs = p if pairs is None else pairs.unionByName(p)
-        return pairs.distinct().join(tested, ["u", "v"], "left_anti")
+        a, b = m.alias("a"), m.alias("b")
+        rest = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.cls") < F.col("b.cls")) & (F.col("a.root") != F.col("b.root")) & self._near(F.col("a.n"), F.col("b.n")))
+        self.absorb(rest.select(F.col("a.cls").alias("u"), F.col("b.cls").alias("v")))
 
 
 def groups(docs: DataFrame, *, size: int = 5, percent: int = 80, text: str = "text", id: str = "doc_id") -> DataFrame:
@@ -239,16 +264,14 @@ def groups(docs: DataFrame, *, size: int = 5, percent: int = 80, text: str = "te
     """
     if not 50 <= percent <= 100:
         raise ValueError("percent must be from 50 to 100")
-    rows = cut(prefixes(docs, size, percent, levels(docs, size, text), text, id))
+    level = levels(docs, size, text)
+    rows = cut(prefixes(docs, size, percent, level, text, id))
     classes = cut(rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
-    join = Join(docs, classes, size, percent, text, id)
+    join = Join(docs, classes, level, size, percent, text, id)
     postings = join.postings()
     lists = join.lists(postings, join.boundary(postings))
     free(docs.sparkSession)
-    star = join.stars(lists)
-    join.absorb(star.groupBy("cls").agg(F.max(F.struct("w", "u", "v")).alias("p")).select("p.u", "p.v"))
-    join.absorb(star)
-    join.absorb(join.across(lists, star.select("u", "v").distinct()))
+    join.settle(lists)
     names = join.rooted(classes.select("cls", "doc_id"), "cls", "root")
     least = names.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     out = rows.select("doc_id", "cls", "n").join(names.select("cls", "root").join(least, "root").select("cls", "component_id"), "cls", "left")
