@@ -3,7 +3,7 @@
 Terms are the stems of a text's words, their first STEM letters, by hash slot; a stem's weight is its count times the idf of its slot,
 taken from all documents. The index holds a bounded sample of labelled documents with all their terms. It lies in the shared
 folder in parts of bounded size, each with its postings in blocks of BLOCK examples and the largest weight of every term in every
-block: a block is read only if these maxima leave it a chance to be among the k nearest. Tasks open one part after another, and the
+block: a block is opened only if these maxima leave it a chance to hold one of the k nearest. Tasks open one part after another, and the
 driver holds paths, the idf table of fixed size and two numbers per example.
 """
 
@@ -26,6 +26,10 @@ WORDS = class_table(lambda b: 1 if 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <=
 STEM = 4  # letters of a stem; shorter words have none
 SLOTS = 1 << 17  # hash slots of the stems
 BLOCK = 64  # examples per block of the index
+#: A term of more than one in COMMON of a part's examples is a row of its matrix, the MOST most frequent ones at most.
+COMMON, MOST = 16, 512
+TOGETHER = 32  # texts scored at a time
+SLACK = 1e-5  # far above the rounding of single precision
 POSTINGS = 1_000_000  # postings per part of the index, by which parts are cut
 KEPT_BYTES = 96 << 20  # parts that a worker keeps open
 NEAREST = 40
@@ -74,29 +78,44 @@ def weights(slot: np.ndarray, n: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return w / np.sqrt((w * w).sum()) if len(w) else w
 
 
+def _find(among: np.ndarray, what: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each value stands in the sorted ``among``, and whether it does."""
+    at = np.minimum(np.searchsorted(among, what), max(len(among) - 1, 0))
+    return at, among[at] == what if len(among) else np.zeros(len(what), bool)
+
+
 def _spans(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The places first[i] .. first[i] + size[i] - 1, one after another."""
     return np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
 
 
 class Part:
-    """One part of the index: postings by term and block with the block's largest weight, and its examples' ids, labels and numbers."""
+    """One part of the index: its examples with their terms, a matrix of the terms that very many of them have, and postings of all
+    other terms by block, with the block's largest weight."""
 
     def __init__(self, number: np.ndarray, ids: list[str], y: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]]):
         size = np.array([len(t) for t, _ in vectors])
+        self.begin = np.concatenate([[0], np.cumsum(size)])
+        self.slot, self.value = np.concatenate([t for t, _ in vectors]).astype(np.int32), np.concatenate([w for _, w in vectors])
+        self.number, self.ids, self.y, self.blocks = number, np.array(ids, object), y, -(-len(vectors) // BLOCK)
         own = np.repeat(np.arange(len(vectors)), size)
-        term = np.concatenate([t for t, _ in vectors])
+        slots, df = np.unique(self.slot, return_counts=True)
+        often = np.argsort(-df, kind="stable")[:MOST]
+        self.common = np.sort(slots[often[df[often] * COMMON > len(vectors)]])
+        row, dense = _find(self.common, self.slot)
+        self.matrix = np.zeros((len(self.common), self.blocks * BLOCK), np.float32)
+        self.matrix[row[dense], own[dense]] = self.value[dense]
+        term, own, w = self.slot[~dense], own[~dense], self.value[~dense]
         order = np.lexsort((own, term))
-        term, self.example, self.weight = term[order], own[order].astype(np.int32), np.concatenate([w for _, w in vectors])[order]
+        term, self.example, self.weight = term[order], own[order].astype(np.int32), w[order]
         block = self.example // BLOCK
-        new = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])))
+        new = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (block[1:] != block[:-1]))) if len(term) else np.zeros(0, np.int64)
         self.first = np.append(new, len(term))
-        self.block, self.most = block[new], np.maximum.reduceat(self.weight, new)
+        self.block, self.most = block[new], np.maximum.reduceat(w[order], new) if len(new) else np.zeros(0)
         self.term, at = np.unique(term[new], return_index=True)
         self.entry = np.append(at, len(new))
-        self.number, self.ids, self.y, self.blocks = number, np.array(ids, object), y, -(-len(vectors) // BLOCK)
 
-    _ARRAYS = ("example", "weight", "first", "block", "most", "term", "entry", "number", "y")
+    _ARRAYS = ("begin", "slot", "value", "common", "matrix", "example", "weight", "first", "block", "most", "term", "entry", "number", "y")
 
     def dumps(self) -> bytes:
         out = io.BytesIO()
@@ -115,23 +134,39 @@ class Part:
     def bytes(self) -> int:
         return sum(getattr(self, k).nbytes for k in self._ARRAYS)
 
-    def nearest(self, slot: np.ndarray, w: np.ndarray, k: int, least: float = 0.0, skip: int = -1) -> tuple[np.ndarray, np.ndarray, int]:
-        """(places, cosines) of this part's k nearest examples among those of at least ``least``, ties to the lower place, and the blocks skipped.
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, least: list[float], skip: list[int]):
+        """(places, cosines, blocks skipped) per query: this part's k nearest examples among those of at least ``least``, ties to the lower place.
 
-        Blocks are opened in the order of their bounds, the sum of the query's weights times the block's largest; a few first, for a
-        k-th cosine to hold the others against. ``skip`` is the number of an example that is left out.
+        The common terms are scored for all examples at once. A block's bound is its best such score and the sum of the query's other
+        weights times the block's largest; blocks are opened in that order, a few first, for a k-th cosine to hold the others against.
+        Both are in single precision with SLACK to spare, and what may be among the nearest is scored again in double precision.
+        ``skip``: numbers of examples to leave out.
         """
-        at = np.minimum(np.searchsorted(self.term, slot), len(self.term) - 1)
-        hit = self.term[at] == slot
+        scratch = np.zeros(SLOTS)
+        for x in range(0, len(queries), TOGETHER):
+            part = queries[x : x + TOGETHER]
+            q, rare = np.zeros((len(part), len(self.common)), np.float32), []
+            for i, (t, w) in enumerate(part):
+                at, hit = _find(self.common, t)
+                q[i, at[hit]] = w[hit]
+                rare.append((t[~hit], w[~hit]))
+            scores = q @ self.matrix
+            for i, (t, w) in enumerate(part):
+                scratch[t] = w
+                yield self._open(scratch, scores[i], *rare[i], k, least[x + i], skip[x + i])
+                scratch[t] = 0
+
+    def _open(self, query, score, slot, w, k, least, skip):
+        at, hit = _find(self.term, slot)
         at, w = at[hit], w[hit]
         size = self.entry[at + 1] - self.entry[at]
         entry, share = _spans(self.entry[at], size), np.repeat(w, size)
         block = self.block[entry]
-        bound = np.bincount(block, share * self.most[entry], minlength=self.blocks) + 1e-9
+        bound = score.reshape(self.blocks, BLOCK).max(axis=1) + np.bincount(block, share * self.most[entry], minlength=self.blocks) + SLACK
         order = np.argsort(-bound, kind="stable")
-        places, cosines, seen, step = np.zeros(0, np.int64), np.zeros(0), 0, -(-2 * k // BLOCK)
-        while seen < self.blocks and bound[order[seen]] > max(least, 1e-9):
-            end = seen + int(np.searchsorted(-bound[order[seen : seen + step]], -least, side="right"))
+        total, seen, step, floor = np.full(len(score), -1.0), 0, -(-2 * k // BLOCK), max(least - SLACK, SLACK)
+        while seen < self.blocks and bound[order[seen]] > floor:
+            end = seen + int(np.searchsorted(-bound[order[seen : seen + step]], -floor, side="right"))
             chosen = np.zeros(self.blocks, bool)
             chosen[order[seen:end]] = True
             seen, step = end, self.blocks
@@ -139,15 +174,24 @@ class Part:
             e, q = entry[take], share[take]
             n = self.first[e + 1] - self.first[e]
             where = _spans(self.first[e], n)
-            s = np.bincount(self.example[where], np.repeat(q, n) * self.weight[where], minlength=len(self.number))
-            found = np.flatnonzero((s > 0) & (s >= least))
-            found = found[self.number[found] != skip]
-            places, cosines = np.append(places, found), np.append(cosines, s[found])
-            keep = np.lexsort((places, -cosines))[:k]
-            places, cosines = places[keep], cosines[keep]
-            if len(places) == k:
-                least = max(least, float(cosines[-1]))
-        return places, cosines, self.blocks - seen
+            s = score + np.bincount(self.example[where], np.repeat(q, n) * self.weight[where], minlength=len(score))
+            opened = np.repeat(chosen, BLOCK)
+            total[opened] = s[opened]
+            some = total[total > floor]
+            if len(some) > k:  # one more than k, as one may be left out
+                floor = max(floor, float(np.partition(some, len(some) - k - 1)[len(some) - k - 1]) - 2 * SLACK)
+        found = np.flatnonzero(total >= floor)
+        found = found[found < len(self.number)]
+        found = found[self.number[found] != skip]
+        exact = self._exact(query, found)
+        keep = np.lexsort((found, -exact))[:k]
+        keep = keep[(exact[keep] > 0) & (exact[keep] >= least)]
+        return found[keep], exact[keep], self.blocks - seen
+
+    def _exact(self, query, found):
+        size = self.begin[found + 1] - self.begin[found]
+        where = _spans(self.begin[found], size)
+        return np.bincount(np.repeat(np.arange(len(found)), size), query[self.slot[where]] * self.value[where], minlength=len(found))
 
 
 @dataclass
@@ -182,12 +226,11 @@ class Index:
         best = [(np.zeros(0, object), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))] * len(queries)
         self.skipped = 0
         for part in self.parts():
-            for i, (t, w) in enumerate(queries):
-                ids, y, c, number = best[i]
-                least = float(c[-1]) if len(c) == self.k else 0.0
-                at, more, skipped = part.nearest(t, w, self.k, least, -1 if skip is None else skip[i])
+            least = [float(c[-1]) if len(c) == self.k else 0.0 for _, _, c, _ in best]
+            for i, (at, more, skipped) in enumerate(part.nearest(queries, self.k, least, skip or [-1] * len(queries))):
                 self.skipped += skipped
                 if len(at):
+                    ids, y, c, number = best[i]
                     c, number = np.append(c, more), np.append(number, part.number[at])
                     keep = np.lexsort((number, -c))[: self.k]
                     best[i] = np.append(ids, part.ids[at])[keep], np.append(y, part.y[at])[keep], c[keep], number[keep]
@@ -219,7 +262,7 @@ def platt(vote: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(ab[0]), 0.0), float(ab[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, target: str = "toxic", bound: int = 8192, k: int = NEAREST, text: str = "text") -> Index:
+def fit(docs: DataFrame, labels: DataFrame, *, target: str = "toxic", bound: int = 5000, k: int = NEAREST, text: str = "text") -> Index:
     """The index of at most ``bound`` labelled documents that are not held out, calibrated by leaving each one out.
 
     Examples are numbered by the term that weighs most in them and by id, so that like ones share a block. Examples without any term
