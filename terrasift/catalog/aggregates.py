@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from terrasift.catalog.columns import AGY, INDEX_SQL, SEASON, _LIM, _NUM, _STRICT
 from terrasift.functions import clean, feat
-from terrasift.operators import agg, cluster, grid, metric, seasons
+from terrasift.operators import agg, grid, groups, metric, seasons
 from terrasift.operators.quantiles import medians, quantiles
 from terrasift.sources.views import BANDS, oracle, view
 
@@ -81,12 +81,15 @@ Q["e12_group_sd"] = (lambda s, d: view(s, d, "repeated").groupBy("l_partkey", "l
 
 
 def e13(s, d):
-    # placeholder spots are dropped first (the rule of I02), so that a list has at most ten members
-    return cluster.drop_large(view(s, d, "points"), "spot").groupBy("spot").agg(F.min_by("did", "id").alias("did"), F.date_format(F.min("ts"), "yyyy-MM-dd HH:mm:ss").alias("first_ts"), agg.joined_list("id").alias("ids_merged"), F.count("*").alias("n_merged"))
+    # every spot keeps its row; the list is there for spots of at most ten members (the rule of I02), larger ones have their count
+    p = groups.size(view(s, d, "points"), ["spot"], "size")
+    short = F.when(F.col("size") <= 10, F.col("id"))
+    out = p.groupBy("spot").agg(F.min_by("did", "id").alias("did"), F.date_format(F.min("ts"), "yyyy-MM-dd HH:mm:ss").alias("first_ts"), agg.joined_list(short).alias("ids_merged"), F.count("*").alias("n_merged"))
+    return out.withColumn("ids_merged", F.when(F.col("n_merged") <= 10, F.col("ids_merged")))
 
 
 Q["e13_ordered_first_and_lists"] = (e13, oracle(f"""SELECT spot, arg_min(did, id) AS did, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_ts,
- string_agg(CAST(id AS VARCHAR), ';' ORDER BY CAST(id AS VARCHAR)) AS ids_merged, {N} AS n_merged FROM points GROUP BY 1 HAVING count(*) <= 10""", "points"))
+ CASE WHEN count(*) <= 10 THEN string_agg(CAST(id AS VARCHAR), ';' ORDER BY CAST(id AS VARCHAR)) END AS ids_merged, {N} AS n_merged FROM points GROUP BY 1""", "points"))
 Q["e14_distinct_sorted_list"] = (lambda s, d: view(s, d, "raw").groupBy("did").agg(agg.joined_list("cycle", "|", True).alias("cycles")),
                                  oracle("SELECT did, string_agg(DISTINCT cycle, '|' ORDER BY cycle) AS cycles FROM raw GROUP BY 1", "raw"))
 Q["e15_mode_smallest_on_ties"] = (lambda s, d: agg.mode(view(s, d, "repeated"), ["l_partkey"], "l_suppkey"), oracle(

@@ -210,16 +210,14 @@ Q["d20_all_pairs_of_sample"] = (d20, oracle(f"WITH {T}, {_S.format(1500)} SELECT
 
 
 def d21(s, d):
-    from terrasift.operators import cluster
+    from terrasift.operators import links
 
-    p = cluster.drop_large(view(s, d, "points"), "spot")  # lists of at most ten members
-    loc = p.groupBy("spot").agg(agg.joined_list("id").alias("ids_merged"), F.avg("n").alias("loc_n"))
-    from terrasift.operators.links import via_members
-
-    return via_members(loc.withColumnRenamed("spot", "loc_id"), view(s, d, "points").select("id", "p"), "loc_id").select("loc_id", "id", "p", F.round("loc_n", 6).alias("loc_n"))
+    p = view(s, d, "points")
+    loc = links.members(p, "spot").join(p.groupBy("spot").agg(F.avg("n").alias("loc_n")), "spot")
+    return links.via_members(loc.withColumnRenamed("spot", "loc_id"), p.select("id", "p"), "loc_id").select("loc_id", "id", "p", F.round("loc_n", 6).alias("loc_n"))
 
 
-Q["d21_link_through_members"] = (d21, oracle("SELECT * FROM (SELECT spot AS loc_id, id, p, round(avg(n) OVER (PARTITION BY spot), 6) AS loc_n FROM points QUALIFY count(*) OVER (PARTITION BY spot) <= 10)", "points"))
+Q["d21_link_through_members"] = (d21, oracle("SELECT spot AS loc_id, id, p, round(avg(n) OVER (PARTITION BY spot), 6) AS loc_n FROM points", "points"))
 
 
 def d22(s, d):

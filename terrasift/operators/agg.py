@@ -79,9 +79,10 @@ def shares(df: DataFrame, keys, c: str) -> DataFrame:
     return attach(per, list(keys), F.sum("n").alias("__t")).withColumn("pct", F.col("n") * 100.0 / F.col("__t")).drop("__t")
 
 
-def joined_list(c: str, sep: str = ";", distinct: bool = False) -> Column:
+def joined_list(c: str | Column, sep: str = ";", distinct: bool = False) -> Column:
     """Sorted values of a bounded group as text; use it after the group-size rule has run."""
-    return F.concat_ws(sep, F.array_sort(F.collect_set(F.col(c).cast("string")) if distinct else F.collect_list(F.col(c).cast("string"))))
+    v = (F.col(c) if isinstance(c, str) else c).cast("string")
+    return F.concat_ws(sep, F.array_sort(F.collect_set(v) if distinct else F.collect_list(v)))
 
 
 def best(df: DataFrame, keys, name: str, score: str) -> DataFrame:

@@ -12,7 +12,10 @@ def literal_table(spark: SparkSession, rows, names) -> DataFrame:
     def lit(v):
         return F.array(*[F.lit(x) for x in v]) if isinstance(v, list) else F.lit(v)
 
-    structs = [F.struct(*[lit(v).alias(n) for v, n in zip(r, names)]) for r in rows]
+    # a NULL takes the type of the column's other values
+    kinds = [next((type(r[i]) for r in rows if r[i] is not None), str) for i in range(len(names))]
+    ddl = {int: "bigint", float: "double", str: "string", bool: "boolean"}
+    structs = [F.struct(*[(lit(v) if v is not None else F.lit(None).cast(ddl.get(k, "string"))).alias(n) for v, n, k in zip(r, names, kinds)]) for r in rows]
     return spark.range(1).select(F.inline(F.array(*structs)))
 
 

@@ -7,23 +7,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrasift.operators import metric
+from terrasift.operators.groups import same_keys
 from terrasift.plans.jobs import literal_table
 
 
-def fold_sums(df: DataFrame, feats, t: str, fold: str) -> dict[int, np.ndarray]:
-    """Per fold the matrix of sums of products of (1, inputs, target): (inputs + 2) squared numbers a fold reach the driver."""
-    cols = [F.lit(1.0), *[F.col(c).cast("double") for c in feats], F.col(t)]
+def _clean(c: str):
+    """An input as a double; NaN counts as NULL."""
+    return F.nanvl(F.col(c).cast("double"), F.lit(None))
+
+
+def _parts(feats, t: str):
+    """(1, inputs with 0 for a hole, whether each has a hole, target): from their products follow those of imputed inputs for any imputed value."""
+    return [F.lit(1.0), *[F.coalesce(_clean(c), F.lit(0.0)) for c in feats], *[_clean(c).isNull().cast("double") for c in feats], F.col(t)]
+
+
+def sums_of_products(df: DataFrame, keys, feats, t: str) -> dict[tuple, np.ndarray]:
+    """Per key values the matrix of sums of products of ``_parts`` over the rows with a target: numbers squared in the inputs reach the driver."""
+    cols, keys = _parts(feats, t), list(keys)
     pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1)]
-    rows = df.groupBy(fold).agg(*[F.sum(cols[i] * cols[j]).alias(f"s{i}_{j}") for i, j in pairs]).collect()
+    rows = df.filter(F.col(t).isNotNull()).groupBy(*keys).agg(*[F.sum(cols[i] * cols[j]).alias(f"s{i}_{j}") for i, j in pairs]).collect()
     out = {}
     for r in rows:
         m = np.zeros((len(cols), len(cols)))
         for i, j in pairs:
             m[i, j] = m[j, i] = r[f"s{i}_{j}"]
-        out[r[fold]] = m
+        out[tuple(r[k] for k in keys)] = m
     return out
 
 
+def imputed(sums: np.ndarray, inputs: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sums of products of (1, inputs, target) with each hole filled by the mean of the known values, those means; 0 where none is known)."""
+    known = sums[0, 0] - sums[0, 1 + inputs : 1 + 2 * inputs]
+    mean = np.divide(sums[0, 1 : 1 + inputs], known, out=np.zeros(inputs), where=known > 0)
+    to = np.zeros((inputs + 2, len(sums)))
+    to[0, 0] = to[-1, -1] = 1.0
+    for i in range(inputs):
+        to[1 + i, 1 + i], to[1 + i, 1 + inputs + i] = 1.0, mean[i]
+    return to @ sums @ to.T, mean
+
+
 def solve(sums: np.ndarray, reg: float, l1: float, rounds: int = 10_000) -> tuple[float, np.ndarray]:
     """(intercept, weights) of the least-squares line with an elastic-net penalty on standardised inputs and target.
 
@@ -52,57 +74,78 @@ def solve(sums: np.ndarray, reg: float, l1: float, rounds: int = 10_000) -> tupl
     return float(mean[-1] - w @ mean[:-1]), w
 
 
+def _value(feats):
+    """The line of a row from the columns __a, __w and __m of its model; holes take the model's training mean."""
+    return sum((F.col("__w")[i] * F.coalesce(_clean(c), F.col("__m")[i]) for i, c in enumerate(feats)), F.col("__a"))
+
+
+def _model(sums: np.ndarray, inputs: int, reg: float, l1: float) -> tuple[float, list[float], list[float]]:
+    full, mean = imputed(sums, inputs)
+    a, w = solve(full, reg, l1)
+    return a, [float(x) for x in w], [float(x) for x in mean]
+
+
 def out_of_fold(df: DataFrame, named: dict[str, tuple[float, float]], feats, y: str, fold: str) -> DataFrame:
     """Rows x models with ``model`` and ``pred``: log1p target, clipped to the training range; named: model -> (reg, l1).
 
     Every model of every fold comes from the same sums, as the total minus the fold. Rows without a target teach nothing and are
-    predicted; inputs must be complete (clean.fill_median is the step before).
+    predicted; NULL and NaN inputs take the mean of the other folds. A NULL fold is a fold. Where no other fold has a target, pred is NULL.
     """
     feats = list(feats)
-    known = df.filter(F.col(y).isNotNull()).withColumn("__t", F.log1p(y))
-    sums = fold_sums(known, feats, "__t", fold)
-    ends = {r[0]: (r[1], r[2]) for r in known.groupBy(fold).agg(F.min("__t"), F.max("__t")).collect()}
-    total = sum(sums.values())
+    known = df.withColumn("__t", F.log1p(y))
+    sums = {k[0]: m for k, m in sums_of_products(known, [fold], feats, "__t").items()}
+    ends = {r[0]: (r[1], r[2]) for r in known.filter("__t IS NOT NULL").groupBy(fold).agg(F.min("__t"), F.max("__t")).collect()}
+    width = 2 * len(feats) + 2
+    total = sum(sums.values(), np.zeros((width, width)))
     rows = []
-    for f, s in sums.items():
-        lo, hi = (pick(e[i] for g, e in ends.items() if g != f) for i, pick in ((0, min), (1, max)))
+    for f in [r[0] for r in df.select(fold).distinct().collect()]:
+        left = total - sums.get(f, 0.0)
+        others = [e for g, e in ends.items() if g != f]
         for name, (reg, l1) in named.items():
-            a, w = solve(total - s, reg, l1)
-            rows.append((f, name, a, [float(x) for x in w], float(lo), float(hi)))
-    t = literal_table(df.sparkSession, rows, [fold, "model", "__a", "__w", "__lo", "__hi"])
-    z = sum((F.col("__w")[i] * F.col(c) for i, c in enumerate(feats)), F.col("__a"))
-    out = df.join(F.broadcast(t), fold)  # one row per fold and model
-    return out.withColumn("pred", F.expm1(F.greatest("__lo", F.least("__hi", z)))).drop("__a", "__w", "__lo", "__hi")
+            if others:
+                a, w, m = _model(left, len(feats), reg, l1)
+                rows.append((f, name, a, w, m, float(min(e[0] for e in others)), float(max(e[1] for e in others))))
+            else:
+                rows.append((f, name, None, [0.0] * len(feats), [0.0] * len(feats), None, None))
+    if not rows:
+        return df.withColumns({"model": F.lit(None).cast("string"), "pred": F.lit(None).cast("double")}).filter("false")
+    t = literal_table(df.sparkSession, rows, [fold, "model", "__a", "__w", "__m", "__lo", "__hi"])
+    out = same_keys(df, F.broadcast(t), [fold])  # one row per fold and model
+    z = _value(feats)
+    return out.withColumn("pred", F.when(F.col("__a").isNotNull(), F.expm1(F.greatest("__lo", F.least("__hi", z))))).drop("__a", "__w", "__m", "__lo", "__hi")
 
 
 def by_scope(df: DataFrame, feats, targets, scope: str, fold: str) -> DataFrame:
-    """(scope, target, n, r2) of least-squares models fitted and scored out of fold inside each scope: two passes for all of them."""
+    """(scope, target, n, r2) of least-squares models fitted and scored out of fold inside each scope: two passes for all of them.
+
+    Sums are taken per target over the rows that have it, so a row without one target still teaches the others; holes in the inputs
+    take the mean of the scope's other folds. NULL scopes and folds are values like others. n counts the rows with the target; a
+    scope whose rows are in one fold has no model and r2 NULL.
+    """
     feats, targets = list(feats), list(targets)
-    names = [f"__t{i}" for i in range(len(targets))]
-    d = df.withColumns({n: F.log1p(t) for n, t in zip(names, targets, strict=True)})
-    cols = [F.lit(1.0), *[F.col(c).cast("double") for c in feats], *[F.col(n) for n in names]]
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1)]
+    each = F.inline(F.array(*[F.struct(F.lit(t).alias("target"), F.col(t).cast("double").alias("__y")) for t in targets]))
+    # held as a pair, so that a scope or fold column may have any name
+    long = df.select(F.col(scope).alias("__scope"), F.col(fold).alias("__fold"), *[F.col(c).cast("double").alias(f"__x{i}") for i, c in enumerate(feats)], each)
+    long = long.filter("__y IS NOT NULL").withColumn("__t", F.log1p("__y"))
+    names = [f"__x{i}" for i in range(len(feats))]
     sums: dict = {}
-    for r in d.groupBy(scope, fold).agg(*[F.sum(cols[i] * cols[j]).alias(f"s{i}_{j}") for i, j in pairs]).collect():
-        m = np.zeros((len(cols), len(cols)))
-        for i, j in pairs:
-            m[i, j] = m[j, i] = r[f"s{i}_{j}"]
-        sums.setdefault(r[scope], {})[r[fold]] = m
+    for (where, t, f), m in sums_of_products(long, ["__scope", "target", "__fold"], names, "__t").items():
+        sums.setdefault((where, t), {})[f] = m
     rows = []
-    for where, per in sums.items():
+    for (where, t), per in sums.items():
         total = sum(per.values())
         for f, m in per.items():
-            for i, t in enumerate(targets):
-                at = [*range(len(feats) + 1), len(feats) + 1 + i]
-                left = (total - m)[np.ix_(at, at)]
-                if left[0, 0] > 0:
-                    a, w = solve(left, 0.0, 0.0)
-                    rows.append((where, f, t, a, [float(x) for x in w]))
-    table = literal_table(df.sparkSession, rows, [scope, fold, "target", "__a", "__w"])
-    long = d.select(scope, fold, *feats, F.inline(F.array(*[F.struct(F.lit(t).alias("target"), F.col(t).cast("double").alias("__y")) for t in targets])))
-    p = long.join(F.broadcast(table), [scope, fold, "target"])  # one row per scope, fold and target
-    p = p.withColumn("__p", F.expm1(sum((F.col("__w")[i] * F.col(c) for i, c in enumerate(feats)), F.col("__a"))))
-    return p.groupBy(scope, "target").agg(F.count("__y").alias("n"), metric.r2("__y", "__p").alias("r2"))
+            if (total - m)[0, 0] > 0.5:
+                a, w, mean = _model(total - m, len(feats), 0.0, 0.0)
+                rows.append((where, t, f, a, w, mean))
+    if rows:
+        table = literal_table(df.sparkSession, rows, ["__scope", "target", "__fold", "__a", "__w", "__m"])
+        p = same_keys(long, F.broadcast(table), ["__scope", "target", "__fold"], "left")  # one row per scope, target and fold
+        p = p.withColumn("__p", F.expm1(_value(names)))
+    else:
+        p = long.withColumn("__p", F.lit(None).cast("double"))
+    r2 = F.when(F.count("__p") > 0, metric.r2("__y", "__p")).alias("r2")
+    return p.groupBy(F.col("__scope").alias(scope), "target").agg(F.count("__y").alias("n"), r2)
 
 
 def run_jobs(jobs: DataFrame, path: str, keys, axes, one) -> DataFrame:

@@ -148,3 +148,47 @@ def test_null_keys_meet_in_joins(spark):
     b = spark.createDataFrame([(None, 5)], "k long, w long")
     assert sorted(map(str, (tuple(r) for r in groups.same_keys(a, b, ["k"], "left").collect()))) == ["(2, 2, None)", "(None, 1, 5)"]
     assert groups.same_keys(a, b, ["k"], "left_anti").count() == 1
+
+
+def test_linear_models_with_holes_everywhere(spark):
+    """A model per scope and target from the rows that have the target; holes take the mean of the scope's other folds."""
+    g = np.random.default_rng(3)
+    n = 360
+    a, b = g.normal(size=n), g.normal(size=n)
+    y = np.exp(2 + 0.6 * a - 0.4 * b)
+    rows = [(i, None if i % 3 == 2 else "ab"[i % 2], None if i % 29 == 0 else float(a[i]), float("nan") if i % 31 == 0 else float(b[i]), None if i % 4 == 0 else float(y[i]), float(y[i]) + 1, None if i % 5 == 4 else i % 5) for i in range(n)]
+    df = spark.createDataFrame(rows, "id long, scope string, a double, b double, y double, z double, fold int")
+
+    def plain(scope, k):
+        own = [r for r in rows if r[1] == scope and r[k] is not None]
+        pred, true = [], []
+        for f in {r[6] for r in own}:
+            train, test = [r for r in own if r[6] != f], [r for r in own if r[6] == f]
+            mean = [np.mean([r[c] for r in train if r[c] is not None and r[c] == r[c]]) for c in (2, 3)]
+            x = lambda rs: np.array([[1.0, *(m if r[c] is None or r[c] != r[c] else r[c] for c, m in zip((2, 3), mean))] for r in rs])  # noqa: B023, E731
+            w = np.linalg.lstsq(x(train), np.log1p([r[k] for r in train]), rcond=None)[0]
+            pred += list(np.expm1(x(test) @ w))
+            true += [r[k] for r in test]
+        pred, true = np.array(pred), np.array(true)
+        return len(true), 1 - ((true - pred) ** 2).sum() / ((true - true.mean()) ** 2).sum()
+
+    got = {(r["scope"], r.target): (r.n, r.r2) for r in linear.by_scope(df, ["a", "b"], ["y", "z"], "scope", "fold").collect()}
+    assert set(got) == {(s, t) for s in ("a", "b", None) for t in ("y", "z")}
+    for (s, t), (count, r2) in got.items():
+        want = plain(s, {"y": 4, "z": 5}[t])
+        assert count == want[0] and abs(r2 - want[1]) < 1e-6, (s, t)
+    p = linear.out_of_fold(df, {"line": (0.0, 0.0)}, ["a", "b"], "y", "fold")
+    assert p.count() == n and p.filter("pred IS NULL OR isnan(pred)").isEmpty() and p.filter("fold IS NULL").count() == n // 5
+    assert linear.by_scope(df.withColumn("fold", F.lit(1)), ["a"], ["y"], "scope", "fold").filter("r2 IS NULL").count() == 3
+    assert linear.by_scope(df.filter("false"), ["a"], ["y"], "scope", "fold").count() == 0
+    assert linear.out_of_fold(df.filter("false"), {"line": (0.0, 0.0)}, ["a"], "y", "fold").count() == 0
+
+
+def test_members_of_large_groups_are_kept(spark):
+    from terrasift.operators import links
+
+    df = spark.createDataFrame([(i, "hot" if i < 3000 else None if i % 2 else f"g{i % 40}") for i in range(4000)], "id long, spot string")
+    m = links.members(df, "spot", most=100)
+    assert m.agg(F.sum("n_part")).first()[0] == 4000 and m.agg(F.max("n_part")).first()[0] <= 100
+    assert m.filter("spot = 'g10'").count() == 1
+    assert links.via_members(m, df.select("id"), "spot").count() == 4000
