@@ -106,14 +106,23 @@ class Join:
         return F.expr(f"CAST({100 - self.percent} * n DIV 100 AS INT)")
 
     def postings(self) -> DataFrame:
-        """(cls, n, w, tokens): per class its prefix shingles that another class has too, each as (token, c, head), rare ones first.
+        """(cls, n, w, tokens): per class its prefix shingles that another class has too, each as (at, token, c), rare ones first.
 
-        c: how many classes have it in their prefix; w: the sum of c; head: whether it is among the first p + 1.
+        c: how many classes have it in their prefix; w: the sum of c. A class with fewer such shingles than every link has in common
+        takes no part, and then neither do the shingles that only one of the others has.
         """
-        each = self.classes.filter(F.size("prefix") > 0).select("cls", "n", F.posexplode(F.slice("prefix", F.lit(1), self._missing + SUBSET)).alias("at", "token"))
-        often = each.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-        both = each.join(often, "token").select("cls", "n", F.struct("at", "token", "c", (F.col("at") <= self._missing).alias("head")).alias("t"))
-        return cut(both.groupBy("cls").agg(F.first("n").alias("n"), F.sum("t.c").alias("w"), F.array_sort(F.collect_list("t")).alias("tokens")))
+        each = self.classes.filter(F.size("prefix") > 0).select("cls", "n", F.posexplode(F.slice("prefix", F.lit(1), self._missing + AHEAD)).alias("at", "token"))
+        for _ in range(2):
+            often = each.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+            both = each.join(often, "token").select("cls", "n", F.struct("at", "token", "c").alias("t"))
+            some = both.groupBy("cls").agg(F.first("n").alias("n"), F.sum("t.c").alias("w"), F.array_sort(F.collect_list("t")).alias("tokens"))
+            some = cut(some.filter(F.size("tokens") >= F.least(F.lit(AHEAD), F.ceil(self.percent * F.col("n") / 100))))
+            each = some.select("cls", "n", F.explode("tokens").alias("t")).select("cls", "n", "t.at", "t.token")
+        return some
+
+    def _first(self, extra: int) -> Column:
+        """The tokens of a posting among its set's first p + ``extra`` shingles."""
+        return F.transform(F.filter("tokens", lambda t: t.at < self._missing + extra), lambda t: t.token)
 
     def boundary(self, postings: DataFrame) -> int:
         """The size up to which subsets cost less than inverted lists.
@@ -121,18 +130,18 @@ class Join:
         A subset costs 1, a posting of the sets that large ones may be linked with SCAN. Costs are summed per size class of an eighth
         octave, so the driver sees at most some hundred rows.
         """
-        k, heads = F.size("tokens"), F.size(F.filter("tokens", lambda t: t.head))
-        rows = postings.groupBy(F.floor(8 * F.log2("n")).alias("b")).agg(F.max("n").alias("n"), F.sum(k.cast("long") * (k - 1) / 2).alias("subsets"), F.sum(heads).alias("posted")).orderBy("b").collect()
-        largest = rows[-1].n if rows else 0
+        k, heads = F.size(self._first(SUBSET)), F.size(self._first(1))
+        rows = postings.groupBy(F.floor(8 * F.log2("n")).alias("b")).agg(F.max("n").alias("top"), F.sum(k.cast("long") * (k - 1) / 2).alias("subsets"), F.sum(heads).alias("posted")).orderBy("b").collect()
+        largest = rows[-1].top if rows else 0
 
         def cost(x: int) -> float:
-            return sum(r.subsets for r in rows if r.n <= x) + (SCAN * sum(r.posted for r in rows if 100 * r.n >= self.percent * x) if x < largest else 0.0)
+            return sum(r.subsets for r in rows if r.top <= x) + (SCAN * sum(r.posted for r in rows if 100 * r.top >= self.percent * x) if x < largest else 0.0)
 
-        return min([0, *(r.n for r in rows)], key=lambda x: (cost(x), x))
+        return min([0, *(r.top for r in rows)], key=lambda x: (cost(x), x))
 
     def lists(self, postings: DataFrame, x: int) -> DataFrame:
         """(key, cls, n, w): subsets of the sets up to size x, single shingles of those large ones may be linked with; in two classes or more."""
-        facts = postings.select("cls", "n", "w", F.transform("tokens", lambda t: t.token).alias("tokens"), F.transform(F.filter("tokens", lambda t: t.head), lambda t: t.token).alias("heads"))
+        facts = postings.select("cls", "n", "w", self._first(SUBSET).alias("tokens"), self._first(1).alias("heads"))
         first = facts.filter(F.col("n") <= x).select("cls", "n", "w", "tokens", F.posexplode("tokens").alias("at", "a"))
         small = first.select("cls", "n", "w", "a", F.explode(F.slice("tokens", F.col("at") + 2, F.size("tokens"))).alias("b")).select(F.array_sort(F.array("a", "b")).alias("key"), "cls", "n", "w")
         # a pair of sets that need not have SUBSET shingles in common is found by single ones at any size
