@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from terrasift.functions.feat import bin_index
 from terrasift.operators import groups, nearby
+from terrasift.operators.pyramid import binned, half_squares
 from terrasift.operators.quantiles import quantiles
 
 # lag edges in metres (fixed values)
@@ -15,17 +16,11 @@ FIT_LAGS_KM = [0.0, 0.25, 0.5, 1.0, 2.0, 3.0, 5.0, 8.0, 12.0, 18.0, 25.0, 35.0,
 SHORT = 5000.0
 
 
-def _half_sq(v):
-    """Sum over the row pairs behind a location pair of half the squared difference."""
-    dm = F.col(f"{v}__m_a") - F.col(f"{v}__m_b")
-    return 0.5 * (F.col("n_b") * F.col(f"{v}__ss_a") + F.col("n_a") * F.col(f"{v}__ss_b") + F.col("n_a") * F.col("n_b") * dm * dm)
-
-
 def lag_table(df: DataFrame, v: str, edges, **kw) -> DataFrame:
     """Row pairs, mean distance and semivariance per half-open lag bin, over all pairs below the last edge."""
     loc = nearby.locations(df, [v], **kw)
     p = nearby.pairs_of(loc, edges[-1], [f"{v}__m", f"{v}__ss"])
-    p = p.select(bin_index(F.col("d"), edges, right=False).alias("bin"), "d", (F.col("n_a") * F.col("n_b")).alias("m"), _half_sq(v).alias("g"))
+    p = p.select(bin_index(F.col("d"), edges, right=False).alias("bin"), "d", (F.col("n_a") * F.col("n_b")).alias("m"), half_squares(v).alias("g"))
     if edges[0] <= 0:
         own = loc.filter("n > 1").select(F.lit(0).alias("bin"), F.lit(0.0).alias("d"), F.expr("n * (n - 1) div 2").alias("m"), (F.col("n") * F.col(f"{v}__ss") / 2.0).alias("g"))
         p = p.unionByName(own)
@@ -39,11 +34,11 @@ def semivariogram(df: DataFrame, v: str, edges=LAGS, sample_rows: int = 4000, se
 
     short = [e for e in edges if e <= SHORT]
     n_short = len(short) - 1
-    near = lag_table(df, v, short, id=id, x=x, y=y)
+    near = binned(nearby.locations(df, [v], id=id, x=x, y=y), short, [v]).select("bin", "pairs", (F.col(f"g_{v}") / F.col("pairs")).alias("semivariance"))
     s = sample_n(df, sample_rows, id, seed)
     far = nearby.sample_pairs(s, id=id, x=x, y=y, cols=[v]).withColumn("bin", bin_index(F.col("d"), edges, right=False)).filter(F.col("bin") >= n_short)
     dv = F.col(f"{v}_a") - F.col(f"{v}_b")
-    far = far.groupBy("bin").agg(F.count(F.lit(1)).alias("pairs"), F.avg("d").alias("lag"), F.avg(dv * dv * 0.5).alias("semivariance"))
+    far = far.groupBy("bin").agg(F.count(F.lit(1)).alias("pairs"), F.avg(dv * dv * 0.5).alias("semivariance"))
     tot = df.agg(F.var_samp(v).alias("__tv"))
     out = near.unionByName(far).crossJoin(F.broadcast(tot))  # one-row side
     mids = F.array(*[F.lit((a * b) ** 0.5 / 1000) for a, b in zip(edges, edges[1:])])
@@ -78,14 +73,15 @@ def fit_exponential(vg: DataFrame, total_var: float, min_pairs: int = 30, steps:
 
 def nearby_pairs(df: DataFrame, values, region: str, bands, *, id="id", x="x", y="y") -> DataFrame:
     """Half squared difference of region z-scores (log1p) per distance band, pairs of one region only."""
-    z = df.select(F.col(id).alias("id"), F.col(x).alias("x"), F.col(y).alias("y"), region, *[F.log1p(v).alias(v) for v in values])
+    z = df.filter(F.col(region).isNotNull()).select(F.col(id).alias("id"), F.col(x).alias("x"), F.col(y).alias("y"), region, *[F.log1p(v).alias(v) for v in values])
     z = groups.zscore(z, [region], values)
     zs = [f"{v}_z" for v in values]
-    loc = nearby.locations(z, zs, [region])
-    extra = [region] + [f"{v}__{s}" for v in zs for s in ("m", "ss")]
-    p = nearby.pairs_of(loc, bands[-1], extra).filter(F.col(f"{region}_a") == F.col(f"{region}_b"))
-    p = p.withColumn("band", bin_index(F.col("d"), bands, right=False)).filter("band IS NOT NULL").withColumn("m", F.col("n_a") * F.col("n_b"))
-    return p.groupBy("band").agg(F.sum("m").alias("pairs"), *[(F.sum(_half_sq(f"{v}_z")) / F.sum("m")).alias(v) for v in values])
+    p = binned(nearby.locations(z, zs, [region]), bands, zs, [region])
+    if bands[0] <= 0:  # rows of one position are at distance 0
+        loc = nearby.locations(z, zs, [region]).filter("n > 1")
+        own = loc.select(F.lit(0).alias("bin"), F.expr("n * (n - 1) div 2").alias("pairs"), *[(F.col("n") * F.col(f"{v}__ss") / 2.0).alias(f"g_{v}") for v in zs])
+        p = p.unionByName(own).groupBy("bin").agg(*[F.sum(c).alias(c) for c in ("pairs", *[f"g_{v}" for v in zs])])
+    return p.select(F.col("bin").alias("band"), "pairs", *[(F.col(f"g_{v}_z") / F.col("pairs")).alias(v) for v in values])
 
 
 def pair_difference(df: DataFrame, v: str, r: float, cut: float = 0.3, *, id="id", x="x", y="y") -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrasift.functions.geo import distance, nowhere
+from terrasift.operators.groups import same_keys
 
 HALF = [(0, 0), (1, 0), (-1, 1), (0, 1), (1, 1)]
 FULL = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
@@ -33,14 +34,14 @@ def _cells(df, side, offsets=None):
     return df.withColumn("__o", o).withColumns({"cx": F.col("cx") + F.col("__o.i"), "cy": F.col("cy") + F.col("__o.j"), "__home": (F.col("__o.i") == 0) & (F.col("__o.j") == 0)}).drop("__o")
 
 
-def pairs_of(loc: DataFrame, r: float, extra=()) -> DataFrame:
+def pairs_of(loc: DataFrame, r: float, extra=(), keys=()) -> DataFrame:
     """Unordered pairs of locations at most r apart: a < b, d, n_a, n_b and both sides' extra columns.
 
-    Only half of the neighbouring cells are visited, so each pair is built once.
+    Only half of the neighbouring cells are visited, so each pair is built once. With ``keys``, only pairs of one value of the keys.
     """
-    left = _cells(loc, r, HALF).select("cx", "cy", "__home", *[F.col(c).alias(f"a__{c}") for c in ("id", "x", "y", "n", *extra)])
-    right = _cells(loc, r).select("cx", "cy", *[F.col(c).alias(f"b__{c}") for c in ("id", "x", "y", "n", *extra)])
-    j = left.join(right, ["cx", "cy"])
+    left = _cells(loc, r, HALF).select(*keys, "cx", "cy", "__home", *[F.col(c).alias(f"a__{c}") for c in ("id", "x", "y", "n", *extra)])
+    right = _cells(loc, r).select(*keys, "cx", "cy", *[F.col(c).alias(f"b__{c}") for c in ("id", "x", "y", "n", *extra)])
+    j = same_keys(left, right, [*keys, "cx", "cy"]) if keys else left.join(right, ["cx", "cy"])
     d = distance(F.col("a__x"), F.col("a__y"), F.col("b__x"), F.col("b__y"))
     once = ~F.col("__home") | (F.col("a__x") < F.col("b__x")) | ((F.col("a__x") == F.col("b__x")) & (F.col("a__y") < F.col("b__y")))
     j = j.withColumn("d", d).filter(once & (F.col("d") <= r))
@@ -61,10 +62,10 @@ def pairs_within(df: DataFrame, r: float, **kw) -> DataFrame:
 
 def count_within(df: DataFrame, r: float, name: str = "n_near", *, id="id", x="x", y="y") -> DataFrame:
     """Other rows within r of each row; a row without a position is near nothing."""
+    from terrasift.operators import pyramid
+
     loc = locations(df.filter(~nowhere(x, y)), id=id, x=x, y=y)
-    p = pairs_of(loc, r)
-    both = p.select(F.col("id_a").alias("lid"), F.col("n_b").alias("m")).unionByName(p.select(F.col("id_b").alias("lid"), F.col("n_a").alias("m")))
-    near = both.groupBy("lid").agg(F.sum("m").alias("m"))
+    near = pyramid.neighbours(loc, r)
     total = loc.join(near, loc["id"] == near["lid"], "left").select(F.col("x").alias("__x"), F.col("y").alias("__y"), (F.col("n") - 1 + F.coalesce("m", F.lit(0))).alias(name))
     out = df.join(total, (F.col(x) == F.col("__x")) & (F.col(y) == F.col("__y")), "left").drop("__x", "__y")
     return out.withColumn(name, F.coalesce(name, F.lit(0)))
@@ -120,14 +121,15 @@ def fraction_within(points: DataFrame, px: DataFrame, r: float, codes: dict, *,
 
 
 def split_pairs(df: DataFrame, r: float, fold: str, *, id="id", x="x", y="y") -> DataFrame:
-    """Row pairs within r and the share of them that lies in two different folds."""
-    per = df.groupBy(F.col(x).alias("x"), F.col(y).alias("y"), F.col(fold).alias("f")).agg(F.min(id).alias("fid"), F.count(F.lit(1)).alias("m"))
-    # a location carries its rows per fold: a map no longer than the number of folds
-    loc = per.groupBy("x", "y").agg(F.min("fid").alias("id"), F.sum("m").alias("n"), F.map_from_entries(F.collect_list(F.struct("f", "m"))).alias("fm"))
-    p = pairs_of(loc, r, ["fm"])
-    same = F.aggregate(F.map_entries("fm_a"), F.lit(0).cast("long"), lambda t, e: t + e["value"] * F.coalesce(F.try_element_at(F.col("fm_b"), e["key"]), F.lit(0)))
-    across = p.select((F.col("n_a") * F.col("n_b")).alias("pairs"), (F.col("n_a") * F.col("n_b") - same).alias("split"))
-    sq = F.aggregate(F.map_values("fm"), F.lit(0).cast("long"), lambda t, m: t + m * m)
-    own = loc.filter("n > 1").select(F.expr("n * (n - 1) div 2").alias("pairs"), ((F.col("n") * F.col("n") - sq) / 2).cast("long").alias("split"))
-    t = across.unionByName(own).agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"), F.coalesce(F.sum("split"), F.lit(0)).alias("split_pairs"))
-    return t.withColumn("split_share", F.try_divide("split_pairs", "pairs"))
+    """Row pairs within r and how many of them lie in two different folds: all pairs less those of one fold. A NULL fold is a fold."""
+    from terrasift.operators import pyramid
+
+    known = df.filter(~nowhere(x, y)).withColumnRenamed(fold, "__fold")
+
+    def pairs(keys):
+        loc = locations(known, keys=keys, id=id, x=x, y=y)
+        own = loc.select(F.expr("n * (n - 1) div 2").alias("pairs"))
+        return pyramid.binned(loc, [0.0, r], keys=keys, closed=True).select("pairs").unionByName(own).agg(F.coalesce(F.sum("pairs"), F.lit(0)).cast("long").alias("pairs"))
+
+    t = pairs([]).crossJoin(F.broadcast(pairs(["__fold"]).withColumnRenamed("pairs", "same")))  # one row each
+    return t.select("pairs", (F.col("pairs") - F.col("same")).alias("split_pairs")).withColumn("split_share", F.try_divide("split_pairs", "pairs"))
