@@ -6,7 +6,7 @@ from terrasift.catalog.aggregates import rnd
 from terrasift.catalog.designs import HELD, blocked, test_sql, u
 from terrasift.catalog.joining import BLK10, DIST, T, fold_sql, folded, pts, top
 from terrasift.catalog.places import blk
-from terrasift.functions import feat
+from terrasift.functions import feat, geo
 from terrasift.operators import cluster, features, links, sampling
 from terrasift.plans import designs, learn, linear, models
 from terrasift.sources.views import FEATURE_COLS, oracle, view
@@ -340,3 +340,29 @@ def _job_sql(seed, design):
 
 
 Q["j14_job_table_run"] = (j14_run, oracle(f"WITH {T} " + " UNION ALL ".join(_job_sql(a, b) for a in _JOBS["seed"] for b in _JOBS["design"]), "points"))
+
+
+# ---- nested search: the setting is chosen on training blocks only, then refitted and scored on the outer fold (K13, K17)
+PENALTIES = [10.0 ** (e / 4 - 3) for e in range(25)]
+SETTINGS = [(r, 0.0) for r in PENALTIES] + [(r, e) for e in (1.0, 0.2, 0.5, 0.8) for r in PENALTIES[:13]]
+
+
+def nested(s, d, settings, feats):
+    p = folded(s, d).withColumn("block", geo.block("x", "y", 10))
+    return linear.nested(p, settings, feats, Y, "block", "fold", 5, 3, 7)
+
+
+Q["k17_nested_linear_search"] = (lambda s, d: rnd(nested(s, d, SETTINGS, IN), ["reg", "inner_r2", "outer_r2"], 6), None)
+_RIDGE = [0.01, 0.1, 0.5, 1.0]
+_SSE = "sum(pow(ln(1 + {v}.n) - (m.my + m.b/(1 + s.reg)*({v}.ph - m.mx)), 2))"
+_R2N = f"1 - {_SSE}/(var_pop(ln(1 + {{v}}.n))*count(*))"
+Q["k17_nested_ridge_line"] = (lambda s, d: rnd(nested(s, d, [(r, 0.0) for r in _RIDGE], ["ph"]).select("outer", "reg", "inner_r2", "chosen", "outer_r2"), ["inner_r2", "outer_r2"], 6), oracle(f"""{FOLDED},
+ o AS (SELECT f.*, {BLK10} AS block, CAST(v.o AS BIGINT) AS outer_ FROM f, range(5) v(o) WHERE v.o <> fold),
+ g AS (SELECT outer_, block, CAST((row_number() OVER (ORDER BY outer_, md5(concat(outer_, ':', block, ':7'))) - 1) % 3 AS INTEGER) AS inner_ FROM (SELECT DISTINCT outer_, block FROM o)),
+ i AS (SELECT o.*, inner_ FROM o JOIN g USING (outer_, block)), s AS (SELECT unnest([{', '.join(f'{r}e0' for r in _RIDGE)}]) AS reg),
+ mi AS (SELECT h.outer_, h.inner_, avg(ph) AS mx, avg(ln(1 + n)) AS my, regr_slope(ln(1 + n), ph) AS b FROM (SELECT DISTINCT outer_, inner_ FROM i) h JOIN i ON i.outer_ = h.outer_ AND i.inner_ <> h.inner_ GROUP BY ALL),
+ ri AS (SELECT i.outer_, i.inner_, s.reg, {_R2N.format(v='i')} AS r2 FROM i JOIN mi m ON m.outer_ = i.outer_ AND m.inner_ = i.inner_, s GROUP BY ALL),
+ sc AS (SELECT outer_, reg, avg(r2) AS inner_r2 FROM ri GROUP BY ALL),
+ mo AS (SELECT outer_, avg(ph) AS mx, avg(ln(1 + n)) AS my, regr_slope(ln(1 + n), ph) AS b FROM o GROUP BY 1),
+ ro AS (SELECT m.outer_, s.reg, {_R2N.format(v='f')} AS outer_r2 FROM f JOIN mo m ON m.outer_ = f.fold, s GROUP BY ALL)
+ SELECT outer_ AS "outer", reg, round(inner_r2, 6) AS inner_r2, row_number() OVER (PARTITION BY outer_ ORDER BY inner_r2 DESC, reg) = 1 AS chosen, round(outer_r2, 6) AS outer_r2 FROM sc JOIN ro USING (outer_, reg)""", "points"))

@@ -109,13 +109,13 @@ def sample_pairs(sample: DataFrame, side_rows: int = 250, *, id="id", x="x", y="
 
 def fraction_within(points: DataFrame, px: DataFrame, r: float, codes: dict, *, cls="cls", id="id", x="x", y="y") -> DataFrame:
     """Share of each class among the pixels within r of each point; points at one position are answered once."""
-    loc = points.select(F.col(x).alias("x"), F.col(y).alias("y")).distinct()
-    left = _cells(loc, r, FULL).drop("__home")
+    from terrasift.operators import pyramid
+
+    loc = points.filter(~nowhere(x, y)).select(F.col(x).alias("x"), F.col(y).alias("y")).distinct()
     # pixels of one position are folded with counts per class
-    agg = [F.count(F.lit(1)).alias("n")] + [F.count_if(F.col(cls) == code).alias(f"c_{n}") for n, code in codes.items()]
-    right = _cells(px.groupBy("x", "y").agg(*agg), r).withColumnsRenamed({"x": "bx", "y": "by"})
-    j = left.join(right, ["cx", "cy"]).filter(distance(F.col("x"), F.col("y"), F.col("bx"), F.col("by")) <= r)
-    s = j.groupBy(F.col("x").alias("__x"), F.col("y").alias("__y")).agg(F.sum("n").alias("pixels"), *[(F.sum(f"c_{n}") / F.sum("n")).alias(n) for n in codes])
+    counts = [F.count(F.lit(1)).alias("n")] + [F.count_if(F.col(cls) == code).alias(f"c_{n}") for n, code in codes.items()]
+    s = pyramid.class_counts(loc, px.filter(~nowhere("x", "y")).groupBy("x", "y").agg(*counts), r, [f"c_{n}" for n in codes])
+    s = s.select(F.col("x").alias("__x"), F.col("y").alias("__y"), F.col("n").alias("pixels"), *[(F.col(f"c_{n}") / F.col("n")).alias(n) for n in codes])
     out = points.join(s, (F.col(x) == F.col("__x")) & (F.col(y) == F.col("__y")), "left").drop("__x", "__y")
     return out.na.fill(0, ["pixels", *codes])
 

@@ -17,6 +17,7 @@ from terrasift.session import cut
 
 CROWD = 256  # positions of a cell that is opened through the pyramid
 DIRECT = 4096  # pairs of positions of two cells that are built as they are
+RIM = 32  # pixel positions of a rim cell that are compared one by one
 FAN = 4  # a power of two, so that a child's index leads to its parent's without rounding
 _BOX = ("x0", "x1", "y0", "y1")
 
@@ -167,3 +168,37 @@ def neighbours(loc: DataFrame, r: float) -> DataFrame:
             own = _at(loc, side).join(per, ["cx", "cy"]).select(F.col("id").alias("lid"), (F.col("m") - F.when(F.col("home"), F.col("n")).otherwise(0)).alias("m"))
             near = near.unionByName(own)
     return near.groupBy("lid").agg(F.sum("m").alias("m"))
+
+
+def class_counts(points: DataFrame, px: DataFrame, r: float, names) -> DataFrame:
+    """(x, y, n, <names>): sums of the pixel columns n and ``names`` within r of each distinct position; positions without pixels are absent.
+
+    ``px``: one row per pixel position (x, y, n, <names>). Cells of pixels that lie wholly inside the circle count by their sums,
+    cells on its rim are opened into FAN * FAN children, and only small rim cells are compared pixel by pixel.
+    """
+    sums = ["n", *names]
+    px, side, eps = cut(px), float(r), 1e-6 * r
+    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in nearby.FULL]))
+    todo = _at(points, side).withColumn("o", around).select("x", "y", (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"))
+    out = []
+    while True:
+        cells = _at(px.withColumnsRenamed({"x": "bx", "y": "by"}).withColumns({"x": F.col("bx"), "y": F.col("by")}), side)
+        boxes = cells.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("c"), *[F.sum(c).alias(c) for c in sums], F.min("bx").alias("x0"), F.max("bx").alias("x1"), F.min("by").alias("y0"), F.max("by").alias("y1"))
+        gap = [F.greatest(F.lit(0.0), F.col(f"{k}0") - F.col(k), F.col(k) - F.col(f"{k}1")) for k in "xy"]
+        far = [F.greatest(F.col(f"{k}1") - F.col(k), F.col(k) - F.col(f"{k}0")) for k in "xy"]
+        least, most = (F.sqrt(u * u + v * v) for u, v in (gap, far))
+        fate = F.when(most + eps <= r, "whole").when(F.col("c") <= RIM, "direct").otherwise("open")
+        pairs = cut(todo.join(boxes, ["cx", "cy"]).filter(least - eps <= r).select("x", "y", "cx", "cy", *sums, fate.alias("fate")))
+        out.append(pairs.filter("fate = 'whole'").select("x", "y", *sums))
+        near = pairs.filter("fate = 'direct'").select("x", "y", "cx", "cy").join(cells.drop("x", "y"), ["cx", "cy"])
+        out.append(near.filter(distance(F.col("x"), F.col("y"), F.col("bx"), F.col("by")) <= r).select("x", "y", *sums))
+        todo = pairs.filter("fate = 'open'")
+        if todo.isEmpty():
+            break
+        side /= FAN
+        inner = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(FAN) for j in range(FAN)]))
+        todo = todo.withColumn("o", inner).select("x", "y", (F.col("cx") * FAN + F.col("o.i")).alias("cx"), (F.col("cy") * FAN + F.col("o.j")).alias("cy"))
+    every = out[0]
+    for p in out[1:]:
+        every = every.unionByName(p)
+    return every.groupBy("x", "y").agg(*[F.sum(c).alias(c) for c in sums])

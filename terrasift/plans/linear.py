@@ -39,11 +39,7 @@ def imputed(sums: np.ndarray, inputs: int) -> tuple[np.ndarray, np.ndarray]:
     """(sums of products of (1, inputs, target) with each hole filled by the mean of the known values, those means; 0 where none is known)."""
     known = sums[0, 0] - sums[0, 1 + inputs : 1 + 2 * inputs]
     mean = np.divide(sums[0, 1 : 1 + inputs], known, out=np.zeros(inputs), where=known > 0)
-    to = np.zeros((inputs + 2, len(sums)))
-    to[0, 0] = to[-1, -1] = 1.0
-    for i in range(inputs):
-        to[1 + i, 1 + i], to[1 + i, 1 + inputs + i] = 1.0, mean[i]
-    return to @ sums @ to.T, mean
+    return _fill(sums, mean), mean
 
 
 def solve(sums: np.ndarray, reg: float, l1: float, rounds: int = 10_000) -> tuple[float, np.ndarray]:
@@ -148,6 +144,63 @@ def by_scope(df: DataFrame, feats, targets, scope: str, fold: str) -> DataFrame:
     return p.groupBy(F.col("__scope").alias(scope), "target").agg(F.count("__y").alias("n"), r2)
 
 
+def _residual(sums: np.ndarray, a: float, w) -> tuple[float, float]:
+    """(sum of squared errors, sum of squares about the mean) of the line on rows given by their sums of products (1, inputs, target)."""
+    v = np.array([a, *w, -1.0])
+    n, mean = sums[0, 0], sums[0, -1] / max(sums[0, 0], 1.0)
+    return float(v @ sums @ v), float(sums[-1, -1] - n * mean * mean)
+
+
+def _fill(sums: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """Sums of products of held-out rows whose holes take the training means."""
+    inputs = len(mean)
+    to = np.zeros((inputs + 2, len(sums)))
+    to[0, 0] = to[-1, -1] = 1.0
+    for i in range(inputs):
+        to[1 + i, 1 + i], to[1 + i, 1 + inputs + i] = 1.0, mean[i]
+    return to @ sums @ to.T
+
+
+def nested(df: DataFrame, settings, feats, y: str, group: str, fold: str, n_folds: int, inner: int = 3, seed: int = 7) -> DataFrame:
+    """(outer, reg, l1, inner_r2, chosen, outer_r2): every setting scored on inner folds of each outer fold's training groups, the best one refitted.
+
+    ``settings`` are pairs (reg, l1). All fits and all scores, of log1p targets, follow from the sums of products per outer and inner
+    fold, so one pass over the rows serves every setting. inner_r2 is the mean over the inner folds; ties go to the earlier setting.
+    outer_r2 is the score of the setting refitted on the whole training part, on the rows of the outer fold. Rows without a target
+    or a group take no part; NULL inputs take the training mean of the fit at hand.
+    """
+    from terrasift.plans import designs
+
+    feats, settings = list(feats), [(float(r), float(e)) for r, e in settings]
+    known = df.filter(F.col(y).isNotNull() & F.col(group).isNotNull()).withColumn("__t", F.log1p(y))
+    own = {k[0]: m for k, m in sums_of_products(known, [fold], feats, "__t").items()}
+    dealt = designs.inner_folds(known, group, fold, n_folds, inner, seed)
+    parts: dict = {}
+    for (o, i), m in sums_of_products(dealt, ["outer", "inner"], feats, "__t").items():
+        parts.setdefault(o, {})[i] = m
+
+    def r2(train, test, reg, l1):
+        full, mean = imputed(train, len(feats))
+        a, w = solve(full, reg, l1)
+        sse, sst = _residual(_fill(test, mean), a, w)
+        return 1.0 - sse / sst if sst > 0 else None
+
+    rows = []
+    for o, per in sorted(parts.items()):
+        total = sum(per.values())
+        scores = []
+        for reg, l1 in settings:
+            s = [r2(total - m, m, reg, l1) for m in per.values() if (total - m)[0, 0] > 0.5]
+            s = [v for v in s if v is not None]
+            scores.append(float(np.mean(s)) if s else None)
+        best = max(range(len(settings)), key=lambda k: (-np.inf if scores[k] is None else scores[k], -k))
+        for k, (reg, l1) in enumerate(settings):
+            rows.append((int(o), reg, l1, scores[k], k == best, r2(total, own[o], reg, l1) if o in own else None))
+    if not rows:
+        return df.sparkSession.createDataFrame([], "outer long, reg double, l1 double, inner_r2 double, chosen boolean, outer_r2 double")
+    return literal_table(df.sparkSession, rows, ["outer", "reg", "l1", "inner_r2", "chosen", "outer_r2"])
+
+
 def run_jobs(jobs: DataFrame, path: str, keys, axes, one) -> DataFrame:
     """Run the jobs of a table that ``path`` does not hold yet and append their results.
 

@@ -103,3 +103,20 @@ def test_work_follows_the_rim(spark, monkeypatch):
         built.append(sum(pyramid.positions(loc, side, direct).count() for side, _, direct in pyramid.opened(loc, [0.0, 30.0])))
         assert built[-1] < n * n / 8
     assert built[1] < 12 * built[0]  # 16 times the pairs exist
+
+
+def test_class_shares_within_a_circle(spark, data, monkeypatch):
+    """Dense pixels (and a third of them at one position) around points: whole cells by their sums, the rim opened."""
+    monkeypatch.setattr(pyramid, "RIM", 4)
+    g = np.random.default_rng(5)
+    px = pd.DataFrame({"x": g.uniform(0, 3000, 3000).round(1), "y": g.uniform(0, 3000, 3000).round(1), "cls": g.integers(0, 4, 3000)})
+    px.loc[:999, ["x", "y"]] = [1500.0, 1500.0]
+    pts = pd.DataFrame({"id": range(60), "x": g.uniform(-500, 3500, 60).round(1), "y": g.uniform(-500, 3500, 60).round(1)})
+    pts.loc[50:, ["x", "y"]] = [1500.0, 1500.0]
+    holes = spark.createDataFrame([(99, None, 1.0)], "id long, x double, y double")
+    got = {r.id: (r.pixels, r.one, r.two) for r in nearby.fraction_within(spark.createDataFrame(pts).unionByName(holes), spark.createDataFrame(px), 700.0, {"one": 1, "two": 2}).collect()}
+    assert got.pop(99) == (0, 0.0, 0.0)
+    for p in pts.itertuples():
+        near = px[np.hypot(px.x - p.x, px.y - p.y) <= 700]
+        want = (len(near), *((near.cls == c).mean() if len(near) else 0.0 for c in (1, 2)))
+        assert got[p.id][0] == want[0] and np.allclose(got[p.id][1:], want[1:]), p
