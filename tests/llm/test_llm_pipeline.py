@@ -60,4 +60,4 @@ def test_oracle(spark, name):
 
 def test_names():
     got = entry.queries()
-    assert "pipeline" in got and all(any(n.startswith(f"op{i}_") for n in got) for i in range(1, 11))
+    assert "pipeline" in got and all(any(n.startswith(f"op{i}_") for n in got) for i in range(1, 14))
