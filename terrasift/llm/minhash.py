@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrasift.llm.common import class_table, free, hashed_words, in_batches, lower, mix, utf8
+from terrasift.llm.common import class_table, extended, free, hashed_words, in_batches, lower, mix, utf8
 from terrasift.llm.graph import components
 from terrasift.session import cut
 
@@ -164,8 +164,11 @@ def groups(docs: DataFrame, *, size: int = 5, percent: int = 80, text: str = "te
 
     component_id is the least id that can be reached over links of at least ``percent``; texts without words (null and empty
     too) are linked with nothing. Rows that repeat an id are rows of their own and share the component of their text. Null ids
-    are no component ids: a component without any id has a null one, and its rows are kept.
+    are no component ids: a component without any id has a null one, and its rows are kept. The bands and both sketches are laid out
+    for a similarity of 0.8, so a lower ``percent`` is refused.
     """
+    if not 80 <= percent <= 100:
+        raise ValueError("percent must be from 80 to 100")
     sig = cut(signatures(docs, size, text, id))
     classes = cut(sig.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
     keyed = classes.select("cls", F.explode("bands").alias("key"))
@@ -241,13 +244,35 @@ def _labelled(sig: DataFrame, classes: DataFrame, comp: DataFrame) -> DataFrame:
     return out.select("doc_id", "cls", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def _with_class(docs: DataFrame, text: str) -> DataFrame:
+    """``docs`` with ``__cls``, the digest of the words that ``groups`` goes by."""
+    at, names = docs.columns.index(text), docs.columns
+
+    def work(batches):
+        for b in batches:
+            cls = [hashlib.blake2b(w, digest_size=16).digest() if (w := b" ".join(lower(t).split())) else b"" for t in utf8(b.column(at))]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cls, pa.binary())], names=[*names, "__cls"])
+
+    return in_batches(docs, work, extended(docs, "__cls binary"))
+
+
 def keep_one(docs: DataFrame, *, text: str = "text", id: str = "doc_id", **kw) -> DataFrame:
-    """One document of each group, the one with the least id, with its columns. Repeated rows of one id are kept once."""
-    kept = groups(docs, text=text, id=id, **kw).filter("kept").select(F.col("doc_id").alias("__id"), "cls").distinct()
-    names = docs.columns
-    some = docs.filter(F.col(id).isNotNull()).join(kept.filter("__id IS NOT NULL").select("__id").distinct(), F.col(id) == F.col("__id"), "left_semi").dropDuplicates([id])
-    none = docs.filter(F.col(id).isNull())
-    return some.select(*names).unionByName(none.dropDuplicates([text]).select(*names))
+    """One document of each group, the one with the least id, with its columns.
+
+    Texts without words are linked with nothing, so all such rows stay. Of rows that repeat id and words one stays; rows that repeat an
+    id with other words stay or go by their own group. Of rows without an id, those in a group with an id go, and of the others one
+    stays for each sequence of words.
+    """
+    g = cut(groups(docs, text=text, id=id, **kw).select(F.col("doc_id").alias("__id"), F.col("cls").alias("__cls"), "n_shingles", "kept"))
+    odd = cut(g.filter("__id IS NOT NULL").groupBy("__id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("__id"))
+    once = g.filter("kept AND __id IS NOT NULL").select("__id").join(odd, "__id", "left_anti")
+    key = F.col(id).cast("long") == F.col("__id")
+    some = docs.join(once, key, "left_semi")
+    rest = _with_class(docs.filter(F.col(id).isNull()).unionByName(docs.join(odd, key, "left_semi")), text)
+    kept = g.filter("kept").select(F.col("__id").alias("__i"), F.col("__cls").alias("__c")).distinct()
+    stay = rest.join(kept, F.col(id).cast("long").eqNullSafe(F.col("__i")) & (F.col("__cls") == F.col("__c")), "left_semi")
+    words = stay.filter(F.length("__cls") > 0).dropDuplicates([id, "__cls"])
+    return some.unionByName(words.unionByName(stay.filter(F.length("__cls") == 0)).select(*docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -166,3 +166,17 @@ def test_components(spark):
             root[y] = x
     got = graph.components(spark.createDataFrame(edges, "u long, v long")).collect()
     assert sorted((r.node, r.root) for r in got) == sorted((i, find(i)) for i in root)
+
+
+def test_keep_one_loses_no_text_of_its_own(spark):
+    """Repeated ids with other texts, null ids, texts without words: only copies go."""
+    rows = [(1, "a b c d e f g", 1), (1, "h i j k l m n", 2), (1, "a b c d e f g", 3), (None, None, 4), (None, "", 5), (None, "", 6), (None, "q r s", 7), (None, "Q r  s", 8), (None, "a b c d e f g", 9),
+            (2, "a b c d e f g", 10), (3, None, 11), (3, None, 12), (3, "h i j k l m n", 13), (4, "u v w x y z", 14)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row int").repartition(3)
+    kept = {r.row for r in minhash.keep_one(df).collect()}
+    assert kept - {1, 3, 7, 8} == {2, 4, 5, 6, 11, 12, 14} and len(kept & {1, 3}) == 1 and len(kept & {7, 8}) == 1
+
+
+def test_percents_the_bands_are_not_made_for_are_refused(spark):
+    with pytest.raises(ValueError):
+        minhash.groups(spark.createDataFrame([], "doc_id long, text string"), percent=50)
