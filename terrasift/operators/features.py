@@ -61,8 +61,8 @@ def feature_knn(q: DataFrame, r: DataFrame, feats, k: int, *, id="id", cols=(),
 
 
 def knn_predict(df: DataFrame, feats, y: str, k: int, fold: str, *, id="id") -> DataFrame:
-    """Distance-weighted and plain mean of y over the k nearest rows of other folds."""
+    """Distance-weighted and plain mean of y over the k nearest rows of other folds; NULL for a row without any."""
     nb = feature_knn(df, df, feats, k, id=id, cols=[y], exclude=fold)
     w = 1.0 / F.greatest(F.col("d"), F.lit(1e-9))
     p = nb.groupBy(id).agg((F.sum(F.col(y) * w) / F.sum(w)).alias("pred"), F.avg(y).alias("pred_uniform"))
-    return df.join(p, id)
+    return df.join(p, id, "left")
