@@ -30,7 +30,7 @@ def l01(s, d):
     ev = view(s, d, "events").select("event_id", "user_id", "value")
     sink, ck = scratch(s, "sink"), scratch(s, "ck")
     fed(s, lambda st: inc.ingest(st, sink, ["event_id"], ck), (ev, ["user_id % 3 = 0", "user_id % 3 < 2", "true"]))
-    return s.read.parquet(sink)
+    return inc.ingested(s, sink)
 
 
 Q["l01_ingest_exactly_once"] = (l01, "SELECT event_id, user_id, value FROM events")
@@ -49,11 +49,11 @@ Q["l02_season_state"] = (l02, oracle(f"SELECT id, {AGY} AS agyear, {SEASON} AS s
 def l03(s, d):
     sink, ck = scratch(s, "sink"), scratch(s, "ck")
     fed(s, lambda st: inc.composite(st, sink, ck), (view(s, d, "series").select("id", "dt", "ndvi"), _YEARS))
-    out = inc.latest(s, sink, ["id", "start"])
+    out = inc.composites(s, sink)
     return out.select("id", F.date_format("start", "yyyy-MM-dd").alias("start"), "best", F.round("mean", 6).alias("mean"), "n")
 
 
-# an update-mode window keeps what arrives before its watermark passes: files are in time order, so the batch answer holds
+# files are in time order, so no row is late and the batch answer holds
 Q["l03_sixteen_day_composite"] = (l03, oracle(f"SELECT id, strftime(DATE '1970-01-01' + CAST(floor(date_diff('day', DATE '1970-01-01', CAST(dt AS DATE))/16) AS INTEGER)*16, '%Y-%m-%d') AS start, max(ndvi) AS best, round(avg(ndvi), 6) AS mean, {N} AS n FROM series GROUP BY 1, 2", "series"))
 
 
@@ -72,7 +72,7 @@ def l05(s, d):
     w = view(s, d, "windows").select("id", "scene_id", "rank", "status", "scl_min", "scl_max", "n_px")
     store, ck = scratch(s, "store"), scratch(s, "ck")
     fed(s, lambda st: inc.rounds(st, store, clean.strict_bare(), ck), (w, [f"rank >= {i} AND rank < {i + 3}" for i in (0, 3, 6, 9)]))
-    return s.read.parquet(store).groupBy("id").agg(F.count("*").alias("n"), F.max("round").alias("last_round"))
+    return inc.served(s, store).groupBy("id").agg(F.count("*").alias("n"), F.max("round").alias("last_round"))
 
 
 Q["l05_rounds_for_unserved_ids"] = (l05, oracle(f"""WITH w AS (SELECT *, CAST(floor(rank/3) AS BIGINT) AS rd FROM windows), f AS (SELECT id, min(rd) FILTER (WHERE {_STRICT}) AS fr FROM w GROUP BY 1)

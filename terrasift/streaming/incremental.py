@@ -6,11 +6,15 @@ State is bounded by the number of result keys or by the watermark. On a cluster
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from terrasift.functions import feat
 from terrasift.sources import tables
+from terrasift.streaming.log import Log
 
 
 def source(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
@@ -25,44 +29,107 @@ def run(writer, checkpoint: str) -> None:
 
 
 def ingest(stream: DataFrame, sink: str, keys, checkpoint: str) -> None:
-    """Append only keys the sink does not hold; a replayed batch or an overlapping file adds nothing."""
+    """Append every key once. Which keys were there is keyed state of the query, so a batch reads nothing of what is stored.
 
-    def batch(df, _):
-        tables.append_missing(df.dropDuplicates(list(keys)), sink, list(keys))
+    A replayed batch adds nothing. Only where the sink also has rows of another checkpoint (a lost one) are those parts, and no
+    others, held against each batch. NULL keys are keys.
+    """
+    keys = list(keys)
+
+    def batch(df, n):
+        log = Log(df.sparkSession, sink)
+        state = log.state()
+        mine, all_parts = f"rows-{_tag(checkpoint)}", {k: v for k, v in state["tables"].items() if k.startswith("rows-")}
+        other = [p for k, parts in all_parts.items() if k != mine for p in parts]
+        if other:
+            df = tables.missing_keys(df, df.sparkSession.read.parquet(*other), keys)
+        log.commit(n, {mine: df}, origin=checkpoint)
+
+    run(stream.dropDuplicates(keys).writeStream.foreachBatch(batch), checkpoint)
+
+
+def _tag(checkpoint: str) -> str:
+    return hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
+
+
+def ingested(spark: SparkSession, sink: str) -> DataFrame:
+    """All rows of an ingest sink."""
+    parts = [p for k, ps in Log(spark, sink).state()["tables"].items() if k.startswith("rows-") for p in ps]
+    return spark.read.parquet(*parts)
 
-    run(stream.writeStream.foreachBatch(batch), checkpoint)
 
+def _latest(t: DataFrame, keys) -> DataFrame:
+    """The row of the last batch per key."""
+    cols = [c for c in t.columns if c not in {*keys, "batch"}]
+    best = t.groupBy(*keys).agg(F.max_by(F.struct(*cols), "batch").alias("b"), F.max("batch").alias("batch"))
+    return best.select(*keys, *[F.col(f"b.{c}").alias(c) for c in cols], "batch")
 
-def _upsert(sink: str):
-    """Changed rows of each batch under their batch number; overwriting that folder makes a replay harmless."""
+
+def _upsert(sink: str, keys, checkpoint: str):
+    """Changed rows of each batch under their batch number; merged parts keep the latest row per key."""
 
     def batch(df, n):
-        df.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{sink}/part={n}")
+        Log(df.sparkSession, sink).commit(n, {"rows": df.withColumn("batch", F.lit(n).cast("long"))}, origin=checkpoint, merge=lambda t: _latest(t, keys))
 
     return batch
 
 
 def latest(spark: SparkSession, sink: str, keys) -> DataFrame:
-    """Current value per key of an upsert sink."""
-    t = spark.read.parquet(sink)
-    cols = [c for c in t.columns if c not in {*keys, "batch", "part"}]
-    best = t.groupBy(*keys).agg(F.max_by(F.struct(*cols), "batch").alias("b"))
-    return best.select(*keys, *[F.col(f"b.{c}").alias(c) for c in cols])
+    """Current value per key of an upsert sink; its parts are bounded by the log's merges."""
+    return _latest(Log(spark, sink).table(), list(keys)).drop("batch")
 
 
 def season_state(stream: DataFrame, sink: str, checkpoint: str, key="id", ts="dt", v="ndvi") -> None:
     """Running max, min, sum and count per point, agricultural year and season; no history is kept."""
     s = stream.withColumns({"agyear": feat.ag_year(F.col(ts)), "season": feat.season(F.col(ts))})
     g = s.groupBy(key, "agyear", "season").agg(F.max(v).alias("hi"), F.min(v).alias("lo"), F.sum(v).alias("total"), F.count(v).alias("n"))
-    run(g.writeStream.outputMode("update").foreachBatch(_upsert(sink)), checkpoint)
+    run(g.writeStream.outputMode("update").foreachBatch(_upsert(sink, [key, "agyear", "season"], checkpoint)), checkpoint)
+
+
+def composite(stream: DataFrame, sink: str, checkpoint: str, width_days: int = 16, late_days: int = 16, key="id", ts="dt", v="ndvi") -> None:
+    """Tumbling composite per point. A window closes once its end lies ``late_days`` before the newest time of all earlier batches.
+
+    Three tables change together: open windows (sums so far, replaced by each batch), closed ones (appended once, never read
+    again) and late rows, whose window was closed when they came, as they came. So a batch reads the open windows only, and no row is
+    lost: counts of the windows and late rows add up to the rows with a time.
+    """
+    spark = stream.sparkSession
+    day = F.expr(f"CAST(floor(datediff(CAST({ts} AS DATE), DATE'1970-01-01') / {width_days}) AS INT)")
+    sums = [F.max("best").alias("best"), F.sum("total").alias("total"), F.sum("n").alias("n"), F.sum("rows").alias("rows")]
+
+    def batch(df, k):
+        log = Log(spark, sink)
+        state = log.state()
+        if log.done(k, checkpoint):
+            return
+        rows = df.filter(F.col(ts).isNotNull()).withColumn("w", day).persist()
+        seen = state["facts"].get("newest")
+        newest = rows.agg(F.max(F.expr(f"datediff(CAST({ts} AS DATE), DATE'1970-01-01')"))).first()[0]
+        shut = -1 << 31 if seen is None else (seen - late_days) // width_days  # windows below this number are closed
+        late = rows.filter(F.col("w") < shut).drop("w")
+        fresh = rows.filter(F.col("w") >= shut).groupBy(key, "w").agg(F.max(v).alias("best"), F.sum(v).alias("total"), F.count(v).alias("n"), F.count(F.lit(1)).alias("rows"))
+        held = log.table("open", state)
+        every = (fresh if held is None else held.unionByName(fresh)).groupBy(key, "w").agg(*sums)
+        newest = max(x for x in (seen, newest, -1 << 31) if x is not None)
+        edge = (newest - late_days) // width_days
+        parts = {"open": every.filter(F.col("w") >= edge), "closed": every.filter(F.col("w") < edge), "late": late}
+        log.commit(k, parts, origin=checkpoint, replace=("open",), facts={"newest": newest})
+        rows.unpersist()
+
+    run(stream.writeStream.foreachBatch(batch), checkpoint)
+
 
+def composites(spark: SparkSession, sink: str, width_days: int = 16, key="id") -> DataFrame:
+    """(key, start, best, mean, n) of all windows so far, closed and open."""
+    log = Log(spark, sink)
+    state = log.state()
+    w = log.table("closed", state).unionByName(log.table("open", state))
+    return w.select(key, F.expr(f"date_add(DATE'1970-01-01', w * {width_days})").alias("start"), "best", F.try_divide("total", "n").alias("mean"), "n")
 
-def composite(stream: DataFrame, sink: str, checkpoint: str, width: str = "16 days", late: str = "16 days", key="id", ts="dt", v="ndvi") -> None:
-    """Tumbling composite per point; the watermark lets closed windows leave the state."""
-    w = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).groupBy(key, F.window(ts, width).alias("w"))
-    g = w.agg(F.max(v).alias("best"), F.avg(v).alias("mean"), F.count(v).alias("n"))
-    g = g.select(key, F.col("w.start").alias("start"), "best", "mean", "n")
-    run(g.writeStream.outputMode("update").foreachBatch(_upsert(sink)), checkpoint)
+
+def late_rows(spark: SparkSession, sink: str) -> DataFrame:
+    """The rows that came after their window was closed."""
+    return Log(spark, sink).table("late")
 
 
 def match(samples: DataFrame, scenes: DataFrame, sink: str, checkpoint: str, days: int = 3, tile="tile", ts="ts", scene_ts="scene_ts") -> None:
@@ -77,14 +144,27 @@ def match(samples: DataFrame, scenes: DataFrame, sink: str, checkpoint: str, day
 
 
 def rounds(stream: DataFrame, store: str, usable: Column, checkpoint: str, key: str = "id") -> None:
-    """Late results by rounds: a batch only serves ids without a usable row so far."""
+    """Late results by rounds: a batch only serves ids without a usable row so far. Which ids have one is keyed state: one flag per id."""
+    schema = stream.schema
+
+    def serve(_, frames, state):
+        had = state.exists and state.get[0]
+        good = False
+        for f in frames:
+            good = good or bool(f["__ok"].any())
+            if not had:
+                yield f.drop(columns="__ok")
+        if good and not had:
+            state.update((True,))
 
     def batch(df, n):
-        spark = df.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(store)
-        if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
-            done = spark.read.parquet(store).filter(F.col("round") != n).filter(usable).select(key).distinct()
-            df = df.join(done, key, "left_anti")
-        df.withColumn("round", F.lit(n)).write.mode("overwrite").parquet(f"{store}/part={n}")
+        Log(df.sparkSession, store).commit(n, {"rows": df.withColumn("round", F.lit(n))}, origin=checkpoint)
 
-    run(stream.writeStream.foreachBatch(batch), checkpoint)
+    flagged = stream.withColumn("__ok", F.coalesce(usable, F.lit(False)))
+    open_ids = flagged.groupBy(key).applyInPandasWithState(serve, schema, "had boolean", "append", GroupStateTimeout.NoTimeout)
+    run(open_ids.writeStream.outputMode("append").foreachBatch(batch), checkpoint)
+
+
+def served(spark: SparkSession, store: str) -> DataFrame:
+    """All rows served so far, with their round."""
+    return Log(spark, store).table()
