@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -101,38 +101,48 @@ def nowhere(x: str, y: str) -> Column:
     return F.col(x).isNull() | F.col(y).isNull() | F.isnan(F.col(x).cast("double")) | F.isnan(F.col(y).cast("double"))
 
 
-def _point_layout(head: bytes) -> tuple[str, int] | None:
-    """(byte order, offset of the coordinates) of a WKB or EWKB point's first nine bytes; None for anything else."""
-    order = {0: ">", 1: "<"}.get(head[0]) if len(head) >= 5 else None
-    if order is None:
-        return None
-    kind = int.from_bytes(head[1:5], "big" if order == ">" else "little")
-    flags, base = kind & 0xE0000000, kind & 0x1FFFFFFF
-    return (order, 9 if flags & 0x20000000 else 5) if base % 1000 == 1 and base < 4000 else None
+def _bytes_of(a: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(all bytes, start and length of each value) of a binary array, from its buffers; NULL has length 0."""
+    n, wide = len(a), pa.types.is_large_binary(a.type)
+    _, offsets, data = a.buffers()
+    at = np.frombuffer(offsets, np.int64 if wide else np.int32)[a.offset : a.offset + n + 1].astype(np.int64) if offsets else np.zeros(n + 1, np.int64)
+    raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(1, np.uint8)
+    size = np.where(np.asarray(a.is_valid()), np.diff(at), 0)
+    return raw, at[:-1], size
 
 
-@F.pandas_udf(T.StructType([T.StructField("lon", T.DoubleType()), T.StructField("lat", T.DoubleType())]))
-def wkb_xy(wkb: pd.Series) -> pd.DataFrame:
+def _gather(raw: np.ndarray, start: np.ndarray, width: int) -> np.ndarray:
+    return np.ascontiguousarray(raw[start[:, None] + np.arange(width)])
+
+
+@F.arrow_udf(T.StructType([T.StructField("lon", T.DoubleType()), T.StructField("lat", T.DoubleType())]))
+def wkb_xy(wkb: pa.Array) -> pa.Array:
     """First two coordinates of WKB points of either byte order, with or without SRID, Z and M; anything else becomes NULL.
 
-    Values are grouped by their first bytes and length, so each layout is decoded in one go.
+    All values are decoded at once from the array's buffers.
     """
-    out = np.full((len(wkb), 2), np.nan)
-    raw = wkb.to_numpy()
-    layouts: dict[tuple[bytes, int], list[int]] = {}
-    for i, b in enumerate(raw):
-        if b is not None:
-            layouts.setdefault((bytes(b[:5]), len(b)), []).append(i)
-    for (head, size), rows in layouts.items():
-        at = _point_layout(head)
-        if at and size >= at[1] + 16:
-            flat = np.frombuffer(b"".join(raw[i][at[1] : at[1] + 16] for i in rows), dtype=f"{at[0]}f8")
-            out[rows] = flat.reshape(-1, 2)
-    return pd.DataFrame({"lon": pd.array(out[:, 0], dtype="Float64"), "lat": pd.array(out[:, 1], dtype="Float64")})
-
-
-@F.pandas_udf(T.BinaryType())
-def to_wkb(lon: pd.Series, lat: pd.Series) -> pd.Series:
+    raw, start, size = _bytes_of(wkb)
+    xy_ = np.full((len(start), 2), np.nan)
+    rows = np.flatnonzero(size >= 21)
+    head = _gather(raw, start[rows], 5)
+    for mark, order in ((0, ">"), (1, "<")):
+        own = head[:, 0] == mark
+        kind = head[own, 1:].copy().view(f"{order}u4").ravel().astype(np.int64)
+        base = kind & 0x1FFFFFFF
+        skip = np.where(kind & 0x20000000, 9, 5)
+        at = rows[own]
+        fits = (base % 1000 == 1) & (base < 4000) & (size[at] >= skip + 16)
+        xy_[at[fits]] = _gather(raw, start[at[fits]] + skip[fits], 16).view(f"{order}f8")
+    hole = np.isnan(xy_)
+    return pa.StructArray.from_arrays([pa.array(xy_[:, 0], mask=hole[:, 0]), pa.array(xy_[:, 1], mask=hole[:, 1])], ["lon", "lat"])
+
+
+@F.arrow_udf(T.BinaryType())
+def to_wkb(lon: pa.Array, lat: pa.Array) -> pa.Array:
     """Little-endian WKB point of two doubles."""
-    xy_ = np.ascontiguousarray(np.column_stack([lon.to_numpy(float), lat.to_numpy(float)]).astype("<f8"))
-    return pd.Series([b"\x01\x01\x00\x00\x00" + row.tobytes() for row in xy_])
+    n = len(lon)
+    out = np.empty((n, 21), np.uint8)
+    out[:, :5] = (1, 1, 0, 0, 0)
+    xy_ = np.column_stack([c.cast(pa.float64()).to_numpy(zero_copy_only=False) for c in (lon, lat)]).astype("<f8")
+    out[:, 5:] = np.ascontiguousarray(xy_).view(np.uint8).reshape(n, 16)
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * 21).astype(np.int32)), pa.py_buffer(out)])
