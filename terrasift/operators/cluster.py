@@ -81,13 +81,13 @@ def sites(df: DataFrame, r: float, name: str = "site", *, id: str = "id", x: str
     loc = loc.withColumns({"cx": F.floor(F.col("x") / s).cast("long"), "cy": F.floor(F.col("y") / s).cast("long")})
     micro = loc.withColumns({"mx": F.floor(F.col("x") / m), "my": F.floor(F.col("y") / m)}).groupBy("cx", "cy", "mx", "my")
     reps = micro.agg(F.min_by(F.struct("x", "y"), "lid").alias("p"), F.min("lid").alias("lid"), F.count(F.lit(1)).alias("k"))
-    reps = reps.select("cx", "cy", F.col("p.x").alias("x"), F.col("p.y").alias("y"), "lid", "k")
+    reps = cut(reps.select("cx", "cy", F.col("p.x").alias("x"), F.col("p.y").alias("y"), "lid", "k"))  # read by both sides of the links and by the cells
     cells = reps.groupBy("cx", "cy").agg(F.min("lid").alias("cid"), (F.sum("k") > F.count(F.lit(1))).alias("crowded"))
     edges = _touching(reps, r).select(F.col("cell_a").alias("src"), F.col("cell_b").alias("dst")).distinct()
     comp = components(edges)
     lab = cells.withColumn("node", _pack("cx", "cy")).join(comp, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("node")
-    apart = cut(_apart(lab))
-    if not apart.isEmpty():
+    apart = None if reps.filter("k > 1").isEmpty() else cut(_apart(lab))  # without crowded cells every position was tested
+    if apart is not None and not apart.isEmpty():
         # only positions of cells that may still be joined: few, however crowded the rest is
         full = loc.join(lab.select("cx", "cy", "root", "crowded"), ["cx", "cy"]).join(apart, ["cx", "cy"], "left_semi")
         more = _touching(full, r, ["root", "crowded"]).filter((F.col("root_a") != F.col("root_b")) & (F.col("crowded_a") | F.col("crowded_b")))

@@ -106,10 +106,11 @@ def positions(loc: DataFrame, side: float, direct: DataFrame, extra=(), keys=())
 
 def split(loc: DataFrame, r: float, keys=()) -> tuple[DataFrame, DataFrame, bool]:
     """(all positions, stored; those in cells that are not crowded; whether there are crowded cells)."""
-    at = groups.size(_at(loc, float(r)), [*keys, "cx", "cy"], "__c").drop("cx", "cy")
-    at = cut(at)
-    crowded = not at.filter(F.col("__c") > CROWD).isEmpty()
-    return at.drop("__c"), (at.filter(F.col("__c") <= CROWD) if crowded else at).drop("__c"), crowded
+    loc = cut(loc)
+    if _at(loc, float(r)).groupBy(*keys, "cx", "cy").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > CROWD).isEmpty():
+        return loc, loc, False
+    sized = groups.size(_at(loc, float(r)), [*keys, "cx", "cy"], "__c")
+    return loc, sized.filter(F.col("__c") <= CROWD).drop("cx", "cy", "__c"), True
 
 
 def half_squares(v: str) -> Column:
