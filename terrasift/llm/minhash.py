@@ -267,8 +267,10 @@ def keep_one(docs: DataFrame, *, text: str = "text", id: str = "doc_id", **kw) -
     odd = cut(g.filter("__id IS NOT NULL").groupBy("__id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("__id"))
     once = g.filter("kept AND __id IS NOT NULL").select("__id").join(odd, "__id", "left_anti")
     key = F.col(id).cast("long") == F.col("__id")
-    some = docs.join(once, key, "left_semi")
-    rest = _with_class(docs.filter(F.col(id).isNull()).unionByName(docs.join(odd, key, "left_semi")), text)
+    some = docs.join(once, key, "left_semi").select(*docs.columns)
+    if odd.isEmpty() and g.filter("__id IS NULL").isEmpty():
+        return some
+    rest = cut(_with_class(docs.filter(F.col(id).isNull()).unionByName(docs.join(odd, key, "left_semi")), text))
     kept = g.filter("kept").select(F.col("__id").alias("__i"), F.col("__cls").alias("__c")).distinct()
     stay = rest.join(kept, F.col(id).cast("long").eqNullSafe(F.col("__i")) & (F.col("__cls") == F.col("__c")), "left_semi")
     words = stay.filter(F.length("__cls") > 0).dropDuplicates([id, "__cls"])
