@@ -31,6 +31,7 @@ SLOTS = 1 << 17  # slots of the frequency sketch
 SUBSET = 2  # shingles of a small set's subsets
 AHEAD = 8  # shingles of the prefix beyond those a set may miss; as many must be common
 ROUNDS = 12  # of hubs; lists left after that are paired as they are
+FEW = 8  # classes of a list whose pairs are counted as they are
 SCAN = 4.0  # cost of a posting of an inverted list, which is compared with a hub, against a subset's
 BROADCAST = 100_000  # classes of 24 bytes that may be broadcast; more are joined by a shuffle
 
@@ -120,9 +121,21 @@ class Join:
             each = some.select("cls", "n", F.explode("tokens").alias("t")).select("cls", "n", "t.at", "t.token")
         return some
 
-    def _first(self, extra: int) -> Column:
-        """The tokens of a posting among its set's first p + ``extra`` shingles."""
-        return F.transform(F.filter("tokens", lambda t: t.at < self._missing + extra), lambda t: t.token)
+    def counted(self, postings: DataFrame) -> DataFrame:
+        """Pairs (u, v) that share enough short lists: all but SUBSET - 1 of the prefix shingles that a link has in common.
+
+        A link that shares fewer has SUBSET long lists in common, where subsets and hubs find it. Short lists have FEW classes at
+        most, so their pairs are in proportion to the postings.
+        """
+        each = postings.select("cls", "n", F.explode(F.filter("tokens", lambda t: t.c <= FEW)).alias("t")).select("cls", "n", "t.token")
+        a, b = each.alias("a"), each.alias("b")
+        both = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.cls") < F.col("b.cls")) & self._near(F.col("a.n"), F.col("b.n")))
+        same = both.groupBy(F.col("a.cls").alias("u"), F.col("b.cls").alias("v")).agg(F.count(F.lit(1)).alias("c"), F.max(F.greatest("a.n", "b.n")).alias("n"))
+        return same.filter(F.col("c") > F.least(F.lit(AHEAD), F.ceil(self.percent * F.col("n") / 100)) - SUBSET).select("u", "v")
+
+    def _long(self) -> Column:
+        """The tokens of a posting whose lists have more than FEW classes."""
+        return F.transform(F.filter("tokens", lambda t: t.c > FEW), lambda t: t.token)
 
     def boundary(self, postings: DataFrame) -> int:
         """The size up to which subsets cost less than inverted lists.
@@ -130,8 +143,8 @@ class Join:
         A subset costs 1, a posting of the sets that large ones may be linked with SCAN. Costs are summed per size class of an eighth
         octave, so the driver sees at most some hundred rows.
         """
-        k, heads = F.size(self._first(SUBSET)), F.size(self._first(1))
-        rows = postings.groupBy(F.floor(8 * F.log2("n")).alias("b")).agg(F.max("n").alias("top"), F.sum(k.cast("long") * (k - 1) / 2).alias("subsets"), F.sum(heads).alias("posted")).orderBy("b").collect()
+        k = F.size(self._long())
+        rows = postings.groupBy(F.floor(8 * F.log2("n")).alias("b")).agg(F.max("n").alias("top"), F.sum(k.cast("long") * (k - 1) / 2).alias("subsets"), F.sum(k).alias("posted")).orderBy("b").collect()
         largest = rows[-1].top if rows else 0
 
         def cost(x: int) -> float:
@@ -141,11 +154,11 @@ class Join:
 
     def lists(self, postings: DataFrame, x: int) -> DataFrame:
         """(key, cls, n, w): subsets of the sets up to size x, single shingles of those large ones may be linked with; in two classes or more."""
-        facts = postings.select("cls", "n", "w", self._first(SUBSET).alias("tokens"), self._first(1).alias("heads"))
+        facts = postings.select("cls", "n", "w", self._long().alias("tokens"))
         first = facts.filter(F.col("n") <= x).select("cls", "n", "w", "tokens", F.posexplode("tokens").alias("at", "a"))
         small = first.select("cls", "n", "w", "a", F.explode(F.slice("tokens", F.col("at") + 2, F.size("tokens"))).alias("b")).select(F.array_sort(F.array("a", "b")).alias("key"), "cls", "n", "w")
         # a pair of sets that need not have SUBSET shingles in common is found by single ones at any size
-        large = facts.filter((F.lit(100) * F.col("n") >= self.percent * x) | (self.percent * F.col("n") <= 100 * (SUBSET - 1))).select("cls", "n", "w", F.explode("heads").alias("a")).select(F.array("a").alias("key"), "cls", "n", "w")
+        large = facts.filter((F.lit(100) * F.col("n") >= self.percent * x) | (self.percent * F.col("n") <= 100 * (SUBSET - 1))).select("cls", "n", "w", F.explode("tokens").alias("a")).select(F.array("a").alias("key"), "cls", "n", "w")
         return self._shared(small.unionByName(large))
 
     @staticmethod
@@ -244,9 +257,13 @@ class Join:
         """The lists (hub, shingle outside it), the hub by hash."""
         return self._shared(family.select("hub", "cls", "n", "w", F.explode("rest").alias("t")).select(F.array(F.xxhash64("hub"), "t").alias("key"), "cls", "n", "w"))
 
-    def settle(self, lists: DataFrame) -> None:
-        """All links between classes that share a list."""
+    def settle(self, postings: DataFrame) -> None:
+        """All links: by the counts of short lists, then hub by hub in the long ones."""
+        self.absorb(self.counted(postings))
+        lists = self.lists(postings, self.boundary(postings))
         for _ in range(ROUNDS):
+            if lists.isEmpty():
+                return
             star = self.stars(lists)
             self.absorb(star.groupBy("cls").agg(F.max(F.struct("w", "u", "v")).alias("p")).select("p.u", "p.v"))
             self.absorb(star)
@@ -256,8 +273,6 @@ class Join:
             family = self.families(left)
             self.absorb(self.enough(family))
             lists = self.residual(family)
-            if lists.isEmpty():
-                return
         m = self.rooted(lists.select("key", "cls", "n"), "cls", "root")
         a, b = m.alias("a"), m.alias("b")
         rest = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.cls") < F.col("b.cls")) & (F.col("a.root") != F.col("b.root")) & self._near(F.col("a.n"), F.col("b.n")))
@@ -277,10 +292,7 @@ def groups(docs: DataFrame, *, size: int = 5, percent: int = 80, text: str = "te
     rows = cut(prefixes(docs, size, percent, level, text, id))
     classes = cut(rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
     join = Join(docs, classes, level, size, percent, text, id)
-    postings = join.postings()
-    lists = join.lists(postings, join.boundary(postings))
-    free(docs.sparkSession)
-    join.settle(lists)
+    join.settle(join.postings())
     names = join.rooted(classes.select("cls", "doc_id"), "cls", "root")
     least = names.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     out = rows.select("doc_id", "cls", "n").join(names.select("cls", "root").join(least, "root").select("cls", "component_id"), "cls", "left")
