@@ -136,3 +136,32 @@ def test_inner_folds_cover_training_groups_only(spark, data):
     f = designs.inner_folds(designs.group_folds(df.select("id", "site"), "site", 3, 1), "site", "fold", 3, 2, 5)
     assert f.filter("outer = fold").isEmpty()
     assert f.groupBy("outer", "site").agg(F.count_distinct("inner").alias("c")).agg(F.max("c")).first()[0] == 1
+
+
+def test_knn_parts_of_a_wide_reach_give_whole_lists(spark, data, monkeypatch):
+    monkeypatch.setattr(knn, "LEAF", 40)
+    monkeypatch.setattr(knn, "WIDE", 1)
+    p, df = data
+    got = {r["id"]: [(s["d"], s["nb"]) for s in r["nbrs"]] for r in knn.knn(df, df, 5, exclude="fold").collect()}
+    assert got == brute(p, p, 5, lambda a, r: r.fold != a.fold)
+
+
+def test_knn_visits_leaves_that_hold_rows_without_a_fold(spark, monkeypatch):
+    """A leaf whose rows have the query's fold or none is not a leaf of that fold."""
+    monkeypatch.setattr(knn, "LEAF", 20)
+    g = np.random.default_rng(5)
+    p = pd.DataFrame({"id": np.arange(600), "x": g.uniform(0, 1000, 600).round(2), "y": g.uniform(0, 1000, 600).round(2)})
+    p["fold"] = np.where(p.id % 9 == 0, 9, (p.x > 300).astype(int))
+    df = spark.createDataFrame(p).withColumn("fold", F.when(F.col("fold") < 9, F.col("fold")))
+    got = {r["id"]: [(s["d"], s["nb"]) for s in r["nbrs"]] for r in knn.knn(df, df, 3, exclude="fold").filter("fold IS NOT NULL").collect()}
+    want = brute(p, p, 3, lambda a, r: r.fold != a.fold)
+    assert got == {i: want[i] for i in got} and len(got) == int((p.fold < 9).sum())
+
+
+@pytest.mark.parametrize("mode", [None, "self"])
+def test_knn_reduced_lists_are_the_same_numbers(spark, data, mode, monkeypatch):
+    monkeypatch.setattr(knn, "LEAF", 40)
+    _, df = data
+    plain = knn.local_reference(knn.knn(df, df, 4, exclude=mode, cols=["v"]), "v").drop("nbrs")
+    short = knn.knn(df, df, 4, exclude=mode, cols=["v"], reduce=lambda near: knn.reference_of(near, "v"))
+    assert sorted(plain.collect()) == sorted(short.select(*plain.columns).collect())
