@@ -170,7 +170,7 @@ Q["k30_reverse_position"] = (lambda s, d: learn.reverse_position(folded(s, d), l
 Q["k31_sensor_noise"] = (lambda s, d: learn.noise(folded(s, d), lambda f: model(feats=f), IN, Y, "fold", 5), None)
 Q["k32_importance"] = (lambda s, d: learn.importance(pts(s, d), rf(), IN, Y), None)
 Q["k33_model_comparison"] = (lambda s, d: learn.model_comparison(folded(s, d), {"ridge": model(), "tree": model(learn.tree()), "forest": model(rf()), "boosted": model(gb())}, Y, "fold", 5), None)
-Q["k34_transfer_to_unseen_groups"] = (lambda s, d: learn.transfer(pts(s, d), ridge(), ["ph", "ec", "oc"], Y, {"district": ("did", 3)}), None)
+Q["k34_transfer_to_unseen_groups"] = (lambda s, d: learn.transfer(pts(s, d).select("id", "x", "y", Y, "did", "ph", "ec", "oc"), ridge(), ["ph", "ec", "oc"], Y, {"district": ("did", 3)}), None)
 
 
 # ---- the same jobs on closed-form models, with exact DuckDB text
