@@ -10,12 +10,15 @@ import hashlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from terrasift.functions import feat
 from terrasift.sources import tables
 from terrasift.streaming.log import Log
 
+BUCKETS = 1024  # of the ids whose state a round keeps
+
 
 def source(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
     """Part files of a folder as a stream."""
@@ -143,26 +146,34 @@ def match(samples: DataFrame, scenes: DataFrame, sink: str, checkpoint: str, day
     run(j.writeStream.format("parquet").option("path", sink).outputMode("append"), checkpoint)
 
 
-def rounds(stream: DataFrame, store: str, usable: Column, checkpoint: str, key: str = "id") -> None:
-    """Late results by rounds: a batch only serves ids without a usable row so far. Which ids have one is keyed state: one flag per id."""
+def rounds(stream: DataFrame, store: str, usable: Column, checkpoint: str, key: str = "id", buckets: int = BUCKETS) -> None:
+    """Late results by rounds: a batch only serves ids without a usable row so far. Which ids have one is keyed state.
+
+    The state is kept by hash buckets of the ids, so a batch makes one call per bucket and not per id; a bucket's state is its ids that have
+    a usable row. The number of buckets is fixed for a checkpoint. Long columns pass as text, since pandas turns longs beside NULLs into doubles.
+    """
     schema = stream.schema
+    longs = [f.name for f in schema if f.dataType == T.LongType()]
 
     def serve(_, frames, state):
-        had = state.exists and state.get[0]
-        good = False
+        had = set(state.get[0]) if state.exists else set()
+        good = set()
         for f in frames:
-            good = good or bool(f["__ok"].any())
-            if not had:
-                yield f.drop(columns="__ok")
-        if good and not had:
-            state.update((True,))
+            good.update(f.loc[f["__ok"], "__k"])
+            yield f.loc[~f["__k"].isin(had)].drop(columns=["__ok", "__k", "__b"])
+        if not good <= had:
+            state.update((sorted(had | good),))
 
     def batch(df, n):
         Log(df.sparkSession, store).commit(n, {"rows": df.withColumn("round", F.lit(n))}, origin=checkpoint)
 
-    flagged = stream.withColumn("__ok", F.coalesce(usable, F.lit(False)))
-    open_ids = flagged.groupBy(key).applyInPandasWithState(serve, schema, "had boolean", "append", GroupStateTimeout.NoTimeout)
-    run(open_ids.writeStream.outputMode("append").foreachBatch(batch), checkpoint)
+    text = F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("null"))
+    flagged = stream.withColumns({"__ok": F.coalesce(usable, F.lit(False)), "__k": text, "__b": F.pmod(F.xxhash64(text), F.lit(buckets))})
+    passing = flagged.withColumns({c: F.col(c).cast("string") for c in longs})
+    out = T.StructType([T.StructField(f.name, T.StringType() if f.name in longs else f.dataType) for f in schema])
+    open_ids = passing.groupBy("__b").applyInPandasWithState(serve, out, "had array<string>", "append", GroupStateTimeout.NoTimeout)
+    back = open_ids.select(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in longs else F.col(f.name) for f in schema])
+    run(back.writeStream.outputMode("append").foreachBatch(batch), checkpoint)
 
 
 def served(spark: SparkSession, store: str) -> DataFrame:

@@ -100,3 +100,18 @@ def test_rounds_serve_only_open_ids(spark, tmp_path):
         inc.rounds(inc.source(spark, src, spark.read.parquet(src).schema, 100), store, F.col("ok"), ck)
     got = sorted((r.id, r.scene, r["round"]) for r in inc.served(spark, store).collect())
     assert got == [(1, "a", 0), (2, "a", 0), (2, "b", 1), (2, "c", 1), (3, "a", 0), (3, "b", 1), (3, "d", 2)]
+
+
+def test_rounds_of_one_bucket_keep_long_ids_and_null_ids(spark, tmp_path):
+    """Ids that share a state bucket are told apart, longs beside NULLs stay exact, and NULL is an id of its own."""
+    from terrasift.streaming import incremental as inc
+
+    big = 2**60 + 1
+    steps = [[(big, None, True), (7, 1, False), (None, big, False)], [(big, 2, True), (7, big, True), (None, 3, True)], [(7, 4, True), (None, 5, True), (8, 6, False)]]
+    path, store, ck = (str(tmp_path / n) for n in ("in", "store", "ck"))
+    for rows in steps:
+        df = spark.createDataFrame(rows, "id long, scene_id long, ok boolean").coalesce(1)
+        df.write.mode("append").parquet(path)
+        inc.rounds(inc.source(spark, path, df.schema, 100), store, F.col("ok"), ck, buckets=1)
+    got = sorted(((r["id"], r["scene_id"], r["round"]) for r in inc.served(spark, store).collect()), key=str)
+    assert got == sorted([(big, None, 0), (7, 1, 0), (None, big, 0), (7, big, 1), (None, 3, 1), (8, 6, 2)], key=str)
