@@ -192,3 +192,14 @@ def test_members_of_large_groups_are_kept(spark):
     assert m.agg(F.sum("n_part")).first()[0] == 4000 and m.agg(F.max("n_part")).first()[0] <= 100
     assert m.filter("spot = 'g10'").count() == 1
     assert links.via_members(m, df.select("id"), "spot").count() == 4000
+
+
+def test_jobs_over_many_input_sets_store_their_table_once(spark, monkeypatch):
+    """Folds are dealt once, however many input sets are evaluated."""
+    from terrasift.plans import learn
+
+    stored = []
+    monkeypatch.setattr(learn, "cut", lambda df: stored.append(df) or df)
+    p = spark.range(60).selectExpr("id", "CAST(id % 3 AS INT) AS fold", "CAST(id AS DOUBLE) AS a", "CAST(id * 7 % 11 AS DOUBLE) AS b", "CAST(id + 1 AS DOUBLE) AS v")
+    rows = learn.ablation(p, lambda f: learn.line(f[0], "v"), {"a": ["a"], "b": ["b"]}, "v", "fold", 3).collect()
+    assert len(rows) == 2 and len(stored) == 1
