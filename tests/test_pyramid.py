@@ -120,3 +120,26 @@ def test_class_shares_within_a_circle(spark, data, monkeypatch):
         near = px[np.hypot(px.x - p.x, px.y - p.y) <= 700]
         want = (len(near), *((near.cls == c).mean() if len(near) else 0.0 for c in (1, 2)))
         assert got[p.id][0] == want[0] and np.allclose(got[p.id][1:], want[1:]), p
+
+
+@pytest.mark.parametrize("heavy, paired, block", [(65536, 1 << 28, 4), (100, 2000, 64)])
+def test_sums_of_blocks_match_all_pairs(data, monkeypatch, heavy, paired, block):
+    """Blocks of many cells, of one, and opened ones: row pairs, half squares and distances per bin; no pair is a row of a join."""
+    for name, value in (("HEAVY", heavy), ("PAIRED", paired), ("BLOCK", block), ("TILE", 8), ("HELD", 500), ("PARTS", 4)):
+        monkeypatch.setattr(pyramid, name, value)
+    monkeypatch.setattr(nearby, "pairs_of", None)
+    p, df = data
+    d, up = distances(p)
+    up &= d > 0
+    edges = [20.0, 100.0, 250.0, 1000.0]
+    for lag in (False, True):
+        got = {r.bin: r for r in pyramid.binned(nearby.locations(df, ["v", "w"]), edges, ["v", "w"], lag=lag).collect()}
+        for b, (lo, hi) in enumerate(zip(edges, edges[1:])):
+            m = up & (d >= lo) & (d < hi)
+            want = [m.sum(), *(0.5 * ((p[c].to_numpy()[:, None] - p[c].to_numpy()) ** 2)[m].sum() for c in "vw"), *([d[m].sum()] if lag else [])]
+            assert got[b].pairs == want[0] and np.allclose(got[b][1:], want, rtol=1e-9), (b, lag)
+    same = up & (p.fold.to_numpy()[:, None] == p.fold.to_numpy())
+    assert pyramid.binned(nearby.locations(df, keys=["fold"]), [0.0, 100.0], keys=["fold"], closed=True).first().pairs == (same & (d <= 100)).sum()
+    table = {r.bin: r for r in geostat.lag_table(df, "v", [0.0, 100.0, 250.0]).collect()}
+    m = np.triu(np.ones(d.shape, bool), 1) & (d < 100)
+    assert table[0].pairs == m.sum() and np.isclose(table[0].lag, d[m].mean())
