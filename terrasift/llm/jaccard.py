@@ -118,6 +118,7 @@ class Join:
             both = each.join(often, "token").select("cls", "n", F.struct("at", "token", "c").alias("t"))
             some = both.groupBy("cls").agg(F.first("n").alias("n"), F.sum("t.c").alias("w"), F.array_sort(F.collect_list("t")).alias("tokens"))
             some = cut(some.filter(F.size("tokens") >= F.least(F.lit(AHEAD), F.ceil(self.percent * F.col("n") / 100))))
+            free(self.docs.sparkSession)
             each = some.select("cls", "n", F.explode("tokens").alias("t")).select("cls", "n", "t.at", "t.token")
         return some
 
@@ -187,8 +188,12 @@ class Join:
     def absorb(self, pairs: DataFrame) -> None:
         """Confirm the pairs (u, v) whose ends are apart and join the components of those that are links."""
         apart = self.rooted(self.rooted(pairs.select("u", "v").distinct(), "u", "ru"), "v", "rv").filter("ru <> rv").select("u", "v")
-        links = self.rooted(self.rooted(self._links(self._alike(apart)), "u", "ru"), "v", "rv")
+        alike = self._alike(apart)
+        if alike.isEmpty():
+            return
+        links = self.rooted(self.rooted(self._links(alike), "u", "ru"), "v", "rv")
         more = cut(links.filter("ru <> rv").select(F.col("ru").alias("u"), F.col("rv").alias("v")).distinct())
+        free(self.docs.sparkSession)
         if not more.isEmpty():
             top = cut(components(more))
             if self.comp is None:
@@ -205,7 +210,9 @@ class Join:
         a, b = (side.select(F.col("cls").alias(c), "n", F.col("prefix").alias(f"prefix_{c}")) for c in "uv")
         both = pairs.join(a.withColumn("n_u", F.col("n")), "u").drop("n").join(b.withColumn("n_v", F.col("n")), "v")
         least = F.ceil(self.percent * F.greatest("n_u", "n_v") / 100)
-        return cut(both.filter(F.size(F.array_intersect("prefix_u", "prefix_v")) >= F.least(F.lit(AHEAD), least)).select("u", "v"))
+        alike = cut(both.filter(F.size(F.array_intersect("prefix_u", "prefix_v")) >= F.least(F.lit(AHEAD), least)).select("u", "v"))
+        free(self.docs.sparkSession)
+        return alike
 
     def _links(self, pairs: DataFrame) -> DataFrame:
         """The pairs with 100 * intersection >= percent * union."""
@@ -213,7 +220,7 @@ class Join:
         return cut(same.filter(100 * F.col("i") >= self.percent * (F.col("t") - F.col("i"))).select("u", "v"))
 
     def _both(self, pairs: DataFrame) -> DataFrame:
-        """The pairs with both full sets (a, b), rare shingles first, made again from the texts of the classes."""
+        """The pairs, a stored table, with both full sets (a, b), rare shingles first, made again from the texts of the classes."""
         size, level = self.size, self.level
 
         def work(batches):
@@ -222,13 +229,13 @@ class Join:
                 at = [i for i, s in enumerate(got) if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == want[i]]
                 yield pa.record_batch({"cls": pa.array([want[i] for i in at], pa.binary()), "items": pa.array([_rare_first(got[i], level).view(np.int64) for i in at], pa.list_(pa.int64()))})
 
-        pairs = cut(pairs)
         need = cut(pairs.select(F.col("u").alias("cls")).union(pairs.select("v")).distinct().join(self.classes.select("cls", "doc_id"), "cls"))
         if need.count() <= BROADCAST:
             need = F.broadcast(need)
         texts = self.docs.select(F.col(self.id).cast("long").alias("__id"), F.col(self.text).alias("text"))
         rows = texts.join(need, F.col("__id").eqNullSafe(F.col("doc_id"))).select("cls", "text")
         full = cut(in_batches(rows, work, "cls binary, items array<long>").dropDuplicates(["cls"]))
+        free(self.docs.sparkSession)
         return pairs.join(full.select(F.col("cls").alias("u"), F.col("items").alias("a")), "u").join(full.select(F.col("cls").alias("v"), F.col("items").alias("b")), "v")
 
     def open_lists(self, lists: DataFrame) -> DataFrame:
@@ -262,6 +269,7 @@ class Join:
         self.absorb(self.counted(postings))
         lists = self.lists(postings, self.boundary(postings))
         for _ in range(ROUNDS):
+            free(self.docs.sparkSession)
             if lists.isEmpty():
                 return
             star = self.stars(lists)
