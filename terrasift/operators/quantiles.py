@@ -44,13 +44,14 @@ def _bracketed(df, keys, cols, ps, accuracy=ACCURACY):
     ])))
     want = want.withColumns({"__at": F.col("__p") * (F.col("__n") - 1)})
     want = want.withColumns({"__r0": F.floor("__at"), "__r1": F.ceil("__at")})
-    # values inside the bracket with their counts; rows below it as one number
-    hit = same_keys(long, want.select(*gk, "__i", "__lo", "__hi"), gk).filter(F.col("__v") <= F.col("__hi"))
+    # values inside the bracket with their counts; rows below it as one number. A shuffle by the group would send all its rows to one
+    # task; there are at most rows / limit heavy groups, so their brackets are broadcast
+    hit = same_keys(long, F.broadcast(want.select(*gk, "__i", "__lo", "__hi")), gk).filter(F.col("__v") <= F.col("__hi"))
     vals = hit.groupBy(*gk, "__i", F.when(F.col("__v") >= F.col("__lo"), F.col("__v")).alias("__v")).agg(F.count(F.lit(1)).alias("__m"))
     w = Window.partitionBy(*gk, "__i").orderBy(F.col("__v").asc_nulls_first())
     vals = vals.withColumn("__to", F.sum("__m").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     vals = vals.withColumn("__from", F.col("__to") - F.col("__m")).filter(F.col("__v").isNotNull())
-    got = same_keys(vals, want.select(*gk, "__i", "__p", "__at", "__r0", "__r1"), [*gk, "__i"])
+    got = same_keys(vals, F.broadcast(want.select(*gk, "__i", "__p", "__at", "__r0", "__r1")), [*gk, "__i"])
 
     def at(r):
         return F.max(F.when((F.col("__from") <= F.col(r)) & (F.col(r) < F.col("__to")), F.col("__v")))
@@ -78,8 +79,8 @@ def quantiles(df: DataFrame, keys, cols, ps, heavy_rows: int = HEAVY_ROWS) -> Da
     heavy = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > heavy_rows).drop("__n")
     if heavy.isEmpty():
         return _builtin(df, keys, cols, ps)
-    light_part = same_keys(df, heavy, keys, "left_anti")
-    heavy_part = same_keys(df, heavy, keys, "left_semi")
+    light_part = same_keys(df, F.broadcast(heavy), keys, "left_anti")
+    heavy_part = same_keys(df, F.broadcast(heavy), keys, "left_semi")
     return _builtin(light_part, keys, cols, ps).unionByName(_bracketed(heavy_part, keys, cols, ps, accuracy))
 
 

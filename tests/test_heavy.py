@@ -38,3 +38,17 @@ def test_average_rank_matches_pandas(skewed):
     got = metric.average_rank(d, ["k"], "v", "rk").toPandas().sort_values("i").reset_index(drop=True)
     want = got.groupby("k").v.rank()
     assert np.allclose(got.rk, want)
+
+
+def test_rows_of_a_heavy_group_stay_where_they_are(spark):
+    """The brackets go to the rows: no join shuffles a heavy group's rows to one task, however small Spark thinks the sides are."""
+    from terrasift.operators.quantiles import quantiles as exact
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        q = exact(spark.range(20_001).selectExpr("double(id * 7 % 20001) AS v"), [], ["v"], [0.5, 0.9], 1000)
+        assert tuple(q.first()) == (10000.0, 18000.0)
+        assert "SortMergeJoin" not in q._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
