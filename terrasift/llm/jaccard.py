@@ -6,7 +6,8 @@ subsets of k = 2 shingles of that prefix, which few unlike sets share, and large
 inverted lists of the first p + 1 single shingles. Where small ends follows from the cost of both ways for each size, counted on
 the data. Only shingles that two different sets hold take part, and sets that are equal are one class from the start.
 
-In each list every class is compared with one hub. What is then still apart is settled by what the sets have outside the hub: two
+Lists are paired as they are, from the short ones on, as long as their pairs stay in proportion to the postings. Only longer ones go
+by subsets and hubs. In each of these every class is compared with one hub. What is then still apart is settled by what the sets have outside the hub: two
 sets with i and j shingles in common with hub H have at most min(i, j) + |(a - H) & (b - H)| in common. So a pair is a link only if
 min(i, j) is enough, which is seen from numbers, or if it shares a shingle outside H, for which the rarest shingles of a - H make new
 lists. A family of many edited copies is thus settled without building its pairs.
@@ -31,7 +32,9 @@ SLOTS = 1 << 17  # slots of the frequency sketch
 SUBSET = 2  # shingles of a small set's subsets
 AHEAD = 8  # shingles of the prefix beyond those a set may miss; as many must be common
 ROUNDS = 12  # of hubs; lists left after that are paired as they are
-FEW = 8  # classes of a list whose pairs are counted as they are
+FEW = 8  # classes of a list whose pairs are built in any case
+PAIRS = 8.0  # pairs counted, for each posting of the table, before longer lists go to hubs
+PREFIXES = 32.0  # a pair that is compared by its prefixes, against one that is counted
 SCAN = 4.0  # cost of a posting of an inverted list, which is compared with a hub, against a subset's
 BROADCAST = 100_000  # classes of 24 bytes that may be broadcast; more are joined by a shuffle
 
@@ -100,6 +103,8 @@ class Join:
     def __init__(self, docs: DataFrame, classes: DataFrame, level: np.ndarray, size: int, percent: int, text: str, id: str):
         self.docs, self.classes, self.level, self.size, self.percent, self.text, self.id = docs, classes, level, size, percent, text, id
         self.comp = None
+        self.few = 1  # classes of the longest lists that have gone by counts
+        self.most = 0.0  # pairs that may be built from lists at once
 
     @property
     def _missing(self) -> Column:
@@ -125,18 +130,45 @@ class Join:
     def counted(self, postings: DataFrame) -> DataFrame:
         """Pairs (u, v) that share enough short lists: all but SUBSET - 1 of the prefix shingles that a link has in common.
 
-        A link that shares fewer has SUBSET long lists in common, where subsets and hubs find it. Short lists have FEW classes at
-        most, so their pairs are in proportion to the postings.
+        A link that shares fewer has SUBSET long lists in common, where subsets and hubs find it. How long a short list may be follows
+        from the pairs of all lists up to its length, PAIRS for each posting.
         """
-        each = postings.select("cls", "n", F.explode(F.filter("tokens", lambda t: t.c <= FEW)).alias("t")).select("cls", "n", "t.token")
+        self.most = PAIRS * (postings.agg(F.sum(F.size("tokens"))).first()[0] or 0)
+        self.few = self._affordable(postings.select(F.explode("tokens").alias("t")).select("t.c"), self.most)
+        each = postings.select("cls", "n", F.explode(F.filter("tokens", lambda t: t.c <= self.few)).alias("t")).select("cls", "n", "t.token")
         a, b = each.alias("a"), each.alias("b")
         both = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.cls") < F.col("b.cls")) & self._near(F.col("a.n"), F.col("b.n")))
         same = both.groupBy(F.col("a.cls").alias("u"), F.col("b.cls").alias("v")).agg(F.count(F.lit(1)).alias("c"), F.max(F.greatest("a.n", "b.n")).alias("n"))
         return same.filter(F.col("c") > F.least(F.lit(AHEAD), F.ceil(self.percent * F.col("n") / 100)) - SUBSET).select("u", "v")
 
+    @staticmethod
+    def _affordable(entries: DataFrame, most: float) -> int:
+        """The length c, FEW at least, up to which all lists together have at most ``most`` pairs. ``entries`` has one row per class of a list.
+
+        Lengths are taken by octaves, so the driver sees some thirty rows.
+        """
+        rows = entries.groupBy(F.floor(F.log2("c")).alias("b")).agg(F.max("c").alias("top"), F.sum((F.col("c") - 1) / 2).alias("pairs")).orderBy("b").collect()
+        few, pairs = FEW, 0.0
+        for r in rows:
+            pairs += r.pairs
+            if pairs > most:
+                break
+            few = max(few, r.top)
+        return few
+
     def _long(self) -> Column:
-        """The tokens of a posting whose lists have more than FEW classes."""
-        return F.transform(F.filter("tokens", lambda t: t.c > FEW), lambda t: t.token)
+        """The tokens of a posting whose lists have not gone by counts."""
+        return F.transform(F.filter("tokens", lambda t: t.c > self.few), lambda t: t.token)
+
+    def paired(self, lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(pairs (u, v) of the shorter lists whose ends are apart, the longer lists). The pairs are in proportion to the postings."""
+        sized = lists.join(lists.groupBy("key").agg(F.count(F.lit(1)).alias("c")), "key")
+        few = self._affordable(sized.select("c"), self.most / PREFIXES)
+        m = sized.filter(F.col("c") <= few)
+        a, b = m.alias("a"), m.alias("b")
+        able = (F.col("a.cls") < F.col("b.cls")) & (F.col("a.root") != F.col("b.root")) & self._near(F.col("a.n"), F.col("b.n"))
+        pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & able).select(F.col("a.cls").alias("u"), F.col("b.cls").alias("v"))
+        return pairs, sized.filter(F.col("c") > few).drop("c")
 
     def boundary(self, postings: DataFrame) -> int:
         """The size up to which subsets cost less than inverted lists.
@@ -265,8 +297,10 @@ class Join:
         return self._shared(family.select("hub", "cls", "n", "w", F.explode("rest").alias("t")).select(F.array(F.xxhash64("hub"), "t").alias("key"), "cls", "n", "w"))
 
     def settle(self, postings: DataFrame) -> None:
-        """All links: by the counts of short lists, then hub by hub in the long ones."""
+        """All links: by the counts of short lists, then hub by hub in the long ones, whose shorter remainders are paired."""
         self.absorb(self.counted(postings))
+        if postings.filter(F.size(self._long()) > 0).isEmpty():
+            return
         lists = self.lists(postings, self.boundary(postings))
         for _ in range(ROUNDS):
             free(self.docs.sparkSession)
@@ -275,7 +309,9 @@ class Join:
             star = self.stars(lists)
             self.absorb(star.groupBy("cls").agg(F.max(F.struct("w", "u", "v")).alias("p")).select("p.u", "p.v"))
             self.absorb(star)
-            left = self.open_lists(lists)
+            pairs, left = self.paired(self.open_lists(lists))
+            self.absorb(pairs)
+            left = cut(left)
             if left.isEmpty():
                 return
             family = self.families(left)

@@ -58,6 +58,38 @@ def test_both_ways_find_the_same(spark, bound, monkeypatch):
     assert found(spark, texts, size=3, percent=90) == plain(texts, 3, 90)
 
 
+def edited_copies(n):
+    """Copies of one text, each with an edit of its own and edits shared with a few others, and the text itself."""
+    out = []
+    for k in range(n):
+        far = [f"f{i}" for i in range(120)]
+        for j in range(3):
+            far[(7 * (k // 3) + 29 * j) % 120] = f"shared{k // 3}_{j}"
+        far[(11 * k + 5) % 120] = f"own{k}"
+        out.append(" ".join(far))
+    return list(enumerate([*out, " ".join(f"f{i}" for i in range(120))]))
+
+
+def test_moderate_lists_need_no_hubs(spark, monkeypatch):
+    """Lists of some 15 classes have few pairs for their postings, so all links come from one count of pairs."""
+
+    def none(self, lists):
+        raise AssertionError("hubs")
+
+    monkeypatch.setattr(jaccard.Join, "stars", none)
+    texts = edited_copies(15)
+    assert found(spark, texts, size=3, percent=90) == plain(texts, 3, 90)
+
+
+@pytest.mark.parametrize("pairs, prefixes", [(0.0, 1.0), (0.0, 1e9), (1.0, 1e-9)])
+def test_hubs_and_pairs_find_the_same(spark, pairs, prefixes, monkeypatch):
+    """Long lists go by hubs; what a hub leaves open is paired where that is cheap, and goes to the next hub where not."""
+    monkeypatch.setattr(jaccard, "PAIRS", pairs)
+    monkeypatch.setattr(jaccard, "PREFIXES", prefixes)
+    texts = edited_copies(30)
+    assert found(spark, texts, size=3, percent=90) == plain(texts, 3, 90)
+
+
 def test_boundary_follows_the_costs(spark):
     """Small sets with few shared shingles go by subsets, long ones that share very many by lists."""
     texts = [f"{i} " + " ".join(f"s{i // 2}_{j}" for j in range(12)) for i in range(60)] + [" ".join(f"l{j}" for j in range(4000)) + f" e{i}" for i in range(2)]
