@@ -1,6 +1,11 @@
-"""N-gram Jaccard join, size-aware: subsets of rare shingles for small sets, inverted lists for large ones.
+"""N-gram Jaccard join: equal parts of two sets where links differ little, rare shingles where they may differ much.
 
-Shingles are ordered from rare to frequent by a sketch of their document frequencies. Two sets that reach the similarity have at
+From PARTED percent on, shingles are dealt by hash into one part more than the shingles two linked sets may differ in, so at least one
+part is equal in both (``parts``). Parts hold several shingles, which few unlike sets share, so lists of the sets with an equal part are
+short but for families of edited copies. Bins of parities, whose differences are at most the sets', turn away what is no link before
+full sets are compared.
+
+Below, the join is size-aware: subsets of rare shingles for small sets, inverted lists for large ones. Shingles are ordered from rare to frequent by a sketch of their document frequencies. Two sets that reach the similarity have at
 least k common shingles among the first p + k of each, p being how many shingles a set may miss. So small sets are found by the
 subsets of k = 2 shingles of that prefix, which few unlike sets share, and large sets, which have too many subsets, by the
 inverted lists of the first p + 1 single shingles. Where small ends follows from the cost of both ways for each size, counted on
@@ -22,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrasift.llm.common import class_table, free, hashed_words, in_batches, lower, task_sums, utf8
+from terrasift.llm.common import class_table, free, hashed_words, in_batches, lower, mix, task_sums, utf8
 from terrasift.llm.graph import components
 from terrasift.llm.minhash import shingles
 from terrasift.session import cut
@@ -36,6 +41,9 @@ FEW = 8  # classes of a list whose pairs are built in any case
 PAIRS = 8.0  # pairs counted, for each posting of the table, before longer lists go to hubs
 PREFIXES = 32.0  # a pair that is compared by its prefixes, against one that is counted
 SCAN = 4.0  # cost of a posting of an inverted list, which is compared with a hub, against a subset's
+WIDTH = 3  # steps of a size class; a step is as far as a link goes
+DEALT = 8  # keys of parts, for each pair that is compared by its bins, before longer lists go to hubs
+PARTED = 75  # percent from which sets go by equal parts: parts then have three shingles or more on average
 BROADCAST = 100_000  # classes of 24 bytes that may be broadcast; more are joined by a shuffle
 
 
@@ -67,7 +75,10 @@ def _slot(s: np.ndarray) -> np.ndarray:
     return (s >> np.uint64(20)).astype(np.int64) & (SLOTS - 1)
 
 
-def _rare_first(s: np.ndarray, level: np.ndarray) -> np.ndarray:
+def _rare_first(s: np.ndarray, level: np.ndarray | None) -> np.ndarray:
+    """The shingles in one order for all sets; without levels, that of their hashes."""
+    if level is None:
+        return s
     return s[np.argsort(level[_slot(s)], kind="stable")]
 
 
@@ -97,6 +108,71 @@ def prefixes(docs: DataFrame, size: int, percent: int, level: np.ndarray, text:
     return in_batches(docs.select(F.col(id).cast("long").alias("doc_id"), text), work, "doc_id long, cls binary, n long, prefix array<long>")
 
 
+def may_differ(a, b, percent: int):
+    """In how many shingles two linked sets of a and b may differ."""
+    return (100 - percent) * (a + b) // (100 + percent)
+
+
+def steps(n: int, percent: int) -> list[int]:
+    """First sizes of the size classes up to that after n: linked sets are in the same class or in two next to each other."""
+    out = [1]
+    while len(out) < 3 or out[-2] <= n:
+        out.append(out[-1])
+        for _ in range(WIDTH):
+            out[-1] = 100 * out[-1] // percent + 1
+    return out
+
+
+def keys(s: np.ndarray, percent: int, first: np.ndarray) -> np.ndarray:
+    """Hashes of the parts of a set, among sets up to the top of its size class, and up to that of the next if it can be linked there."""
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(s), dtype=np.uint64)])
+    high, n = s >> np.uint64(32), len(s)
+    at = int(np.searchsorted(first, n, "right"))
+    out = []
+    for k in (at, at + 1) if 100 * n >= percent * int(first[at]) else (at,):
+        top = int(first[k]) - 1
+        m = may_differ(top, top, percent) + 1
+        i = np.arange(m + 1, dtype=np.uint64)
+        edge = np.searchsorted(high, ((i << np.uint64(32)) + np.uint64(m - 1)) // np.uint64(m))
+        out.append(mix(mix(total[edge[1:]] - total[edge[:-1]] + np.uint64(k)) + i[:-1]))
+    return np.concatenate(out)
+
+
+def bins(s: np.ndarray) -> bytes:
+    """Parities of the shingles in each of at least 4 n bins, a power of two. Sets that differ in d shingles differ in at most d bins."""
+    size = 1 << max(6, (4 * len(s) - 1).bit_length())
+    return np.packbits(np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.uint8) & 1).tobytes()
+
+
+def bins_apart(a: bytes, b: bytes) -> int:
+    """In how many bins two sets differ; the longer row of bins is folded to the length of the other."""
+    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    if len(y) > len(x):
+        y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def parts(docs: DataFrame, size: int, percent: int, text: str, id: str) -> DataFrame:
+    """(doc_id, cls, n, bins, keys) per row: cls is a digest of the set, keys its parts; bins and keys none where nothing different can be linked."""
+
+    def work(batches):
+        first = np.array(steps(1, percent))
+        for b in batches:
+            cls, size_of, parity, part = [], [], [], []
+            for s in sets(utf8(b.column(1)), size):
+                n = len(s)
+                if n >= first[-2]:  # the class after that of n must have its top
+                    first = np.array(steps(n, percent))
+                alone = 100 * n < percent * (n + 1)
+                cls.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if n else b"")
+                size_of.append(n)
+                parity.append(b"" if alone else bins(s))
+                part.append(s[:0].view(np.int64) if alone else keys(s, percent, first).view(np.int64))
+            yield pa.record_batch({"doc_id": b.column(0), "cls": pa.array(cls, pa.binary()), "n": pa.array(size_of, pa.int64()), "bins": pa.array(parity, pa.binary()), "keys": pa.array(part, pa.list_(pa.int64()))})
+
+    return in_batches(docs.select(F.col(id).cast("long").alias("doc_id"), text), work, "doc_id long, cls binary, n long, bins binary, keys array<long>")
+
+
 class Join:
     """The join of one table: its classes, and what is known of their components so far."""
 
@@ -160,10 +236,10 @@ class Join:
         """The tokens of a posting whose lists have not gone by counts."""
         return F.transform(F.filter("tokens", lambda t: t.c > self.few), lambda t: t.token)
 
-    def paired(self, lists: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(pairs (u, v) of the shorter lists whose ends are apart, the longer lists). The pairs are in proportion to the postings."""
+    def paired(self, lists: DataFrame, most: float) -> tuple[DataFrame, DataFrame]:
+        """(pairs (u, v) of the shorter lists whose ends are apart, the longer lists). The pairs are ``most``, or those of FEW classes each."""
         sized = lists.join(lists.groupBy("key").agg(F.count(F.lit(1)).alias("c")), "key")
-        few = self._affordable(sized.select("c"), self.most / PREFIXES)
+        few = self._affordable(sized.select("c"), most)
         m = sized.filter(F.col("c") <= few)
         a, b = m.alias("a"), m.alias("b")
         able = (F.col("a.cls") < F.col("b.cls")) & (F.col("a.root") != F.col("b.root")) & self._near(F.col("a.n"), F.col("b.n"))
@@ -177,13 +253,15 @@ class Join:
         octave, so the driver sees at most some hundred rows.
         """
         k = F.size(self._long())
-        rows = postings.groupBy(F.floor(8 * F.log2("n")).alias("b")).agg(F.max("n").alias("top"), F.sum(k.cast("long") * (k - 1) / 2).alias("subsets"), F.sum(k).alias("posted")).orderBy("b").collect()
+        sums = (F.min("n").alias("low"), F.max("n").alias("top"), F.sum(k.cast("long") * (k - 1) / 2).alias("subsets"), F.sum(k).alias("posted"))
+        rows = postings.groupBy(F.floor(8 * F.log2("n")).alias("b")).agg(*sums).orderBy("b").collect()
         largest = rows[-1].top if rows else 0
 
         def cost(x: int) -> float:
             return sum(r.subsets for r in rows if r.top <= x) + (SCAN * sum(r.posted for r in rows if 100 * r.top >= self.percent * x) if x < largest else 0.0)
 
-        return min([0, *(r.top for r in rows)], key=lambda x: (cost(x), x))
+        # a size class goes up to the next one's first size, so that no more sets than needed are posted; equal costs go by subsets, whose lists are shorter
+        return min([0, *(r.low - 1 for r in rows[1:]), largest], key=lambda x: (cost(x), -x))
 
     def lists(self, postings: DataFrame, x: int) -> DataFrame:
         """(key, cls, n, w): subsets of the sets up to size x, single shingles of those large ones may be linked with; in two classes or more."""
@@ -217,6 +295,22 @@ class Join:
         of = self.comp.select(F.col("node").alias(node), F.col("root").alias("__r"))
         return rows.join(of, node, "left").withColumn(root, F.coalesce("__r", node)).drop("__r")
 
+    def by_parts(self, rows: DataFrame) -> DataFrame:
+        """(key, cls, n, w) of the parts that two classes or more have; w: over how many classes its lists have, the sum.
+
+        Rows are dealt by key once, for the counts and for the members, with a hash of the class, which meets its classes again in the
+        few lists that are left. Of lists that hold the same classes one stays.
+        """
+        each = rows.select(F.explode("keys").alias("key"), F.xxhash64("cls").alias("id")).filter("key IS NOT NULL").repartition("key").distinct()
+        held = each.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.bit_xor("id").alias("x"), F.bit_xor(F.xxhash64("id")).alias("y")).filter("c > 1")
+        one = held.groupBy("c", "x", "y").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("alike"))
+        lists = cut(each.join(one.select("key", (F.col("c") * F.col("alike")).alias("c")), "key"))
+        free(self.docs.sparkSession)
+        names = self.classes.select("cls", "n", F.xxhash64("cls").alias("id"))
+        facts = lists.groupBy("id").agg(F.sum("c").alias("w")).join(names, "id")
+        self.most = max(PAIRS * lists.count(), (rows.agg(F.sum(F.size("keys"))).first()[0] or 0) / DEALT)
+        return cut(lists.select(F.array("key").alias("key"), "id").join(facts, "id").select("key", "cls", "n", "w"))
+
     def absorb(self, pairs: DataFrame) -> None:
         """Confirm the pairs (u, v) whose ends are apart and join the components of those that are links."""
         apart = self.rooted(self.rooted(pairs.select("u", "v").distinct(), "u", "ru"), "v", "rv").filter("ru <> rv").select("u", "v")
@@ -237,7 +331,12 @@ class Join:
         free(self.docs.sparkSession)
 
     def _alike(self, pairs: DataFrame) -> DataFrame:
-        """Pairs with as many common shingles in their prefixes as every link has; exact, as the prefixes are ordered alike."""
+        """Pairs that may be links by their bins; without those, by their prefixes.
+
+        The prefixes of a link have as many shingles in common as every link has; exact, as they are ordered alike.
+        """
+        if "bins" in self.classes.columns:
+            return self._near_bins(pairs)
         side = self.classes.filter(F.size("prefix") > 0)
         a, b = (side.select(F.col("cls").alias(c), "n", F.col("prefix").alias(f"prefix_{c}")) for c in "uv")
         both = pairs.join(a.withColumn("n_u", F.col("n")), "u").drop("n").join(b.withColumn("n_v", F.col("n")), "v")
@@ -246,6 +345,22 @@ class Join:
         free(self.docs.sparkSession)
         return alike
 
+    def _near_bins(self, pairs: DataFrame) -> DataFrame:
+        """Pairs that differ in no more bins than a link may in shingles."""
+        percent = self.percent
+
+        def work(batches):
+            for b in batches:
+                n = np.asarray(b.column("n_u")) + np.asarray(b.column("n_v"))
+                apart = [bins_apart(x, y) for x, y in zip(b.column("bins_u").to_pylist(), b.column("bins_v").to_pylist(), strict=True)]
+                yield b.select(["u", "v"]).filter(pa.array(np.array(apart, np.int64) <= may_differ(n, 0, percent)))
+
+        for c in "uv":
+            pairs = pairs.join(self.classes.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("bins").alias(f"bins_{c}")), c)
+        alike = cut(in_batches(pairs.filter(self._near(F.col("n_u"), F.col("n_v"))), work, "u binary, v binary"))
+        free(self.docs.sparkSession)
+        return alike
+
     def _links(self, pairs: DataFrame) -> DataFrame:
         """The pairs with 100 * intersection >= percent * union."""
         same = self._both(pairs).select("u", "v", F.size(F.array_intersect("a", "b")).alias("i"), (F.size("a") + F.size("b")).alias("t"))
@@ -301,7 +416,16 @@ class Join:
         self.absorb(self.counted(postings))
         if postings.filter(F.size(self._long()) > 0).isEmpty():
             return
-        lists = self.lists(postings, self.boundary(postings))
+        self.rounds(self.lists(postings, self.boundary(postings)))
+
+    def settle_parts(self, lists: DataFrame) -> None:
+        """All links: by the pairs of short lists of equal parts, then hub by hub in the longer ones."""
+        pairs, left = self.paired(lists.withColumn("root", F.col("cls")), self.most)
+        self.absorb(pairs)
+        self.rounds(self.open_lists(left))
+
+    def rounds(self, lists: DataFrame) -> None:
+        """All links of lists, hub by hub, and by pairs where these are few."""
         for _ in range(ROUNDS):
             free(self.docs.sparkSession)
             if lists.isEmpty():
@@ -309,7 +433,7 @@ class Join:
             star = self.stars(lists)
             self.absorb(star.groupBy("cls").agg(F.max(F.struct("w", "u", "v")).alias("p")).select("p.u", "p.v"))
             self.absorb(star)
-            pairs, left = self.paired(self.open_lists(lists))
+            pairs, left = self.paired(self.open_lists(lists), self.most / PREFIXES)
             self.absorb(pairs)
             left = cut(left)
             if left.isEmpty():
@@ -332,11 +456,15 @@ def groups(docs: DataFrame, *, size: int = 5, percent: int = 80, text: str = "te
     """
     if not 50 <= percent <= 100:
         raise ValueError("percent must be from 50 to 100")
-    level = levels(docs, size, text)
-    rows = cut(prefixes(docs, size, percent, level, text, id))
-    classes = cut(rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
+    level = None if percent >= PARTED else levels(docs, size, text)
+    rows = cut(parts(docs, size, percent, text, id) if level is None else prefixes(docs, size, percent, level, text, id))
+    kept = "bins" if level is None else "prefix"
+    classes = cut(rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first(kept).alias(kept)))
     join = Join(docs, classes, level, size, percent, text, id)
-    join.settle(join.postings())
+    if level is None:
+        join.settle_parts(join.by_parts(rows))
+    else:
+        join.settle(join.postings())
     names = join.rooted(classes.select("cls", "doc_id"), "cls", "root")
     least = names.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     out = rows.select("doc_id", "cls", "n").join(names.select("cls", "root").join(least, "root").select("cls", "component_id"), "cls", "left")

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from test_llm_text import link_plain, near_texts
 
@@ -117,3 +118,46 @@ def test_one_long_text_and_equal_sets(spark):
 def test_percent_out_of_range(spark):
     with pytest.raises(ValueError):
         jaccard.groups(spark.createDataFrame([], "doc_id long, text string"), percent=40)
+
+
+@pytest.mark.parametrize("percent", [75, 80, 90, 99, 100])
+def test_links_have_an_equal_part(percent):
+    """Two sets that just reach the similarity share a part, and differ in no more bins than shingles."""
+    rng = np.random.default_rng(3)
+    first = np.array(jaccard.steps(5000, percent))
+    for n in [*range(1, 60), 100, 333, 1000, 4000]:
+        for _ in range(6):
+            a = rng.integers(0, 1 << 63, n).astype(np.uint64)
+            gone = int(rng.integers(0, jaccard.may_differ(n, n, percent) + 1))
+            b = np.concatenate([a[gone:], rng.integers(0, 1 << 63, int(rng.integers(0, n // 4 + 1))).astype(np.uint64)])
+            while len(b) > len(a) - gone and 100 * (n - gone) < percent * (gone + len(b)):
+                b = b[:-1]
+            a, b = np.unique(a), np.unique(b)
+            differ = len(np.setxor1d(a, b))
+            assert jaccard.bins_apart(jaccard.bins(a), jaccard.bins(b)) <= differ
+            if len(b) and 100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b)):
+                assert differ <= jaccard.may_differ(len(a), len(b), percent)
+                assert np.isin(jaccard.keys(a, percent, first), jaccard.keys(b, percent, first)).any()
+
+
+def test_unlike_texts_of_frequent_shingles_make_no_lists(spark, monkeypatch):
+    """Every shingle is in many texts, but no part of one is that of another: nothing is left for hubs."""
+
+    def none(self, lists):
+        raise AssertionError("hubs")
+
+    monkeypatch.setattr(jaccard.Join, "stars", none)
+    monkeypatch.setattr(jaccard, "PAIRS", 0.0)
+    rng = random.Random(8)
+    texts = [(i, " ".join(rng.choice("abcdefghijkl") for _ in range(100))) for i in range(200)]
+    assert found(spark, texts, size=3, percent=90) == plain(texts, 3, 90)
+
+
+@pytest.mark.parametrize("bound", [0, 60, 10**9])
+def test_rare_shingles_find_the_same(spark, bound, monkeypatch):
+    """The way for low similarities, on edited copies of high ones."""
+    monkeypatch.setattr(jaccard, "PARTED", 101)
+    monkeypatch.setattr(jaccard, "PAIRS", 0.0)
+    monkeypatch.setattr(jaccard.Join, "boundary", lambda self, postings: bound)
+    texts = edited_copies(20)
+    assert found(spark, texts, size=3, percent=90) == plain(texts, 3, 90)
