@@ -179,6 +179,7 @@ class Join:
     def __init__(self, docs: DataFrame, classes: DataFrame, level: np.ndarray, size: int, percent: int, text: str, id: str):
         self.docs, self.classes, self.level, self.size, self.percent, self.text, self.id = docs, classes, level, size, percent, text, id
         self.comp = None
+        self.listed = None  # the classes in lists of equal parts, with their bins
         self.few = 1  # classes of the longest lists that have gone by counts
         self.most = 0.0  # pairs that may be built from lists at once
 
@@ -306,10 +307,10 @@ class Join:
         one = held.groupBy("c", "x", "y").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("alike"))
         lists = cut(each.join(one.select("key", (F.col("c") * F.col("alike")).alias("c")), "key"))
         free(self.docs.sparkSession)
-        names = self.classes.select("cls", "n", F.xxhash64("cls").alias("id"))
-        facts = lists.groupBy("id").agg(F.sum("c").alias("w")).join(names, "id")
+        facts = lists.groupBy("id").agg(F.sum("c").alias("w")).join(self.classes.select("cls", "n", "bins", F.xxhash64("cls").alias("id")), "id")
+        self.listed = facts = cut(facts)
         self.most = max(PAIRS * lists.count(), (rows.agg(F.sum(F.size("keys"))).first()[0] or 0) / DEALT)
-        return cut(lists.select(F.array("key").alias("key"), "id").join(facts, "id").select("key", "cls", "n", "w"))
+        return cut(lists.select(F.array("key").alias("key"), "id").join(facts.drop("bins"), "id").select("key", "cls", "n", "w"))
 
     def absorb(self, pairs: DataFrame) -> None:
         """Confirm the pairs (u, v) whose ends are apart and join the components of those that are links."""
@@ -335,7 +336,7 @@ class Join:
 
         The prefixes of a link have as many shingles in common as every link has; exact, as they are ordered alike.
         """
-        if "bins" in self.classes.columns:
+        if self.listed is not None:
             return self._near_bins(pairs)
         side = self.classes.filter(F.size("prefix") > 0)
         a, b = (side.select(F.col("cls").alias(c), "n", F.col("prefix").alias(f"prefix_{c}")) for c in "uv")
@@ -356,7 +357,7 @@ class Join:
                 yield b.select(["u", "v"]).filter(pa.array(np.array(apart, np.int64) <= may_differ(n, 0, percent)))
 
         for c in "uv":
-            pairs = pairs.join(self.classes.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("bins").alias(f"bins_{c}")), c)
+            pairs = pairs.join(self.listed.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("bins").alias(f"bins_{c}")), c)
         alike = cut(in_batches(pairs.filter(self._near(F.col("n_u"), F.col("n_v"))), work, "u binary, v binary"))
         free(self.docs.sparkSession)
         return alike
@@ -420,9 +421,13 @@ class Join:
 
     def settle_parts(self, lists: DataFrame) -> None:
         """All links: by the pairs of short lists of equal parts, then hub by hub in the longer ones."""
-        pairs, left = self.paired(lists.withColumn("root", F.col("cls")), self.most)
+        self.rounds(self.short(lists))
+
+    def short(self, lists: DataFrame) -> DataFrame:
+        """The longer lists that are still open, once the pairs of the shorter ones are settled by their bins."""
+        pairs, left = self.paired(self.rooted(lists.select("key", "cls", "n", "w"), "cls", "root"), self.most)
         self.absorb(pairs)
-        self.rounds(self.open_lists(left))
+        return self.open_lists(left)
 
     def rounds(self, lists: DataFrame) -> None:
         """All links of lists, hub by hub, and by pairs where these are few."""
@@ -440,7 +445,7 @@ class Join:
                 return
             family = self.families(left)
             self.absorb(self.enough(family))
-            lists = self.residual(family)
+            lists = self.residual(family) if self.listed is None else self.short(self.residual(family))
         m = self.rooted(lists.select("key", "cls", "n"), "cls", "root")
         a, b = m.alias("a"), m.alias("b")
         rest = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.cls") < F.col("b.cls")) & (F.col("a.root") != F.col("b.root")) & self._near(F.col("a.n"), F.col("b.n")))
