@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrasift.functions.feat import bin_index
+from terrasift.functions.geo import nowhere
 from terrasift.operators import groups, nearby
 from terrasift.operators.pyramid import binned, half_squares
-from terrasift.operators.quantiles import quantiles
+from terrasift.operators.quantiles import weighted_medians
+from terrasift.session import cut as stored
 
 # lag edges in metres (fixed values)
 LAGS = [30.0, 100.0, 250.0, 500.0, 1000.0, 2000.0, 5000.0, 10000.0, 20000.0, 50000.0, 100000.0, 200000.0, 400000.0]
@@ -83,13 +85,27 @@ def nearby_pairs(df: DataFrame, values, region: str, bands, *, id="id", x="x", y
 
 
 def pair_difference(df: DataFrame, v: str, r: float, cut: float = 0.3, *, id="id", x="x", y="y") -> DataFrame:
-    """Median absolute and relative difference of v over pairs of positions within r, and the share above the cut.
+    """Median absolute and relative difference of v over all pairs of rows within r, and the share above the cut.
 
-    Positions are compared by their mean value, one pair of positions each.
+    Rows of one position and value are folded to a count, so a pair of such spots stands for all its row pairs.
     """
-    p = nearby.pairs_of(nearby.locations(df, [v], id=id, x=x, y=y), r, [f"{v}__m"])
-    a, b = F.col(f"{v}__m_a"), F.col(f"{v}__m_b")
-    t = p.select(F.abs(a - b).alias("abs_diff"), F.try_divide(F.abs(a - b), (a + b) / 2.0).alias("rel_diff"))
-    q = quantiles(t, [], ["abs_diff", "rel_diff"], [0.5])
-    n = t.agg(F.count(F.lit(1)).alias("pairs"), F.avg((F.col("rel_diff") > cut).cast("double")).alias("share_above"))
-    return n.crossJoin(F.broadcast(q))  # one row each
+    at = df.filter(~nowhere(x, y)).groupBy(F.col(x).alias("x"), F.col(y).alias("y"), F.col(v).alias("v")).agg(F.min(id).alias("id"), F.count(F.lit(1)).alias("n"))
+    at = stored(at)
+    p = nearby.pairs_of(at, r, ["v"]).select("v_a", "v_b", (F.col("n_a") * F.col("n_b")).alias("w"))
+    own = at.filter("n > 1").select(F.col("v").alias("v_a"), F.col("v").alias("v_b"), F.expr("n * (n - 1) div 2").alias("w"))
+    p = p.unionByName(own).unionByName(_of_one_position(at))
+    a, b = F.col("v_a"), F.col("v_b")
+    t = p.select("w", F.abs(a - b).alias("abs_diff"), F.try_divide(F.abs(a - b), (a + b) / 2.0).alias("rel_diff"))
+    known = F.when(F.col("rel_diff").isNotNull(), F.col("w"))
+    n = t.agg(F.coalesce(F.sum("w"), F.lit(0)).cast("long").alias("pairs"), F.try_divide(F.sum(F.when(F.col("rel_diff") > cut, F.col("w")).when(known.isNotNull(), 0)), F.sum(known)).alias("share_above"))
+    return n.withColumns({f"{c}_p50": F.lit(m).cast("double") for c, m in weighted_medians(t, ["abs_diff", "rel_diff"], "w").items()})
+
+
+def _of_one_position(at: DataFrame, side: int = 250) -> DataFrame:
+    """(v_a, v_b, w): the pairs of different values at one position. A position with many is dealt over pairs of hashed blocks."""
+    many = at.groupBy("x", "y").agg(F.ceil(F.count(F.lit(1)) / F.lit(side)).cast("int").alias("b"), F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
+    s = groups.same_keys(at, many, ["x", "y"]).withColumn("k", F.pmod(F.xxhash64("id"), F.col("b")).cast("int"))
+    left = s.withColumns({"lo": F.col("k"), "hi": F.explode(F.sequence(F.col("k"), F.col("b") - 1))}).select("x", "y", "lo", "hi", F.col("v").alias("v_a"), F.col("n").alias("n_a"), F.col("id").alias("id_a"))
+    right = s.withColumns({"hi": F.col("k"), "lo": F.explode(F.sequence(F.lit(0), F.col("k")))}).select("x", "y", "lo", "hi", F.col("v").alias("v_b"), F.col("n").alias("n_b"), F.col("id").alias("id_b"))
+    j = left.join(right, ["x", "y", "lo", "hi"]).filter("lo < hi OR id_a < id_b")
+    return j.select("v_a", "v_b", (F.col("n_a") * F.col("n_b")).alias("w"))

@@ -84,6 +84,64 @@ def quantiles(df: DataFrame, keys, cols, ps, heavy_rows: int = HEAVY_ROWS) -> Da
     return _builtin(light_part, keys, cols, ps).unionByName(_bracketed(heavy_part, keys, cols, ps, accuracy))
 
 
+def _place(v, cuts):
+    """How many of the sorted cuts lie below v, by halving."""
+    if not cuts:
+        return F.lit(0)
+    m = len(cuts) // 2
+    return F.when(v <= F.lit(cuts[m]), _place(v, cuts[:m])).otherwise(_place(v, cuts[m + 1 :]) + F.lit(m + 1))
+
+
+def weighted_medians(df: DataFrame, cols, weight: str, most: int = HEAVY_ROWS) -> dict:
+    """Exact median per column where each row stands for ``weight`` equal values; NULL and NaN are left out, None without values.
+
+    A sketch of the rows proposes cuts, the weights between them are summed exactly, and the range that holds the middle is cut again
+    until few rows are left to be ranked. So the answer is exact however far the weights are from the rows. All columns share the passes.
+    """
+    cols, out, state = list(cols), {}, {}
+    spread = F.array(*[F.struct(F.lit(i).alias("c"), F.nanvl(F.col(c).cast("double"), F.lit(None)).alias("v")) for i, c in enumerate(cols)])
+    long = df.select(F.col(weight).cast("long").alias("w"), F.inline(spread)).filter("v IS NOT NULL AND w > 0")
+    probes = sorted({*(i / 16 for i in range(1, 16)), *(0.5 + s * 2.0**-j for j in range(2, 13) for s in (-1, 1))})
+    sketch = F.percentile_approx("v", F.array(*[F.lit(q) for q in probes]), ACCURACY // 10).alias("cuts")
+    for r in long.groupBy("c").agg(F.count(F.lit(1)).alias("rows"), F.sum("w").alias("w"), F.min("v").alias("lo"), F.max("v").alias("hi"), sketch).collect():  # one row per column
+        state[r.c] = {"rows": r.rows, "ends": ((r.w - 1) // 2, r.w // 2), "before": 0, "lo": r.lo, "hi": r.hi, "cuts": r.cuts}
+
+    def within(open_):
+        return long.filter(reduce(lambda a, b: a | b, [(F.col("c") == c) & F.col("v").between(state[c]["lo"], state[c]["hi"]) for c in open_]))
+
+    def middle(c, low, high):
+        out[cols[c]] = low + (high - low) / 2
+        del state[c]
+
+    while wide := [c for c in state if state[c]["rows"] > most]:
+        place = F.lit(None).cast("int")
+        for c in wide:
+            place = F.when(F.col("c") == c, _place(F.col("v"), sorted({*state[c]["cuts"], state[c]["lo"]}))).otherwise(place)
+        held = within(wide).groupBy("c", place.alias("b")).agg(F.count(F.lit(1)).alias("rows"), F.sum("w").alias("w"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        held = sorted(held.collect(), key=lambda r: (r.c, r.b))  # one row per column and cut
+        for c in wide:
+            t, upto, inside = state[c], state[c]["before"], []
+            for r in (r for r in held if r.c == c):
+                if upto <= t["ends"][1] and upto + r.w > t["ends"][0]:
+                    t["before"] = t["before"] if inside else upto
+                    inside.append(r)
+                upto += r.w
+            if len(inside) > 1 or inside[0].lo == inside[0].hi:  # the middle lies between two ranges, or its range is one value
+                middle(c, inside[0].hi, inside[-1].lo)
+            else:
+                t.update(rows=inside[0].rows, lo=inside[0].lo, hi=inside[0].hi)
+        again = [c for c in state if state[c]["rows"] > most]
+        for r in within(again).groupBy("c").agg(sketch).collect() if again else ():
+            state[r.c]["cuts"] = r.cuts
+    if state:
+        upto = F.sum("w").over(Window.partitionBy("c").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))  # at most `most` rows
+        per = within(state).groupBy("c", "v").agg(F.sum("w").alias("w")).select("c", "v", (upto - F.col("w")).alias("a"), upto.alias("z"))
+        at = F.coalesce(*[F.when(F.col("c") == c, F.array(*[F.lit(e - t["before"]) for e in t["ends"]])) for c, t in state.items()])
+        for r in per.groupBy("c").agg(*[F.max(F.when((F.col("a") <= at[i]) & (F.col("z") > at[i]), F.col("v"))).alias(n) for i, n in enumerate(("low", "high"))]).collect():
+            middle(r.c, r.low, r.high)
+    return {c: out.get(c) for c in cols}
+
+
 def medians(df: DataFrame, keys, cols, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
     out = quantiles(df, keys, cols, [0.5], heavy_rows)
     return reduce(lambda d, c: d.withColumnRenamed(f"{c}_p50", c), cols, out)
