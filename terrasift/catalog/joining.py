@@ -333,9 +333,8 @@ def _bins(edges):
 
 
 _MID = "CASE bin " + " ".join(f"WHEN {i} THEN {(a * b) ** 0.5 / 1000!r}e0" for i, (a, b) in enumerate(zip(geostat.LAGS, geostat.LAGS[1:]))) + " END"
-_VG = f"""WITH {T}, {_S.format(4000)}, pr AS (SELECT {DIST} AS d, pow(ln(1 + a.n) - ln(1 + b.n), 2)/2 AS g, true AS near FROM t a JOIN t b ON a.id < b.id AND {DIST} < 5000
- UNION ALL SELECT {DIST}, pow(ln(1 + a.n) - ln(1 + b.n), 2)/2, false FROM sm a JOIN sm b ON a.id < b.id),
- vg AS (SELECT {_bins(geostat.LAGS)} AS bin, CAST(count(*) AS BIGINT) AS pairs, avg(g) AS semivariance FROM pr WHERE d >= 30 AND d < 400000 AND near = (d < 5000) GROUP BY 1)
+_VG = f"""WITH {T}, pr AS (SELECT {DIST} AS d, pow(ln(1 + a.n) - ln(1 + b.n), 2)/2 AS g FROM t a JOIN t b ON a.id < b.id AND {DIST} < 400000),
+ vg AS (SELECT {_bins(geostat.LAGS)} AS bin, CAST(count(*) AS BIGINT) AS pairs, avg(g) AS semivariance FROM pr WHERE d >= 30 GROUP BY 1)
 """
 Q["e47_semivariogram"] = (e47, oracle(_VG + f"SELECT bin, round({_MID}, 6) AS dist_km, pairs, round(semivariance, 6) AS semivariance, round(semivariance/(SELECT var_samp(ln(1 + n)) FROM points), 6) AS relative FROM vg", "points"))
 Q["e48_reach_of_variance"] = (lambda s, d: rnd(geostat.reach(geostat.semivariogram(logged(s, d), "ly")), ["reach_km"]), oracle(

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrasift.functions.feat import bin_index
 from terrasift.functions.geo import nowhere
 from terrasift.operators import groups, nearby
 from terrasift.operators.pyramid import binned, half_squares
@@ -15,7 +14,6 @@ from terrasift.session import cut as stored
 # lag edges in metres (fixed values)
 LAGS = [30.0, 100.0, 250.0, 500.0, 1000.0, 2000.0, 5000.0, 10000.0, 20000.0, 50000.0, 100000.0, 200000.0, 400000.0]
 FIT_LAGS_KM = [0.0, 0.25, 0.5, 1.0, 2.0, 3.0, 5.0, 8.0, 12.0, 18.0, 25.0, 35.0, 45.0, 60.0]
-SHORT = 5000.0
 
 
 def lag_table(df: DataFrame, v: str, edges, **kw) -> DataFrame:
@@ -28,19 +26,10 @@ def lag_table(df: DataFrame, v: str, edges, **kw) -> DataFrame:
     return p.select("bin", "pairs", (F.col("dist") / F.col("pairs")).alias("lag"), (F.col("g") / F.col("pairs")).alias("semivariance"))
 
 
-def semivariogram(df: DataFrame, v: str, edges=LAGS, sample_rows: int = 4000, seed: int = 42, *, id="id", x="x", y="y") -> DataFrame:
-    """All pairs for bins below 5 km, the pairs of a seeded sample of rows above; relative to the total variance."""
-    from terrasift.operators.sampling import sample_n
-
-    short = [e for e in edges if e <= SHORT]
-    n_short = len(short) - 1
-    near = binned(nearby.locations(df, [v], id=id, x=x, y=y), short, [v]).select("bin", "pairs", (F.col(f"g_{v}") / F.col("pairs")).alias("semivariance"))
-    s = sample_n(df, sample_rows, id, seed)
-    far = nearby.sample_pairs(s, id=id, x=x, y=y, cols=[v]).withColumn("bin", bin_index(F.col("d"), edges, right=False)).filter(F.col("bin") >= n_short)
-    dv = F.col(f"{v}_a") - F.col(f"{v}_b")
-    far = far.groupBy("bin").agg(F.count(F.lit(1)).alias("pairs"), F.avg(dv * dv * 0.5).alias("semivariance"))
-    tot = df.agg(F.var_samp(v).alias("__tv"))
-    out = near.unionByName(far).crossJoin(F.broadcast(tot))  # one-row side
+def semivariogram(df: DataFrame, v: str, edges=LAGS, *, id="id", x="x", y="y") -> DataFrame:
+    """Row pairs and semivariance per half-open distance bin, over all pairs; relative to the total variance."""
+    p = binned(nearby.locations(df, [v], id=id, x=x, y=y), edges, [v]).select("bin", "pairs", (F.col(f"g_{v}") / F.col("pairs")).alias("semivariance"))
+    out = p.crossJoin(F.broadcast(df.agg(F.var_samp(v).alias("__tv"))))  # one-row side
     mids = F.array(*[F.lit((a * b) ** 0.5 / 1000) for a, b in zip(edges, edges[1:])])
     return out.select("bin", F.get(mids, F.col("bin")).alias("dist_km"), "pairs", "semivariance", (F.col("semivariance") / F.col("__tv")).alias("relative"))
 

@@ -40,3 +40,16 @@ def test_weighted_medians_are_exact(spark, most):
         assert np.allclose(list(got.values()), [np.median(np.repeat(c, w)) for c in (v, u)] + [7.0], rtol=0, atol=1e-12)
     two = spark.createDataFrame([(1.0, 5), (4.0, 5)], "v double, w long")
     assert weighted_medians(two, ["v"], "w", most) == {"v": 2.5} and weighted_medians(two.filter("false"), ["v"], "w", most) == {"v": None}
+
+
+def test_semivariogram_takes_all_pairs(spark):
+    """The far bins hold every pair, not those of a draw."""
+    g = np.random.default_rng(6)
+    p = pd.DataFrame({"id": np.arange(5000), "x": g.uniform(0, 300_000, 5000), "y": g.uniform(0, 300_000, 5000), "v": g.normal(size=5000)})
+    got = {r.bin: r for r in geostat.semivariogram(spark.createDataFrame(p), "v").collect()}
+    i, j = np.triu_indices(5000, 1)
+    d = np.hypot(p.x.to_numpy()[i] - p.x.to_numpy()[j], p.y.to_numpy()[i] - p.y.to_numpy()[j])
+    half = (p.v.to_numpy()[i] - p.v.to_numpy()[j]) ** 2 / 2
+    for b, (lo, hi) in enumerate(zip(geostat.LAGS, geostat.LAGS[1:])):
+        m = (d >= lo) & (d < hi)
+        assert got[b].pairs == m.sum() and np.isclose(got[b].semivariance, half[m].mean(), rtol=1e-10), b
