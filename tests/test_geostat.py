@@ -53,3 +53,30 @@ def test_semivariogram_takes_all_pairs(spark):
     for b, (lo, hi) in enumerate(zip(geostat.LAGS, geostat.LAGS[1:])):
         m = (d >= lo) & (d < hi)
         assert got[b].pairs == m.sum() and np.isclose(got[b].semivariance, half[m].mean(), rtol=1e-10), b
+
+
+def test_kriging_is_fitted_on_all_training_rows(spark):
+    """The variogram comes from all pairs, not from those of a draw; those of several trainings from one pass, coincident rows included."""
+    from terrasift.plans import learn
+
+    g = np.random.default_rng(8)
+    p = pd.DataFrame({"id": np.arange(3000), "x": g.uniform(0, 50_000, 3000), "y": g.uniform(0, 50_000, 3000), "fold": g.integers(0, 3, 3000)})
+    p.loc[:59, ["x", "y"]] = p.loc[60:119, ["x", "y"]].to_numpy()
+    p["v"] = np.sin(p.x / 9000) + g.normal(size=3000) / 3
+    df = spark.createDataFrame(p).unionByName(spark.createDataFrame([(9001, None, 1.0, 0, 2.0), (9002, 2.0, 1.0, 1, None)], "id long, x double, y double, fold long, v double"))
+    edges = geostat.FIT_LAGS_KM
+    km = p.assign(x=p.x / 1000, y=p.y / 1000)
+    tables = {(r.left_out, r.bin): r for r in geostat.lag_tables(spark.createDataFrame(km), "v", edges, "fold", [-1, 0, 1, 2]).collect()}
+    for f in (-1, 0, 1, 2):
+        t = km[km.fold != f]
+        i, j = np.triu_indices(len(t), 1)
+        d = np.hypot(t.x.to_numpy()[i] - t.x.to_numpy()[j], t.y.to_numpy()[i] - t.y.to_numpy()[j])
+        half = (t.v.to_numpy()[i] - t.v.to_numpy()[j]) ** 2 / 2
+        for b, (lo, hi) in enumerate(zip(edges, edges[1:])):
+            m = (d >= lo) & (d < hi)
+            r = tables[f, b]
+            assert r.pairs == m.sum() and np.allclose([r.lag, r.semivariance], [d[m].mean(), half[m].mean()], rtol=1e-9), (f, b)
+    fits = learn.variograms(df, "v", "fold", [-1, 1])
+    assert np.allclose(fits[1], learn.variogram(df.filter("fold <> 1"), "v")) and np.allclose(fits[-1], learn.variogram(df, "v"))
+    out = learn.kriging_out_of_fold(df.filter("v IS NOT NULL"), "v", "fold", 3, k=8).select("id", "kriged")
+    assert out.count() == 3001 and out.filter("kriged IS NULL").count() == 1
