@@ -140,7 +140,7 @@ Q["k24_inflation"] = (lambda s, d: learn.inflation(pts(s, d), model(), Y, (10, 2
 
 
 def k25(s, d):
-    p = pts(s, d)
+    p = pts(s, d).select("id", "spot", Y, *IN)
     merged = cluster.merge(cluster.drop_large(p, "spot").drop("site_size"), ["n", *IN], site="spot")
     linked = links.via_members(merged.select(F.col("id").alias("loc_id"), "ids_merged", F.col("n").alias("loc_n")), p, "loc_id")
     return learn.split_comparison(linked, merged, model(), Y)
