@@ -104,7 +104,11 @@ def buffered(df: DataFrame, held: DataFrame, block: str, radii, *, id="id", x="x
 
 def buffered_counts(df: DataFrame, held: DataFrame, block: str, radii, **kw) -> DataFrame:
     """Training rows left per held-out block and radius."""
-    near = buffered(df, held, block, radii, **kw)
+    return counts_of(buffered(df, held, block, radii, **kw), df, held, block, radii)
+
+
+def counts_of(near: DataFrame, df: DataFrame, held: DataFrame, block: str, radii) -> DataFrame:
+    """Training rows left per held-out block and radius, of the rows of ``buffered`` for these radii or greater ones."""
     inside = near.groupBy("held").agg(*[F.count_if(F.col("buffer_dist") <= r).alias(f"r{i}") for i, r in enumerate(radii)])
     sizes = df.join(held.select(F.col(block).alias("held")), F.col(block) == F.col("held")).groupBy("held").agg(F.count(F.lit(1)).alias("n_test"))
     total = df.agg(F.count(F.lit(1)).alias("n_all"))
