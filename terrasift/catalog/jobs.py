@@ -82,8 +82,8 @@ Q["k14_replication_without_log"] = (k14, None)
 def classes(s, d, kinds):
     from terrasift.operators import metric
 
-    p = folded(s, d).withColumn("cls", feat.rating(F.col("n"), 280.0, 560.0))
-    parts = [({"model": k}, learn.out_of_fold(p, learn.classifier(k, IN, "cls", trees=10), "fold", 5).select("cls", "pred")) for k in kinds]
+    p = cut(folded(s, d).select("fold", feat.rating(F.col("n"), 280.0, 560.0).alias("cls"), *IN))  # the models read it many times
+    parts = [({"model": k}, learn.out_of_fold(p, learn.classifier(k, IN, "cls", trees=10), "fold", 5, stored=True).select("cls", "pred")) for k in kinds]
     return metric.classes(learn.label_all(parts), ["model"], "cls", "pred")
 
 
